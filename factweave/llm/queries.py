@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from pyspark.sql import functions as F
+
+from . import exact_dedup, language_id, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +29,36 @@ from d
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows outside the held-out quarter."""
+    docs = _documents(spark, sf_dir).withColumn(
+        "held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    )
+    # a null id has no remainder, so its row is neither learned from nor held out
+    model = language_id.fit(docs.where(~F.col("held_out")).select("text", "lang"))
+    found = language_id.predict(docs, model)
+    return found.select(
+        "doc_id",
+        F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred", "score", "ambiguous",
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, the base rules, and the verdict on repetition for every document."""
+    found = quality_rules.quality_rules(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_covered_words", "longest_repeat",
+    )
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op3_language_id": op3_language_id,
+        "op5_quality_rules": op5_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
