@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, quality_rules
+from . import exact_dedup, language_id, mixing, quality_rules, secret_scan, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +53,69 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
+
+
+OP7_SQL = """
+with p as (
+  select page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path
+  from pages
+), r as (
+  select *, split_part(rule, '/', 1) as r_host, substr(rule, strpos(rule, '/')) as r_path
+  from (values ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')) t(rule, v)
+), best as (
+  select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(v, length(rule)) as v
+  from p left join r on (host = r_host or suffix(host, '.' || r_host)) and starts_with(path, r_path)
+  group by page_id, host, path
+)
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from best
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    sized, pieces = mixing.mix_sources(_documents(spark, sf_dir))
+    taken = pieces.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(
+        F.sum("length").alias("taken"), F.count("*").alias("n_pieces"), F.countDistinct("shard").alias("n_shards")
+    )
+    return sized.join(taken, F.expr("doc_id <=> id and key = k"), "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"),
+    )
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, and all spans."""
+    import public_tokenizers
+
+    found = secret_scan.find_secrets(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
+        "op7_url_filters": op7_url_filters,
+        "op9_mixing": op9_mixing,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_url_filters": OP7_SQL}
