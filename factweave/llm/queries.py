@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, quality_rules, secret_scan, url_filters
+from . import exact_dedup, language_id, mixing, ngram_join, quality_rules, secret_scan, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under Jaccard 0.85 on sets of 4-word shingles."""
+    found = ngram_join.ngram_join(_documents(spark, sf_dir), k=4, threshold=(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 URL_RULES = (
     ("com/", "allow"),
     ("example.com/en/", "block"),
@@ -111,6 +117,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
+        "op6_ngram_join": op6_ngram_join,
         "op7_url_filters": op7_url_filters,
         "op9_mixing": op9_mixing,
         "op10_secret_scan": op10_secret_scan,
