@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, quality_rules, secret_scan, url_filters
+from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base rules, and the verdict on repetition for every document."""
     found = quality_rules.quality_rules(_documents(spark, sf_dir))
@@ -116,6 +123,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_language_id": op3_language_id,
+        "op4_packing": op4_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_ngram_join": op6_ngram_join,
         "op7_url_filters": op7_url_filters,
