@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, url_filters
+from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ from d
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing every repeated string of 200 bytes does to each document."""
+    found = suffix_dedup.repeated_spans(_documents(spark, sf_dir), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the rows outside the held-out quarter."""
     docs = _documents(spark, sf_dir).withColumn(
@@ -122,6 +128,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_language_id": op3_language_id,
         "op4_packing": op4_packing,
         "op5_quality_rules": op5_quality_rules,
