@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,14 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from best
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: which lines repeat, or nearly repeat, an earlier line of the corpus."""
+    lines, _ = line_dedup.line_dedup(_documents(spark, sf_dir))
+    return line_dedup.by_document(lines).select(
+        "doc_id", "n_lines", "n_removed", "n_chars_removed", F.concat_ws(",", F.transform("removed_lines", lambda x: x.cast("string"))).alias("removed_lines")
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     sized, pieces = mixing.mix_sources(_documents(spark, sf_dir))
@@ -134,6 +142,7 @@ def queries() -> dict:
         "op5_quality_rules": op5_quality_rules,
         "op6_ngram_join": op6_ngram_join,
         "op7_url_filters": op7_url_filters,
+        "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_secret_scan": op10_secret_scan,
     }
