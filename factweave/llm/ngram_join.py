@@ -8,10 +8,12 @@ filters; candidates are verified once per pair, and linked documents form compon
    size.  Two sets that reach the threshold share an n-gram within their prefixes.
 3. Postings of prefix n-grams that occur at least twice are grouped by n-gram.  In such a list
    the length filter, the positional filter (the n-gram taken as the first shared one) and the
-   suffix filter (sets are dealt to 64 cells by hash; the cell counts bound the symmetric
+   suffix filter (sets are dealt to 256 cells by hash; the cell counts bound the symmetric
    difference from below) leave hardly any pair that isn't linked.
-4. A list yields, for each class, its first surviving partner only: a forest, never all pairs.
-   Those pairs are verified on whole sets, and components are formed.  Then every surviving
+4. A list yields, for each class, its first surviving partner and the nearest by
+   cells, and over all lists a class
+   keeps three partners at most: never all pairs.  Those pairs are verified on whole sets, and
+   components are formed.  Then every surviving
    pair of a list whose classes are still in different components is verified too, so no link
    that could join two components is missed, and pairs inside a component need no check.
 
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, partitions
 from .words import U64, chunks, joined, mix, text_bytes, word_hashes, word_spans
 
-CELLS = 64
+CELLS = 256
 
 
-def ngram_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+def ngram_sets(texts: list[bytes], k: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each text, sorted, and the bounds of each text in them.
 
-    Fewer words than ``k`` count as one n-gram of all words; no words give an empty set."""
+    Fewer words than ``k`` count as one n-gram of all words; no words give an empty set.  With
+    ``rank``, a permutation of the hashes' leading bits, n-grams are sorted by that rank, then
+    hash; they come out with the rank in place of those bits, which names them as well."""
     data, starts = joined(texts)
     first, last, at = word_spans(data, starts)
     words = word_hashes(data, first, last)
@@ -43,39 +47,49 @@ def ngram_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     out_n = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     bounds = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(out_n, out=bounds[1:])
-    doc = np.repeat(np.arange(len(texts)), out_n)
-    begin = np.repeat(at[:-1], out_n) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], out_n)
-    width = np.minimum(np.repeat(n, out_n), k)
-    grams = width.astype(U64)
+    begin = np.repeat(at[:-1] - bounds[:-1], out_n) + np.arange(bounds[-1])
+    steps = mix(np.arange(11, 11 + k, dtype=U64)) | U64(1)
+    padded = np.append(words, np.zeros(k, dtype=U64))
+    rolled = np.zeros(len(words), dtype=U64)
     for j in range(k):
-        ok = width > j
-        step = mix(np.array([j + 11], dtype=U64))[0] | U64(1)
-        grams[ok] += mix(words[begin[ok] + j] * step + U64(j))
+        rolled += mix(padded[j : j + len(words)] * steps[j])
+    grams = rolled[begin] if len(begin) else np.zeros(0, dtype=U64)
+    for i in np.flatnonzero((n > 0) & (n < k)):  # all words of a short text
+        whole = mix(words[at[i] : at[i + 1]] * steps[: n[i]]).sum(dtype=U64)
+        grams[bounds[i]] = whole + U64(k - n[i])
     grams = mix(grams)
-    by = np.lexsort((grams, doc))
-    grams, doc = grams[by], doc[by]
+    if rank is not None:
+        shift = U64(64 - int(len(rank) - 1).bit_length())
+        grams = (rank[(grams >> shift).astype(np.int64)] << shift) | (grams & ((U64(1) << shift) - U64(1)))
     new = np.ones(len(grams), dtype=bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-    grams, doc = grams[new], doc[new]
-    return grams, np.searchsorted(doc, np.arange(len(texts) + 1))
-
-
-def _classes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        grams[lo:hi].sort()
+    new[1:] = grams[1:] != grams[:-1]
+    new[bounds[:-1][out_n > 0]] = True
+    total = np.zeros(len(grams) + 1, dtype=np.int64)
+    np.cumsum(new, out=total[1:])
+    return grams[new], total[bounds]
+
+
+def _classes(grams: np.ndarray, bounds: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit name of each set.  ``back`` undoes the ranks of ``ngram_sets``."""
+    if back is not None:
+        shift = U64(64 - int(len(back) - 1).bit_length())
+        grams = (back[(grams >> shift).astype(np.int64)] << shift) | (grams & ((U64(1) << shift) - U64(1)))
     n = np.diff(bounds)
     out = mix(n.astype(U64) + U64(77))
     full = np.flatnonzero(n)
     if len(full):
-        sums = np.add.reduceat(mix(grams ^ U64(0xA5A5A5A55A5A5A5A)) * (grams | U64(1)), bounds[:-1][full])
+        sums = np.add.reduceat(mix(grams ^ U64(0xA5A5A5A55A5A5A5A)), bounds[:-1][full])
         out[full] = mix(out[full] + sums)
     return out.view(np.int64)
 
 
 def _cells(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many n-grams of each set fall in each of 64 cells, at most 65535."""
+    """How many n-grams of each set fall in each cell, at most 255 (which keeps the bound valid)."""
     n = np.diff(bounds)
     at = np.repeat(np.arange(len(n)), n) * CELLS + (grams & U64(CELLS - 1)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=len(n) * CELLS), 65535).astype(np.uint16).reshape(-1, CELLS)
+    return np.minimum(np.bincount(at, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
 
 
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -87,17 +101,21 @@ def least_overlap(a, b, num: int, den: int):
     return (num * (a + b) + den + num - 1) // (den + num)
 
 
-def passes(a, b, i, j, cells_a, cells_b, num: int, den: int) -> np.ndarray:
-    """Length, positional and suffix filters on arrays of pairs."""
+def apart(a, b, i, j, cells_a, cells_b, num: int, den: int) -> np.ndarray:
+    """For arrays of pairs: -1 where the length, positional or suffix filter excludes a link,
+    else the least possible symmetric difference by cells, in thousandths of both sizes."""
+    a, b = np.broadcast_arrays(a, b)
     need = least_overlap(a, b, num, den)
     ok = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (1 + np.minimum(a - i - 1, b - j - 1) >= need)
+    out = np.full(len(ok), -1, dtype=np.int64)
     at = np.flatnonzero(ok)
     if len(at):
-        ca = cells_a[at] if cells_a.ndim == 2 and len(cells_a) == len(ok) else cells_a
-        apart = np.abs(ca.astype(np.int32) - cells_b[at].astype(np.int32)).sum(axis=1)
-        size = np.broadcast_to(a, ok.shape)[at] + np.broadcast_to(b, ok.shape)[at]
-        ok[at] = apart <= size - 2 * np.broadcast_to(need, ok.shape)[at]
-    return ok
+        ca = cells_a if cells_a.ndim == 1 else cells_a[at]
+        least = np.abs(ca.astype(np.int16) - cells_b[at]).sum(axis=1, dtype=np.int64)
+        size = a[at] + b[at]
+        fits = least <= size - 2 * need[at]
+        out[at[fits]] = 1000 * least[fits] // size[fits]
+    return out
 
 
 def _lists(batches, keys: int):
@@ -129,23 +147,23 @@ def _num(table: pa.Table, c: str) -> np.ndarray:
 
 
 def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
-    """Surviving pairs of each list: for each class the first partner, or with ``all_pairs``
-    every partner of another component (and, for a list dealt in two blocks, of the other)."""
+    """Surviving pairs (a, b, apart) of each list.  With ``all_pairs``, every pair of two
+    components, named once (and, for a list dealt in two blocks, across the blocks); else for
+    each class its first and its nearest partner, or in a long list the first alone."""
     keys = 3 if all_pairs else 2
     for table in _lists(batches, keys):
-        n, pos, cls = _num(table, "n"), _num(table, "pos"), _num(table, "cls")
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint16).reshape(-1, CELLS)
-        comp, side = (_num(table, "component"), _num(table, "side")) if all_pairs else (cls, np.zeros(len(cls), dtype=np.int64))
+        n, pos, cls = _num(table, "n").astype(np.int64), _num(table, "pos").astype(np.int64), _num(table, "cls")
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
+        comp, side = (_num(table, "component"), _num(table, "side")) if all_pairs else (cls, np.full(len(cls), 2))
         differs = np.zeros(len(n), dtype=bool)
         for c in range(keys):
             key = table.column(c).to_numpy()
             differs[1:] |= key[1:] != key[:-1]
         begin = np.append(0, np.flatnonzero(differs))
         size = np.diff(np.append(begin, len(n)))
-        out_a, out_b = [], []
-        # short lists together
+        out = []
         short = np.flatnonzero((size >= 2) & (size <= 24))
-        if len(short):
+        if len(short):  # short lists together
             m = size[short]
             combos = m * (m - 1) // 2
             total = int(combos.sum())
@@ -156,17 +174,20 @@ def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
             y -= (y * (y - 1) // 2 > within).astype(np.int64)
             x = within - y * (y - 1) // 2
             ax, ay = begin[short][lst] + x, begin[short][lst] + y
-            for lo in range(0, total, 200_000):
-                px, py = ax[lo : lo + 200_000], ay[lo : lo + 200_000]
+            for lo in range(0, total, 100_000):
+                px, py = ax[lo : lo + 100_000], ay[lo : lo + 100_000]
                 ok = (comp[px] != comp[py]) & ((side[px] != side[py]) | (side[px] == 2))
                 px, py = px[ok], py[ok]
-                ok = passes(n[px], n[py], pos[px], pos[py], cells[px], cells[py], num, den)
-                px, py = px[ok], py[ok]
-                if not all_pairs and len(py):
+                far = apart(n[px], n[py], pos[px], pos[py], cells[px], cells[py], num, den)
+                px, py, far = px[far >= 0], py[far >= 0], far[far >= 0]
+                if all_pairs:
+                    out.append((cls[px], cls[py], far))
+                elif len(py):
                     _, one = np.unique(py, return_index=True)  # pairs come by y, then x
-                    px, py = px[one], py[one]
-                out_a.append(cls[px])
-                out_b.append(cls[py])
+                    out.append((cls[px[one]], cls[py[one]], far[one]))
+                    by = np.lexsort((far, py))
+                    one = by[np.append(True, py[by][1:] != py[by][:-1])]
+                    out.append((cls[px[one]], cls[py[one]], far[one]))
         for g in np.flatnonzero(size > 24):
             lo, hi = begin[g], begin[g] + size[g]
             open_ = np.arange(lo + 1, hi)
@@ -174,17 +195,19 @@ def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
                 open_ = open_[open_ > x]
                 if not len(open_):
                     break
-                open_now = open_[(comp[open_] != comp[x]) & ((side[open_] != side[x]) | (side[x] == 2))] if all_pairs else open_
-                ok = passes(n[x], n[open_now], pos[x], pos[open_now], cells[x], cells[open_now], num, den)
-                out_a.append(np.full(int(ok.sum()), cls[x]))
-                out_b.append(cls[open_now[ok]])
+                now = open_[(comp[open_] != comp[x]) & ((side[open_] != side[x]) | (side[x] == 2))] if all_pairs else open_
+                far = apart(n[x], n[now], pos[x], pos[now], cells[x], cells[now], num, den)
+                ok = far >= 0
+                out.append((np.full(int(ok.sum()), cls[x]), cls[now[ok]], far[ok]))
                 if not all_pairs:
                     open_ = open_[~ok]
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if out:
+            a, b, far = (np.concatenate([o[i] for o in out]) for i in range(3))
+            if all_pairs:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            _, one = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(far[one].astype(np.int32))], names=["a", "b", "far"])
 
 
 def _verify(batches, num: int, den: int):
@@ -217,13 +240,14 @@ def ngram_join(
     star_rows: int = 2000,
     broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
-    """``(id, row_key, n_shingles, component_id)``, one row per input row.
+    """``(id, row_key, n_shingles, component_id, kept)``, one row per input row.
 
     Texts are lower-cased A-Z and cut into words at space and tab to carriage return.  Two
     documents are linked if the Jaccard similarity of their sets is at least ``threshold``;
     ``component_id`` is the smallest id that links lead to, the own one included.  A null,
     empty or wordless text has an empty set and links with nothing: its component is its own
     id.  Null ids are never the smallest; a component of null ids only has a null id.
+    ``kept`` marks the row of the smallest id of each component, and every row without words.
     ``row_key`` tells rows apart whose ids repeat.
     """
     num, den = threshold
@@ -262,25 +286,26 @@ def ngram_join(
     freq = np.zeros(n_buckets, dtype=np.int64)
     for r in described.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).collect():
         freq[r["bucket"]] = r["count"]
-    shared_freq = spark.sparkContext.broadcast(freq)  # n_buckets numbers
+    rarest = np.argsort(freq, kind="stable").astype(U64)  # bucket of each rank
+    rank = np.empty(n_buckets, dtype=U64)
+    rank[rarest.astype(np.int64)] = np.arange(n_buckets, dtype=U64)
+    shared_rank = spark.sparkContext.broadcast((rank, rarest))  # n_buckets numbers each
     classes = sets.where("n > 0").groupBy("cls").agg(
-        F.min("id").alias("least_id"), F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.min("cells").alias("cells")
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("least"), F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.min("cells").alias("cells")
     )
 
     # 2. postings of prefix n-grams, kept where at least two rows have the n-gram
     def postings(batches):
-        own = shared_freq.value
+        own, back = shared_rank.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                grams, bounds = ngram_sets(text_bytes(part, "text", lower=True), k)
+                grams, bounds = ngram_sets(text_bytes(part, "text", lower=True), k, own)
                 n = np.diff(bounds)
-                doc = np.repeat(np.arange(len(n)), n)
-                by = np.lexsort((grams, own[(grams >> U64(64 - freq_bits)).astype(np.int64)], doc))
                 pos = np.arange(len(grams)) - np.repeat(bounds[:-1], n)
                 keep = pos < np.repeat(prefix_length(n, num, den), n)
-                cls = np.repeat(_classes(grams, bounds), n)
+                cls = np.repeat(_classes(grams, bounds, back), n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[by][keep].view(np.int64)), pa.array(cls[keep]), pa.array(np.repeat(n, n)[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                    [pa.array(grams[keep].view(np.int64)), pa.array(cls[keep]), pa.array(np.repeat(n, n)[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
                     names=["gram", "cls", "n", "pos"],
                 )
 
@@ -301,9 +326,15 @@ def ngram_join(
         .repartition(partitions(spark), "gram", "block")
         .sortWithinPartitions("gram", "block", "n", "cls")
     )
-    pairs = materialize(
-        dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, False), "a long, b long").distinct(), "candidates"
+    # a class has partners in each of many lists; three of them are enough to join it
+    first = (
+        dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, False), "a long, b long, far int")
+        .groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min_by("a", F.struct("far", "a")).alias("near"))
+        .select(F.explode(F.array_distinct(F.array("lo", "hi", "near"))).alias("a"), "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
+    pairs = materialize(first, "candidates")
     links = _checked(source, classes, pairs, k, num, den, star_rows, broadcast_ids, "links-1")
     components = connected_components(links)
 
@@ -326,25 +357,27 @@ def ngram_join(
         .repartition(partitions(spark), "gram", "block", "block2")
         .sortWithinPartitions("gram", "block", "block2", "n", "cls")
     )
-    more = dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, True), "a long, b long").distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "candidates-2")
+    # a pair is in many lists: made distinct before it is compared with those checked already
+    more = materialize(dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, True), "a long, b long, far int").select("a", "b").distinct(), "candidates-2")
+    more = more.join(pairs, ["a", "b"], "left_anti")
     if more.limit(1).count():
         links2 = _checked(source, classes, more, k, num, den, star_rows, broadcast_ids, "links-2")
         if links2.limit(1).count():
             components = connected_components(links.unionByName(links2))
 
     # 5. ids
-    named = classes.select("cls", "least_id").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+    named = classes.select("cls", "least").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", F.col("cls"))
     )
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
+    least = named.groupBy("component").agg(F.min("least").alias("least_of_all"))
+    named = named.join(least, "component").select(F.col("cls").alias("join_cls"), "least_of_all")
     return (
         sets.withColumn("join_cls", F.when(F.col("n") > 0, F.col("cls")))
-        .join(named.withColumnRenamed("cls", "join_cls"), "join_cls", "left")
+        .join(named, "join_cls", "left")
         .select(
             F.col("id").alias(id_col), "row_key", F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+            F.when(F.col("n") > 0, F.col("least_of_all.id")).otherwise(F.col("id")).alias("component_id"),
+            F.when(F.col("n") > 0, F.col("least_of_all.row_key") == F.col("row_key")).otherwise(True).alias("kept"),
         )
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -31,15 +32,17 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POW = [np.ones(1, dtype=U64)]
+_BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+_POW: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    if len(_POW[0]) < n:
-        step = np.full(max(n, 4096), U64(0xD6E8FEB86659FD93), dtype=U64)
+def powers(base: int, n: int) -> np.ndarray:
+    have = _POW.get(base)
+    if have is None or len(have) < n:
+        step = np.full(1 << max(12, int(n).bit_length()), U64(base), dtype=U64)
         step[0] = 1
-        _POW[0] = np.multiply.accumulate(step)
-    return _POW[0][:n]
+        _POW[base] = have = np.multiply.accumulate(step)
+    return have[:n]
 
 
 def chunks(batch: pa.RecordBatch, text: str, max_bytes: int = 2_000_000):
@@ -47,7 +50,7 @@ def chunks(batch: pa.RecordBatch, text: str, max_bytes: int = 2_000_000):
     column = batch.column(batch.schema.get_field_index(text))
     if len(column) == 0:
         return
-    sizes = np.array([len(v) for v in views(column)], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(column):
@@ -81,13 +84,11 @@ def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     """A 64-bit hash of each word's bytes."""
     if not len(first):
         return np.zeros(0, dtype=U64)
-    n = last - first
-    total = int(n.sum())
-    offset = np.repeat(np.cumsum(n) - n, n)
-    place = np.arange(total, dtype=np.int64) - offset
-    at = place + np.repeat(first, n)
-    terms = BYTE[data[at]] * powers(int(n.max()))[place]
-    return mix(np.add.reduceat(terms, np.cumsum(n) - n) + n.astype(U64))
+    # differences of one running sum, shifted back to the start of each word
+    running = np.zeros(len(data) + 1, dtype=U64)
+    np.cumsum(BYTE[data] * powers(_BASE, len(data)), out=running[1:])
+    own = (running[last] - running[first]) * powers(_INVERSE, len(data))[first]
+    return mix(own + (last - first).astype(U64))
 
 
 def text_bytes(batch: pa.RecordBatch, text: str, lower: bool = False) -> list[bytes]:
