@@ -40,6 +40,17 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+ROW_KEY = "factweave_row_key"
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose key (a hash of id and text) is in ``kept(row_key)``; of rows
+    that repeat both id and text one stays.  Columns stay as they are."""
+    keyed = docs.withColumn(ROW_KEY, F.xxhash64(id_col, text_col))
+    wanted = kept.select(F.col("row_key").alias(ROW_KEY))
+    return keyed.join(wanted, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY, id_col]).select(*docs.columns)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of ``edges(a, b)``, as ``(node, component)``.
 

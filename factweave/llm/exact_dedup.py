@@ -30,7 +30,7 @@ def ascii_lower(column):
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
-    """``(id, keep_id, group_size, kept, n_bytes, n_blocks, text_sha256)``, one row per input row.
+    """``(id, keep_id, group_size, kept, n_bytes, n_blocks, text_sha256, row_key)``, one row per input row.
 
     Texts are equal when identical after lower-casing A-Z.  A null text counts as empty.  Of
     equal texts the row with the largest id stays; a null id is below all others; of repeated
@@ -40,6 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = partitions(spark)
     norm = docs.select(
         F.col(id_col).alias("id"),
+        F.xxhash64(id_col, text_col).alias("rh"),  # tells rows apart that repeat an id
         F.encode(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8").alias("body"),
     ).withColumn("n_bytes", F.octet_length("body").cast("long"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / block_bytes)).cast("int")
@@ -59,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # level 0: the text moves once
     rows = norm.select(
-        "id", "n_bytes", "n_blocks", F.xxhash64("body").alias("rh"), F.sha2("body", 256).alias("sha"),
+        "id", "n_bytes", "n_blocks", "rh", F.sha2("body", 256).alias("sha"),
         F.posexplode(blocks_of).alias("pos", "block"),
     ).withColumn("h", F.xxhash64("block"))
     rows = rows.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha")))
@@ -123,4 +124,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_bytes",
         "n_blocks",
         F.col("sha").alias("text_sha256"),
+        F.col("rh").alias("row_key"),
     )
