@@ -14,7 +14,10 @@ piece's rank among its length is counted in shards of the ids, so no length is e
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +30,51 @@ from .words import chunks, text_bytes
 _TOKENIZERS: dict = {}
 
 
-class WordTokenizer:
-    """Ids of whole texts by a vocabulary whose pre-tokenizer never crosses white space.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+_PLAIN_LETTERS = [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]
 
-    Each distinct word (between ASCII white space) is encoded once by the tokenizer and kept as
-    little-endian bytes; the memo is emptied at ``max_words``, which bounds memory only."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000) -> None:
-        import os
+class WordTokenizer(dict):
+    """Ids of whole texts by a lower-case vocabulary whose pre-tokenizer never crosses white
+    space and parts letters from what follows them.
+
+    A memo of the words between ASCII white space: each is encoded when first asked for and
+    kept as little-endian bytes; it is emptied at ``max_words``, which bounds memory only.
+    Plain words, which are lower-case Latin letters and perhaps a full stop or comma, need no
+    normalizer and go to the merges directly; all others go through the whole tokenizer."""
 
+    def __init__(self, path: str, max_words: int = 1_000_000) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.inner, self.memo, self.max_words = Tokenizer.from_file(path), {}, max_words
+        self.inner, self.max_words = Tokenizer.from_file(path), max_words
+        self.merge = self.inner.model.tokenize
+        split = self.inner.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: split(chr(c))[0][0] for c in _PLAIN_LETTERS}
+        if [x for x, _ in split("ab.")] != ["ab", split(".")[0][0]]:
+            raise ValueError("the vocabulary's pre-tokenizer doesn't part letters from stops")
+        self.stops = {x: self._ids(self.merge(split(x)[0][0])) if x else b"" for x in ("", ".", ",")}
+
+    @staticmethod
+    def _ids(tokens) -> bytes:
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def __missing__(self, raw: bytes) -> bytes:
+        if len(self) >= self.max_words:
+            self.clear()
+        word = raw.decode("utf-8", "replace")
+        plain = _PLAIN(word)
+        if plain is None:
+            ids = array("I", self.inner.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            ids = self._ids(self.merge(plain[1].translate(self.letters))) + self.stops[plain[2]]
+        self[raw] = ids
+        return ids
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        # the vocabulary is lower case; only its special tokens' strings must stay as they are
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        memo = self.memo
-        new = list(set().union(*split).difference(memo))
-        if new:
-            if len(memo) + len(new) > self.max_words:
-                memo.clear()
-                new = list(set().union(*split))
-            found = self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            memo.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+    def encode(self, text: bytes) -> bytes:
+        # only its special tokens' strings are more than their lower case to the vocabulary
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -134,12 +156,12 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, max_t
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = tokenizer(vocabulary)
+        encode = tokenizer(vocabulary).encode
         for batch in batches:
             for part in chunks(batch, text_col):
                 at, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encode(text_bytes(part, text_col))):
-                    ids += end
+                for i, text in enumerate(text_bytes(part, text_col)):
+                    ids = encode(text) + end
                     for p, lo in enumerate(range(0, len(ids), 4 * max_tokens)):
                         own = ids[lo : lo + 4 * max_tokens]
                         at.append(i)
