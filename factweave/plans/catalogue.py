@@ -1,14 +1,405 @@
-"""Every registered query of the reference's own operators, with its oracle SQL."""
+"""Every registered query of the page-consistency operators, with its oracle SQL.
+
+Inputs are relations built from the key columns of the driver's tables; an oracle works from
+the rule that built a value, not from the expression that reads it back.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factweave.functions import text as T
+from factweave.functions import urls as U
+from factweave.functions import values as V
+from factweave.operators import compare as C
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def _by_template(key: str, templates: list) -> F.Column:
+    out = F
+    for i, t in enumerate(templates):
+        out = out.when(F.col(key) % len(templates) == i, t)
+    return out
+
+
+def _money(c):
+    """A whole amount in Indian digit groups."""
+    return V.indian_grouping(c)
+
+
+# ---------------------------------------------------------------- values and text
+
+@query("""
+with p as (select p_partkey, cast(floor(p_retailprice) as bigint) * 100 + 7 as n, p_partkey % 8 as k from part)
+select p_partkey,
+       case k when 0 then 'NORMALIZED' when 1 then 'NORMALIZED' when 2 then 'NORMALIZED' when 3 then 'NORMALIZED'
+              when 4 then 'UNSUPPORTED_FORMAT' when 5 then 'AMBIGUOUS' when 6 then 'UNSUPPORTED_FORMAT' else 'AMBIGUOUS' end as status,
+       case when k < 4 then cast(n as double) end as amount,
+       case k when 0 then 'INR' when 1 then 'INR' when 2 then 'USD' when 3 then 'EUR' end as currency
+from p
+""")
+def normalize_currency(spark, sf_dir):
+    n = (F.floor("p_retailprice") * 100 + 7).cast("long")
+    s = n.cast("string")
+    indian = _money(n)
+    western = F.regexp_replace(s, r"(?<=\d)(?=(\d{3})+$)", ",")
+    text = _by_template("p_partkey", [
+        F.concat(F.lit("Fee: ₹"), indian), F.concat(F.lit("Rs. "), s), F.concat(F.lit("$"), western, F.lit(" in all")), F.concat(F.lit("EUR "), s),
+        F.concat(F.lit("₹"), F.substring(s, 1, 1), F.lit(",1,1,1")), F.concat(F.lit("$"), s, F.lit(" or $1")), F.concat(F.lit("about "), s),
+        F.concat(F.lit("£"), s, F.lit(" or €"), s),
+    ])
+    got = V.normalize_currency(text)
+    return read(spark, sf_dir, "part").select("p_partkey", got.alias("g")).select(
+        "p_partkey", "g.status", F.col("g.amount").cast("double").alias("amount"), "g.currency"
+    )
+
+
+@query("""
+with o as (select o_orderkey, o_orderkey % 7 as k, 1 + o_orderkey % 9 as n from orders)
+select o_orderkey,
+       case k when 3 then 'UNSUPPORTED_FORMAT' when 4 then 'AMBIGUOUS' when 5 then 'NORMALIZED' when 6 then 'NOT_FOUND' else 'NORMALIZED' end as status,
+       cast(case k when 0 then n * 12 when 1 then n when 2 then n * 6 when 5 then n * 12 end as double) as months
+from o
+""")
+def normalize_duration(spark, sf_dir):
+    n = (1 + F.col("o_orderkey") % 9).cast("string")
+    word = F.get(F.array(*[F.lit(w) for w in V.NUMBER_WORDS]), (F.col("o_orderkey") % 9).cast("int"))
+    text = _by_template("o_orderkey", [
+        F.concat(n, F.lit(" years")), F.concat(F.lit("Takes "), n, F.lit(" months")), F.concat(n, F.lit("-semester course")), F.concat(n, F.lit(" weeks")),
+        F.concat(n, F.lit(" years or 7 semesters")), F.concat(F.lit("A course of "), word, F.lit(" years")), F.lit("  "),
+    ])
+    text = F.coalesce(V.refine_duration(F.when(F.col("o_orderkey") % 7 == 5, text)), text)
+    return read(spark, sf_dir, "orders").select("o_orderkey", V.normalize_duration(text).alias("g")).select("o_orderkey", "g.status", "g.months")
+
+
+@query("""
+select p_partkey, lower(p_name) as plain,
+       lower(p_name) || case p_partkey % 5 when 3 then ' and more' else '' end as semantic
+from part
+""")
+def normalize_text_keys(spark, sf_dir):
+    name = F.col("p_name")
+    raw = _by_template("p_partkey", [
+        F.concat(F.lit("  • "), name), F.concat(name, F.lit(" (Optional)")), F.concat(name, F.lit(" Specialization ;")),
+        F.concat(F.lit("– "), name, F.lit(" &  more.")), F.concat(F.lit(" "), F.regexp_replace(name, " ", "   "), F.lit(" ELECTIVE")),
+    ])
+    raw = F.when(F.col("p_partkey") % 5 == 2, F.concat(name, F.lit(" Specialization"))).otherwise(raw)
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", T.comparison_key(F.concat(F.lit(" "), F.regexp_replace(name, " ", "\t "), F.lit("\n"))).alias("plain"), T.semantic_value(raw).alias("semantic")
+    )
+
+
+@query("""
+with c as (select c_nationkey, c_name, row_number() over (partition by c_nationkey order by c_custkey) as n, count(*) over (partition by c_nationkey) as k from customer)
+select c_nationkey, case when max(k) <= 3 then string_agg(c_name, ', ' order by n)
+       else string_agg(c_name, ', ' order by n) filter (n <= 3) || ', and ' || (max(k) - 3) || ' more' end as names,
+       left(string_agg(c_name, ' ' order by n), 99) as head
+from c group by c_nationkey
+""")
+def compact_display(spark, sf_dir):
+    names = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])
+    g = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(names.alias("names"))
+    short = T.truncate_value(F.array_join("names", " "), 100)
+    return g.select("c_nationkey", T.summarize_names("names").alias("names"), F.regexp_replace(short, "…$", "").alias("head"))
+
+
+@query("""
+with d as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)
+select doc_id, count(*) as n_lines, count(*) filter (i % 11 = 0 or i % 11 = 1) as n_noise from d group by doc_id
+""")
+def noise_filter(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    noisy = F.when(F.col("i") % 11 == 0, F.concat("line", F.lit(" | Read  more"))).when(F.col("i") % 11 == 1, F.concat(F.lit("Please log-in: "), "line")).otherwise(F.col("line"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_chrome(noisy)).alias("n_noise"))
+
+
+@query("""
+with d as (select doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) as t from documents),
+b as (select item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) as t from benchmark),
+ds as (select doc_id, list_distinct(list_transform(list_filter(t, lambda x: length(x) >= 8), lambda x: left(x, 5))) as s from d),
+bs as (select item_id, list_distinct(list_transform(list_filter(t, lambda x: length(x) >= 8), lambda x: left(x, 5))) as s from b)
+select item_id, doc_id, len(list_intersect(bs.s, ds.s)) as shared
+from bs, ds where len(bs.s) > 0 and 10 * len(list_intersect(bs.s, ds.s)) >= 6 * least(len(bs.s), len(ds.s)) and len(ds.s) > 0
+""")
+def stem_overlap_pairs(spark, sf_dir):
+    def stems(df, key):
+        long_ones = F.filter(T.tokens("text"), lambda x: F.length(x) >= 8)
+        return df.select(key, F.array_distinct(F.transform(long_ones, lambda x: F.left(x, F.lit(5)))).alias("s"))
+
+    b = stems(read(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.size("s").alias("nb"), F.explode("s").alias("stem"))
+    d = stems(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("s").alias("nd"), F.explode("s").alias("stem"))
+    shared = b.join(d, "stem").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") * 10 >= F.least("nb", "nd") * 6).select("item_id", "doc_id", "shared")
+
+
+# ---------------------------------------------------------------- urls and addresses
+
+_HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
+_PATH = r"regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+_QUERY = r"regexp_extract(url, '^[a-z]+://[^?#]*(\?[^#]*)?', 1)"
+
+
+@query(f"select page_id, lower({_HOST}) as host, lower({_HOST}) || {_PATH} || {_QUERY} as url_key, lower({_HOST}) || {_PATH} as page_key from pages")
+def url_keys(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return p.select("page_id", U.host("url").alias("host"), U.url_key("url").alias("url_key"), U.page_key("url").alias("page_key"))
+
+
+@query(f"""
+with p as (select page_id, lower({_HOST}) as host from pages), d as (select unnest(['example.com', 'example.net', 'ple.org']) as domain)
+select page_id, domain, (host = domain or suffix(host, '.' || domain)) as inside from p, d
+""")
+def domain_boundary(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").withColumn("domain", F.explode(F.array(F.lit("example.com"), F.lit("example.net"), F.lit("ple.org"))))
+    return p.select("page_id", "domain", U.within_domain("url", "domain").alias("inside"))
+
+
+@query(f"""
+with p as (select page_id, url, lower({_HOST}) || {_PATH} || {_QUERY} as k from pages)
+select k as url_key, min(page_id) as first_page, count(*) - 1 as n_duplicates from p group by k
+""")
+def url_dedupe_report(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", U.url_key("url").alias("url_key"))
+    return p.groupBy("url_key").agg(F.min("page_id").alias("first_page"), (F.count("*") - 1).alias("n_duplicates"))
+
+
+_NETS = ", ".join(f"({lo}, {hi})" for lo, hi in U.reserved_ranges())
+
+
+@query(f"""
+with c as (select c_custkey, (c_custkey * 7919) % 256 as a, (c_custkey * 31) % 256 as b, (c_custkey * 17) % 256 as c, c_custkey % 256 as d from customer),
+n as (select c_custkey, a * 16777216 + b * 65536 + c * 256 + d as ip from c), r(lo, hi) as (values {_NETS})
+select c_custkey, bool_or(ip between lo and hi) as blocked from n, r group by c_custkey
+""")
+def cidr_block(spark, sf_dir):
+    k = F.col("c_custkey")
+    ip = F.concat_ws(".", *[((k * m) % 256).cast("string") for m in (7919, 31, 17, 1)])
+    return read(spark, sf_dir, "customer").select("c_custkey", U.blocked_v4(ip).alias("blocked"))
+
+
+@query("""
+with e as (select vec_id, label, list_reduce(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), lambda a, b: a || b) as bits from embeddings),
+p as (select a.vec_id, b.vec_id as other_id, a.bits as x, b.bits as y from e a join e b on b.vec_id = a.vec_id + 1)
+select vec_id, other_id, round(1 - len(list_filter(range(1, 65), lambda i: x[i] <> y[i])) / 64.0, 6) as similarity from p
+""")
+def hash_similarity(spark, sf_dir):
+    bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    piece = lambda i: F.lpad(F.lower(F.conv(F.substring("bits", 1 + 4 * i, 4), 2, 16)), 1, "0")
+    e = read(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits")).select("vec_id", F.concat(*[piece(i) for i in range(16)]).alias("h"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other_id"), F.col("h").alias("h2"))
+    return e.join(other, "vec_id").select("vec_id", "other_id", F.round(U.hash_similarity("h", "h2"), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- comparing claims
+
+def _part_claims(spark, sf_dir):
+    """Master claims from ``part`` and target claims changed by rule: % 7 is gone, % 11 differs,
+    % 13 can't be read."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    fee = F.concat(F.lit("₹"), _money((F.floor("p_retailprice") * 10).cast("long")))
+    fields = lambda fee, months, mode: F.inline(F.array(
+        F.struct(F.lit("fees").alias("field_key"), F.lit(0).alias("idx"), fee.alias("raw_value")),
+        F.struct(F.lit("duration").alias("field_key"), F.lit(1).alias("idx"), months.alias("raw_value")),
+        F.struct(F.lit("mode").alias("field_key"), F.lit(2).alias("idx"), mode.alias("raw_value")),
+    ))
+    master = p.select("p_partkey", fields(fee, F.concat((F.col("p_size") * 12).cast("string"), F.lit(" months")), F.col("p_type")))
+    target = p.where(k % 7 != 0).select("p_partkey", fields(
+        F.when(k % 13 == 0, "on request").when(k % 11 == 0, F.concat(fee, F.lit(".5"))).otherwise(F.concat(F.lit("INR "), fee)),
+        F.concat((F.col("p_size") + F.when(k % 11 == 0, 1).otherwise(0)).cast("string"), F.lit(" years")),
+        F.upper(F.concat(F.lit(" "), F.col("p_type"))),
+    ))
+    return target, master
+
+
+_COMPARED = """
+with p as (select p_partkey, p_partkey as k, unnest(['fees', 'duration', 'mode']) as field_key from part)
+select p_partkey, field_key,
+       case when k % 7 = 0 then 'asset_missing'
+            when field_key = 'fees' and k % 13 = 0 then 'normalization_issue'
+            when field_key in ('fees', 'duration') and k % 11 = 0 then 'mismatch'
+            else 'match' end as status
+from p
+"""
+
+
+@query(_COMPARED)
+def compare_fields(spark, sf_dir):
+    target, master = _part_claims(spark, sf_dir)
+    return C.compare_fields(target, master, ["p_partkey"]).select("p_partkey", "field_key", "status")
+
+
+@query(f"""
+with r as (select p_partkey, field_key, case status when 'match' then 'MATCH' when 'normalization_issue' then 'NEEDS_REVIEW' else 'UNMATCH' end as status from ({_COMPARED}))
+select p_partkey, max(status) filter (field_key = 'fees') as fees, max(status) filter (field_key = 'duration') as duration, max(status) filter (field_key = 'mode') as mode
+from r group by p_partkey
+""")
+def overview_pivot(spark, sf_dir):
+    rows = compare_fields(spark, sf_dir).withColumn("status", C.report_status("status"))
+    wide = rows.groupBy("p_partkey").pivot("field_key", ["fees", "duration", "mode"]).agg(F.first("status"))
+    return wide.select("p_partkey", *[F.coalesce(c, F.lit("—")).alias(c) for c in ("fees", "duration", "mode")])
+
+
+@query(f"""
+select p_partkey, field_key, case status when 'match' then 'MATCH' when 'normalization_issue' then 'NEEDS_REVIEW' else 'UNMATCH' end as status,
+       case field_key when 'fees' then 1 when 'duration' then 2 else 3 end as position from ({_COMPARED})
+""")
+def field_details(spark, sf_dir):
+    position = F.when(F.col("field_key") == "fees", 1).when(F.col("field_key") == "duration", 2).otherwise(3)
+    return compare_fields(spark, sf_dir).select("p_partkey", "field_key", C.report_status("status").alias("status"), position.alias("position"))
+
+
+@query(f"""
+with r as (select p_partkey, case status when 'match' then 0 when 'normalization_issue' then 2 else 3 end as rank from ({_COMPARED}) where field_key = 'fees')
+select p_partkey, row_number() over (order by rank desc, p_partkey) as position from r
+""")
+def ranked_report(spark, sf_dir):
+    """The report sorted by status rank, then index, with the place of each row."""
+    rank = F.when(F.col("status") == "match", 0).when(F.col("status") == "normalization_issue", 2).otherwise(3)
+    rows = compare_fields(spark, sf_dir).where("field_key = 'fees'").select("p_partkey", rank.alias("rank"))
+    # the place is the rows of worse ranks plus the place within the rank: no global sort
+    worse = rows.groupBy("rank").agg(F.count("*").alias("n"))
+    base = worse.alias("a").join(F.broadcast(worse.alias("b")), F.expr("b.rank > a.rank"), "left").groupBy("a.rank").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    own = Window.partitionBy("rank").orderBy("p_partkey")
+    return rows.withColumn("n", F.row_number().over(own)).join(F.broadcast(base), "rank").select("p_partkey", (F.col("base") + F.col("n")).alias("position"))
+
+
+_SUB_FACTS = """
+select l_orderkey as k, l_linenumber as i, case when l_returnflag = 'R' then 'changed' when l_linenumber % 4 = 0 then 'target_missing'
+       when l_returnflag = 'A' and l_linenumber % 3 = 0 then 'needs_review' when l_linenumber % 7 = 6 then 'master_missing' else 'match' end as s from lineitem
+"""
+
+
+def _sub_facts(spark, sf_dir):
+    i, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    status = (
+        F.when(flag == "R", "changed").when(i % 4 == 0, "target_missing").when((flag == "A") & (i % 3 == 0), "needs_review")
+        .when(i % 7 == 6, "master_missing").otherwise("match")
+    )
+    text = lambda c: F.col(c).cast("string")
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", i.alias("idx"), F.concat(F.lit("Item "), text("l_linenumber")).alias("name"), status.alias("status"),
+        text("l_partkey").alias("master_value"), text("l_suppkey").alias("target_value"), F.lit(None).cast("string").alias("note"),
+    )
+
+
+@query(f"""
+with g as (select k, count(*) filter (s = 'match') as m, count(*) filter (s = 'changed') as c, count(*) filter (s = 'target_missing') as t,
+           count(*) filter (s = 'needs_review') as r from ({_SUB_FACTS}) group by k)
+select k as l_orderkey, m as n_match, c as n_changed, t as n_target_missing, r as n_review,
+       case when c > 0 then 'changed' when t > 0 and m > 0 then 'partial_match' when t > 0 then 'target_missing'
+            when r > 0 and m > 0 then 'partial_match' when r > 0 then 'needs_review' else 'match' end as status
+from g
+""")
+def aggregate_sub_facts(spark, sf_dir):
+    g = C.aggregate_sub_facts(_sub_facts(spark, sf_dir), ["l_orderkey"])
+    return g.select("l_orderkey", "n_match", "n_changed", "n_target_missing", "n_review", "status")
+
+
+@query(f"""
+with g as (select k, o_custkey, count(*) filter (s = 'match') as m, count(*) filter (s = 'changed') as c, count(*) filter (s = 'target_missing') as t,
+           count(*) filter (s = 'needs_review') as r from ({_SUB_FACTS}) join orders on k = o_orderkey group by k, o_custkey),
+x as (select o_custkey, case when c > 0 then 'UNMATCH' when t > 0 and m > 0 then 'PARTIAL' when t > 0 then 'UNMATCH'
+            when r > 0 and m > 0 then 'PARTIAL' when r > 0 then 'NEEDS_REVIEW' else 'MATCH' end as s from g)
+select o_custkey, count(*) filter (s = 'MATCH') as n_match, count(*) filter (s = 'PARTIAL') as n_partial, count(*) filter (s = 'UNMATCH') as n_unmatch,
+       count(*) filter (s = 'NEEDS_REVIEW') as n_needs_review, case when bool_or(s <> 'MATCH') then 'changes_found' else 'verified_match' end as overall_status
+from x group by o_custkey
+""")
+def report_summary(spark, sf_dir):
+    rows = aggregate_sub_facts(spark, sf_dir).withColumn("status", C.report_status("status"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return C.report_summary(rows.join(orders, "l_orderkey"), ["o_custkey"])
+
+
+@query("""
+with l as (
+  select l_orderkey, (l_linenumber * 1000000 + l_partkey) * 1000000 + cast(floor(l_extendedprice) as bigint) as i, l_linenumber % 4 as k, cast(floor(l_extendedprice) as bigint) as n, l_linestatus = 'F' as d from lineitem
+), c as (
+  select l_orderkey, i, n, case k when 0 then 'Semester Fee' when 1 then 'Annual/Yearly Fee' when 2 then 'Application Fee' else 'Monthly EMI' end
+         || case when d and k < 2 then ' (After Discount)' else '' end as component
+  from l where not (d and k >= 2)
+)
+select l_orderkey, component, arg_min(n, i) as amount from c group by l_orderkey, component
+""")
+def fee_slot_selection(spark, sf_dir):
+    i = F.col("l_linenumber")
+    label = F.get(F.array(*[F.lit(x) for x in ("Semester fee", "Annual fee", "Application fee", "EMI per month")]), (i % 4).cast("int"))
+    raw = F.concat(label, F.when(F.col("l_linestatus") == "F", " (discounted)").otherwise(""), F.lit(": ₹"), _money(F.floor("l_extendedprice").cast("long")))
+    idx = (i * 1_000_000 + F.col("l_partkey")) * 1_000_000 + F.floor("l_extendedprice").cast("long")
+    pool = read(spark, sf_dir, "lineitem").select("l_orderkey", idx.alias("idx"), raw.alias("raw_value"))
+    return C.fee_slots(pool, ["l_orderkey"]).select("l_orderkey", "component", F.col("amount").cast("long").alias("amount"))
+
+
+_BRANDS = """
+with b as (select o_custkey, p_brand, o_orderdate < timestamp '1995-06-01' as early, min((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) as idx
+           from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all),
+m as (select o_custkey, p_brand, idx from b where early), t as (select o_custkey, p_brand, idx from b where not early),
+j as (select coalesce(m.o_custkey, t.o_custkey) as o_custkey, lower(coalesce(m.p_brand, t.p_brand)) as item, m.idx as mi, t.idx as ti
+      from m full join t on m.o_custkey = t.o_custkey and m.p_brand = t.p_brand)
+"""
+
+
+@query(_BRANDS + """
+select o_custkey, item, case when mi is null then 'added' when ti is null then 'removed' else 'match' end as status,
+       row_number() over (partition by o_custkey order by mi is null, mi, ti) as position from j
+""")
+def list_diff(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    rows = li.join(o, "l_orderkey").join(p, "l_partkey").select(
+        "o_custkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("idx"), F.concat(F.lit(" "), "p_brand", F.lit("  ")).alias("value"),
+        (F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp")).alias("early"),
+    )
+    diff = C.list_diff(rows.where("not early").drop("early"), rows.where("early").drop("early"), ["o_custkey"])
+    return diff.select("o_custkey", "item", "status", "position")
+
+
+def _sentences(spark, sf_dir):
+    """Master items: sentences of ``benchmark``; target items: those of even ids, and the odd
+    ones' first half only; grouped by item."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.\n]+\s*")).alias("idx", "value"))
+    b = b.where(F.size(F.array_distinct(T.tokens("value"))) >= 4)
+    half = F.array_join(F.slice(F.split("value", " "), F.lit(1), F.greatest(F.lit(1), F.floor(F.size(F.split("value", " ")) * 3 / 4).cast("int"))), " ")
+    target = b.withColumn("value", F.when(F.col("idx") % 2 == 0, F.upper("value")).otherwise(half)).where(F.col("idx") % 3 != 2)
+    return b, target
+
+
+@query()
+def set_diff_master_first(spark, sf_dir):
+    master, target = _sentences(spark, sf_dir)
+    return C.set_diff(master, target, ["item_id"]).select("item_id", "idx", "value", "target_value", "status")
+
+
+@query()
+def greedy_near_pairs(spark, sf_dir):
+    master, target = _sentences(spark, sf_dir)
+    return C.greedy_pairs(master, target, ["item_id"])
+
