@@ -185,7 +185,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum("length").alias("mix_words"), F.max("size").alias("mix_size")
     )
     keyed = docs.withColumn("mix_text_key", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)))
-    cut = F.expr(f"regexp_extract(`{text_col}`, concat('(?s)^(?:[ \\\\x09-\\\\x0D]*[^ \\\\x09-\\\\x0D]+){{', mix_words, '}}'), 0)")
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)  # words with the blanks before
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("mix_words").cast("int")), "")
     return (
         keyed.join(taken, F.expr(f"`{id_col}` <=> mix_id and mix_text_key = mix_key"))
         .withColumn(text_col, F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(F.col(text_col)))
