@@ -15,6 +15,12 @@ from factweave.functions import text as T
 from factweave.functions import urls as U
 from factweave.functions import values as V
 from factweave.operators import compare as C
+from factweave.operators import resolve as R
+from factweave.operators import understand as U2
+from factweave.operators import windows as W
+from factweave.sources import crawl as S
+from factweave.sources import html as H
+from factweave.streaming import monitor as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -403,3 +409,287 @@ def greedy_near_pairs(spark, sf_dir):
     master, target = _sentences(spark, sf_dir)
     return C.greedy_pairs(master, target, ["item_id"])
 
+
+
+# ---------------------------------------------------------------- order-dependent operators
+
+@query("""
+select user_id, event_type, min(event_id) as first_event, count(*) - 1 as n_duplicates from events group by user_id, event_type
+""")
+def first_per_group(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("idx"))
+    return W.keep_first(e, ["user_id", "event_type"]).select("user_id", "event_type", F.col("idx").alias("first_event"), "n_duplicates")
+
+
+@query("""
+select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as heading_context
+from conversations
+""")
+def heading_context(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").withColumnRenamed("turn", "idx")
+    return W.heading_context(c, ["conv_id"], F.col("role") == "user", "text").select("conv_id", F.col("idx").alias("turn"), "heading_context")
+
+
+@query("""
+with o as (select o_orderkey // 8 as page, o_orderkey % 8 as idx, cast(floor(o_totalprice) as bigint) as n from orders),
+f as (select *, case idx when 0 then 'L' when 3 then 'L' when 6 then 'B' else 'V' end as k,
+             case when idx < 3 then 0 when idx < 6 then 3 else 6 end as island from o),
+l as (select page, island, bool_or(k = 'L') as labelled, bool_or(k = 'V' and n % 2 = 0) and bool_or(k = 'V' and n % 2 = 1) as mixed from f group by page, island)
+select f.page, f.idx, 'Fee ' || chr(97 + cast(f.island as int)) || ': ' || n || ' INR' as text,
+       case when mixed then case when n % 2 = 0 then 'original' else 'discounted' end end as fee_role
+from f join l on f.page = l.page and f.island = l.island where k = 'V' and labelled
+""")
+def label_value_pairs(spark, sf_dir):
+    """Eight blocks a page: two labels with values after them, and a sentence with one."""
+    n = F.floor("o_totalprice").cast("long")
+    idx = F.col("o_orderkey") % 8
+    text = F.when(idx == 0, "Fee a").when(idx == 3, "Fee d").when(idx == 6, "Something of more than just six words here").otherwise(F.concat(n.cast("string"), F.lit(" INR")))
+    blocks = read(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / 8).cast("long").alias("page"), idx.alias("idx"), F.lit("Fees").alias("heading_context"), text.alias("text"), ((n % 2 == 0) & ~idx.isin(0, 3, 6)).alias("struck")
+    )
+    return W.label_value_pairs(blocks, ["page"]).select("page", "idx", "text", "fee_role")
+
+
+@query("""
+with e as (select user_id, event_id, event_type = 'click' as m, row_number() over (partition by user_id order by event_id) as n from events),
+i as (select user_id, event_id, n - row_number() over (partition by user_id order by event_id) as island from e where m),
+c as (select user_id, event_id, count(*) over (partition by user_id, island) as run_size from i)
+select user_id, event_id, run_size from c where run_size >= 2
+""")
+def header_runs(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("idx"), "event_type")
+    return W.runs(e, ["user_id"], F.col("event_type") == "click").select("user_id", F.col("idx").alias("event_id"), "run_size")
+
+
+@query("""
+with e as (select user_id, event_id, case event_type when 'signup' then 'open' when 'error' then 'close' end as ev from events),
+s as (select *, last_value(ev ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as st from e)
+select user_id, event_id from s where ev is null and coalesce(st, 'close') = 'close'
+""")
+def elective_state_filter(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("idx"), "event_type")
+    kept = W.state_filter(e, ["user_id"], F.col("event_type") == "signup", F.col("event_type") == "error")
+    return kept.select("user_id", F.col("idx").alias("event_id"))
+
+
+@query()
+def skip_level_fold(spark, sf_dir):
+    """Headings of every conversation outside sections that a level-2 system turn opens."""
+    c = read(spark, sf_dir, "conversations")
+    heads = F.array_sort(F.collect_list(F.struct(F.col("turn").alias("idx"), (F.col("turn") % 4 + 1).cast("int").alias("level"), F.col("role").alias("text"))))
+    kept = W.skip_levels(F.col("h"), lambda h: (h["level"] == 2) & (h["text"] == "assistant"))
+    return c.groupBy("conv_id").agg(heads.alias("h")).select("conv_id", F.size("h").alias("n_headings"), F.concat_ws(",", F.transform(kept, lambda h: h["idx"].cast("string"))).alias("kept"))
+
+
+@query("""
+select user_id, arg_max(event_id, struct_pack(t := ts, i := event_id)) as event_id, arg_max(event_type, struct_pack(t := ts, i := event_id)) as event_type from events group by user_id
+""")
+def latest_snapshot(spark, sf_dir):
+    return W.latest(read(spark, sf_dir, "events"), ["user_id"], ["event_id", "event_type"], ["ts", "event_id"])
+
+
+@query("""
+select event_id, cast(json_extract(props, '$.k') as bigint) as k, json_extract(props, '$.k') is not null as has_k from events
+""")
+def json_props(spark, sf_dir):
+    v = F.try_parse_json("props")
+    k = F.try_variant_get(v, "$.k", "bigint")
+    return read(spark, sf_dir, "events").select("event_id", k.alias("k"), k.isNotNull().alias("has_k"))
+
+
+# ---------------------------------------------------------------- pages: parse, score, select
+
+_PAGES = r"""
+p as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) as host, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) as lang from pages),
+"""
+
+
+@query(r"""
+select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) <> '' as has_title,
+       len(regexp_extract_all(html, '<h1[ >]')) as n_h1, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) as n_nav_links
+from pages
+""")
+def page_head_extract(spark, sf_dir):
+    p = H.parse_pages(read(spark, sf_dir, "pages"))
+    level = lambda n: F.size(F.filter("headings", lambda h: h["level"] == n))
+    nav = F.size(F.filter("links", lambda x: x["link_type"] == "navigation"))
+    return p.select("page_id", F.col("title").isNotNull().alias("has_title"), level(1).alias("n_h1"), nav.alias("n_nav_links"))
+
+
+@query()
+def page_parse_full(spark, sf_dir):
+    p = H.parse_pages(read(spark, sf_dir, "pages"))
+    return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.size("blocks").alias("n_blocks"), F.size("links").alias("n_links"), F.size("tables").alias("n_tables"), "footer_text", "ok")
+
+
+def _identities(spark, sf_dir):
+    """Pages as identities: language as degree, host as institution, last path part as program."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    return p.select(
+        "page_id", "url", U.host("url").alias("institution"), F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]+)", 1).alias("degree"),
+        F.concat(F.lit("group"), (F.col("page_id") % 5).cast("string")).alias("program"), F.when(F.col("page_id") % 3 == 0, "ug").otherwise("pg").alias("page_type"),
+    )
+
+
+def _scored(spark, sf_dir):
+    """Each page against the others of its host, joined on the host rather than crossed."""
+    p = _identities(spark, sf_dir)
+    side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in p.columns])
+    pairs = side("t").join(side("c"), F.col("t_institution") == F.col("c_institution")).where("t_page_id <> c_page_id")
+    none = F.lit(None).cast("string")
+    pairs = pairs.withColumn("t_brand", none).withColumn("c_brand", none).withColumn("c_title", F.concat(F.lit("Page "), "c_program")).withColumn("c_headings", F.array("c_degree"))
+    return R.score(pairs)
+
+
+_SCORES = "with " + _PAGES + r"""
+i as (select page_id, host, lang, 'group' || page_id % 5 as program, case when page_id % 3 = 0 then 'ug' else 'pg' end as pt, url,
+             list_filter(string_split(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) as words,
+             list_filter(string_split(regexp_replace(lower(host), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) as hw from p),
+s as (select t.page_id as t_page_id, c.page_id as c_page_id,
+  (case when t.lang = c.lang and t.lang <> '' then 60 else 0 end) + (case when t.program = c.program then 25 else 0 end) + 15
+  + (case when t.program = c.program or list_contains(t.hw, 'page') then 10 else 0 end)
+  + (case when list_has_any(c.words, list_concat(t.hw, [t.program])) then 15 else 0 end)
+  + (case when t.pt = c.pt then 5 else 0 end) as score
+  from i t join i c on t.host = c.host and t.page_id <> c.page_id)
+"""
+
+
+@query(_SCORES + "select t_page_id, c_page_id, score from s")
+def score_candidates(spark, sf_dir):
+    return _scored(spark, sf_dir).select("t_page_id", "c_page_id", "score")
+
+
+@query(_SCORES + """
+, w as (select t_page_id, c_page_id, score, row_number() over (partition by t_page_id order by score desc, c_page_id) as n,
+        max(score) over (partition by t_page_id) as top, lead(score) over (partition by t_page_id order by score desc, c_page_id) as second from s)
+select t_page_id, top as top_score, case when top >= 40 and (second is null or top - second >= 15) then c_page_id end as selected,
+       case when top >= 40 and (second is null or top - second >= 15) then case when top >= 70 then 'high' else 'medium' end end as confidence,
+       case when top < 40 then 'authoritative_page_not_found' when second is not null and top - second < 15 then 'ambiguous_candidates' end as failure_reason
+from w where n = 1
+""")
+def select_page(spark, sf_dir):
+    scored = _scored(spark, sf_dir).select("t_page_id", "c_page_id", "score")
+    return R.select_page(scored, "t_page_id", "c_page_id", "c_page_id")
+
+
+@query(_SCORES + """
+select t_page_id, c_page_id, rank from (select *, row_number() over (partition by t_page_id order by score desc, c_page_id) as rank from s) where rank <= 5
+""")
+def topk_evidence(spark, sf_dir):
+    scored = _scored(spark, sf_dir).select("t_page_id", "c_page_id", "score")
+    return W.top_k(scored, ["t_page_id"], [F.desc("score"), "c_page_id"]).select("t_page_id", "c_page_id", "rank")
+
+
+@query("""
+with b as (select item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) as t from benchmark),
+x as (select a.item_id as t_id, c.item_id as c_id, list_filter(a.t, lambda w: w not in ('the', 'and', 'for', 'with', 'from', 'that')) as ts, c.t as cs from b a join b c on c.item_id in (a.item_id + 1, a.item_id + 2)),
+y as (select t_id, c_id, len(list_intersect(ts, cs)) as shared, len(ts) as n from x)
+select t_id, c_id, shared, n = 0 or shared >= 9 as passed from y
+""")
+def subject_gate(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark")
+    subject = b.select(F.col("item_id").alias("t_id"), R.subject_tokens("text", F.lit("that")).alias("ts"), F.explode(F.array(F.col("item_id") + 1, F.col("item_id") + 2)).alias("c_id"))
+    cand = b.select(F.col("item_id").alias("c_id"), F.array_distinct(T.tokens("text")).alias("cs"))
+    return subject.join(cand, "c_id").select("t_id", "c_id", F.size(F.array_intersect("ts", "cs")).alias("shared"), R.program_gate(F.col("ts"), F.col("cs"), 9).alias("passed"))
+
+
+@query("""
+with s as (select s_suppkey, s_nationkey, case s_suppkey % 4 when 0 then n_name when 1 then 'Republic of ' || n_name when 2 then 'Shared Brand' end as name,
+                  case when s_suppkey % 4 in (0, 1) then n_nationkey end as id from supplier join nation on s_nationkey = n_nationkey),
+p as (select a.s_suppkey, b.s_suppkey as other, a.name as x, b.name as y, a.id as xi, b.id as yi from s a join s b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey)
+select s_suppkey, other, case when x is null or y is null then 'inconclusive' when x = y then case when x = 'Shared Brand' then 'inconclusive' else 'agree' end
+       when xi is null or yi is null then 'inconclusive' when xi = yi then 'agree' else 'conflict' end as verdict
+from p
+""")
+def institution_verdicts(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    s = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = s.select(
+        "s_suppkey", "s_nationkey", F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lit("republic  of "), "n_name")).when(k == 2, "Shared Brand").alias("name"),
+        F.when(k < 2, F.col("n_nationkey")).alias("id"),
+    )
+    a, b = s.alias("a"), s.alias("b")
+    pairs = a.join(b, F.expr("a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey"))
+    verdict = R.registry_verdict(F.col("a.name"), F.col("b.name"), F.col("a.id"), F.col("b.id"), F.col("a.name") == "Shared Brand")
+    return pairs.select(F.col("a.s_suppkey").alias("s_suppkey"), F.col("b.s_suppkey").alias("other"), verdict.alias("verdict"))
+
+
+@query(r"""
+with p as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from pages),
+r(kind, rule) as (values ('disallow', '/en/'), ('allow', '/en/1'), ('disallow', '/de/2'), ('allow', '/de/2'), ('disallow', '/fr/33'), ('allow', '/')),
+b as (select page_id, path, coalesce(max(length(rule)) filter (kind = 'allow'), -1) as a, max(length(rule)) filter (kind = 'disallow') as d from p left join r on starts_with(path, rule) group by page_id, path)
+select page_id, path, d is null or a > d as allowed from b
+""")
+def robots_decision(spark, sf_dir):
+    text = "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /de/2 # twice\nAllow: /de/2\nDisallow: /fr/33\nAllow: /\nDisallow:\n"
+    rules = S.parse_robots(spark.createDataFrame([(1, text)], "site int, body string"), "site", "body")
+    pages = read(spark, sf_dir, "pages").select("page_id", U.path("url").alias("path"))
+    return S.robots_allowed(pages, rules, ["page_id"], "path").select("page_id", "path", "allowed")
+
+
+@query("""
+with d as (select doc_id, doc_id % 6 as k from documents)
+select doc_id, case k when 0 then 'FEES' when 1 then 'ACCREDITATION' when 2 then 'OTHER' when 3 then 'ELIGIBILITY' when 4 then 'SPECIALIZATION' else 'OTHER' end as category,
+       case k when 0 then 'HIGH' when 1 then 'MEDIUM' when 2 then 'LOW' when 3 then 'HIGH' when 4 then 'MEDIUM' else 'LOW' end as confidence
+from d
+""")
+def section_classify(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    words = F.slice(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]+", "")), " +"), 1, 3)
+    heading = F.when(k == 0, "Fees and payment").when(k == 2, "Related articles about fees").when(k == 3, "Eligibility criteria").when(k == 4, "Choose yours").otherwise("Zzz qqq")
+    paragraphs = F.when(k == 1, F.array(F.lit("NAAC and UGC stand behind it"))).otherwise(F.array(F.array_join(F.transform(words, lambda w: F.concat(F.lit("zz"), w)), " ")))
+    items = F.when(k == 4, F.array(F.lit("Data Science"), F.lit("Human Resources"), F.lit("Marketing"))).otherwise(F.array().cast("array<string>"))
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id", heading.alias("heading"), paragraphs.alias("paragraphs"), items.alias("items"), F.array().cast("array<string>").alias("headers")
+    )
+    return U2.classify_sections(rows, "heading", "paragraphs", "items", "headers").select("doc_id", "category", "confidence")
+
+
+@query(r"""
+with w as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) as s from documents where lang = 'en'),
+x as (select doc_id, lower(s) as word from w where length(s) >= 3 and not regexp_matches(s, '^[A-Z]{2,}$')),
+k as (select word from x group by word having count(distinct doc_id) >= 3)
+select doc_id, word, count(*) as n from x where word not in (select word from k) group by doc_id, word
+""")
+def spell_check(spark, sf_dir):
+    """Words that fewer than three English documents have are unknown."""
+    d = read(spark, sf_dir, "documents").where("lang = 'en'")
+    none = spark.createDataFrame([], "word string")
+    words = U2.spell_check(d, "doc_id", "text", none)
+    known = words.groupBy("word").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3").select("word")
+    return U2.spell_check(d, "doc_id", "text", known).select("doc_id", "word", "n")
+
+
+@query()
+def page_understanding(spark, sf_dir):
+    """Degree, page type, institution and claims of every page through the whole parse."""
+    p = H.parse_pages(read(spark, sf_dir, "pages"))
+    texts = U2.search_texts(p)
+    p = p.withColumn("texts", texts).withColumn("degree", U2.degree_match(F.col("texts")))
+    none = F.lit(None).cast("string")
+    return p.select(
+        "page_id", F.col("degree.degree").alias("degree"), U2.page_type(F.col("texts"), F.col("degree")).alias("page_type"),
+        U2.institution_match(F.col("title"), F.try_element_at("open_graph", F.lit("og:site_name")), none, U2.footer_name("footer_text"))["institution"].alias("institution"),
+    )
+
+
+@query(r"""
+with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) as host, lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) as t,
+                  len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) as n from pages),
+m as (select host, min(page_id) as m_id from h group by host)
+select h.page_id, m.m_id as master_id, case when h.n = g.n then 'match' else 'mismatch' end as nav_status
+from h join m using (host) join h g on g.page_id = m.m_id where h.page_id <> m.m_id
+""")
+def page_report(spark, sf_dir):
+    """Every page against the first page of its host, field by field; parsed once."""
+    p = H.parse_pages(read(spark, sf_dir, "pages")).select("page_id", U.host("url").alias("host"), "links")
+    p = p.select("page_id", "host", F.size(F.filter("links", lambda x: x["link_type"] == "navigation")).alias("n"))
+    first = p.groupBy("host").agg(F.min(F.struct("page_id", "n")).alias("m"))
+    both = p.join(first, "host").where(F.col("page_id") != F.col("m.page_id"))
+    return both.select("page_id", F.col("m.page_id").alias("master_id"), F.when(F.col("n") == F.col("m.n"), "match").otherwise("mismatch").alias("nav_status"))
+
+
+@query()
+def monitor_stream(spark, sf_dir):
+    """An extension: new events of the log, once per user, type and value, within a watermark."""
+    return M.monitor(spark, f"{sf_dir}/events.parquet")
