@@ -125,7 +125,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", n_bins
     codes = codewords(len(languages))
     n_bits = codes.shape[1] if languages else 1
     if len(languages) < 2:
-        return LanguageModel(languages, codes.reshape(len(languages), -1), np.zeros((n_bins, 1), dtype=np.float32), np.zeros(1), np.ones(1), np.ones(1))
+        return LanguageModel(languages, np.ones((len(languages), 1), dtype=np.int8), np.zeros((n_bins, 1), dtype=np.float32), np.zeros(1), np.ones(1), np.ones(1))
     share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))  # each language counts alike
     weights = np.empty((n_bins, n_bits), dtype=np.float32)
     for b in range(n_bits):

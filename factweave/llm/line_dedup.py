@@ -5,40 +5,51 @@ threshold share a word within their prefixes, so prefixes are joined on their wo
 positional and bitmap filters are part of the join condition; what is left is verified on
 whole lines, and a line is removed if it repeats an earlier one or is similar to one.
 
-Scale: equal lines form a class first (partial sums, so common lines never pile up), and only
-classes are joined.  Rarity comes from word counts in ``1 << freq_bits`` hash buckets, a table
+Scale: equal lines form a class first (partial sums, so common lines never pile up); a line
+that makes up more than 1/(4 P) of all, of which there are at most 4 P, is taken once, and
+postings are made distinct before they are joined.  Rarity comes from word counts in ``1 << freq_bits`` hash buckets, a table
 of fixed size that reaches the rows as a scalar; any order gives the same pairs, a good one
-keeps lists short.  The lines' text is shuffled once and that exchange is read again to verify.
+keeps lists short.  No text is shuffled but that of candidate lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLANKS = r"[ \x09-\x0D]+"
+from .common import materialize, partitions
+
+BLANKS = r"[\x09-\x0D]"
+
+
+def _split(line):
+    """Parts between single spaces, after other blanks became spaces; some may be empty."""
+    return F.split(F.when(line.rlike(BLANKS), F.regexp_replace(line, BLANKS, " ")).otherwise(line), " ")
 
 
 def _words(line):
-    return F.filter(F.split(line, BLANKS), lambda w: w != "")
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
-def word_counts(docs: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """One row with an array: how many words of all texts fall in each hash bucket."""
+def rarity_keys(docs: DataFrame, text_col: str, bits: int) -> DataFrame:
+    """One row with an array: for each hash bucket, how many words of all texts fall in it, as
+    thirds of powers of two in the leading bits of a number."""
     spark = docs.sparkSession
     n = 1 << bits
     found = (
-        docs.select(F.explode(F.split(text_col, BLANKS)).alias("w"))
+        docs.select(F.explode(_split(F.col(text_col))).alias("w"))
         .groupBy((F.xxhash64("w").bitwiseAND(F.lit(n - 1))).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
     every = spark.range(n).withColumnRenamed("id", "bucket").join(found, "bucket", "left")
-    pairs = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("n", F.lit(0)).alias("n"))))
-    return every.agg(F.transform(pairs, lambda x: x["n"]).alias("counts"))
+    # below 128 for any count
+    level = F.floor(F.log2(F.coalesce("n", F.lit(0)) + F.lit(1)) * 3).cast("long") * F.lit(1 << 56)
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda x: x["level"]).alias("levels"))
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), freq_bits: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), freq_bits: int = 16,
+    broadcast_ids: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``(lines, links)``.
 
@@ -54,79 +65,120 @@ def line_dedup(
     told apart by nothing, so the lines of the second repeat those of the first.
     """
     num, den = threshold
+    spark = docs.sparkSession
+    parts = partitions(spark)
     source = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     lines = source.select("id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.hash("line"))
     solid = F.col("line").rlike(r"[^ \x09-\x0D]")
-    classes = lines.where(solid).groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "row_key", "line_no")).alias("first"), F.min("line").alias("line")
+    own = F.struct("id", "row_key", "line_no")
+    firsts = materialize(
+        lines.where(solid).groupBy("h1", "h2").agg(F.min(own).alias("first"), F.count("*").alias("copies")), "lines"
     )
-    counts = word_counts(source, "text", freq_bits)
-    bucket = (1 << freq_bits) - 1
+    total = firsts.agg(F.sum("copies")).first()[0] or 0
+    share = max(1000, total // (4 * parts))
+    common = firsts.where(F.col("copies") > share).select("h1", "h2", F.col("first").alias("only"))  # 4 * parts at most
+
+    levels = rarity_keys(source, "text", freq_bits)
+    bucket = F.lit((1 << freq_bits) - 1)
 
-    def key(w):
-        h = F.xxhash64(w)
-        seen = F.get(F.col("counts"), h.bitwiseAND(F.lit(bucket)).cast("int"))
-        rarity = F.floor(F.log2(seen + 1) * 3).cast("long")  # below 128 for any count
-        return rarity * F.lit(1 << 56) + h.bitwiseAND(F.lit((1 << 56) - 1))
+    # ``levels`` is used once, so it is read in place and never copied into rows
+    def key(h):
+        return F.coalesce(F.get(F.col("levels"), h.bitwiseAND(bucket).cast("int")), F.lit(0)) + h.bitwiseAND(F.lit((1 << 56) - 1))
 
-    n = F.size("toks")
+    hashes = F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), lambda w: F.xxhash64(w)))
     keyed = (
-        classes.withColumn("counts", counts.scalar())
-        .select("h1", "h2", "first", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), key))).alias("toks"))
+        lines.where(solid)
+        .join(F.broadcast(common), ["h1", "h2"], "left")
+        .where(F.col("only").isNull() | (F.col("only") == own))
+        .select("id", "h1", "h2", hashes.alias("hashes"))
+        .withColumn("levels", levels.scalar())
+        .select("id", "h1", "h2", F.sort_array(F.transform("hashes", key)).alias("toks"))
         .withColumn("map", F.expr("aggregate(toks, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"))
-        .withColumn("n", n)
+        .withColumn("n", F.size("toks"))
     )
+    def passing(x: str, y: str) -> str:
+        """The filters on two postings of one list."""
+        xn, yn = f"shiftright({x}at, 31)", f"shiftright({y}at, 31)"
+        xp, yp = f"({x}at & 2147483647)", f"({y}at & 2147483647)"
+        least = f"floor(({num} * ({xn} + {yn}) + {den + num - 1}) / {den + num})"
+        return f"""bit_count({x}map ^ {y}map) <= {xn} + {yn} - 2 * {least}
+            and least({xn}, {yn}) * {den} >= greatest({xn}, {yn}) * {num}
+            and 1 + least({xn} - {xp} - 1, {yn} - {yp} - 1) >= {least}"""
+
     need = F.floor((F.col("n") * num + den - 1) / den).cast("int")
-    posted = keyed.select(
-        "h1", "h2", "map", F.col("n"), F.posexplode(F.slice("toks", F.lit(1), F.col("n") - need + 1)).alias("pos", "tok")
-    )
-    least = f"floor(({num} * (x.n + y.n) + {den + num} - 1) / {den + num})"
-    pairs = (
-        posted.alias("x")
-        .join(
-            posted.alias("y"),
-            F.expr(
-                f"""x.tok = y.tok and (x.h1 < y.h1 or (x.h1 = y.h1 and x.h2 < y.h2))
-                and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}
-                and 1 + least(x.n - x.pos - 1, y.n - y.pos - 1) >= {least}
-                and bit_count(x.map ^ y.map) <= x.n + y.n - 2 * {least}"""
-            ),
-        )
-        .select("x.h1", "x.h2", F.col("y.h1").alias("g1"), F.col("y.h2").alias("g2"))
-        .distinct()
+    line = ["tok", "h1", "h2", "map", "at"]
+    in_list = Window.partitionBy("tok").orderBy("id", "h1", "h2")
+    posted = (
+        keyed.select("id", "h1", "h2", "map", "n", F.posexplode(F.slice("toks", F.lit(1), F.col("n") - need + 1)).alias("pos", "tok"))
+        .select(*line[:4], (F.col("n").cast("long") * (1 << 31) + F.col("pos")).alias("at"), "id")
+        .repartition(parts, "tok")
+        .groupBy(*line).agg(F.min("id").alias("id"))
+        .withColumn("head", F.first(F.struct("h1", "h2", "map", "at")).over(in_list.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("place", F.row_number().over(in_list))
+        # lists of three or more; in a list of two its head has met the other line
+        .withColumn("longer", F.lead("h1", 2).over(in_list).isNotNull() | (F.col("place") > 2) | ((F.col("place") == 2) & F.lead("h1").over(in_list).isNotNull()))
+        .withColumn("near", (F.col("place") > 1) & F.expr(passing("", "head.")))
+        .where("near or longer")
+        .select(*line, "id", F.when(F.col("near"), F.struct("head.h1", "head.h2")).alias("head"), "longer")
     )
-    other = classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("first_y"), F.col("line").alias("line_y"))
-    common = F.size(F.array_intersect("wx", "wy"))
-    links = (
-        pairs.join(classes, ["h1", "h2"])
-        .join(other, ["g1", "g2"])
-        .select(
-            "h1", "h2", "g1", "g2", "first", "first_y",
-            F.array_distinct(_words(F.col("line"))).alias("wx"), F.array_distinct(_words(F.col("line_y"))).alias("wy"),
+    posted = materialize(posted, "line-postings")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose whole lines reach the threshold, read from where the lines are first."""
+        wanted = pairs.select(F.explode(F.array(F.struct("h1", "h2"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2")))).alias("h")).select("h.h1", "h.h2").distinct()
+        places = materialize(firsts.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", "first"), f"{name}-places")
+        rows = places.select(F.col("first.row_key").alias("row_key")).distinct()
+        if places.count() <= broadcast_ids:  # else the keys are shuffled with the texts
+            rows = F.broadcast(rows)
+        bodies = (
+            source.join(rows, "row_key", "left_semi")
+            .select(F.explode(F.split("text", "\n")).alias("line"))
+            .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.hash("line"))
+            .join(places, ["h1", "h2"])
+            .groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min("first").alias("first"))
+            .withColumn("words", _words(F.col("line")))
+            .select("h1", "h2", "first", "words", F.size("words").alias("n"))
         )
-        .withColumn("common", common)
-        .where(F.col("common") * den >= (F.size("wx") + F.size("wy") - F.col("common")) * num)
-    )
-    later_x = F.col("first") > F.col("first_y")
-    removed = (
-        links.select(
-            F.when(later_x, F.col("h1")).otherwise(F.col("g1")).alias("h1"),
-            F.when(later_x, F.col("h2")).otherwise(F.col("g2")).alias("h2"),
-            F.when(later_x, F.col("first_y")).otherwise(F.col("first")).alias("match"),
+        other = bodies.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("first_y"), F.col("words").alias("words_y"), F.col("n").alias("n_y"))
+        links = pairs.join(bodies, ["h1", "h2"]).join(other, ["g1", "g2"]).where(
+            F.size(F.array_intersect("words", "words_y")) * (den + num) >= (F.col("n") + F.col("n_y")) * num
         )
-        .groupBy("h1", "h2")
-        .agg(F.min("match").alias("match"))
-    )
-    firsts = lines.where(solid).groupBy("h1", "h2").agg(F.min(F.struct("id", "row_key", "line_no")).alias("first"))
-    verdict = firsts.join(removed, ["h1", "h2"], "left")
+        return materialize(links.select("h1", "h2", "g1", "g2", "first", "first_y"), name)
+
+    def later(links: DataFrame) -> DataFrame:
+        x_late = F.col("first") > F.col("first_y")
+        return links.select(
+            F.when(x_late, F.col("h1")).otherwise(F.col("g1")).alias("h1"),
+            F.when(x_late, F.col("h2")).otherwise(F.col("g2")).alias("h2"),
+            F.when(x_late, F.col("first_y")).otherwise(F.col("first")).alias("match"),
+        ).groupBy("h1", "h2").agg(F.min("match").alias("match"))
+
+    # first the head of each list, its earliest line, against the rest: in a large family of
+    # near copies nearly every line finds its match there
+    with_head = posted.where("head is not null")
+    heads = materialize(with_head.select("h1", "h2", F.col("head.h1").alias("g1"), F.col("head.h2").alias("g2")).distinct(), "line-pairs-1")
+    links = verified(heads, "line-links-1")
+    found = later(links)
+    # then lines without a match so far against all earlier ones of their lists
+    done = materialize(found.select("h1", "h2"), "line-found")
+    if done.count() <= broadcast_ids:  # else both sides are shuffled
+        done = F.broadcast(done)
+    rows = posted.where("longer").select(*line, "id")
+    x, y = rows.alias("x"), rows.join(done, ["h1", "h2"], "left_anti").alias("y")
+    pairs = x.join(
+        y, F.expr(f"x.tok = y.tok and (x.h1 <> y.h1 or x.h2 <> y.h2) and x.id <= y.id and {passing('x.', 'y.')}")
+    ).select("y.h1", "y.h2", F.col("x.h1").alias("g1"), F.col("x.h2").alias("g2"))
+    pairs = materialize(pairs.distinct(), "line-pairs-2").join(heads, ["h1", "h2", "g1", "g2"], "left_anti")
+    links = links.unionByName(verified(pairs, "line-links-2"))
+    removed = later(links)
+    verdict = firsts.join(removed, ["h1", "h2"], "left").where("copies > 1 or match is not null").select("h1", "h2", "first", "match")
     placed = lines.select(
         "id", "row_key", "line_no", F.char_length("line").alias("n_chars"),
         F.when(solid, F.col("h1")).alias("h1"), F.when(solid, F.col("h2")).alias("h2"),
     ).join(verdict, ["h1", "h2"], "left")
-    own = F.struct("id", "row_key", "line_no")
     # an earlier equal line, else an earlier similar one
     earlier = F.when(F.col("first") < own, F.least("first", F.coalesce("match", "first"))).otherwise(F.col("match"))
     decided = placed.withColumn("earlier", earlier).select(
