@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -75,8 +76,6 @@ def blocked_v4(ip) -> Column:
 
 def blocked_any() -> object:
     """A vectorised function for addresses of either family; what can't be read is blocked."""
-    import pandas as pd
-
     nets = [ipaddress.ip_network(n) for n in [*RESERVED_V4, *RESERVED_V6]]
 
     def one(text) -> bool:

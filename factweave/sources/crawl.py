@@ -30,19 +30,19 @@ def parse_robots(files: DataFrame, key: str, text: str, agent: str = "*") -> Dat
     running sum over the starts of groups makes an island; groups that name the agent replace
     those of ``*``.
     """
-    lines = files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("n", "line"))
-    cut = F.trim(F.regexp_replace("line", r"#.*$", ""))
-    lines = lines.withColumn("k", F.lower(F.trim(F.regexp_extract(cut, r"^([^:]*):", 1)))).withColumn("v", F.trim(F.regexp_extract(cut, r"^[^:]*:(.*)$", 1)))
-    is_agent = F.col("k") == "user-agent"
-    lines = lines.where(is_agent | (F.col("k").isin("allow", "disallow") & (F.col("v") != "")))
-    by = Window.partitionBy(key).orderBy("n")
-    first = is_agent & F.coalesce(F.lag("k").over(by) != "user-agent", F.lit(True))
-    lines = lines.withColumn("g", F.sum(first.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("g > 0")
-    group = Window.partitionBy(key, "g")
-    lines = lines.withColumn("named", F.bool_or(is_agent & (F.lower("v") == agent.lower())).over(group))
-    lines = lines.withColumn("any", F.bool_or(is_agent & (F.col("v") == "*")).over(group))
-    lines = lines.withColumn("has_named", F.bool_or("named").over(Window.partitionBy(key)))
-    return lines.where(~is_agent & F.when(F.col("has_named"), F.col("named")).otherwise(F.col("any"))).select(key, F.col("k").alias("kind"), F.col("v").alias("path"))
+    lines = files.select(F.col(key).alias("_key"), F.posexplode(F.split(text, r"\r?\n")).alias("_n", "_line"))
+    cut = F.trim(F.regexp_replace("_line", r"#.*$", ""))
+    lines = lines.withColumn("kind", F.lower(F.trim(F.regexp_extract(cut, r"^([^:]*):", 1)))).withColumn("path", F.trim(F.regexp_extract(cut, r"^[^:]*:(.*)$", 1)))
+    is_agent = F.col("kind") == "user-agent"
+    lines = lines.where(is_agent | (F.col("kind").isin("allow", "disallow") & (F.col("path") != "")))
+    by = Window.partitionBy("_key").orderBy("_n")
+    first = is_agent & F.coalesce(F.lag("kind").over(by) != "user-agent", F.lit(True))
+    lines = lines.withColumn("_g", F.sum(first.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("_g > 0")
+    group = Window.partitionBy("_key", "_g")
+    lines = lines.withColumn("_named", F.bool_or(is_agent & (F.lower("path") == agent.lower())).over(group))
+    lines = lines.withColumn("_any", F.bool_or(is_agent & (F.col("path") == "*")).over(group))
+    lines = lines.withColumn("_has", F.bool_or("_named").over(Window.partitionBy("_key")))
+    return lines.where(~is_agent & F.when(F.col("_has"), F.col("_named")).otherwise(F.col("_any"))).select(F.col("_key").alias(key), "kind", "path")
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, keys: list[str], path: str) -> DataFrame:
