@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import WS, literal, p
+from .patterns import WS, any_pattern, literal, p
 
 
 def _c(x) -> Column:
@@ -16,7 +16,13 @@ def _c(x) -> Column:
 
 def any_of(column, patterns, fold: bool = True) -> Column:
     """Whether any of the patterns is found; NULL counts as not found."""
-    return F.coalesce(_c(column).rlike(p("|".join(f"(?:{x})" for x in patterns), fold)), F.lit(False))
+    return F.coalesce(_c(column).rlike(any_pattern(list(patterns), fold)), F.lit(False))
+
+
+def let(body, **values: Column) -> Column:
+    """``body`` of a struct of the values, each worked out once however often it is used."""
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(bound, body), F.lit(0))
 
 
 def collapse_ws(v) -> Column:
@@ -37,6 +43,15 @@ _BULLETS = "•◦▪➤●○*\\-–—"
 _ENDINGS = [r"\s*\(optional\)\s*$", r"\s*specialization\s*$", r"\s*specialisation\s*$", r"\s*elective\s*$", r"\s*track\s*$"]
 
 
+def _without(value: Column, ending: str) -> Column:
+    """The value without an ending, unless nothing else would be left; worked out once."""
+    def choose(x: Column) -> Column:
+        cut = F.regexp_replace(x["v"], ending, "")
+        return F.when(collapse_ws(cut) != "", cut).otherwise(x["v"])
+
+    return let(choose, v=value)
+
+
 def semantic_value(v) -> Column:
     """A list item without bullets, boilerplate ending and trailing punctuation, lower-cased.
     An ending stays where nothing else would."""
@@ -45,8 +60,7 @@ def semantic_value(v) -> Column:
     out = F.regexp_replace(out, p(f"[\\s{_BULLETS}]+$"), "")
     out = F.regexp_replace(out, p(r"\s*&\s*"), " and ")
     for ending in _ENDINGS:
-        cut = F.regexp_replace(out, p(ending, True), "")
-        out = F.when(collapse_ws(cut) != "", cut).otherwise(out)
+        out = _without(out, p(ending, True))
     return F.lower(collapse_ws(F.regexp_replace(out, "[.,;:]+$", "")))
 
 
@@ -70,9 +84,8 @@ CONCEPTS = [
 
 def concept_key(v) -> Column:
     """The same key for values that are equal or name one concept, so concepts equi-join."""
-    value = semantic_value(v)
     pairs = [F.lit(x) for i, group in enumerate(CONCEPTS) for name in group for x in (name, f"concept:{i}")]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), value), value)
+    return let(lambda x: F.coalesce(F.try_element_at(F.create_map(*pairs), x["v"]), x["v"]), v=semantic_value(v))
 
 
 def tokens(v, least: int = 3) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import literal, p
-from .text import _c, any_of, collapse_ws
+from .text import _c, any_of, collapse_ws, let
 
 MONEY = "decimal(18,2)"
 
@@ -40,22 +40,19 @@ def normalize_duration(raw) -> Column:
         F.transform(F.regexp_extract_all(raw, F.lit(p(rf"(\d+(?:\.\d+)?)\s*-?\s*{unit}\b", True)), 1), _times(months))
         for unit, months in UNITS.items()
     ]
-    known = F.concat(*hits)
     pairs = F.size(F.regexp_extract_all(raw, F.lit(p(r"(\d+(?:\.\d+)?\s*-?\s*[A-Za-z]+)")), 1))
-    distinct = F.array_distinct(known)
-    status = (
-        F.when(pairs == 0, "NOT_FOUND")
-        .when(F.size(known) == 0, "UNSUPPORTED_FORMAT")
-        .when((F.size(distinct) > 1) | (F.size(known) < pairs), "AMBIGUOUS")
-        .otherwise("NORMALIZED")
-    )
-    return F.struct(status.alias("status"), F.when(status == "NORMALIZED", F.get(distinct, F.lit(0))).alias("months"))
 
+    def judge(x: Column) -> Column:
+        distinct = F.array_distinct(x["known"])
+        status = (
+            F.when(x["pairs"] == 0, "NOT_FOUND")
+            .when(F.size(x["known"]) == 0, "UNSUPPORTED_FORMAT")
+            .when((F.size(distinct) > 1) | (F.size(x["known"]) < x["pairs"]), "AMBIGUOUS")
+            .otherwise("NORMALIZED")
+        )
+        return F.struct(status.alias("status"), F.when(status == "NORMALIZED", F.get(distinct, F.lit(0))).alias("months"))
 
-def sign_appears(raw, sign: str) -> Column:
-    left = r"\b" if sign[0].isalpha() else ""
-    right = r"\b" if sign[-1].isalpha() else ""
-    return _c(raw).rlike(p(f"{left}{literal(sign)}{right}", True))
+    return let(judge, known=F.concat(*hits), pairs=pairs)
 
 
 def normalize_currency(raw) -> Column:
@@ -65,39 +62,47 @@ def normalize_currency(raw) -> Column:
     named = F.filter(
         F.array(*[F.when(any_sign(raw, signs), F.lit(code)) for code, (signs, _) in CURRENCIES.items()]), lambda c: c.isNotNull()
     )
-    code = F.get(named, F.lit(0))
-    western = code.isin([c for c, (_, style) in CURRENCIES.items() if style == "western"])
-    grouped = lambda x: ~F.contains(x, F.lit(",")) | F.when(western, x.rlike(GROUPINGS["western"])).otherwise(x.rlike(GROUPINGS["indian"]))
-    good = F.array_distinct(
-        F.transform(F.filter(amounts, grouped), lambda x: F.regexp_replace(x, ",", "").cast("decimal(30,10)"))
-    )
-    status = (
-        F.when((F.size(amounts) == 0) & (F.size(named) == 0), "NOT_FOUND")
-        .when(F.size(named) == 0, "UNSUPPORTED_FORMAT")
-        .when(F.size(amounts) == 0, "NOT_FOUND")
-        .when(F.size(named) > 1, "AMBIGUOUS")
-        .when(F.size(good) == 0, "UNSUPPORTED_FORMAT")
-        .when(F.size(good) > 1, "AMBIGUOUS")
-        .otherwise("NORMALIZED")
-    )
-    ok = status == "NORMALIZED"
-    return F.struct(
-        status.alias("status"), F.when(ok, F.get(good, F.lit(0)).cast(MONEY)).alias("amount"), F.when(ok, code).alias("currency")
-    )
+    westerns = [c for c, (_, style) in CURRENCIES.items() if style == "western"]
+
+    def read(x: Column) -> Column:
+        code = F.get(x["named"], F.lit(0))
+        grouped = lambda v: ~F.contains(v, F.lit(",")) | F.when(code.isin(westerns), v.rlike(GROUPINGS["western"])).otherwise(v.rlike(GROUPINGS["indian"]))
+        good = F.array_distinct(F.transform(F.filter(x["amounts"], grouped), lambda v: F.regexp_replace(v, ",", "").cast("decimal(30,10)")))
+        return F.struct(x["amounts"].alias("amounts"), x["named"].alias("named"), code.alias("code"), good.alias("good"))
+
+    def judge(x: Column) -> Column:
+        status = (
+            F.when((F.size(x["amounts"]) == 0) & (F.size(x["named"]) == 0), "NOT_FOUND")
+            .when(F.size(x["named"]) == 0, "UNSUPPORTED_FORMAT")
+            .when(F.size(x["amounts"]) == 0, "NOT_FOUND")
+            .when(F.size(x["named"]) > 1, "AMBIGUOUS")
+            .when(F.size(x["good"]) == 0, "UNSUPPORTED_FORMAT")
+            .when(F.size(x["good"]) > 1, "AMBIGUOUS")
+            .otherwise("NORMALIZED")
+        )
+        ok = status == "NORMALIZED"
+        return F.struct(status.alias("status"), F.when(ok, F.get(x["good"], F.lit(0)).cast(MONEY)).alias("amount"), F.when(ok, x["code"]).alias("currency"))
+
+    return F.get(F.transform(F.array(let(read, amounts=amounts, named=named)), judge), F.lit(0))
 
 
 def any_sign(raw, signs: list[str]) -> Column:
-    out = F.lit(False)
-    for sign in signs:
-        out = out | sign_appears(raw, sign)
-    return out
+    edge = lambda c: r"\b" if c.isalpha() else ""
+    return _c(raw).rlike(p("|".join(f"{edge(s[0])}{literal(s)}{edge(s[-1])}" for s in signs), True))
 
 
 def normalize_claim(field_key, raw) -> Column:
     """The typed value of a claim: text unless its field is a duration or money."""
     field_key, raw = _c(field_key), _c(raw)
     kind = F.when(field_key == "duration", "duration_months").when(field_key == "fees", "currency").otherwise("text")
-    text, months, money = normalize_text(raw), normalize_duration(raw), normalize_currency(raw)
+    # each reading is made only for its own kind
+    text = F.when(kind == "text", normalize_text(raw))
+    months = F.when(kind == "duration_months", normalize_duration(raw))
+    money = F.when(kind == "currency", normalize_currency(raw))
+    return let(lambda x: _typed(x["kind"], x["text"], x["months"], x["money"]), kind=kind, text=text, months=months, money=money)
+
+
+def _typed(kind: Column, text: Column, months: Column, money: Column) -> Column:
     return F.struct(
         F.when(kind == "duration_months", months["status"]).when(kind == "currency", money["status"]).otherwise(text["status"]).alias("status"),
         kind.alias("type"),

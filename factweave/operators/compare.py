@@ -103,18 +103,17 @@ def set_diff(master: DataFrame, target: DataFrame, keys: list[str], stems: bool
     def items(df):
         rows = df.withColumn("item", T.semantic_value("value")).where("item <> ''")
         rows = first_per_group(rows.select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"])
-        near = F.array_union(T.tokens("value"), F.transform(T.stems("value"), lambda s: F.concat(F.lit("~"), s))) if stems else T.tokens("value")
-        probes = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), T.concept_key("value"))), near))
-        return rows.withColumn("probe", F.explode(probes))
+        rows = rows.withColumn("concept", T.concept_key("value")).withColumn("toks", F.array_distinct(T.tokens("value")))
+        rows = rows.withColumn("stem", F.array_distinct(F.transform("toks", lambda x: F.left(x, F.lit(5)))))
+        near = F.array_union(F.col("toks"), F.transform("stem", lambda s: F.concat(F.lit("~"), s))) if stems else F.col("toks")
+        return rows.withColumn("probe", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "concept")), near))))
 
     a = items(master).alias("a")
     b = items(target).alias("b")
-    same = (
-        (F.col("a.item") == F.col("b.item"))
-        | (T.concept_key("a.value") == T.concept_key("b.value"))
-        | T.tokens_overlap("a.value", "b.value")
-        | (T.stems_overlap("a.value", "b.value") if stems else F.lit(False))
-    )
+    share = lambda c, num, den: T._share(F.col(f"a.{c}"), F.col(f"b.{c}"), num, den)
+    same = (F.col("a.item") == F.col("b.item")) | (F.col("a.concept") == F.col("b.concept")) | share("toks", 1, 2)
+    if stems:
+        same = same | share("stem", 3, 5)
     hits = (
         a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], F.col("a.probe") == F.col("b.probe"), same])
         .groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.idx").alias("idx"))
