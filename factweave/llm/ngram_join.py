@@ -12,8 +12,8 @@ filters; candidates are verified once per pair, and linked documents form compon
    difference from below) leave hardly any pair that isn't linked.
 4. A list yields, for each class, its first surviving partner and the nearest by
    cells, and over all lists a class
-   keeps three partners at most: never all pairs.  Those pairs are verified on whole sets, and
-   components are formed.  Then every surviving
+   keeps three partners at most: never all pairs.  Those pairs are verified on whole sets,
+   components are formed, and the same is done once more with partners in other components.  Then every surviving
    pair of a list whose classes are still in different components is verified too, so no link
    that could join two components is missed, and pairs inside a component need no check.
 
@@ -147,14 +147,14 @@ def _num(table: pa.Table, c: str) -> np.ndarray:
 
 
 def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
-    """Surviving pairs (a, b, apart) of each list.  With ``all_pairs``, every pair of two
-    components, named once (and, for a list dealt in two blocks, across the blocks); else for
-    each class its first and its nearest partner, or in a long list the first alone."""
-    keys = 3 if all_pairs else 2
+    """Surviving pairs (a, b, apart) of two components in each list.  With ``all_pairs`` every
+    pair, named once (and, for a list dealt in two blocks, across the blocks); else for each
+    class its first and its nearest partner, or in a long list the first alone."""
+    keys = 3
     for table in _lists(batches, keys):
         n, pos, cls = _num(table, "n").astype(np.int64), _num(table, "pos").astype(np.int64), _num(table, "cls")
         cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
-        comp, side = (_num(table, "component"), _num(table, "side")) if all_pairs else (cls, np.full(len(cls), 2))
+        comp, side = _num(table, "component"), _num(table, "side")
         differs = np.zeros(len(n), dtype=bool)
         for c in range(keys):
             key = table.column(c).to_numpy()
@@ -195,12 +195,12 @@ def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
                 open_ = open_[open_ > x]
                 if not len(open_):
                     break
-                now = open_[(comp[open_] != comp[x]) & ((side[open_] != side[x]) | (side[x] == 2))] if all_pairs else open_
+                now = open_[(comp[open_] != comp[x]) & ((side[open_] != side[x]) | (side[x] == 2))]
                 far = apart(n[x], n[now], pos[x], pos[now], cells[x], cells[now], num, den)
                 ok = far >= 0
                 out.append((np.full(int(ok.sum()), cls[x]), cls[now[ok]], far[ok]))
                 if not all_pairs:
-                    open_ = open_[~ok]
+                    open_ = np.setdiff1d(open_, now[ok], assume_unique=True)
         if out:
             a, b, far = (np.concatenate([o[i] for o in out]) for i in range(3))
             if all_pairs:
@@ -316,54 +316,56 @@ def ngram_join(
     sizes = lists.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     cells = classes.select("cls", "cells")
 
-    # 3. first round: a forest of candidates per list
-    hot = F.ceil(F.col("m") / list_rows).cast("int")
-    dealt = (
-        lists.join(sizes, "gram")
-        .withColumn("block", F.when(hot > 1, F.pmod(F.xxhash64("cls", "gram"), hot).cast("int")).otherwise(0))
-        .join(cells, "cls")
-        .select("gram", "block", "n", "cls", "pos", "cells")
-        .repartition(partitions(spark), "gram", "block")
-        .sortWithinPartitions("gram", "block", "n", "cls")
-    )
-    # a class has partners in each of many lists; three of them are enough to join it
-    first = (
-        dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, False), "a long, b long, far int")
-        .groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min_by("a", F.struct("far", "a")).alias("near"))
-        .select(F.explode(F.array_distinct(F.array("lo", "hi", "near"))).alias("a"), "b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    pairs = materialize(first, "candidates")
-    links = _checked(source, classes, pairs, k, num, den, star_rows, broadcast_ids, "links-1")
-    components = connected_components(links)
-
-    # 4. second round: whatever could still join two components
-    where = lists.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "component", F.coalesce("component", F.col("cls"))
-    )
-    mixed = where.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("gram", "m")
-    blocks = F.ceil(F.col("m") / list_rows).cast("int")
-    own_block = F.pmod(F.xxhash64("cls", "gram"), F.col("blocks")).cast("int")
-    # in one block all pairs count (side 2); of two blocks only pairs across (sides 0 and 1)
-    dealt = (
-        where.join(mixed, "gram")
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.when(F.col("blocks") > 1, own_block).otherwise(0))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-        .join(cells, "cls")
-        .select("gram", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), "n", "cls", "pos", "cells", "component", "side")
-        .repartition(partitions(spark), "gram", "block", "block2")
-        .sortWithinPartitions("gram", "block", "block2", "n", "cls")
-    )
-    # a pair is in many lists: made distinct before it is compared with those checked already
-    more = materialize(dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, True), "a long, b long, far int").select("a", "b").distinct(), "candidates-2")
-    more = more.join(pairs, ["a", "b"], "left_anti")
+    lists = lists.join(sizes, "gram").select(lists.columns)
+
+    def candidates(components: DataFrame | None, all_pairs: bool) -> DataFrame:
+        """Pairs of lists whose classes are not all in one component yet.  A long list is dealt
+        into blocks by hash; for ``all_pairs`` each block meets each other one."""
+        where = lists.withColumn("component", F.col("cls"))
+        if components is not None:
+            where = lists.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", F.col("cls")))
+        mixed = where.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        blocks = F.ceil(F.col("m") / list_rows).cast("int")
+        dealt = where.join(mixed.select("gram", blocks.alias("blocks")), "gram").withColumn(
+            "own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls", "gram"), F.col("blocks")).cast("int")).otherwise(0)
+        )
+        # in one block all pairs count (side 2); of two blocks only pairs across (sides 0 and 1)
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if all_pairs else F.col("own")
+        dealt = dealt.withColumn("other", other).withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
+        dealt = (
+            dealt.join(cells, "cls")
+            .select("gram", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), "n", "cls", "pos", "cells", "component", "side")
+            .repartition(partitions(spark), "gram", "block", "block2")
+            .sortWithinPartitions("gram", "block", "block2", "n", "cls")
+        )
+        return dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, all_pairs), "a long, b long, far int")
+
+    # 3. twice a forest of candidates: partners in other components, three at most for a class,
+    # which has some in each of many lists
+    checked = links = components = None
+    for turn in (1, 2):
+        first = (
+            candidates(components, False)
+            .groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min_by("a", F.struct("far", "a")).alias("near"))
+            .select(F.explode(F.array_distinct(F.array("lo", "hi", "near"))).alias("a"), "b")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .distinct()
+        )
+        pairs = materialize(first, f"candidates-{turn}")
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        found = _checked(source, classes, pairs, k, num, den, star_rows, broadcast_ids, f"links-{turn}")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        components = connected_components(links)
+
+    # 4. whatever could still join two components; a pair is in many lists, so it is made
+    # distinct before it is compared with those checked already
+    more = materialize(candidates(components, True).select("a", "b").distinct(), "candidates-3").join(checked, ["a", "b"], "left_anti")
     if more.limit(1).count():
-        links2 = _checked(source, classes, more, k, num, den, star_rows, broadcast_ids, "links-2")
-        if links2.limit(1).count():
-            components = connected_components(links.unionByName(links2))
+        found = _checked(source, classes, more, k, num, den, star_rows, broadcast_ids, "links-3")
+        if found.limit(1).count():
+            components = connected_components(links.unionByName(found))
 
     # 5. ids
     named = classes.select("cls", "least").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
