@@ -137,7 +137,8 @@ def labelled_claims(blocks: DataFrame, headings: DataFrame, key: str, labels: di
 
     ``blocks(key, idx, heading_context, text)``, ``headings(key, idx, text)``.  A block
     ``label: value`` beats the first block under a heading that names a label; blocks come
-    before labels.  With ``multiple`` every match counts, once per text.  Labels form one
+    before labels.  With ``multiple`` every match counts, once per text, and the whole text is
+    kept as ``excerpt``.  Labels form one
     literal pattern per field, so no pattern is built from a column.
     """
     parts = []
@@ -156,10 +157,11 @@ def labelled_claims(blocks: DataFrame, headings: DataFrame, key: str, labels: di
     for more in parts[1:]:
         rows = rows.unionByName(more)
     group = [key, "field_key", F.lower(F.trim("excerpt")).alias("e")] if multiple else [key, "field_key"]
-    best = rows.groupBy(*group).agg(F.min(F.struct("pass", "idx", "sub", "raw_value")).alias("x"))
+    best = rows.groupBy(*group).agg(F.min(F.struct("pass", "idx", "sub", "raw_value", "excerpt")).alias("x"))
     return best.select(
         key, "field_key", (F.col("x.pass") * 1_000_000_000 + F.col("x.idx") * 10_000 + F.col("x.sub")).cast("long").alias("claim_idx"),
         F.left("x.raw_value", F.lit(LONGEST_CLAIM)).alias("raw_value"), F.when(F.col("x.pass") == 0, "labeled_pattern").otherwise("heading_scoped").alias("method"),
+        F.left("x.excerpt", F.lit(LONGEST_CLAIM)).alias("excerpt"),
     )
 
 
