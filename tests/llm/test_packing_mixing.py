@@ -105,6 +105,74 @@ def test_mixing(spark, docs, rows, empty):
     assert all(abs(r.n - want[r.source]) <= 1 for r in words)
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_quality(text):
+    w = WORD.findall(text)
+
+    def cover(n):
+        seen = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return len({j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(i, i + n)})
+
+    if len(w) < 50 or 2 * cover(3) > len(w):
+        return False
+    seen = collections.Counter(tuple(w[i : i + 201]) for i in range(len(w) - 200))
+    return 2 * cover(8) <= len(w) and max(seen.values(), default=1) < 2
+
+
+def brute_near(rows):
+    grams = []
+    for _, t in rows:
+        w = WORD.findall(t.translate(LOWER))
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for g, (d, _) in zip(group, rows, strict=True):
+        best[g] = min(best.get(g, d), d)
+    return sorted(best.values())
+
+
+def test_pipeline_against_brute_force(spark, docs, rows, tmp_path):
+    own = docs.where("doc_id is not null and doc_id <> 5 and doc_id <> 3").select("doc_id", "text", "lang", "source", "n_chars")
+    frames, cur = [], own
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, cur, "").write.parquet(str(tmp_path / name))
+        cur = spark.read.parquet(str(tmp_path / name))
+        frames.append(cur)
+    left = [(r[0], r[1] or "") for r in rows if r[0] not in (None, 3, 5)]
+    left = [(d, t) for d, t in left if brute_quality(t)]
+    assert sorted(r.doc_id for r in frames[0].collect()) == sorted(d for d, _ in left)
+    by_text = {}
+    for d, t in left:
+        by_text[t.translate(LOWER)] = max(d, by_text.get(t.translate(LOWER), d))
+    left = [(d, t) for d, t in left if by_text[t.translate(LOWER)] == d]
+    assert sorted(r.doc_id for r in frames[1].collect()) == sorted(d for d, _ in left)
+    near = brute_near(sorted(left))
+    assert sorted(r.doc_id for r in frames[2].collect()) == near
+    texts, mixed = dict(left), frames[3].collect()
+    size = collections.Counter()
+    for r in frames[2].collect():
+        size[r.source] += len(WORD.findall(r.text))
+    want, got = mixing.targets(list(size.items())), collections.Counter()
+    for r in mixed:
+        got[r.source] += len(WORD.findall(r.text))
+        assert texts[r.doc_id].startswith(r.text) and len(WORD.findall(r.text)) > 0
+    assert all(abs(got[s] - want[s]) <= 1 for s in size)
+    tok = Tokenizer.from_file(PATH)
+    lengths = sorted(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
+    whole = collections.Counter()
+    for r in frames[4].collect():
+        assert r.offset + r.length <= 4096
+        whole[r.sequence_id] += r.length
+    assert sum(whole.values()) == sum(lengths) and max(whole.values()) <= 4096
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for frame in (own, own.limit(0)):
