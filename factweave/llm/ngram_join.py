@@ -12,7 +12,7 @@ filters; candidates are verified once per pair, and linked documents form compon
    difference from below) leave hardly any pair that isn't linked.
 4. A list yields, for each class, its first surviving partner and the nearest by
    cells, and over all lists a class
-   keeps three partners at most: never all pairs.  Those pairs are verified on whole sets,
+   keeps two partners (it may be one of others'): never all pairs.  Those pairs are verified on whole sets,
    components are formed, and the same is done once more with partners in other components.  Then every surviving
    pair of a list whose classes are still in different components is verified too, so no link
    that could join two components is missed, and pairs inside a component need no check.
@@ -32,6 +32,7 @@ from .common import connected_components, materialize, partitions
 from .words import U64, chunks, joined, mix, text_bytes, word_hashes, word_spans
 
 CELLS = 256
+SHIFTS = 32
 
 
 def ngram_sets(texts: list[bytes], k: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +149,12 @@ def _num(table: pa.Table, c: str) -> np.ndarray:
 
 def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
     """Surviving pairs (a, b, apart) of two components in each list.  With ``all_pairs`` every
-    pair, named once (and, for a list dealt in two blocks, across the blocks); else for each
-    class its first and its nearest partner, or in a long list the first alone."""
+    pair, named once (and, for a list dealt in two blocks, across the blocks).  Else for each
+    class its first and its nearest partner; in a long list, the nearest of ``SHIFTS`` others in
+    an order that changes from list to list, so over its lists a class meets many."""
     keys = 3
     for table in _lists(batches, keys):
+        gram = _num(table, "gram")
         n, pos, cls = _num(table, "n").astype(np.int64), _num(table, "pos").astype(np.int64), _num(table, "cls")
         cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
         comp, side = _num(table, "component"), _num(table, "side")
@@ -161,7 +164,14 @@ def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
             differs[1:] |= key[1:] != key[:-1]
         begin = np.append(0, np.flatnonzero(differs))
         size = np.diff(np.append(begin, len(n)))
-        out = []
+
+        def meet(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 2))
+            x, y = x[ok], y[ok]
+            far = apart(n[x], n[y], pos[x], pos[y], cells[x], cells[y], num, den)
+            return x[far >= 0], y[far >= 0], far[far >= 0]
+
+        out: list = []
         short = np.flatnonzero((size >= 2) & (size <= 24))
         if len(short):  # short lists together
             m = size[short]
@@ -174,40 +184,56 @@ def _pairs_of_lists(batches, num: int, den: int, all_pairs: bool):
             y -= (y * (y - 1) // 2 > within).astype(np.int64)
             x = within - y * (y - 1) // 2
             ax, ay = begin[short][lst] + x, begin[short][lst] + y
-            for lo in range(0, total, 100_000):
-                px, py = ax[lo : lo + 100_000], ay[lo : lo + 100_000]
-                ok = (comp[px] != comp[py]) & ((side[px] != side[py]) | (side[px] == 2))
-                px, py = px[ok], py[ok]
-                far = apart(n[px], n[py], pos[px], pos[py], cells[px], cells[py], num, den)
-                px, py, far = px[far >= 0], py[far >= 0], far[far >= 0]
+            for lo in range(0, total, 50_000):
+                px, py, far = meet(ax[lo : lo + 50_000], ay[lo : lo + 50_000])
                 if all_pairs:
                     out.append((cls[px], cls[py], far))
                 elif len(py):
                     _, one = np.unique(py, return_index=True)  # pairs come by y, then x
                     out.append((cls[px[one]], cls[py[one]], far[one]))
-                    by = np.lexsort((far, py))
-                    one = by[np.append(True, py[by][1:] != py[by][:-1])]
+                    one = _least(py, far)
                     out.append((cls[px[one]], cls[py[one]], far[one]))
+                if all_pairs and sum(len(o[0]) for o in out) > 200_000:
+                    yield _batch(out)
+                    out = []
         for g in np.flatnonzero(size > 24):
-            lo, hi = begin[g], begin[g] + size[g]
-            open_ = np.arange(lo + 1, hi)
-            for x in range(lo, hi):
-                open_ = open_[open_ > x]
-                if not len(open_):
-                    break
-                now = open_[(comp[open_] != comp[x]) & ((side[open_] != side[x]) | (side[x] == 2))]
-                far = apart(n[x], n[now], pos[x], pos[now], cells[x], cells[now], num, den)
-                ok = far >= 0
-                out.append((np.full(int(ok.sum()), cls[x]), cls[now[ok]], far[ok]))
-                if not all_pairs:
-                    open_ = np.setdiff1d(open_, now[ok], assume_unique=True)
+            rows = np.arange(begin[g], begin[g] + size[g])
+            if not all_pairs:
+                rows = rows[np.argsort(mix((cls[rows] ^ gram[begin[g]]).view(U64)))]
+                got = [meet(rows[d:], rows[:-d]) for d in range(1, min(SHIFTS, len(rows) - 1) + 1)]
+                px, py, far = (np.concatenate([o[i] for o in got]) for i in range(3))
+                if len(px):
+                    one = _least(px, far)
+                    out.append((cls[py[one]], cls[px[one]], far[one]))
+                continue
+            step = max(1, 20_000 // len(rows))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                px, py = np.repeat(some, len(rows)), np.tile(rows, len(some))
+                px, py, far = meet(px[px < py], py[px < py])
+                out.append((cls[px], cls[py], far))
+                if sum(len(o[0]) for o in out) > 200_000:
+                    yield _batch(out)
+                    out = []
         if out:
-            a, b, far = (np.concatenate([o[i] for o in out]) for i in range(3))
-            if all_pairs:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            _, one = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(far[one].astype(np.int32))], names=["a", "b", "far"])
+            yield _batch(out)
+
+
+def _least(key: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of each key, where its least distance is."""
+    by = np.lexsort((far, key))
+    return by[np.append(True, key[by][1:] != key[by][:-1])] if len(by) else by
+
+
+def _batch(out: list) -> pa.RecordBatch:
+    """Distinct pairs with the smaller name first."""
+    a, b, far = (np.concatenate([o[i] for o in out]) for i in range(3))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    by = np.lexsort((far, b, a))
+    a, b, far = a[by], b[by], far[by]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(far[new].astype(np.int32))], names=["a", "b", "far"])
 
 
 def _verify(batches, num: int, den: int):
@@ -340,14 +366,15 @@ def ngram_join(
         )
         return dealt.mapInArrow(lambda b: _pairs_of_lists(b, num, den, all_pairs), "a long, b long, far int")
 
-    # 3. twice a forest of candidates: partners in other components, three at most for a class,
-    # which has some in each of many lists
+    # 3. a forest of candidates, twice: partners in other components, two for a class, which has
+    # some in each of many lists
     checked = links = components = None
     for turn in (1, 2):
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
         first = (
-            candidates(components, False)
-            .groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min_by("a", F.struct("far", "a")).alias("near"))
-            .select(F.explode(F.array_distinct(F.array("lo", "hi", "near"))).alias("a"), "b")
+            candidates(components, False).select("far", F.explode(ways).alias("p")).select("p.a", "p.b", "far")
+            .groupBy("b").agg(F.min("a").alias("lo"), F.min_by("a", F.struct("far", "a")).alias("near"))
+            .select(F.explode(F.array_distinct(F.array("lo", "near"))).alias("a"), "b")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )

@@ -45,7 +45,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def chunks(batch: pa.RecordBatch, text: str, max_bytes: int = 2_000_000):
+def chunks(batch: pa.RecordBatch, text: str, max_bytes: int = 750_000):
     """Slices of a batch whose texts have about ``max_bytes`` at most (one row at least)."""
     column = batch.column(batch.schema.get_field_index(text))
     if len(column) == 0:
