@@ -188,3 +188,37 @@ def compare_identity(institution, brand, footer, logo_similarity) -> Column:
     logo = F.when(sim.isNull(), "inconclusive").when(sim >= 0.95, "agree").when(sim < 0.75, "conflict").otherwise("inconclusive")
     verdicts = F.array(T._c(institution), T._c(brand), T._c(footer), logo)
     return F.when(F.array_contains(verdicts, "conflict"), "wrong_identity").when(F.array_contains(verdicts, "agree"), "verified").otherwise("inconclusive")
+
+
+def with_overrides(targets: DataFrame, resolved: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Targets (target_idx, url) whose url is in ``overrides(url, master_url)`` exactly take that
+    page with high confidence; others keep what ``resolved`` has."""
+    fixed = targets.join(F.broadcast(overrides.select("url", F.col("master_url").alias("_fixed"))), "url", "left").select("target_idx", "_fixed")
+    rows = resolved.join(fixed, "target_idx", "left")
+    set_ = F.col("_fixed").isNotNull()
+    return rows.select(
+        "target_idx", F.when(set_, F.col("_fixed")).otherwise(F.col("master_url")).alias("master_url"),
+        F.when(set_, "high").otherwise(F.col("confidence")).alias("confidence"), F.when(set_, "success").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(set_, "override").otherwise("discovery").alias("method"),
+    )
+
+
+def specialization_fallback(targets: DataFrame, entries: DataFrame) -> DataFrame:
+    """For targets (target_idx, subject array) without an eligible candidate: pages whose
+    specialization list (page_id, url, idx, entry) shares a token.  One url is taken with medium
+    confidence, several are ambiguous; the first such entry of a page is its evidence."""
+    probes = entries.withColumn("token", F.explode(F.array_distinct(T.tokens("entry"))))
+    hits = targets.select("target_idx", F.explode("subject").alias("token")).join(probes, "token").groupBy("target_idx", "url").agg(F.min_by("entry", "idx").alias("term"))
+    g = hits.groupBy("target_idx").agg(F.count("*").alias("n"), F.min(F.struct("url", "term")).alias("x"))
+    one = F.col("n") == 1
+    return targets.select("target_idx").join(g, "target_idx", "left").select(
+        "target_idx", F.when(one, F.col("x.url")).alias("selected"), F.when(one, F.col("x.term")).alias("term"), F.when(one, "medium").alias("confidence"),
+        F.when(F.col("n").isNull(), "authoritative_page_not_found").when(~one, "ambiguous_candidates").alias("failure_reason"),
+    )
+
+
+def match_stats(evaluations: DataFrame, target: str) -> DataFrame:
+    """Per target how many candidates were seen, passed each gate, and the best score."""
+    return evaluations.groupBy(target).agg(
+        F.count("*").alias("candidates"), F.count_if("identity_ok").alias("identity_ok"), F.count_if(F.col("identity_ok") & F.col("program_ok")).alias("eligible"), F.max("score").alias("best")
+    )

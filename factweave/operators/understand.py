@@ -267,3 +267,78 @@ def spell_check(sources: DataFrame, key: str, text: str, known: DataFrame, allow
         rows = rows.where(~F.col("word").isin(list(allowed)))
     counted = rows.groupBy(key, "word").agg(F.count("*").alias("n"), F.min_by("surface", "pos").alias("surface"))
     return counted.join(known.select("word"), "word", "left_anti")
+
+
+def detect_logo(logos="logos", json_ld="json_ld", open_graph="open_graph") -> Column:
+    """``struct(url, alt, method)``: a header image that hints at a logo, the first header image,
+    a logo of structured data, the page's share image, or not found."""
+    found = T._c(logos)
+    head = F.coalesce(F.get(F.filter(found, lambda x: x["hinted"]), F.lit(0)), F.get(found, F.lit(0)))
+    of = lambda x, path: F.try_variant_get(F.try_parse_json(x), path, "string")
+    data = F.get(F.array_compact(F.transform(T._c(json_ld), lambda x: F.coalesce(of(x, "$.logo.url"), of(x, "$.logo")))), F.lit(0))
+    share = F.nullif(F.try_element_at(T._c(open_graph), F.lit("og:image")), F.lit(""))
+    one = lambda url, alt, method: F.struct(url.alias("url"), alt.alias("alt"), F.lit(method).alias("method"))
+    none = F.lit(None).cast("string")
+    return (
+        F.when(head.isNotNull(), one(head["url"], head["alt"], "header_logo_selector"))
+        .when(data.isNotNull(), one(data, none, "structured_data_logo"))
+        .when(share.isNotNull(), one(share, none, "og_image_fallback"))
+        .otherwise(one(none, none, "not_found"))
+    )
+
+
+def subject_only_program(texts: Column, stopwords: list[str]) -> Column:
+    """Without a degree: the first heading, else the title's first segment, that has two
+    telling words of three letters or more."""
+    telling = lambda t: F.size(F.filter(F.array_distinct(T.tokens(t)), lambda w: ~w.isin(stopwords))) >= 2
+    head = F.get(F.filter(texts, lambda t: t["location"] == "heading"), F.lit(0))["text"]
+    title = F.get(F.filter(texts, lambda t: t["location"] == "title"), F.lit(0))["text"]
+    segment = F.trim(F.get(F.split(title, r"\s[|\-–—:]\s|[|:]"), F.lit(0)))
+    return F.when(telling(head), head).when(telling(segment), segment)
+
+
+def other_degrees(texts: Column, but: Column) -> Column:
+    """Names of further degrees the texts name, each once, in dictionary order."""
+    named = F.array(*[F.when(_named_in(texts, names), F.lit(name)) for _, name, names, _ in DEGREES])
+    return F.filter(F.array_compact(named), lambda n: ~F.coalesce(n == but, F.lit(False)))
+
+
+def _named_in(texts: Column, names: list[str]) -> Column:
+    return F.exists(texts, lambda t: T.any_of(t["text"], [rf"(?<![a-z0-9]){literal(n)}(?![a-z0-9])" for n in names]))
+
+
+# fixed values: words of eligibility, and of marks
+_TOPIC = [r"\b(eligib\w*|qualif\w*|degree|graduat\w*|diploma|10\s*\+\s*2|experience|university|institution|board)\b"]
+_MARKS = [r"\b(marks?|aggregate|score[ds]?|cgpa|grade|minimum|percentile)\b"]
+
+
+def eligibility_sentence(text) -> Column:
+    """At least three words with letters, no chrome, and a requirement: a percentage counts only
+    beside words about marks."""
+    from factweave.functions import values as V
+
+    text = T._c(text)
+    words = F.size(F.filter(F.split(T.collapse_ws(text), " "), lambda w: w != ""))
+
+    def says(x: Column) -> Column:
+        f = x["f"]
+        solid = (F.size(f["groups"]) > 0) | f["recognized"] | f["experience_years"].isNotNull()
+        return solid | (f["percentage"].isNotNull() & x["marks"]) | x["topic"]
+
+    need = T.let(says, f=V.eligibility_facts(text), marks=T.any_of(text, _MARKS), topic=T.any_of(text, _TOPIC))
+    return (words >= 3) & text.rlike("[A-Za-z]") & ~T.is_chrome(text) & need
+
+
+def table_row_fact(cells) -> Column:
+    """A table row as ``first: rest``."""
+    full = F.filter(T._c(cells), lambda c: F.trim(c) != "")
+    rest = F.array_join(F.slice(full, F.lit(2), F.greatest(F.size(full), F.lit(1))), " ")
+    return F.when(F.size(full) > 1, F.concat(F.get(full, F.lit(0)), F.lit(": "), rest)).otherwise(F.get(full, F.lit(0)))
+
+
+def page_warnings(page: DataFrame) -> Column:
+    """What a page lacks, as readable lines."""
+    return F.array_compact(F.array(
+        F.when(F.col("title").isNull(), F.lit("no title")), F.when(F.col("meta_description").isNull(), F.lit("no meta description")),
+        F.when(F.size("headings") == 0, F.lit("no headings")), F.when(~F.col("ok"), F.concat(F.lit("not parsed: "), F.coalesce("error", F.lit("")))),
+    ))

@@ -252,3 +252,39 @@ def test_spelling(spark):
     known = spark.createDataFrame([("the",), ("offers",), ("and",), ("fees",)], "word string")
     got = {r.word: (r.n, r.surface) for r in U.spell_check(df, "k", "t", known, ["univercity's"]).collect()}
     assert got == {"univercity": (1, "Univercity")}
+
+
+def test_logo_precedence(spark):
+    rows = [
+        ([(0, "h1", None, False), (1, "h2", "Logo", True)], ['{"logo":"j"}'], {"og:image": "o"}), ([(0, "h1", None, False)], [], {}), ([], ['{"a":1}', '{"logo":{"url":"j"}}'], {"og:image": "o"}),
+        ([], [], {"og:image": "o"}), ([], [], {}),
+    ]
+    df = spark.createDataFrame(rows, "logos array<struct<idx:int,url:string,alt:string,hinted:boolean>>, json_ld array<string>, open_graph map<string,string>")
+    got = [(r.x.url, r.x.method) for r in df.select(U.detect_logo().alias("x")).collect()]
+    assert got == [("h2", "header_logo_selector"), ("h1", "header_logo_selector"), ("j", "structured_data_logo"), ("o", "og_image_fallback"), (None, "not_found")]
+
+
+def test_understanding_fallbacks(spark):
+    df = spark.createDataFrame([("MBA and BBA | X", [(0, 1, "Deep Learning Systems")], "https://x.org")], "title string, headings array<struct<idx:int,level:int,text:string>>, url string")
+    texts = U.search_texts(df)
+    r = df.select(U.subject_only_program(texts, ["deep"]).alias("p"), U.other_degrees(texts, F.lit("MBA")).alias("o")).first()
+    assert r.p == "Deep Learning Systems" and r.o == ["BBA"]
+    said = spark.createDataFrame([("50% off today only",), ("Minimum 50% marks required",), ("Graduates may apply here",), ("read more about eligibility",), ("two words",)], "t string")
+    assert [x[0] for x in said.select(U.eligibility_sentence("t")).collect()] == [False, True, True, False, False]
+    cells = spark.createDataFrame([(["Fee", " ", "₹5", "now"],), (["x"],), ([],)], "c array<string>")
+    assert [x[0] for x in cells.select(U.table_row_fact("c")).collect()] == ["Fee: ₹5 now", "x", None]
+
+
+def test_overrides_and_fallback(spark):
+    targets = spark.createDataFrame([(0, "a"), (1, "b")], "target_idx int, url string")
+    resolved = spark.createDataFrame([(0, "m0", "medium", "success"), (1, None, None, "ambiguous_candidates")], "target_idx int, master_url string, confidence string, outcome string")
+    o = spark.createDataFrame([("b", "fixed")], "url string, master_url string")
+    got = {r.target_idx: (r.master_url, r.method, r.outcome) for r in R.with_overrides(targets, resolved, o).collect()}
+    assert got == {0: ("m0", "discovery", "success"), 1: ("fixed", "override", "success")}
+    t = spark.createDataFrame([(0, ["finance"]), (1, ["law"]), (2, ["data"])], "target_idx int, subject array<string>")
+    e = spark.createDataFrame([(1, "u1", 0, "Corporate Finance"), (1, "u1", 1, "Data Law"), (2, "u2", 0, "Data Science")], "page_id int, url string, idx int, entry string")
+    got = {r.target_idx: (r.selected, r.failure_reason) for r in R.specialization_fallback(t, e).collect()}
+    assert got == {0: ("u1", None), 1: ("u1", None), 2: (None, "ambiguous_candidates")}
+    ev = spark.createDataFrame([(0, True, True, 80), (0, True, False, None), (0, False, True, None)], "t int, identity_ok boolean, program_ok boolean, score int")
+    s = R.match_stats(ev, "t").first()
+    assert (s.candidates, s.identity_ok, s.eligible, s.best) == (3, 2, 1, 80)
