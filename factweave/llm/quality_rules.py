@@ -135,7 +135,7 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_repeat: int = 8,
-    max_covered: float = 0.5,
+    max_covered: float = 0.25,
     max_longest: int = 200,
     passthrough: bool = False,
 ) -> DataFrame:
@@ -144,6 +144,8 @@ def quality_rules(
     ``base_failed``: fewer than 50 words, or over half of the words in 3-word windows that occur
     twice or more.  Else ``kept`` unless maximal repeated strings of ``min_repeat`` words or more
     cover over ``max_covered`` of the words, or one is longer than ``max_longest`` words.
+    Words so covered also lie in repeated 3-word windows, so a ``max_covered`` of a half or more
+    never adds to the base rules.
 
     A null or empty text has no words and fails.  With ``passthrough`` the rows keep all columns
     of ``docs`` instead, and rejected rows go.  Rows are judged one by one, so repeated rows and

@@ -67,6 +67,18 @@ def test_quality_rules_on_odd_rows(docs, rows, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_rejects_by_coverage_alone(spark):
+    block = [f"b{i}" for i in range(120)]
+    fill = [f"f{i}" for i in range(520)]
+    pasted = [w for i in range(4) for w in [*fill[130 * i : 130 * (i + 1)], *block]]
+    twice = [*block, *fill, *(f"g{i}" for i in range(240)), *block]  # 24%
+    texts = [(0, " ".join(pasted)), (1, " ".join(twice))]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (got[0].n_words, got[0].n_covered_words, got[0].longest_repeat) == (1000, 480, 120)
+    assert not got[0].base_failed and not got[0].kept
+    assert (got[1].n_words, got[1].n_covered_words) == (1000, 240) and got[1].kept
+
+
 def test_language_id_held_out(spark):
     got = queries.op3_language_id(spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
