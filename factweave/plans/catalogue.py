@@ -155,6 +155,8 @@ select item_id, doc_id, len(list_intersect(bs.s, ds.s)) as shared
 from bs, ds where len(bs.s) > 0 and 10 * len(list_intersect(bs.s, ds.s)) >= 6 * least(len(bs.s), len(ds.s)) and len(ds.s) > 0
 """)
 def stem_overlap_pairs(spark, sf_dir):
+    """Stems of the tokens of eight characters or more only, as in its SQL;
+    ``stem_overlap_whole`` has those of all tokens."""
     def stems(df, key):
         long_ones = F.filter(T.tokens("text"), lambda x: F.length(x) >= 8)
         return df.select(key, F.array_distinct(F.transform(long_ones, lambda x: F.left(x, F.lit(5)))).alias("s"))
@@ -165,6 +167,28 @@ def stem_overlap_pairs(spark, sf_dir):
     return shared.where(F.col("shared") * 10 >= F.least("nb", "nd") * 6).select("item_id", "doc_id", "shared")
 
 
+@query("""
+with d as (select doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) as t from documents),
+b as (select item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) as t from benchmark),
+ds as (select doc_id, list_distinct(list_transform(t, lambda x: left(x, 5))) as s from d),
+bs as (select item_id, list_distinct(list_transform(t, lambda x: left(x, 5))) as s from b)
+select item_id, doc_id, len(list_intersect(bs.s, ds.s)) as shared
+from bs, ds where len(bs.s) > 0 and len(ds.s) > 0 and 10 * len(list_intersect(bs.s, ds.s)) >= 6 * least(len(bs.s), len(ds.s))
+""")
+def stem_overlap_whole(spark, sf_dir):
+    """Every benchmark item and document that share three fifths of the smaller set of stems of
+    all tokens.  Documents are dealt out by row once; all that follows stays in the partition."""
+    def stems(df, key, row, size):
+        s = df.select(key, row, T.stems("text").alias("s"))
+        return s.select(key, row, F.size("s").alias(size), F.explode("s").alias("stem"))
+
+    b = read(spark, sf_dir, "benchmark").withColumn("b_row", F.monotonically_increasing_id())
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("d_row")).repartition("d_row")
+    b, d = stems(b, "item_id", "b_row", "nb"), stems(d, "doc_id", "d_row", "nd")
+    shared = d.join(b, "stem").groupBy("d_row", "b_row", "item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") * 10 >= F.least("nb", "nd") * 6).select("item_id", "doc_id", "shared")
+
+
 # ---------------------------------------------------------------- urls and addresses
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
