@@ -25,15 +25,18 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _WORDS = re.compile(rb"password|passwd|secret|token|api_?key", re.IGNORECASE)
 _HEX = re.compile(rb"[0-9a-f]{16}")
-_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20}")
+_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{12}")
 KINDS = ("assign", "access", "hex", "random")
 
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
 _NAMES = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[-_/=+]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[-_/=+]*")
+_TIME = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2}-?[0-9]{2}(?:-?[0-9]{2})?Z?")
+#: Most characters per token of a random string of fewer characters than the key.
+SHORT = {16: 1.7, 20: 1.9}
 
 _ENCODINGS: dict = {}
 
@@ -52,13 +55,26 @@ def _encoding(path: str):
 def excluded(run: str) -> bool:
     """Shapes that are long without being secret."""
     return bool(
-        not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run))
+        not re.search(r"[A-Za-z]", run)
         or _DIGEST.fullmatch(run)
         or _UUID.fullmatch(run)
-        or _NAMES.fullmatch(run)
+        or _TIME.fullmatch(run)
+        or (run.isalpha() and len(set(run)) < 5)
     )
 
 
+def random_string(run: str, encode, max_chars_per_token: float) -> bool:
+    """Whether a run takes many tokens for its length; joined words by their letters, 12 at least."""
+    if excluded(run):
+        return False
+    pieces = [run]
+    if _NAMES.fullmatch(run):
+        pieces = [x for x in re.split(r"[-_/=+]+", run) if x.isalpha()]
+    n = sum(map(len, pieces))
+    limit = min([max_chars_per_token, *(most for below, most in SHORT.items() if n < below)])
+    return n >= 12 and n <= limit * sum(len(encode(x)) for x in pieces)
+
+
 def scan(text: str, encode, max_chars_per_token: float) -> list[tuple[int, int, str]]:
     """All spans of one text as (start, kind index, end): base patterns, then random strings."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -71,8 +87,7 @@ def scan(text: str, encode, max_chars_per_token: float) -> list[tuple[int, int,
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
     if _RUN.search(raw):
         for m in RUN.finditer(text):
-            run = m[0]
-            if not excluded(run) and len(run) <= max_chars_per_token * len(encode(run)):
+            if random_string(m[0], encode, max_chars_per_token):
                 spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 
@@ -88,7 +103,8 @@ def find_secrets(
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind as in
     ``KINDS``; base spans always stay.  A null or empty text has none.  ``vocabulary`` is the
-    path of a rank file every executor has.
+    path of a rank file every executor has.  ``max_chars_per_token`` holds from 20 characters on;
+    below, ``SHORT`` is stricter.
     """
     schema = docs.select(id_col).schema
     for c in ("n_assign", "n_access", "n_hex", "n_random"):

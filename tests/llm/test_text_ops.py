@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -128,6 +129,29 @@ def test_secrets_base(spark):
     assert got[8].n_random == 1 and got[9].n_random == got[10].n_random == got[11].n_random == 0
 
 
+@pytest.mark.parametrize(
+    ("letters", "length", "least"),
+    [("ab", 20, 0.95), ("a", 20, 0.95), ("A", 20, 0.95), ("abd", 20, 0.99), ("ab", 16, 0.95), ("A", 16, 0.9), ("abd", 16, 0.98), ("ab", 12, 0.8), ("abd", 12, 0.9)],
+)
+def test_secrets_random_strings_of_letters_and_short_ones(letters, length, least):
+    kinds = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "b": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "d": "0123456789"}
+    rng = random.Random(7)
+    encode = secret_scan._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    runs = ["".join(rng.choices("".join(kinds[k] for k in letters), k=length)) for _ in range(300)]
+    assert sum(any(s[1] == 3 for s in secret_scan.scan(f"x {r} y", encode, 2.2)) for r in runs) >= least * 300
+
+
+def test_secrets_joined_words_are_judged_by_their_pieces():
+    encode = secret_scan._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    random_ones = ["XKQZVWPR-48213795-qwzxvkjh", "XKQZ-WPRJ-VBNM-QWZX"]
+    plain = [
+        "CONFIG_MAX_RETRY_COUNT", "user-profile-settings-page-2", "INV-2024-0001-ABC", "2024-01-15T10-20-30", "internationalization", "getElementsByTagName",
+        "Z" * 40, "ab" * 20, "0300233469491448",
+    ]
+    said = lambda x: [s for s in secret_scan.scan(x, encode, 2.2) if s[1] == 3]
+    assert all(said(x) for x in random_ones) and not any(said(x) for x in plain)
+
+
 URLS = [
     "https://www.example.com/en/1", "http://EXAMPLE.com/en/", "http://a.b.example.com/en/x?y#z", "https://example.com/fr/", "https://notexample.com/en/", "ftp://x.net/es/q",
     "https://net/fr/", "https://y.net/fr", "http://z.org/en/", "no scheme", "", None, "http://", "http://com", "http://com/", "//x.com/en/", "http://a://b.com/", "http://www.example.com?x=/en/",
