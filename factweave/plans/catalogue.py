@@ -658,6 +658,7 @@ select doc_id, case k when 0 then 'FEES' when 1 then 'ACCREDITATION' when 2 then
 from d
 """)
 def section_classify(spark, sf_dir):
+    """Six templates by id, as in the SQL; ``section_classify_texts`` reads the texts."""
     k = F.col("doc_id") % 6
     words = F.slice(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]+", "")), " +"), 1, 3)
     heading = F.when(k == 0, "Fees and payment").when(k == 2, "Related articles about fees").when(k == 3, "Eligibility criteria").when(k == 4, "Choose yours").otherwise("Zzz qqq")
@@ -669,6 +670,19 @@ def section_classify(spark, sf_dir):
     return U2.classify_sections(rows, "heading", "paragraphs", "items", "headers").select("doc_id", "category", "confidence")
 
 
+@query()
+def section_classify_texts(spark, sf_dir):
+    """Every document as a section: its first line is the heading, all others are paragraphs
+    and list items as they stand."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    rest = F.slice("lines", F.lit(2), F.size("lines"))
+    rows = rows.select(
+        "doc_id", F.get("lines", F.lit(0)).alias("heading"), rest.alias("paragraphs"), rest.alias("items"), F.array().cast("array<string>").alias("headers")
+    )
+    return U2.classify_sections(rows, "heading", "paragraphs", "items", "headers").select("doc_id", "category", "confidence", "secondary")
+
+
 @query(r"""
 with w as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) as s from documents where lang = 'en'),
 x as (select doc_id, lower(s) as word from w where length(s) >= 3 and not regexp_matches(s, '^[A-Z]{2,}$')),
