@@ -169,7 +169,7 @@ def line_dedup(
     rows = posted.where("longer").select(*line, "id")
     x, y = rows.alias("x"), rows.join(done, ["h1", "h2"], "left_anti").alias("y")
     pairs = x.join(
-        y, F.expr(f"x.tok = y.tok and (x.h1 <> y.h1 or x.h2 <> y.h2) and x.id <= y.id and {passing('x.', 'y.')}")
+        y, F.expr(f"x.tok = y.tok and (x.h1 <> y.h1 or x.h2 <> y.h2) and (x.id is null or x.id <= y.id) and {passing('x.', 'y.')}")
     ).select("y.h1", "y.h2", F.col("x.h1").alias("g1"), F.col("x.h2").alias("g2"))
     pairs = materialize(pairs.distinct(), "line-pairs-2").join(heads, ["h1", "h2", "g1", "g2"], "left_anti")
     links = links.unionByName(verified(pairs, "line-links-2"))

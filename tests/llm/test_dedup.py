@@ -111,6 +111,17 @@ def test_line_dedup(docs, rows):
     assert sum(r.n_lines for r in by) == total
 
 
+def test_line_dedup_pairs_lines_of_null_ids(spark):
+    lines = []
+    for k in range(12):  # a line with the rare words of two near copies heads some of their lists
+        w = [f"w{k}x{i}" for i in range(19)]
+        lines += [" ".join([*w, *(f"v{i}" for i in range(40))]), " ".join([*w, f"one{k}"]), " ".join([*w, f"two{k}"])]
+    docs = spark.createDataFrame([(None, "\n".join(lines))], "doc_id long, text string")
+    got = sorted((r.line_no, r.kept, r.match_line) for r in line_dedup.line_dedup(docs)[0].collect())
+    first = got[0][0]
+    assert got == [(first + i, i % 3 < 2, first + i - 1 if i % 3 == 2 else None) for i in range(36)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (100, 102), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
