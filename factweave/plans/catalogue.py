@@ -719,7 +719,8 @@ select h.page_id, m.m_id as master_id, case when h.n = g.n then 'match' else 'mi
 from h join m using (host) join h g on g.page_id = m.m_id where h.page_id <> m.m_id
 """)
 def page_report(spark, sf_dir):
-    """Every page against the first page of its host, field by field; parsed once."""
+    """The number of navigation links of every page against that of the first page of its host;
+    no other field is compared."""
     p = H.parse_pages(read(spark, sf_dir, "pages")).select("page_id", U.host("url").alias("host"), "links")
     p = p.select("page_id", "host", F.size(F.filter("links", lambda x: x["link_type"] == "navigation")).alias("n"))
     first = p.groupBy("host").agg(F.min(F.struct("page_id", "n")).alias("m"))
