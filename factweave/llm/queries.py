@@ -106,10 +106,13 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from best
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: which lines repeat, or nearly repeat, an earlier line of the corpus."""
-    lines, _ = line_dedup.line_dedup(_documents(spark, sf_dir))
-    return line_dedup.by_document(lines).select(
-        "doc_id", "n_lines", "n_removed", "n_chars_removed", F.concat_ws(",", F.transform("removed_lines", lambda x: x.cast("string"))).alias("removed_lines")
+    """Per document: which lines repeat, or nearly repeat, an earlier line of the corpus, and a
+    digest of what stays (of an empty string if nothing does)."""
+    found, _ = line_dedup.line_dedup(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_lines", "n_removed", "n_chars_removed",
+        F.concat_ws(",", F.transform("removed_lines", lambda x: x.cast("string"))).alias("removed_lines"),
+        F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -83,32 +84,68 @@ def test_ngram_join(docs, rows, k, threshold, limits):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == expected
 
 
-def test_line_dedup(docs, rows):
-    lines, _ = line_dedup.line_dedup(docs)
-    got = lines.collect()
+def _lines_that_go(rows):
+    """By brute force: of each (id, text) the numbers of the lines that go, and how many lines it has."""
+    # rows with one id are in the order of a hash that only the operator knows: both orders count
     order = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (_id(r[0]), str(r[1])))
-    sets = {}
+    seen, gone = [], {}
     for d, t in order:
+        gone[(d, t)] = set()
         for i, x in enumerate((t or "").split("\n")):
-            sets.setdefault((_id(d), i, x), frozenset(WORD.findall(x)))
-    keys = sorted(sets, key=lambda k: (k[0], k[1]))
-    gone = set()
-    for i, a in enumerate(keys):
-        for b in keys:
-            if (b[0], b[1]) < (a[0], a[1]) and sets[a] and sets[b]:
-                both = len(sets[a] & sets[b])
-                if a[2] == b[2] or 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                    gone.add(a)
+            w = frozenset(WORD.findall(x))
+            if not w:
+                continue
+            for y, v in seen:
+                both = len(w & v)
+                if x == y or 100 * both >= 80 * (len(w) + len(v) - both):
+                    gone[(d, t)].add(i)
                     break
-    ids = collections.Counter(r[0] for r in rows)
-    for r in got:
-        if ids[r.doc_id] == 1:  # ids that repeat have no order of their own here
-            key = next(k for k in keys if k[0] == _id(r.doc_id) and k[1] == r.line_no)
-            assert r.kept == (key not in gone), (r, key[2][:80])
-    total = sum(len((r[1] or "").split("\n")) for r in rows)
-    assert len(got) == total
-    by = line_dedup.by_document(lines).collect()
-    assert sum(r.n_lines for r in by) == total
+            seen.append((x, w))
+    return gone
+
+
+def _kept_text(text, gone):
+    rest = [x for i, x in enumerate((text or "").split("\n")) if i not in gone]
+    return text if not gone else "\n".join(rest) if rest else None
+
+
+def test_line_dedup(docs, rows):
+    unique = collections.Counter(r[0] for r in {(r[0], r[1]) for r in rows})
+    keep = [r for r in rows if unique[r[0]] == 1]  # the order of one id's texts is not known here
+    ids = [r[0] for r in keep]
+    got = line_dedup.line_dedup(docs.where(docs.doc_id.isin(ids)))[0].collect()
+    gone = _lines_that_go(keep)
+    expected = []
+    for n, (d, t, *_) in enumerate(keep):
+        lines = (t or "").split("\n")
+        own = gone[(d, t)] if (d, t) not in [(r[0], r[1]) for r in keep[:n]] else {i for i, x in enumerate(lines) if WORD.search(x)}
+        expected.append((d, len(lines), sorted(own), sum(len(lines[i]) for i in own), _kept_text(t, own)))
+    assert sorted((r.doc_id, r.n_lines, list(r.removed_lines), r.n_chars_removed, r.kept_text) for r in got) == sorted(expected, key=lambda x: (x[0], x[1], x[2]))
+    assert all(r.n_removed == len(r.removed_lines) for r in got)
+
+
+def test_line_dedup_counts_every_row(docs, rows):
+    got = line_dedup.line_dedup(docs)[0].collect()
+    assert len(got) == len(rows)
+    assert sum(r.n_lines for r in got) == sum(len((r[1] or "").split("\n")) for r in rows)
+
+
+@pytest.mark.parametrize("ids", ["none", "few"])
+def test_line_dedup_of_null_ids(spark, ids):
+    """Families of near copies, one line a document: all but the first of a family go."""
+    rng = random.Random(3)
+    rows = []
+    for f in range(12):
+        base = [f"w{f}x{i}" for i in range(30)]
+        for c in range(6):
+            w = list(base)
+            w[rng.randrange(30)] = f"n{f}c{c}"
+            rows.append((None if ids == "none" or c % 2 else len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = line_dedup.line_dedup(docs)[0].collect()
+    assert len(got) == 72 and sum(r.n_removed for r in got) == 60
+    if ids == "few":  # null ids come first, so no line with an id stays
+        assert all(r.n_removed == 1 for r in got if r.doc_id is not None)
 
 
 def test_line_dedup_pairs_lines_of_null_ids(spark):
@@ -117,9 +154,23 @@ def test_line_dedup_pairs_lines_of_null_ids(spark):
         w = [f"w{k}x{i}" for i in range(19)]
         lines += [" ".join([*w, *(f"v{i}" for i in range(40))]), " ".join([*w, f"one{k}"]), " ".join([*w, f"two{k}"])]
     docs = spark.createDataFrame([(None, "\n".join(lines))], "doc_id long, text string")
-    got = sorted((r.line_no, r.kept, r.match_line) for r in line_dedup.line_dedup(docs)[0].collect())
-    first = got[0][0]
-    assert got == [(first + i, i % 3 < 2, first + i - 1 if i % 3 == 2 else None) for i in range(36)]
+    found, removed = line_dedup.line_dedup(docs)
+    assert found.first().removed_lines == [i for i in range(36) if i % 3 == 2]
+    assert sorted((r.line_no, r.match_line) for r in removed.collect()) == [(i, i - 1) for i in range(2, 36, 3)]
+
+
+def test_line_dedup_of_text_ids_and_long_lists(spark):
+    """Ids that are no numbers, lines of many common words, and a shuffle in place of broadcasts."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"d{i:03d}", " ".join(rng.sample(words, rng.randint(1, 20)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: list(r.removed_lines) for r in line_dedup.line_dedup(docs, broadcast_ids=0)[0].collect()}
+    seen = []
+    for d, t in rows:
+        w = set(t.split())
+        assert got[d] == ([0] if any(len(w & v) * 100 >= 80 * len(w | v) for v in seen) else []), d
+        seen.append(w)
 
 
 def test_components(spark):
