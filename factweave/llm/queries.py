@@ -118,14 +118,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    sized, pieces = mixing.mix_sources(_documents(spark, sf_dir))
-    taken = pieces.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(
-        F.sum("length").alias("taken"), F.count("*").alias("n_pieces"), F.countDistinct("shard").alias("n_shards")
-    )
-    return sized.join(taken, F.expr("doc_id <=> id and key = k"), "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
-        F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"),
-    )
+    found = mixing.taken_of(*mixing.mix_sources(_documents(spark, sf_dir)))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "n_shards")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def test_mixing(spark, docs, rows, empty):
         assert r.size == r["sum"] and abs(taken[s] - r.target) <= 1
     p = pieces.collect()
     again = mixing.mix_sources(docs.repartition(2), block_words=64, shards=5, bucket_rows=3)[1].collect()
-    key = lambda r: (str(r.doc_id), r.key, r.copy, r.start, r.length, r.block, r.shard)
+    key = lambda r: (str(r.doc_id), r.key, r.row, r.copy, r.start, r.length, r.block, r.shard)
     assert sorted(map(key, p)) == sorted(map(key, again))
     assert mixing.mix_sources(empty)[1].count() == 0
     mixed = mixing.mixed_documents(docs)
@@ -105,6 +105,70 @@ def test_mixing(spark, docs, rows, empty):
     assert all(abs(r.n - want[r.source]) <= 1 for r in words)
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Every row takes at most twice its own size, and a source's rows add up to its target."""
+    rows = [(1, "a b c d e", "s")] * 2 + [(2, "f g h", "s")] + [(None, "x " * 40, "t")] * 3000 + [(3, "x y", "t"), (3, "x y", "u"), (4, None, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.taken_of(*mixing.mix_sources(docs, block_words=16, shards=3, bucket_rows=2)).collect()
+    assert collections.Counter((r.doc_id, r.source) for r in got) == collections.Counter((d, s) for d, _, s in rows)
+    total = collections.Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        total[r.source] += r.taken
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    want = mixing.targets(list(size.items()))
+    assert all(abs(total[s] - want[s]) <= 1 for s in size)
+    mixed = mixing.mixed_documents(docs, block_words=16, shards=3).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()
+    assert all(abs(r.n - want[r.source]) <= 1 for r in mixed)
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    rows = [(i, f"w{i} " * (i + 1), "s", i * 10, -i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key long, shard long")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert all(r.key == 10 * r.doc_id and r.shard == -r.doc_id for r in got.collect())
+
+
+def test_mixed_documents_follow_the_shards(docs):
+    """Partitions hold whole shards: the order of rows is the tree's, not that of the stream."""
+    options = {"block_words": 64, "shards": 5}
+    _, pieces = mixing.mix_sources(docs, **options)
+    first = {}
+    for r in pieces.collect():
+        k = (r.doc_id, r.source)
+        first.setdefault(k, set()).add(r.shard)
+    parts = mixing.mixed_documents(docs, **options).withColumn("part", F.spark_partition_id()).collect()
+    shards = collections.defaultdict(list)
+    for r in parts:
+        shards[r.part].append(first[(r.doc_id, r.source)])
+    assert len(shards) > 1 and all(any(len(s) == 1 for s in own) for own in shards.values())
+    whole = collections.defaultdict(set)  # a shard known for sure is in one partition only
+    for p, own in shards.items():
+        for s in own:
+            if len(s) == 1:
+                whole[next(iter(s))].add(p)
+    assert all(len(p) == 1 for p in whole.values())
+
+
+def test_hypergeometric_draws_of_any_size():
+    rng = np.random.default_rng(4)
+    for good, bad, draws in ((30, 50, 20), (5, 0, 3), (1, 9, 10), (700, 300, 999), (0, 4, 2)):
+        got = np.array([mixing._hypergeometric(rng, good, bad, draws) for _ in range(4000)])
+        assert got.min() >= max(0, draws - bad) and got.max() <= min(good, draws)
+        own = np.random.default_rng(5).hypergeometric(good, bad, draws, 4000)
+        assert abs(got.mean() - own.mean()) < 0.15 * (1 + own.std()) and abs(got.std() - own.std()) < 0.1 * (1 + own.std())
+    good, bad, draws = 3_000_000_000, 5_000_000_000, 4_000_000_001  # over numpy's own limit
+    got = np.array([mixing._hypergeometric(rng, good, bad, draws) for _ in range(300)])
+    n = good + bad
+    deviation = (draws * (good / n) * (bad / n) * (n - draws) / (n - 1)) ** 0.5
+    assert abs(got.mean() - draws * good / n) < 0.3 * deviation and 0.85 < got.std() / deviation < 1.15
+    quotas = mixing.splitting_tree(np.array([2_000_000_001, 7, 3_000_000_000]), 4)
+    assert quotas.sum(axis=0).tolist() == [2_000_000_001, 7, 3_000_000_000] and np.ptp(quotas.sum(axis=1)) <= 3
+
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -118,10 +182,11 @@ def brute_quality(text):
     if len(w) < 50 or 2 * cover(3) > len(w):
         return False
     seen = collections.Counter(tuple(w[i : i + 201]) for i in range(len(w) - 200))
-    return 2 * cover(8) <= len(w) and max(seen.values(), default=1) < 2
+    return 4 * cover(8) <= len(w) and max(seen.values(), default=1) < 2
 
 
 def brute_near(rows):
+    """Of (id, text): the ids that stay; null ids are never the smallest."""
     grams = []
     for _, t in rows:
         w = WORD.findall(t.translate(LOWER))
@@ -134,35 +199,39 @@ def brute_near(rows):
                 group = [new if g == old else g for g in group]
     best = {}
     for g, (d, _) in zip(group, rows, strict=True):
-        best[g] = min(best.get(g, d), d)
-    return sorted(best.values())
+        best[g] = min(best.get(g, (True, 0)), (d is None, d or 0))
+    return sorted(str(None if none else d) for none, d in best.values())
 
 
 def test_pipeline_against_brute_force(spark, docs, rows, tmp_path):
-    own = docs.where("doc_id is not null and doc_id <> 5 and doc_id <> 3").select("doc_id", "text", "lang", "source", "n_chars")
+    """All rows: null ids, a row twice and one id with two texts included."""
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     frames, cur = [], own
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, cur, "").write.parquet(str(tmp_path / name))
         cur = spark.read.parquet(str(tmp_path / name))
         frames.append(cur)
-    left = [(r[0], r[1] or "") for r in rows if r[0] not in (None, 3, 5)]
-    left = [(d, t) for d, t in left if brute_quality(t)]
-    assert sorted(r.doc_id for r in frames[0].collect()) == sorted(d for d, _ in left)
-    by_text = {}
+    ids = lambda x: sorted(str(r.doc_id) for r in x.collect())
+    left = [(r[0], r[1]) for r in rows if r[1] and brute_quality(r[1])]
+    assert ids(frames[0]) == sorted(str(d) for d, _ in left)
+    assert len(left) > len(set(left)) or any(d is None for d, _ in left)
+    best = {}
+    for d, t in left:
+        k = t.translate(LOWER)
+        best[k] = max(best.get(k, (False, 0, t)), (d is not None, d or 0, t))
+    left = [(d if has else None, t) for has, d, t in best.values()]
+    assert ids(frames[1]) == sorted(str(d) for d, _ in left)
+    assert ids(frames[2]) == brute_near(left)
+    texts, mixed = collections.defaultdict(list), frames[3].collect()
     for d, t in left:
-        by_text[t.translate(LOWER)] = max(d, by_text.get(t.translate(LOWER), d))
-    left = [(d, t) for d, t in left if by_text[t.translate(LOWER)] == d]
-    assert sorted(r.doc_id for r in frames[1].collect()) == sorted(d for d, _ in left)
-    near = brute_near(sorted(left))
-    assert sorted(r.doc_id for r in frames[2].collect()) == near
-    texts, mixed = dict(left), frames[3].collect()
+        texts[d].append(t)
     size = collections.Counter()
     for r in frames[2].collect():
         size[r.source] += len(WORD.findall(r.text))
     want, got = mixing.targets(list(size.items())), collections.Counter()
     for r in mixed:
         got[r.source] += len(WORD.findall(r.text))
-        assert texts[r.doc_id].startswith(r.text) and len(WORD.findall(r.text)) > 0
+        assert any(t.startswith(r.text) for t in texts[r.doc_id]) and len(WORD.findall(r.text)) > 0
     assert all(abs(got[s] - want[s]) <= 1 for s in size)
     tok = Tokenizer.from_file(PATH)
     lengths = sorted(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
