@@ -15,11 +15,14 @@ from factweave.functions import text as T
 from factweave.functions import urls as U
 from factweave.functions import values as V
 from factweave.operators import compare as C
+from factweave.operators import report as P
 from factweave.operators import resolve as R
 from factweave.operators import understand as U2
 from factweave.operators import windows as W
+from factweave.plans import run, site
 from factweave.sources import crawl as S
 from factweave.sources import html as H
+from factweave.sources.store import cut
 from factweave.streaming import monitor as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,21 +714,99 @@ def page_understanding(spark, sf_dir):
     )
 
 
-@query(r"""
-with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) as host, lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) as t,
-                  len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) as n from pages),
-m as (select host, min(page_id) as m_id from h group by host)
-select h.page_id, m.m_id as master_id, case when h.n = g.n then 'match' else 'mismatch' end as nav_status
-from h join m using (host) join h g on g.page_id = m.m_id where h.page_id <> m.m_id
-""")
-def page_report(spark, sf_dir):
-    """The number of navigation links of every page against that of the first page of its host;
-    no other field is compared."""
-    p = H.parse_pages(read(spark, sf_dir, "pages")).select("page_id", U.host("url").alias("host"), "links")
-    p = p.select("page_id", "host", F.size(F.filter("links", lambda x: x["link_type"] == "navigation")).alias("n"))
-    first = p.groupBy("host").agg(F.min(F.struct("page_id", "n")).alias("m"))
-    both = p.join(first, "host").where(F.col("page_id") != F.col("m.page_id"))
-    return both.select("page_id", F.col("m.page_id").alias("master_id"), F.when(F.col("n") == F.col("m.n"), "match").otherwise("mismatch").alias("nav_status"))
+# ---------------------------------------------------------------- a whole run over a constructed crawl
+
+_CLAIMS = "with " + site.RULES + """
+select 2 * p as page_id, field_key, raw_value from r, (values ('duration', '2 years'), ('credits', '90 credits'), ('placementSupport', 'career services for all')) v(field_key, raw_value) where not unlisted
+union all select 2 * p + 1, 'duration', case d when 0 then '24 months' when 1 then '2 years' else '3 years' end from r where not gone and d < 3
+union all select 2 * p + 1, 'credits', case c when 0 then '80 credits' else '90 credits' end from r where not gone and c <> 1
+union all select 2 * p + 1, 'placementSupport', case a when 0 then 'no placement support' else 'career services for all' end from r where not gone
+union all select -p - 1, field_key, raw_value from r, (values ('duration', '2 years'), ('credits', '90 credits'), ('placementSupport', 'career services for all')) v(field_key, raw_value) where doubled and not unlisted
+"""
+
+
+@query(_CLAIMS)
+def run_claims(spark, sf_dir):
+    """Three of the claims of every page of the crawl, through the parser."""
+    found = run.claims(run.parsed(site.crawl(read(spark, sf_dir, "pages"))))
+    return found.where(F.col("field_key").isin("duration", "credits", "placementSupport")).select("page_id", "field_key", "raw_value")
+
+
+@query("with " + site.RULES + """
+, q as (select 2 * p as page_id, true as m, r.* from r where not unlisted union all select 2 * p + 1, false, r.* from r where not gone union all select -p - 1, true, r.* from r where doubled and not unlisted)
+select page_id, 'SPECIALIZATION' as field, v as value from q, (values ('Corporate Finance'), ('Risk Analytics'), ('Market Law')) t(v) where m or s = 0 or v <> 'Market Law'
+union all select page_id, 'FEES', case when m then 'Total program fee ₹1,20,000' when f = 0 then 'Total program fee ₹1,30,000' else 'Total program fee ₹1.2 lakh' end from q where m or f <> 1
+union all select page_id, 'ELIGIBILITY', case when not m and e = 0 then 'Graduation with 60% marks' else 'Graduation with 50% marks' end from q
+""")
+def run_facts(spark, sf_dir):
+    """What the sections of every page state."""
+    found = run.facts(run.parsed(site.crawl(read(spark, sf_dir, "pages"))))
+    # a list without a heading of its own follows one: the attribute after it isn't an offering
+    return found.where(F.col("field").isin("SPECIALIZATION", "FEES", "ELIGIBILITY") & ~F.col("value").startswith("Placement Support")).select("page_id", "field", "value")
+
+
+_OUTCOMES = "with " + site.RULES + """
+, o as (select *, case when gone then 'target_unreachable' when unlisted then 'authoritative_page_not_found' when doubled then 'ambiguous_candidates' else 'success' end as outcome from r)
+"""
+
+
+def _resolved(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    parsed = cut(run.parsed(site.crawl(pages)))
+    return parsed, run.resolve(run.identities(parsed), site.targets(pages), site.DOMAIN, site.HOME)
+
+
+@query(_OUTCOMES + """
+select p as target_idx, outcome, case when outcome = 'success' then 2 * p end as master_page, case when outcome = 'success' then 'high' end as confidence from o
+""")
+def run_outcomes(spark, sf_dir):
+    """Every target's authoritative page, or why there is none."""
+    return _resolved(spark, sf_dir)[1].select("target_idx", "outcome", "master_page", "confidence")
+
+
+_REPORT = _OUTCOMES + """
+, w as (select p as target_idx, unnest([
+    {'field': 'Fee Structure', 'status': case when f <= 1 then 'UNMATCH' else 'MATCH' end},
+    {'field': 'Discount', 'status': 'MATCH'},
+    {'field': 'Eligibility', 'status': case when e = 0 then 'UNMATCH' else 'MATCH' end},
+    {'field': 'Specializations', 'status': case when s = 0 then 'MATCH' else 'PARTIAL' end},
+    {'field': 'Course Duration', 'status': case when d >= 2 then 'UNMATCH' else 'MATCH' end},
+    {'field': 'Course Curriculum', 'status': 'NEEDS_REVIEW'},
+    {'field': 'Credits', 'status': case when c <= 1 then 'UNMATCH' else 'MATCH' end},
+    {'field': 'Others', 'status': case when a = 0 then 'UNMATCH' else 'MATCH' end},
+    {'field': 'Accreditation', 'status': 'NEEDS_REVIEW'},
+    {'field': 'Rankings & Accreditations', 'status': 'NEEDS_REVIEW'}]) as x from o where outcome = 'success'),
+report as (select target_idx, x.field as field, x.status as status from w)
+"""
+
+
+@query(_REPORT + "select * from report")
+def run_report(spark, sf_dir):
+    """The ten rows of every target that has an authoritative page: a run from html to report."""
+    return run.report(*_resolved(spark, sf_dir)).select("target_idx", "field", "status")
+
+
+@query(_REPORT + """
+select target_idx, max(case when field = 'Fee Structure' then status end) as fees, max(case when field = 'Specializations' then status end) as specializations,
+       max(case when field = 'Course Duration' then status end) as duration, count(*) filter (status = 'MATCH') as n_match, count(*) filter (status = 'UNMATCH') as n_unmatch,
+       case when bool_or(status <> 'MATCH') then 'changes_found' else 'verified_match' end as overall_status
+from report group by target_idx
+""")
+def run_overview(spark, sf_dir):
+    """One row a target: the pivoted statuses and the summary of its ten rows."""
+    rows = cut(run.report(*_resolved(spark, sf_dir)))
+    summary = C.report_summary(rows, ["target_idx"]).select("target_idx", "n_match", "n_unmatch", "overall_status")
+    wide = P.wide(rows, ["target_idx"]).select("target_idx", F.col("Fee Structure").alias("fees"), F.col("Specializations").alias("specializations"), F.col("Course Duration").alias("duration"))
+    return wide.join(summary, "target_idx")
+
+
+@query(_OUTCOMES + """
+select count(*) as targets, count(*) filter (outcome = 'success') as success, count(*) filter (outcome = 'ambiguous_candidates') as ambiguous,
+       count(*) filter (outcome = 'authoritative_page_not_found') as not_found, count(*) filter (outcome = 'target_unreachable') as unreachable, 0::bigint as failed from o
+""")
+def run_summary(spark, sf_dir):
+    """The bar of a run: targets by outcome."""
+    return P.run_summary(_resolved(spark, sf_dir)[1])
 
 
 @query()

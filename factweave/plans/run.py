@@ -61,23 +61,31 @@ def facts(pages: DataFrame) -> DataFrame:
 def resolve(ids: DataFrame, targets: DataFrame, domain: str, homepage: str | None = None) -> DataFrame:
     """Each target (target_idx, url) with its authoritative page within ``domain``, or why none.
 
-    Pairs come from shared probes (degree, institution, any keyword), since no other pair can
-    reach the confidence threshold; gates come before scores.
+    No pair is made that couldn't be chosen.  A target with a subject only passes the program
+    gate with pages that share a token of it, so those tokens are the probes.  One without passes
+    with any page; but a page that counts has its degree, program or institution in common, or
+    else a word of these in its address, so these are.
     """
-    keyed = ids.withColumn("key", U.url_key("url"))
-    probes = F.array_distinct(F.concat(
-        F.array_compact(F.array(F.concat(F.lit("d:"), T.comparison_key("degree")), F.concat(F.lit("i:"), T.comparison_key(F.coalesce("institution", "brand"))))),
-        T.tokens(F.concat_ws(" ", "title", F.array_join(F.coalesce("headings", F.array().cast("array<string>")), " "), "url", "program")),
-    ))
-    keyed = keyed.withColumn("probe", F.explode(probes))
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in ids.columns], "probe")
-    t = side(keyed.join(targets.select("target_idx", U.url_key("url").alias("key")), "key").drop("target_idx"), "t")
-    c = side(keyed.where(U.within_domain("url", F.lit(domain))), "c")
-    pairs = t.join(c, "probe").drop("probe").where("t_page_id <> c_page_id").dropDuplicates(["t_page_id", "c_page_id"])
+    blank = F.lit("")
+    name = F.coalesce("institution", "brand")
+    words = F.concat_ws(" ", "title", F.array_join(F.coalesce("headings", F.array().cast("array<string>")), " "), "program")
+    exclude = F.concat_ws(" ", "exclude", "institution", "brand")
+    told = lambda tag, c: F.when(T.comparison_key(c) != "", F.concat(F.lit(tag), T.comparison_key(c)))
+    keys = F.array_compact(F.array(told("d:", F.coalesce("degree", blank)), told("p:", F.coalesce("program", blank)), told("i:", F.coalesce(name, blank))))
+    marked = lambda tag, toks: F.transform(toks, lambda x: F.concat(F.lit(tag), x))
+    keyed = ids.withColumn("key", U.url_key("url")).withColumn("subject", R.subject_tokens("program", exclude)).withColumn("own", R.subject_tokens(words, exclude))
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in [*ids.columns, "subject", "own"]])
+    probes = lambda df, s, x: df.select(F.col("page_id").alias(f"{s}_page_id"), F.explode(F.array_distinct(x)).alias("probe"))
+    known = marked("u:", T.tokens(F.concat_ws(" ", "degree", "program", name)))
+    asked = F.when(F.size("subject") > 0, marked("s:", F.col("subject"))).otherwise(F.concat(keys, known))
+    offered = F.concat(keys, marked("u:", T.tokens("url")), marked("s:", F.col("own")))
+    t = keyed.join(targets.select(U.url_key("url").alias("key")).distinct(), "key", "left_semi")
+    c = keyed.where(U.within_domain("url", F.lit(domain)))
+    # ids meet first; what is compared is fetched for distinct pairs
+    met = probes(t, "t", asked).join(probes(c, "c", offered), "probe").where("t_page_id <> c_page_id").select("t_page_id", "c_page_id").distinct()
+    pairs = met.join(side(t, "t"), "t_page_id").join(side(c, "c"), "c_page_id")
     verdict = R.text_verdict(F.coalesce("t_institution", "t_brand"), F.coalesce("c_institution", "c_brand"))
-    subject = R.subject_tokens("t_program", F.concat_ws(" ", "t_exclude", "t_institution", "t_brand"))
-    own = R.subject_tokens(F.concat_ws(" ", "c_title", F.array_join("c_headings", " "), "c_program"), F.concat_ws(" ", "c_exclude", "c_institution", "c_brand"))
-    gated = pairs.where(R.institution_gate(verdict, F.lit("inconclusive")) & R.program_gate(subject, own))
+    gated = pairs.where(R.institution_gate(verdict, F.lit("inconclusive")) & R.program_gate(F.col("t_subject"), F.col("c_own")))
     chosen = R.select_page(R.score(gated, homepage), "t_page_id", "c_page_id", "c_page_id")
     where = targets.select("target_idx", U.url_key("url").alias("key")).join(ids.select(F.col("page_id").alias("t_page_id"), U.url_key("url").alias("key")), "key", "left")
     return where.join(chosen, "t_page_id", "left").select(
