@@ -174,7 +174,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``spans`` are the maximal runs of bytes (start, end) covered by strings of ``length`` bytes
     that start at two places or more in the input.  Texts are UTF-8 bytes; null counts as empty;
     texts shorter than ``length`` have no spans.  Repeated rows are copies of each other, so all
-    of their long texts is covered; nothing stays of either.
+    of their long texts is covered; nothing stays of either.  They are read once, with their
+    number, so any number of them costs no more than one and as many result rows.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -195,9 +196,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = (
         found.join(shared.select("f", (F.col("n") > max_group).alias("hot")), "f")
         .groupBy("rk", "hot")
-        .agg(F.collect_list(F.struct("x", "ext", "f")).alias("at"))
+        .agg(F.collect_set(F.struct("x", "ext", "f")).alias("at"))  # repeated rows have the same
     )
-    base = source.repartition(parts, "rk")
+    # one row for rows that repeat id and text, combined before the text is shuffled
+    base = source.groupBy("id", "rk").agg(F.any_value("text").alias("text"), F.count("*").alias("rows"))
 
     def contexts(batches):
         for batch in batches:
@@ -230,7 +232,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["rk", "start", "end"],
             )
 
-    columns = ["id", "rk", "text", "at"]
+    columns = ["id", "rk", "text", "at", "rows"]
     spans = (
         base.join(placed.where("not hot"), "rk")
         .select(*columns)
@@ -271,11 +273,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                texts, at = text_bytes(part, "text"), part.column(3).to_pylist()
+                texts, at, rows = text_bytes(part, "text"), part.column(3).to_pylist(), part.column(4).to_pylist()
                 out_spans, removed, n_spans, digests, kept = [], [], [], [], []
-                for text, own in zip(texts, at, strict=True):
+                for text, own, n in zip(texts, at, rows, strict=True):
+                    found = sorted((o["start"], o["end"]) for o in own or ())
+                    if n > 1 and len(text) >= length:
+                        found = [(0, len(text))]
                     merged: list[list[int]] = []
-                    for s, e in sorted((o["start"], o["end"]) for o in own or ()):
+                    for s, e in found:
                         if merged and s <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], e)
                         else:
@@ -295,14 +300,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 arrays = [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(out_spans, kind), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
                 if with_kept:
                     arrays.append(pa.array(kept, pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                yield pa.RecordBatch.from_arrays([*arrays, part.column(1), part.column(4)], names=schema.names)
 
     schema = docs.select(id_col).schema
     for name, kind in (("n_bytes", "long"), ("spans", "array<struct<start:bigint,end:bigint>>"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, _type(kind))
     if with_kept:
         schema = schema.add("kept", "binary")
-    return base.join(gathered, "rk", "left").select(*columns).mapInArrow(cut, schema)
+    columns_out = schema.names
+    schema = schema.add("suffix_row_key", "long").add("suffix_rows", "long")
+    found = base.join(gathered, "rk", "left").select(*columns).mapInArrow(cut, schema)
+    # as many rows as came in: a thousand at a time, dealt over tasks
+    most = F.lit(1000).cast("long")
+    every = found.withColumn("suffix_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("suffix_rows") - 1) / most))))
+    every = every.repartition(parts, "suffix_row_key", "suffix_part")
+    return every.withColumn("suffix_part", F.explode(F.sequence(F.col("suffix_part") * most, F.least("suffix_rows", (F.col("suffix_part") + 1) * most) - 1))).select(*columns_out)
 
 
 def _type(ddl: str):
