@@ -8,7 +8,8 @@ of least weighted logistic loss; a small margin to the next codeword flags ambig
 
 Training counts trigrams of all labelled training rows: each task emits counts per language,
 which are added up; what reaches the driver is bins x languages.  Scales and weights of the
-bits are fitted on a bounded sample (``calibration_rows`` per language, by hash).
+bits are fitted on a bounded sample: of each language the ``calibration_rows`` distinct texts
+of least hash among those that a hash chooses, the same on every run.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import chunks, joined, text_bytes
@@ -114,7 +115,10 @@ def _margins(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", n_bins: int = 1 << 16, calibration_rows: int = 500) -> LanguageModel:
-    """Learn from all rows of ``train`` with a language; rows without one are left out."""
+    """Learn from all rows of ``train`` with a language; rows without one are left out.
+
+    Null and very short texts have no trigram and add nothing; repeated rows count as often as
+    they occur (but once in the calibration sample); without rows no language is learned."""
     train = train.where(F.col(lang_col).isNotNull()).select(text_col, lang_col)
     rows = count_trigrams(train, text_col, lang_col, n_bins).toPandas()
     languages = sorted(rows["lang"].unique())
@@ -134,11 +138,11 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", n_bins
     # scales, thresholds and trust of the bits from a bounded sample of each language
     ranked = train.withColumn("h", F.xxhash64(text_col, lang_col))
     n_rows = {r[lang_col]: r["n"] for r in ranked.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
-    keep = F.lit(False)
-    for lang in languages:
-        part = min(1.0, 2.0 * calibration_rows / n_rows[lang])
-        keep = keep | ((F.col(lang_col) == lang) & (F.pmod(F.col("h"), 1_000_000) < int(part * 1_000_000)))
-    sample = ranked.where(keep)
+    parts = [F.lit(x) for lang in languages for x in (lang, int(min(1.0, 2.0 * calibration_rows / n_rows[lang]) * 1_000_000))]
+    chosen = ranked.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(F.create_map(*parts), F.col(lang_col)))
+    # repeated rows count once, so about twice ``calibration_rows`` are left of a language
+    first = Window.partitionBy(lang_col).orderBy("h")
+    sample = chosen.groupBy(lang_col, "h").agg(F.any_value(text_col).alias(text_col)).withColumn("place", F.row_number().over(first)).where(F.col("place") <= calibration_rows)
 
     def score(batches):
         for batch in batches:
@@ -146,7 +150,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", n_bins
                 m = _margins(text_bytes(part, text_col, lower=True), weights)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(m))], names=["lang", "m"])
 
-    fitted = sample.select(text_col, lang_col).mapInArrow(score, "lang string, m array<double>").limit(4 * calibration_rows * len(languages)).toPandas()
+    fitted = sample.select(text_col, lang_col).mapInArrow(score, "lang string, m array<double>").toPandas()
     m = np.stack(fitted["m"].to_numpy()) if len(fitted) else np.zeros((0, n_bits))
     index = np.array([languages.index(x) for x in fitted["lang"]], dtype=int)
     bias, scale, trust = np.zeros(n_bits), np.ones(n_bits), np.ones(n_bits)
@@ -178,6 +182,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """``(id, lang_pred, score, ambiguous)`` for every row from its whole text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or if no language was learned.
+    Of codewords at equal loss the first language by name is chosen; ``ambiguous`` is set then.
+    Repeated rows and null ids give as many rows with one and the same answer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bins x bits floats, whatever the input
     source = docs.select(

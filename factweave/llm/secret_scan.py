@@ -4,6 +4,8 @@ A byte-pair vocabulary spells ordinary words and identifiers with few tokens and
 strings with many.  Maximal runs of key-like characters that hold digits and letters are
 encoded; a run with few characters per token is reported, unless it has the shape of a known
 digest or identifier (hex digests, UUIDs, numbers and dates, words joined by separators).
+Runs of fewer than 12 characters, the length the patterns ask for too, are not tested: four or
+five tokens tell chance from spelling too rarely.
 
 Scale: a map over documents.  Whole texts are searched; cheap byte searches decide which
 documents the patterns need to see.
@@ -104,7 +106,8 @@ def find_secrets(
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind as in
     ``KINDS``; base spans always stay.  A null or empty text has none.  ``vocabulary`` is the
     path of a rank file every executor has.  ``max_chars_per_token`` holds from 20 characters on;
-    below, ``SHORT`` is stricter.
+    below, ``SHORT`` is stricter.  Spans of different kinds may overlap and all are given; spans
+    that start together are ordered by kind.  Repeated rows and null ids give as many rows.
     """
     schema = docs.select(id_col).schema
     for c in ("n_assign", "n_access", "n_hex", "n_random"):

@@ -75,8 +75,9 @@ def judge_urls(
     """``(id, host, path, rule, verdict)``, one row per input row.
 
     ``rules(rule, verdict)`` as ``host/path``.  A null url, or one without ``://``, has an empty
-    host and path; it fits no rule and takes ``default``.  Repeated rules count once; rules
-    without a slash or null are ignored.  Repeated rows and null ids stay.
+    host and path; it fits no rule and takes ``default``.  Repeated rules count once, and a rule
+    with both verdicts blocks; of different rules of one length the one with the longer host
+    wins.  Rules without a slash or null are ignored.  Repeated rows and null ids stay.
     """
     spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))

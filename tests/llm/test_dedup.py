@@ -54,6 +54,15 @@ def test_suffix_dedup(docs, rows, group):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_suffix_dedup_of_many_repeated_rows(spark):
+    """Ten thousand copies of a row cost as one; short ones stay, long ones go."""
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(4000))
+    rows = [(None, long)] * 5000 + [(7, long)] * 3000 + [(8, "short")] * 2000 + [(9, "x" + long[500:800] + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.repeated_spans(docs).collect())
+    assert got == {(None, 4000, 4000, 1): 5000, (7, 4000, 4000, 1): 3000, (8, 5, 0, 0): 2000, (9, 302, 300, 1): 1}
+
+
 @pytest.mark.parametrize("limits", [{}, {"list_rows": 3, "star_rows": 2, "broadcast_ids": 0}])
 @pytest.mark.parametrize(("k", "threshold"), [(4, (85, 100)), (5, (80, 100))])
 def test_ngram_join(docs, rows, k, threshold, limits):

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -51,6 +52,25 @@ def test_packing_round_trip(docs, rows, empty):
     assert packing.pack(empty, PATH).count() == 0
 
 
+@pytest.mark.parametrize("score", ["residual", "dot"])
+def test_packing_under_three_binding_capacities(docs, rows, score):
+    """Documents and attention bind as well as tokens; each is reached by some sequence."""
+    limits = {"max_tokens": 256, "max_docs": 3, "max_attention": 256 * 200}
+    docs = docs.where("octet_length(text) < 900")  # a piece of 256 tokens would fit nowhere
+    got = packing.pack(docs, PATH, score=score, weights=(1.0, 1.0, 1.0), **limits).collect()
+    tokens, count, cost = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in got:
+        tokens[r.sequence_id] += r.length
+        count[r.sequence_id] += 1
+        cost[r.sequence_id] += r.length**2
+    assert len(got) == docs.count()
+    assert max(tokens.values()) <= 256 and max(count.values()) == 3 and max(cost.values()) <= 256 * 200
+    loose = {r.sequence_id for r in packing.pack(docs, PATH, max_tokens=256).collect()}
+    assert len(loose) < len(tokens) <= 2 * max(-(-sum(tokens.values()) // 256), -(-len(got) // 3), -(-sum(cost.values()) // (256 * 200)))
+    with pytest.raises(ValueError, match="fits no empty bin"):
+        packing.pack(docs, PATH, max_tokens=256, max_attention=4).count()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=200), st.sampled_from(["residual", "dot"]), st.integers(1, 64), st.integers(4096 // 4, 4096))
 def test_plan_keeps_every_capacity(lengths, score, docs, attention):

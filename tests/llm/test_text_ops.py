@@ -98,6 +98,69 @@ def test_language_id_odd_rows(docs, rows, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    """Counts, log ratios, calibration and decoding written out plainly."""
+    rng = random.Random(11)
+    letters = {"de": "aeinrstzßü", "en": "aehiknotwy", "fr": "aeilmorsué"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 5)))
+    rows = [(i, " ".join(word(lang) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate(("de", "en", "fr") * 20)]
+    rows += [(100, "Aü", "de"), (101, "", "en"), (102, None, "fr"), (103, "x", None), (None, "WHY now", None), (104, rows[0][1], "de")]
+    bins = 1 << 12
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(df, n_bins=bins)
+    got = collections.Counter((r.doc_id, r.lang_pred, round(r.score, 6), r.ambiguous) for r in language_id.predict(df, model).collect())
+
+    def grams(text):
+        b = (text or "").encode().lower() + b"\n"
+        return [((((b[i] << 16) | (b[i + 1] << 8) | b[i + 2]) * 2654435761 % 2**32) >> 8) % bins for i in range(len(b) - 2)]
+
+    langs = sorted(letters)
+    count = {x: collections.Counter(g for _, t, lang in rows if lang == x for g in grams(t)) for x in langs}
+    share = {x: {g: n / sum(count[x].values()) for g, n in count[x].items()} for x in langs}
+    codes = language_id.codewords(3)
+    mean = lambda side, g: sum(share[x].get(g, 0) for x in side) / len(side)
+    sides = [([x for x, c in zip(langs, codes, strict=True) if c[b] > 0], [x for x, c in zip(langs, codes, strict=True) if c[b] < 0]) for b in range(codes.shape[1])]
+    ratio = [{g: np.float32(np.log((mean(one, g) + 1e-7) / (mean(zero, g) + 1e-7))) for g in range(bins)} for one, zero in sides]
+
+    def margins(text):
+        own = grams(text)
+        return [float(np.mean([ratio[b][g] for g in own], dtype=np.float64)) if own else 0.0 for b in range(len(sides))]
+
+    distinct = {(t, lang) for _, t, lang in rows if lang}  # under 500 of each: all are taken
+    fitted = [(margins(t), lang) for t, lang in distinct]
+    bias, scale, trust = [], [], []
+    for b, (one, _) in enumerate(sides):
+        up = [m[b] for m, lang in fitted if lang in one]
+        down = [m[b] for m, lang in fitted if lang not in one]
+        mid = (np.median(up) + np.median(down)) / 2
+        wrong = (np.mean([x <= mid for x in up]) + np.mean([x >= mid for x in down])) / 2
+        bias.append(mid)
+        scale.append(4 / (np.median(up) - np.median(down)))
+        trust.append(max(1e-3, np.log((1 - wrong + 1e-3) / (wrong + 1e-3))))
+    trust = [x / sum(trust) for x in trust]
+    expected = collections.Counter()
+    for d, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            expected[(d, "und", 0.0, True)] += 1
+            continue
+        z = [(m - b) * s for m, b, s in zip(margins(t), bias, scale, strict=True)]
+        loss = [sum(w * np.log1p(np.exp(-x * c)) for x, c, w in zip(z, code, trust, strict=True)) for code in codes.astype(float)]
+        score = 1 / sum(np.exp(-4 * (x - min(loss))) for x in loss)
+        two = sorted(loss)
+        expected[(d, langs[loss.index(min(loss))], round(score, 6), bool(two[1] - two[0] < 0.1))] += 1
+    close = lambda c: sorted((str(d), x, a, round(s, 4)) for (d, x, s, a), n in c.items() for _ in range(n))
+    assert close(got) == close(expected)
+
+
+def test_language_id_long_text_and_reruns(spark):
+    long = "the quick brown fox jumps over it " * 60_000
+    rows = [(i, ("wort und satz " if i % 2 else "word and phrase ") * (1 + i % 5), ("de", "en")[(i + 1) % 2]) for i in range(60)] * 3 + [(99, long, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.fit(df.repartition(n), calibration_rows=10) for n in (2, 5))
+    assert (one.bias == two.bias).all() and (one.scale == two.scale).all() and (one.trust == two.trust).all()
+    assert {r.lang_pred for r in language_id.predict(df.where("doc_id = 99"), one).collect()} == {"en"}
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 12, 40])
 def test_codewords_differ(n):
     codes = language_id.codewords(n).astype(int)
@@ -152,6 +215,36 @@ def test_secrets_joined_words_are_judged_by_their_pieces():
     assert all(said(x) for x in random_ones) and not any(said(x) for x in plain)
 
 
+def test_secrets_planted_in_prose(spark):
+    """Precision and recall of the token test: planted keys against names, words, paths and digests."""
+    rng = random.Random(23)
+    encode = secret_scan._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    alphabet = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    planted = ["".join(rng.choices(alphabet[k], k=n)) for k in alphabet for n in (16, 20, 24, 32, 40, 64) for _ in range(40)]
+    words = "configuration service request handler session manager default internal public response payload version release update counter buffer window module system network".split()
+    plain = []
+    for _ in range(300):
+        w = rng.sample(words, 3)
+        plain += ["_".join(w), "-".join(w) + "-2024", w[0] + w[1].title() + w[2].title(), "/".join(w), "".join(w), hashlib.md5(w[0].encode()).hexdigest()]
+    plain += [f"2024-0{1 + i % 9}-1{i % 10}T10-20-3{i % 10}" for i in range(50)] + [f"{rng.getrandbits(128):032x}" for _ in range(50)]
+    found = lambda x: any(s[1] == 3 for s in secret_scan.scan(f"before {x} after", encode, 2.2))
+    hit, wrong = sum(map(found, planted)), sum(map(found, plain))
+    assert hit >= 0.9 * len(planted) and hit >= 0.9 * (hit + wrong), (hit, len(planted), wrong, len(plain))
+
+
+def test_secrets_odd_rows(spark, docs, rows, empty):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = secret_scan.find_secrets(docs, path)  # columns of other names clash with nothing
+    assert got.columns[0] == "doc_id" and got.count() == len(rows)
+    assert secret_scan.find_secrets(empty, path).count() == 0
+    key = "x9Kf2LmQ8zRt4WvB7nYc1HdJ5gPs3aEu"
+    odd = [(None, f"token={key}"), (1, f"token={key}"), (1, f"token={key}"), (2, "a " * 300_000 + key), (3, "\U0001f600" + key)]
+    r = [(x.doc_id, x.spans) for x in secret_scan.find_secrets(spark.createDataFrame(odd, "doc_id long, text string"), path).collect()]
+    # spans that start together come by kind; ones of different kinds may overlap
+    assert [s for d, s in r if d in (None, 1)] == ["assign:0:38,random:0:38"] * 3 or [s for d, s in r if d in (None, 1)] == ["assign:0:38,random:6:38"] * 3
+    assert dict(r)[2] == "random:600000:600032" and dict(r)[3] == "random:1:33"
+
+
 URLS = [
     "https://www.example.com/en/1", "http://EXAMPLE.com/en/", "http://a.b.example.com/en/x?y#z", "https://example.com/fr/", "https://notexample.com/en/", "ftp://x.net/es/q",
     "https://net/fr/", "https://y.net/fr", "http://z.org/en/", "no scheme", "", None, "http://", "http://com", "http://com/", "//x.com/en/", "http://a://b.com/", "http://www.example.com?x=/en/",
@@ -176,3 +269,18 @@ def test_url_filters(spark, most):
         fit = [(len(x), x, v) for x, v in rules if "/" in x and _fits(host, path, x)]
         assert (r.host, r.path) == (host, path)
         assert (r.rule, r.verdict) == ((max(fit)[1], max(fit)[2]) if fit else (None, "allow"))
+
+
+def test_url_filters_of_an_empty_table(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "rule string, verdict string")
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_filters.judge_urls(none, rules).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    assert [tuple(r) for r in url_filters.judge_urls(pages, rules.limit(0)).collect()] == [(1, "a.com", "/", None, "allow")]
+
+
+@pytest.mark.parametrize("most", [16_000_000, 0])
+def test_url_rules_of_one_text_and_both_verdicts_block(spark, most):
+    rules = spark.createDataFrame([("com/x", "allow"), ("com/x", "block")], "rule string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/xy")], "page_id long, url string")
+    assert url_filters.judge_urls(pages, rules, max_rule_bytes=most).first().verdict == "block"
