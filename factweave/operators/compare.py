@@ -6,6 +6,9 @@ the least ordinal.  ``t`` is the target, ``m`` the authoritative (master) side.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +51,8 @@ def compare_fields(target: DataFrame, master: DataFrame, keys: list[str], fields
     m = first_per_group(master, on, ["idx"]).select(*on, F.col("raw_value").alias("master_value"))
     both = t.withColumn("t_there", F.lit(True)).join(m.withColumn("m_there", F.lit(True)), on, "full_outer")
     if fields is not None:
-        who = both.select(*keys).distinct().join(F.broadcast(fields), how="cross")  # every field of a fixed list
+        fixed = fields.select("field_key").distinct().agg(F.collect_list("field_key")).scalar()  # a short list
+        who = both.select(*keys).distinct().withColumn("field_key", F.explode(fixed))
         both = who.join(both, on, "left")
     there = lambda c: F.coalesce(F.col(c), F.lit(False))
     both = both.withColumn("t", V.normalize_claim("field_key", "target_value")).withColumn("m", V.normalize_claim("field_key", "master_value"))
@@ -97,28 +101,42 @@ def set_diff(master: DataFrame, target: DataFrame, keys: list[str], stems: bool
 
     Items (keys, idx, value) are equivalent if their keys or concepts agree or half of the
     smaller token set is shared (with ``stems`` also three fifths of five-letter stems).  A
-    target item may serve several master items.  Candidates come from equi-joins: equal
-    concepts, or one shared token or stem, so there is no nested loop.
+    target item may serve several master items.  Candidates come from equi-joins.  Equal concepts
+    are one; for tokens, the smaller set asks with as many of its tokens as can't all be missing,
+    longer tokens first, since these are rarer.  Ids meet first; what is compared follows.
     """
     def items(df):
         rows = df.withColumn("item", T.semantic_value("value")).where("item <> ''")
         rows = first_per_group(rows.select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"])
         rows = rows.withColumn("concept", T.concept_key("value")).withColumn("toks", F.array_distinct(T.tokens("value")))
-        rows = rows.withColumn("stem", F.array_distinct(F.transform("toks", lambda x: F.left(x, F.lit(5)))))
-        near = F.array_union(F.col("toks"), F.transform("stem", lambda s: F.concat(F.lit("~"), s))) if stems else F.col("toks")
-        return rows.withColumn("probe", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "concept")), near))))
-
-    a = items(master).alias("a")
-    b = items(target).alias("b")
-    share = lambda c, num, den: T._share(F.col(f"a.{c}"), F.col(f"b.{c}"), num, den)
-    same = (F.col("a.item") == F.col("b.item")) | (F.col("a.concept") == F.col("b.concept")) | share("toks", 1, 2)
+        return rows.withColumn("stem", F.array_distinct(F.transform("toks", lambda x: F.left(x, F.lit(5)))))
+
+    def ranked(c):
+        """Longer ones first."""
+        return F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"])
+
+    a, b = items(master), items(target)
+    on = lambda df, s: [F.col(k).alias(f"{s}_{k}") for k in [*keys, "idx"]]
+    equal = lambda x, y, c, *more: x.join(y, [*[F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys], F.col(f"a_{c}") == F.col(f"b_{c}"), *more])
+    ids = [*[f"a_{k}" for k in [*keys, "idx"]], "b_idx"]
+    named = equal(a.select(*on(a, "a"), F.col("concept").alias("a_probe")), b.select(*on(b, "b"), F.col("concept").alias("b_probe")), "probe").select(*ids)
+    met = [named]
+    for c, num, den in [("toks", 1, 2), *([("stem", 3, 5)] if stems else [])]:
+        size = F.size(c)
+        asks = F.slice(ranked(F.col(c)), 1, size - F.ceil(size * num / den).cast("int") + 1)
+        side = lambda df, s, x: df.where(F.size(c) > 0).select(*on(df, s), F.size(c).alias(f"{s}_n"), F.explode(x).alias(f"{s}_probe"))  # noqa: E731, B023
+        met.append(equal(side(a, "a", asks), side(b, "b", F.col(c)), "probe", F.col("a_n") <= F.col("b_n")).select(*ids))
+        met.append(equal(side(a, "a", F.col(c)), side(b, "b", asks), "probe", F.col("b_n") < F.col("a_n")).select(*ids))
+    pairs = reduce(DataFrame.unionByName, met).distinct()
+    whole = lambda df, s: df.select(*on(df, s), *[F.col(c).alias(f"{s}_{c}") for c in ("item", "concept", "toks", "stem", "value")])
+    at = [f"a_{k}" for k in [*keys, "idx"]]
+    of = whole(b, "b").withColumnsRenamed({f"b_{k}": f"a_{k}" for k in keys})
+    pairs = pairs.join(whole(a, "a"), at).join(of, [*[f"a_{k}" for k in keys], "b_idx"])
+    share = lambda c, num, den: T._share(F.col(f"a_{c}"), F.col(f"b_{c}"), num, den)
+    same = (F.col("a_item") == F.col("b_item")) | (F.col("a_concept") == F.col("b_concept")) | share("toks", 1, 2)
     if stems:
         same = same | share("stem", 3, 5)
-    hits = (
-        a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], F.col("a.probe") == F.col("b.probe"), same])
-        .groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.idx").alias("idx"))
-        .agg(F.min(F.struct(F.col("b.idx").alias("t_idx"), F.col("b.value").alias("t_value"))).alias("hit"))
-    )
+    hits = pairs.where(same).groupBy(*[F.col(x).alias(x[2:]) for x in at]).agg(F.min(F.struct(F.col("b_idx").alias("t_idx"), F.col("b_value").alias("t_value"))).alias("hit"))
     left = first_per_group(
         master.withColumn("item", T.semantic_value("value")).where("item <> ''").select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"]
     )
@@ -130,7 +148,8 @@ def set_diff(master: DataFrame, target: DataFrame, keys: list[str], stems: bool
 
 def greedy_pairs(master: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Exact keys first; of the rest each master item, in order, takes the first free target
-    item that shares half of the smaller token set.  Order-dependent, so it runs per group."""
+    item that shares half of the smaller token set.  Order-dependent, so it runs per group, which
+    is one pair of pages: its lists of items are held in memory, and no more."""
     import pandas as pd
 
     cols = [*keys, "side", "idx", "value", "item"]
@@ -147,16 +166,23 @@ def greedy_pairs(master: DataFrame, target: DataFrame, keys: list[str]) -> DataF
         pdf = pdf.sort_values("idx", kind="stable")
         mine, theirs = pdf[pdf["side"] == "m"], pdf[pdf["side"] == "t"]
         exact = set(mine["item"]) & set(theirs["item"])
-        free = [(v, set(k)) for v, i, k in zip(theirs["value"], theirs["item"], theirs["toks"], strict=True) if i not in exact]
-        out = []
+        named = dict(zip(theirs["item"], theirs["value"], strict=True))
+        free = [(v, len(k), k) for v, i, k in zip(theirs["value"], theirs["item"], theirs["toks"], strict=True) if i not in exact]
+        lists = defaultdict(list)  # which free items have a token: only those are looked at
+        for n, (_, _, toks) in enumerate(free):
+            for t in toks:
+                lists[t].append(n)
+        out, taken = [], set()
         for value, item, toks in zip(mine["value"], mine["item"], mine["toks"], strict=True):
             if item in exact:
-                out.append((value, theirs.loc[theirs["item"] == item, "value"].iloc[0], "match"))
+                out.append((value, named[item], "match"))
                 continue
-            own = set(toks)
-            at = next((i for i, (_, k) in enumerate(free) if own and k and 2 * len(own & k) >= min(len(own), len(k))), None)
-            out.append((value, None, "target_missing") if at is None else (value, free.pop(at)[0], "needs_review"))
-        out += [(None, v, "master_missing") for v, _ in free]
+            shared = Counter(n for t in toks for n in lists[t])
+            near = [n for n, c in shared.items() if n not in taken and 2 * c >= min(len(toks), free[n][1])]
+            if near:
+                taken.add(min(near))
+            out.append((value, free[min(near)][0], "needs_review") if near else (value, None, "target_missing"))
+        out += [(None, v, "master_missing") for n, (v, _, _) in enumerate(free) if n not in taken]
         found = pd.DataFrame(out, columns=["m_value", "t_value", "status"])
         for i, k in enumerate(keys):
             found.insert(i, k, pdf[k].iloc[0])
@@ -167,7 +193,8 @@ def greedy_pairs(master: DataFrame, target: DataFrame, keys: list[str]) -> DataF
 
 def aggregate_sub_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Sub-facts (keys, idx, name, status, master_value, target_value, note) as one status and
-    note per group.  What only the target has never counts against it."""
+    note per group, and the values of either side as one text.  What only the target has never
+    counts against it."""
     is_ = lambda s: F.col("status") == s
     short = lambda c: F.coalesce(T.truncate_value(c, 40), F.lit("—"))
     changed_note = F.coalesce(
@@ -177,6 +204,7 @@ def aggregate_sub_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
     ordered = lambda value, when: F.transform(
         F.array_sort(F.collect_list(F.when(when, F.struct(F.col("idx"), value.alias("v"))))), lambda x: x["v"]
     )
+    shown = lambda c: F.nullif(F.array_join(ordered(T.truncate_value(T.labelled("name", c), 65), F.col(c).isNotNull()), " · "), F.lit(""))
     g = facts.groupBy(*keys).agg(
         F.count_if(is_("match")).alias("n_match"),
         F.count_if(is_("changed")).alias("n_changed"),
@@ -187,6 +215,7 @@ def aggregate_sub_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
         ordered(changed_note, is_("changed")).alias("changed"),
         ordered(F.col("name"), is_("target_missing")).alias("missing"),
         ordered(F.coalesce(F.col("note"), F.concat(F.col("name"), F.lit(" needs review."))), is_("needs_review")).alias("review"),
+        *[shown(c).alias(c) for c in ("master_value", "target_value")],
     )
     status = (
         F.when(F.col("n_changed") > 0, "changed")
@@ -205,7 +234,7 @@ def aggregate_sub_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
     )
     return g.select(
         *keys, status.alias("status"), F.when(F.size(clauses) > 0, T.join_clauses(clauses)).alias("notes"),
-        "n_match", "n_changed", "n_target_missing", "n_master_missing", "n_review",
+        "n_match", "n_changed", "n_target_missing", "n_master_missing", "n_review", "master_value", "target_value",
     )
 
 
@@ -253,23 +282,27 @@ def fee_slots(pool: DataFrame, keys: list[str]) -> DataFrame:
     Each candidate is classified once and goes to its component by an equi-join; the choice is
     one partial aggregate.
     """
-    spark = pool.sparkSession
-    parts = spark.createDataFrame(FEE_COMPONENTS, "component string, fee_type string, period string, discounted boolean")
     role = F.col("role") if "role" in pool.columns else None
-    whole = V.expand_lakh_crore("raw_value")
-    rows = pool.withColumn("kind", V.classify_fee("raw_value", role)).withColumn("whole", whole)
-    rows = rows.withColumn("money", V.normalize_currency("whole")).withColumn("pieces", V.split_amounts("whole"))
-    use_piece = (F.col("money.status") != "NORMALIZED") & (F.size("pieces") > 1)
-    rows = rows.withColumn("value", F.when(use_piece, F.get("pieces", F.lit(0))).otherwise(F.col("raw_value")))
-    rows = rows.withColumn("money", F.when(use_piece, V.normalize_currency(F.get("pieces", F.lit(0)))).otherwise(F.col("money")))
-    rank = F.when(F.col("money.currency") == "INR", 0).when(F.col("money.status") == "NORMALIZED", 1).otherwise(2)
-    k = F.col("kind")
-    fits = (
-        (k["fee_type"] == F.col("c.fee_type")) & (k["discounted"] == F.col("c.discounted"))
-        & ((F.col("c.period") == "any") | (k["period"] == F.col("c.period")))
+    rank = lambda m: F.when(m["currency"] == "INR", 0).when(m["status"] == "NORMALIZED", 1).otherwise(2)
+    entry = lambda value, m: F.struct(rank(m).alias("rank"), value.alias("raw_value"), m["amount"].alias("amount"), m["currency"].alias("currency"))
+
+    def read(x: Column) -> Column:
+        """The whole text's amount, or where that can't be read the first of its pieces."""
+        return T.let(
+            lambda y: F.when((y["money"]["status"] != "NORMALIZED") & (F.size(y["pieces"]) > 1), T.let(lambda z: entry(F.get(y["pieces"], F.lit(0)), z["money"]), money=V.normalize_currency(F.get(y["pieces"], F.lit(0)))))
+            .otherwise(entry(y["raw"], y["money"])),
+            money=V.normalize_currency(x["whole"]), pieces=V.split_amounts(x["whole"]), raw=x["raw"],
+        )
+
+    # read once a row: the generator below keeps the projection under it as it is
+    rows = pool.select(
+        *keys, "idx", V.classify_fee("raw_value", role).alias("kind"), T.let(read, whole=V.expand_lakh_crore("raw_value"), raw=F.col("raw_value")).alias("read")
     )
-    found = rows.join(F.broadcast(parts.alias("c")), fits).groupBy(*keys, "component").agg(
-        F.min_by(F.struct(F.col("value").alias("raw_value"), F.col("money.amount").alias("amount"), F.col("money.currency").alias("currency")), F.struct(rank, "idx")).alias("slot")
+    every = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, ("component", "fee_type", "period", "discounted"), strict=True)]) for c in FEE_COMPONENTS])
+    k = F.col("kind")
+    fits = F.filter(every, lambda c: (k["fee_type"] == c["fee_type"]) & (k["discounted"] == c["discounted"]) & ((c["period"] == "any") | (k["period"] == c["period"])))
+    found = rows.select(*keys, "idx", "read", F.explode(F.transform(fits, lambda c: c["component"])).alias("component")).groupBy(*keys, "component").agg(
+        F.min(F.struct(F.col("read.rank").alias("rank"), "idx", F.col("read.raw_value").alias("raw_value"), F.col("read.amount").alias("amount"), F.col("read.currency").alias("currency"))).alias("slot")
     )
     confirmed = F.col("slot.amount").isNotNull()
     return found.select(
@@ -278,6 +311,38 @@ def fee_slots(pool: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def emi_tenure(target: DataFrame, master: DataFrame, keys: list[str]) -> DataFrame:
+    """A sub-fact of how long the monthly instalments run: of each side the first monthly tuition
+    text (keys, idx, raw_value) that states a time, compared as durations."""
+    def side(df, name):
+        rows = df.select(*keys, "idx", V.classify_fee("raw_value")["fee_type"].alias("t"), V.classify_fee("raw_value")["period"].alias("p"), V.refine_duration("raw_value").alias("v"))
+        return rows.where("t = 'tuition' and p = 'monthly' and v is not null").groupBy(*keys).agg(F.min_by("v", "idx").alias(name))
+
+    months = lambda c: V.normalize_duration(c)["months"]
+    both = side(master, "master_value").join(side(target, "target_value"), keys, "full_outer")
+    status = (
+        F.when(F.col("target_value").isNull(), "target_missing").when(F.col("master_value").isNull(), "master_missing")
+        .when(F.coalesce(months("target_value") == months("master_value"), F.lower("target_value") == F.lower("master_value")), "match").otherwise("changed")
+    )
+    return both.select(*keys, F.lit(len(FEE_COMPONENTS) + 1).alias("idx"), F.lit("EMI Tenure").alias("name"), status.alias("status"), "master_value", "target_value", F.lit(None).cast("string").alias("note"))
+
+
+# fixed values: what a report says of fees that are pictures
+IMAGE_FEES = (
+    "Fee structure found, but numerical value could not be reliably extracted (fee information appears to be image-based and OCR did not detect readable text, "
+    "or OCR was not enabled for this run)."
+)
+
+
+def image_fee_note(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, note, value) for groups whose first fee fact out of a picture (keys, field, idx, value,
+    source_type) exists: a section whose only evidence is a picture isn't missing."""
+    first = facts.where("field = 'FEES' and source_type = 'image_ocr'").groupBy(*keys).agg(F.min_by("value", "idx").alias("value"))
+    value = F.nullif(F.col("value"), F.lit(""))
+    said = F.concat(F.lit('Fee information appears to be image-based. OCR detected "'), value, F.lit('" with low confidence.'))
+    return first.select(*keys, F.coalesce(said, F.lit(IMAGE_FEES)).alias("note"), value.alias("value"))
+
+
 def compare_fees(target: DataFrame, master: DataFrame, keys: list[str], overrides: DataFrame | None = None) -> DataFrame:
     """Sub-facts per fee component.  ``overrides`` (keys, component, amount, currency, raw_value)
     replaces the master's.  Where the target's own slot differs, the same amount of the same kind

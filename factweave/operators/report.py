@@ -15,6 +15,8 @@ from factweave.sources.store import cut
 PRIMARY = ["Fee Structure", "Discount", "Eligibility", "Specializations", "Course Duration", "Course Curriculum", "Credits", "Others"]
 SECONDARY = ["Accreditation", "Rankings & Accreditations"]
 PLURAL = ["Specializations", "Credits", "Rankings & Accreditations"]
+#: Facts come after all claims of a page, which are numbered from 0.
+AFTER = 1 << 40
 STATUS_RANK = {"MATCH": 0, "PARTIAL": 1, "NEEDS_REVIEW": 2, "UNMATCH": 3}
 
 
@@ -23,17 +25,12 @@ def _claims(df: DataFrame, keys: list[str], field: str) -> DataFrame:
 
 
 def _facts(df: DataFrame, keys: list[str], *fields: str) -> DataFrame:
-    return df.where(F.col("field").isin(list(fields))).select(*keys, "idx", "value")
+    return df.where(F.col("field").isin(list(fields)) & (F.col("value") != "")).select(*keys, "idx", "value")  # unread pictures have none
 
 
-def _sub_fact_field(facts: DataFrame, keys: list[str], field: str, empty: str, empty_note: str) -> DataFrame:
-    """One row per key out of sub-facts; keys without any take ``empty``."""
-    facts = cut(facts)
-    g = C.aggregate_sub_facts(facts, keys).select(*keys, "status", "notes")
-    side = lambda c, n: F.nullif(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("idx", T.truncate_value(T.labelled("name", c), n).alias("v"))))), lambda x: x["v"]), " · "), F.lit(""))
-    shown = facts.groupBy(*keys).agg(side("master_value", 65).alias("master_value"), side("target_value", 65).alias("target_value"))
-    return g.join(shown, keys).select(*keys, F.lit(field).alias("field"), "status", "master_value", "target_value", "notes").withColumn("_empty", F.struct(F.lit(empty), F.lit(empty_note)))
+def _sub_facts(df: DataFrame, keys: list[str], field: str) -> DataFrame:
+    cols = [F.col(c).cast("string").alias(c) for c in ("name", "status", "master_value", "target_value", "note")]
+    return df.select(*keys, F.lit(field).alias("field"), F.col("idx").cast("long").alias("idx"), *cols)
 
 
 def _ordered(fees: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,15 +63,16 @@ def field_rows(tc: DataFrame, mc: DataFrame, tf: DataFrame, mf: DataFrame, pairs
     idx, value) of the target and its authoritative page; ``pairs`` has every key once.
     """
     on_fee = lambda c, f: _claims(c, keys, "feeCandidate").unionByName(
-        _facts(f, keys, "FEES").select(*keys, (F.col("idx") + 1_000_000).alias("idx"), F.col("value").alias("raw_value")))
-    t_pool, m_pool = cut(on_fee(tc, tf)), cut(on_fee(mc, mf))
-    fees = cut(_ordered(C.compare_fees(t_pool, m_pool, keys), keys))
-    rows = [
-        _sub_fact_field(fees, keys, "Fee Structure", "both_missing", "Fee Structure not found on either page."),
-        _sub_fact_field(
-            reconcile_discounts(fees.where(F.col("name").contains("After Discount")), t_pool, m_pool, keys), keys, "Discount", "not_applicable", "No discount mentioned on either page."
-        ),
+        _facts(f, keys, "FEES").select(*keys, (F.col("idx") + F.lit(AFTER)).alias("idx"), F.col("value").alias("raw_value")))
+    t_pool, m_pool = on_fee(tc, tf), on_fee(mc, mf)
+    fees = _ordered(C.compare_fees(t_pool, m_pool, keys), keys).withColumn("idx", F.col("idx").cast("int"))
+    fees = cut(fees.unionByName(C.emi_tenure(t_pool, m_pool, keys)))
+    # all fields that are made of sub-facts form one relation, which is aggregated once
+    parts = [
+        _sub_facts(fees, keys, "Fee Structure"),
+        _sub_facts(reconcile_discounts(fees.where(F.col("name").contains("After Discount")), t_pool, m_pool, keys), keys, "Discount"),
     ]
+    rows = []
     text = lambda c, f: (
         _facts(f, keys, "ELIGIBILITY").select(*keys, "idx", "value", F.lit(0).alias("rank"))
         .unionByName(_claims(c, keys, "eligibility").select(*keys, "idx", F.col("raw_value").alias("value"), F.lit(1).alias("rank")))
@@ -84,8 +82,8 @@ def field_rows(tc: DataFrame, mc: DataFrame, tf: DataFrame, mf: DataFrame, pairs
     both = text(tc, tf).withColumnRenamed("text", "t").join(text(mc, mf).withColumnRenamed("text", "m"), keys, "full_outer")
     both = cut(both)
     whole = both.where("t is not null and m is not null")
-    parts = C.eligibility_sub_facts(whole, keys, "t", "m")
-    plain = whole.join(parts.select(*keys).distinct(), keys, "left_anti").select(
+    needs = C.eligibility_sub_facts(whole, keys, "t", "m")
+    plain = whole.join(needs.select(*keys).distinct(), keys, "left_anti").select(
         *keys, F.lit(0).alias("idx"), F.lit("Eligibility").alias("name"),
         F.when(T.semantic_value("t") == T.semantic_value("m"), "match").otherwise("needs_review").alias("status"), F.col("m").alias("master_value"), F.col("t").alias("target_value"),
         F.lit("Eligibility text differs and could not be read as requirements; review manually.").alias("note"),
@@ -94,25 +92,29 @@ def field_rows(tc: DataFrame, mc: DataFrame, tf: DataFrame, mf: DataFrame, pairs
         *keys, F.lit("Eligibility").alias("field"), F.when(F.col("t").isNull(), "target_missing").otherwise("master_missing").alias("status"),
         F.col("m").alias("master_value"), F.col("t").alias("target_value"), F.lit(None).cast("string").alias("notes"),
     )
-    rows.append(_sub_fact_field(parts.unionByName(plain), keys, "Eligibility", "both_missing", "Eligibility not found on either page."))
-    rows.append(one_side.withColumn("_empty", F.struct(F.lit("both_missing"), F.lit("Eligibility not found on either page."))))
+    parts += [_sub_facts(needs, keys, "Eligibility"), _sub_facts(plain, keys, "Eligibility")]
+    rows.append(one_side)
 
     def set_field(field, t, m, stems, empty, note):
-        m, t = cut(m), cut(t)
+        """The difference of two lists; where only the target has one, its own status and note."""
         diff = C.set_diff(m, t, keys, stems).select(
             *keys, "idx", F.col("value").alias("name"), "status", F.col("value").alias("master_value"), "target_value", F.lit(None).cast("string").alias("note")
         )
-        diff = cut(diff)
-        only_target = t.select(*keys).distinct().join(diff.select(*keys).distinct(), keys, "left_anti")
-        named = _sub_fact_field(diff, keys, field, empty, note)
-        free = only_target.select(*keys, F.lit(field).alias("field"), F.lit(empty).alias("status"), F.lit(None).cast("string").alias("master_value"), F.lit(None).cast("string").alias("target_value"), F.lit(note).alias("notes"))
-        return [named, free.withColumn("_empty", F.struct(F.lit(empty), F.lit(note)))]
+        only_target = t.select(*keys).distinct().join(m.where(T.semantic_value("value") != "").select(*keys).distinct(), keys, "left_anti")
+        none = F.lit(None).cast("string")
+        free = only_target.select(*keys, F.lit(field).alias("field"), F.lit(empty).alias("status"), none.alias("master_value"), none.alias("target_value"), F.lit(note).alias("notes"))
+        return _sub_facts(diff, keys, field), free
 
     t_spec, m_spec = _facts(tf, keys, "SPECIALIZATION"), _facts(mf, keys, "SPECIALIZATION")
-    rows += set_field("Specializations", t_spec, m_spec, False, "not_applicable", "No specialization variant is involved.")
     subjects = t_spec.select(*keys, "value").unionByName(m_spec.select(*keys, "value"))
-    plan = lambda f: C.keep_curriculum(_facts(f, keys, "CURRICULUM", "PROGRAM_STRUCTURE"), keys, subjects)
-    rows += set_field("Course Curriculum", plan(tf), plan(mf), True, "both_missing", "Course Curriculum not found on either page.")
+    plan = lambda f: cut(C.keep_curriculum(_facts(f, keys, "CURRICULUM", "PROGRAM_STRUCTURE"), keys, subjects))
+    for field, t, m, stems, empty, note in (
+        ("Specializations", t_spec, m_spec, False, "not_applicable", "No specialization variant is involved."),
+        ("Course Curriculum", plan(tf), plan(mf), True, "both_missing", "Course Curriculum not found on either page."),
+    ):
+        diff, free = set_field(field, t, m, stems, empty, note)
+        parts.append(diff)
+        rows.append(free)
 
     def scalar(field, key):
         from factweave.functions import values as V
@@ -121,26 +123,23 @@ def field_rows(tc: DataFrame, mc: DataFrame, tf: DataFrame, mf: DataFrame, pairs
         side = lambda c: c.where(F.col("field_key") == key).withColumn("raw_value", refined)
         d = C.compare_fields(side(tc), side(mc), keys)
         status = F.when(F.col("status") == "mismatch", "changed").when(F.col("status") == "asset_missing", "target_missing").when(F.col("status") == "source_missing", "master_missing").otherwise(F.col("status"))
-        return d.select(*keys, F.lit(field).alias("field"), status.alias("status"), "master_value", "target_value", F.when(status == "changed", f"{field} differs.").alias("notes")).withColumn(
-            "_empty", F.struct(F.lit("both_missing"), F.lit(f"{field} not found on either page."))
-        )
+        return d.select(*keys, F.lit(field).alias("field"), status.alias("status"), "master_value", "target_value", F.when(status == "changed", f"{field} differs.").alias("notes"))
 
     rows += [scalar("Course Duration", "duration"), scalar("Credits", "credits")]
-    rows.append(_sub_fact_field(C.compare_others(tc, mc, keys), keys, "Others", "match", "No additional comparable attributes found."))
+    parts.append(_sub_facts(C.compare_others(tc, mc, keys), keys, "Others"))
 
     def phrases(field, key, category, pattern, other):
         side = lambda c, f: C.fact_phrases(
-            _claims(c, keys, key).unionByName(_facts(f, keys, category).select(*keys, (F.col("idx") + 1_000_000).alias("idx"), F.col("value").alias("raw_value"))), pattern, [other, *C.EXCLUDED]
-        ).select(*keys, (F.col("idx") * 1000 + F.col("part")).alias("idx"), F.col("raw_value").alias("value"))
+            _claims(c, keys, key).unionByName(_facts(f, keys, category).select(*keys, (F.col("idx") + F.lit(AFTER)).alias("idx"), F.col("value").alias("raw_value"))), pattern, [other, *C.EXCLUDED]
+        ).select(*keys, F.struct("idx", "part").alias("idx"), F.col("raw_value").alias("value"))
         d = C.list_status(C.list_diff(side(tc, tf), side(mc, mf), keys), keys)
         none = F.lit(None).cast("string")
-        return d.select(*keys, F.lit(field).alias("field"), "status", none.alias("master_value"), none.alias("target_value"), none.alias("notes")).withColumn(
-            "_empty", F.struct(F.lit("both_missing"), F.lit(f"{field} not found on either page."))
-        )
+        return d.select(*keys, F.lit(field).alias("field"), "status", none.alias("master_value"), none.alias("target_value"), none.alias("notes"))
 
     rows.append(phrases("Accreditation", "accreditationItem", "ACCREDITATION", C.ACCREDITATIONS, C.RANKINGS))
     rows.append(phrases("Rankings & Accreditations", "rankingItem", "RANKINGS", C.RANKINGS, C.ACCREDITATIONS))
-    found = cut(reduce(DataFrame.unionByName, [r.drop("_empty") for r in rows]))
+    made = C.aggregate_sub_facts(reduce(DataFrame.unionByName, parts), [*keys, "field"]).select(*keys, "field", "status", "master_value", "target_value", "notes")
+    found = reduce(DataFrame.unionByName, [made, *rows])
     defaults = {r[0]: r[1:] for r in [
         ("Fee Structure", "both_missing", "Fee Structure not found on either page."), ("Discount", "not_applicable", "No discount mentioned on either page."),
         ("Eligibility", "both_missing", "Eligibility not found on either page."), ("Specializations", "not_applicable", "No specialization variant is involved."),
@@ -168,6 +167,65 @@ def wide(rows: DataFrame, keys: list[str]) -> DataFrame:
     return w.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit("—")).alias(n) for n in names])
 
 
+# fixed values: the columns of an overview beside the ten statuses
+FEES_SHOWN = ["Full Fee", "Semester Fee", "Annual/Yearly Fee", "Monthly EMI"]
+
+
+def overview(rows: DataFrame, targets: DataFrame, fees: DataFrame, spelling: DataFrame, ts) -> DataFrame:
+    """The overview of a run, a row per target (target_idx, url, program, institution, master_url,
+    outcome): the target and its outcome, four fee statuses (``fees``: target_idx, name, status), the
+    ten fields, the number of misspelt words and the first of them (``spelling``: target_idx, word, n),
+    and the time; a dash for whatever is missing."""
+    dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
+    fee = fees.where(F.col("name").isin(FEES_SHOWN)).groupBy("target_idx").pivot("name", FEES_SHOWN).agg(F.first(C.report_status("status")))
+    words = misspelling_tip(spelling, "target_idx").select("target_idx", (F.size("words") + F.col("more")).alias("n_words"), F.array_join("words", ", ").alias("some"))
+    out = targets.join(fee, "target_idx", "left").join(wide(rows, ["target_idx"]), "target_idx", "left").join(words, "target_idx", "left")
+    return out.select(
+        "target_idx", *[dash(c).alias(n) for c, n in (("url", "Target URL"), ("program", "Program"), ("institution", "Institution"), ("master_url", "Master URL"), ("outcome", "Outcome"))],
+        *[dash(f"`{n}`").alias(n) for n in FEES_SHOWN], *[dash(f"`{n}`").alias(n) for n in [*PRIMARY, *SECONDARY]],
+        F.coalesce("n_words", F.lit(0)).alias("Misspellings"), dash("some").alias("Misspelt Words"), T._c(ts).alias("Checked At"),
+    )
+
+
+# fixed values: outcomes as the report shows them
+OUTCOMES = {
+    "success": "Compared", "ambiguous_candidates": "Ambiguous", "authoritative_page_not_found": "Not found", "target_unreachable": "Target unreachable",
+    "master_unreachable": "Master unreachable", "comparison_failed": "Comparison failed",
+}
+
+
+def shown(value, vocabulary: dict[str, str]) -> Column:
+    """A status in the words of a vocabulary; unknown ones with blanks for underscores."""
+    words = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
+    return F.coalesce(F.try_element_at(words, T._c(value)), F.replace(T._c(value), F.lit("_"), F.lit(" ")))
+
+
+def report_pages(targets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every target (target_idx, outcome) with its rows in order, or why it has none."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "field", "status", "notes"))), lambda x: F.struct(x["field"], x["status"], x["notes"]))
+    return targets.join(rows.groupBy("target_idx").agg(listed.alias("rows")), "target_idx", "left").select(
+        "target_idx", "rows", F.when(F.col("rows").isNull(), shown("outcome", OUTCOMES)).alias("unavailable")
+    )
+
+
+def parse_targets(lists: DataFrame, text: str) -> DataFrame:
+    """Targets (target_idx, url) of pasted lists: a line each, trimmed, blank ones left out."""
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return lists.select(*[c for c in lists.columns if c != text], F.posexplode(lines).alias("target_idx", "url"))
+
+
+def highlighted(excerpt, word: str, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """Every occurrence of a word in an excerpt, whatever its case, between two marks."""
+    from factweave.functions.patterns import literal
+
+    return F.regexp_replace(T._c(excerpt), f"(?i)({literal(word)})", f"{before}$1{after}")
+
+
+def changed_fields(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """How many compared fields (keys, field_key, status) differ; what is missing doesn't count."""
+    return claims.groupBy(*keys).agg(F.count_if(F.col("status") == "mismatch").alias("n_changed"))
+
+
 def natural_key(value) -> Column:
     """Case-insensitive, with numbers padded, so that 9 sorts before 10."""
     v = F.lower(T._c(value))

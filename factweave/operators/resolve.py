@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.functions import urls as U
+from factweave.sources.store import small
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,113 @@ def institution_gate(name_verdict, footer_verdict, logo_similarity=None, enabled
     return F.lit(not enabled) | F.when((n == "conflict") | (f == "conflict"), False).when((n == "agree") | (f == "agree"), True).otherwise(logo)
 
 
+def needs_logo(name_verdict, footer_verdict, t_logo, c_logo) -> Column:
+    """Only where both texts are silent and both pages have a logo are logos worth comparing."""
+    silent = (T._c(name_verdict) == "inconclusive") & (T._c(footer_verdict) == "inconclusive")
+    return silent & T._c(t_logo).isNotNull() & T._c(c_logo).isNotNull()
+
+
+def logo_similarity(pairs: DataFrame, hashes: DataFrame, t_logo: str = "t_logo", c_logo: str = "c_logo", needed: str = "needs_logo") -> DataFrame:
+    """``pairs`` with ``logo_similarity``: that of the two logos' hashes (url, hash) where it is needed
+    and both are known, else NULL.  Pairs that don't need one ask for nothing; each image is hashed
+    once however many pairs it is in."""
+    ask = lambda c: F.when(F.col(needed), F.col(c))
+    of = lambda s: hashes.dropDuplicates(["url"]).select(F.col("url").alias(f"_{s}_url"), F.col("hash").alias(f"_{s}_hash"))
+    rows = pairs.withColumn("_t_ask", ask(t_logo)).withColumn("_c_ask", ask(c_logo))
+    rows = rows.join(of("t"), F.col("_t_ask") == F.col("_t_url"), "left").join(of("c"), F.col("_c_ask") == F.col("_c_url"), "left")
+    return rows.withColumn("logo_similarity", U.hash_similarity("_t_hash", "_c_hash")).drop("_t_ask", "_c_ask", "_t_url", "_c_url", "_t_hash", "_c_hash")
+
+
+def pair_gate(t_id, c_id, name_verdict, footer_verdict, similarity=None) -> Column:
+    """Two institutions resolved on their own evidence decide at once: the same passes, different
+    ones fail.  Without both, names, footers and logos decide."""
+    t, c = T._c(t_id), T._c(c_id)
+    return F.when(t.isNotNull() & c.isNotNull(), t == c).otherwise(institution_gate(name_verdict, footer_verdict, similarity))
+
+
+def institution_tiers(pages: DataFrame, names: DataFrame, key: str = "page_id") -> DataFrame:
+    """Which registered institution a page is about, by three kinds of evidence: (key, url_id, page_id_, logo_id).
+
+    ``pages`` has the key, url, institution, brand and logos (array of struct<url, alt>);
+    ``names(institution_id, name)`` are names and short names.  A tier that points to several
+    institutions is silent.  Words of the address, the page's own names and the words of logo
+    files and texts are looked up by equi-joins.
+    """
+    known = names.select("institution_id", T.comparison_key("name").alias("name")).where("name <> ''").distinct()
+    address = F.split(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", " "), " ")
+    logos = F.coalesce("logos", F.array().cast("array<struct<url:string,alt:string>>"))
+    logo = F.flatten(F.transform(logos, lambda x: F.concat(T.filename_tokens(x["url"]), F.array(T.comparison_key(F.coalesce(x["alt"], F.lit("")))))))
+    said = F.array_compact(F.array(T.comparison_key("institution"), T.comparison_key("brand")))
+    told = pages.select(key, F.explode(F.array(
+        F.struct(F.lit("url").alias("tier"), address.alias("words")), F.struct(F.lit("page").alias("tier"), said.alias("words")), F.struct(F.lit("logo").alias("tier"), logo.alias("words")),
+    )).alias("x")).select(key, "x.tier", F.explode(F.array_distinct("x.words")).alias("name"))
+    one = told.join(small(known), "name").groupBy(key, "tier").agg(F.min("institution_id").alias("lo"), F.max("institution_id").alias("hi")).where("lo = hi")
+    tier = lambda t: F.max(F.when(F.col("tier") == t, F.col("lo")))
+    g = one.groupBy(key).agg(tier("url").alias("url_id"), tier("page").alias("name_id"), tier("logo").alias("logo_id"))
+    return pages.select(key).join(g, key, "left")
+
+
+def target_identity(pages: DataFrame, names: DataFrame, svg_texts: DataFrame, key: str = "page_id", default_id=None, default_method=None) -> DataFrame:
+    """(key, identity) in two passes: what address, page and logos say; then, only for pages on
+    which all three are silent, the texts inside their svg logos (url, text)."""
+    first = institution_tiers(pages, names, key)
+    silent = first.where("url_id is null and name_id is null and logo_id is null").select(key)
+    logos = pages.join(silent, key, "left_semi").select(key, F.explode("logos").alias("logo")).select(key, F.col("logo.url").alias("url"))
+    read = logos.join(svg_texts.dropDuplicates(["url"]), "url").groupBy(key).agg(F.collect_list(F.struct(F.lit("").alias("url"), F.col("text").alias("alt"))).alias("logos"))
+    none = F.lit(None).cast("string")
+    again = institution_tiers(read.select(key, F.lit("").alias("url"), none.alias("institution"), none.alias("brand"), "logos"), names, key).select(key, F.col("logo_id").alias("svg_id"))
+    rows = first.join(again, key, "left")
+    return rows.select(key, combine_tiers("url_id", "name_id", F.coalesce("logo_id", "svg_id"), default_id, default_method).alias("identity"))
+
+
+def discover_pages(resolved: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages (source_id, url, program) of each target's source (idx, source_id); targets without
+    a source have none."""
+    return resolved.where("source_id is not null").select("idx", "source_id").join(pages.select("source_id", "url", "program"), "source_id").select("idx", "source_id", "url", "program")
+
+
+def resolve_for_analysis(analyses: DataFrame, sources: DataFrame, aliases: DataFrame, programs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Analyses (idx, url, institution, program) with their source and how many pages it has."""
+    found = resolve_source(analyses, sources, aliases, programs)
+    return found.join(discover_pages(found, pages).groupBy("idx").agg(F.count("*").alias("n_pages")), "idx", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
+
+
+def precedence(targets: DataFrame, overrides: DataFrame, conflicts: DataFrame, registry: DataFrame, discovered: DataFrame) -> DataFrame:
+    """One answer per target (target_idx, url) out of four branches, the first that has one: an exact
+    override (url, master_url); a conflict of identities (target_idx), which leaves it unresolved; the
+    registry's page (target_idx, master_url, identity_ok), if its identity holds; discovery
+    (target_idx, master_url, confidence, outcome)."""
+    rows = (
+        targets.join(small(overrides.select("url", F.col("master_url").alias("o_url"))), "url", "left")
+        .join(conflicts.select("target_idx", F.lit(True).alias("torn")).distinct(), "target_idx", "left")
+        .join(registry.where("identity_ok").select("target_idx", F.col("master_url").alias("r_url")), "target_idx", "left")
+        .join(discovered.select("target_idx", F.col("master_url").alias("d_url"), F.col("confidence").alias("d_confidence"), F.col("outcome").alias("d_outcome")), "target_idx", "left")
+    )
+    pick = lambda o, torn, r, d: F.when(F.col("o_url").isNotNull(), o).when(F.col("torn"), torn).when(F.col("r_url").isNotNull(), r).otherwise(d)
+    none, lit = F.lit(None).cast("string"), F.lit
+    return rows.select(
+        "target_idx", pick(F.col("o_url"), none, F.col("r_url"), F.col("d_url")).alias("master_url"), pick(lit("high"), none, lit("high"), F.col("d_confidence")).alias("confidence"),
+        pick(lit("success"), lit("institution_conflict"), lit("success"), F.coalesce("d_outcome", lit("authoritative_page_not_found"))).alias("outcome"),
+        pick(lit("override"), lit("identity"), lit("registry"), lit("discovery")).alias("method"),
+    )
+
+
+def needs_top_up(outcome, t_degree, t_confidence, m_degree) -> Column:
+    """Unresolved, or resolved to a page of another degree than the one the target surely has."""
+    o, t, m = T._c(outcome), T._c(t_degree), T._c(m_degree)
+    return (o != "success") | F.coalesce((T._c(t_confidence) == "high") & (t != m), F.lit(False))
+
+
+def to_homepage(target, final, homepage) -> Column:
+    """A target that was redirected to its site's home page isn't the page that was asked for."""
+    return F.coalesce((U.page_key(final) == U.page_key(homepage)) & (U.page_key(target) != U.page_key(homepage)), F.lit(False))
+
+
+def exhausted(outcome, out_of_budget) -> Column:
+    """Not found may mean that the crawl ended too soon; what is ambiguous stays so."""
+    return F.when((T._c(outcome) == "authoritative_page_not_found") & T._c(out_of_budget), "crawl_budget_exhausted").otherwise(T._c(outcome))
+
+
 def subject_tokens(text, exclusions) -> Column:
     """Distinct tokens of a text with abbreviations spelled out, without those of the degree and
     institution and without stopwords."""
@@ -147,14 +255,14 @@ def resolve_source(urls: DataFrame, sources: DataFrame, aliases: DataFrame, prog
     labels = F.split(U.host("url"), r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     t = urls.withColumn("t_host", F.explode_outer(F.when(U.host("url").isNotNull(), parents)))
-    by_host = t.join(F.broadcast(sources), F.col("t_host") == F.lower("host")).select("idx", "program", "source_id", F.lit("high").alias("confidence")).distinct()
+    by_host = t.join(small(sources), F.col("t_host") == F.lower("host")).select("idx", "program", "source_id", F.lit("high").alias("confidence")).distinct()
     rest = urls.join(by_host.select("idx").distinct(), "idx", "left_anti").withColumn("key", T.comparison_key("institution"))
     by_alias = (
-        rest.join(F.broadcast(aliases.withColumn("key", T.comparison_key("alias"))), "key")
-        .join(F.broadcast(sources), "institution_id").select("idx", "program", "source_id", F.lit("medium").alias("confidence")).distinct()
+        rest.join(small(aliases.withColumn("key", T.comparison_key("alias"))), "key")
+        .join(small(sources), "institution_id").select("idx", "program", "source_id", F.lit("medium").alias("confidence")).distinct()
     )
     found = by_host.unionByName(by_alias)
-    named = F.broadcast(programs.select(T.comparison_key("alias").alias("p_key"), F.col("source_id").alias("p_source"), F.lit(True).alias("fits")).distinct())
+    named = small(programs.select(T.comparison_key("alias").alias("p_key"), F.col("source_id").alias("p_source"), F.lit(True).alias("fits")).distinct())
     marked = found.join(named, (T.comparison_key("program") == F.col("p_key")) & (F.col("source_id") == F.col("p_source")), "left")
     g = marked.groupBy("idx").agg(
         F.count("*").alias("n"), F.count_if("fits").alias("n_fit"), F.min("source_id").alias("only"), F.min(F.when(F.col("fits"), F.col("source_id"))).alias("fit"), F.min("confidence").alias("confidence")
@@ -193,7 +301,7 @@ def compare_identity(institution, brand, footer, logo_similarity) -> Column:
 def with_overrides(targets: DataFrame, resolved: DataFrame, overrides: DataFrame) -> DataFrame:
     """Targets (target_idx, url) whose url is in ``overrides(url, master_url)`` exactly take that
     page with high confidence; others keep what ``resolved`` has."""
-    fixed = targets.join(F.broadcast(overrides.select("url", F.col("master_url").alias("_fixed"))), "url", "left").select("target_idx", "_fixed")
+    fixed = targets.join(small(overrides.select("url", F.col("master_url").alias("_fixed"))), "url", "left").select("target_idx", "_fixed")
     rows = resolved.join(fixed, "target_idx", "left")
     set_ = F.col("_fixed").isNotNull()
     return rows.select(

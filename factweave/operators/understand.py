@@ -5,7 +5,9 @@ Dictionaries are small tables or literals; every choice of "the first" goes by o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import text as T
@@ -84,11 +86,51 @@ def degree_match(texts: Column) -> Column:
     for alias, name, level in reversed(aliases):
         found = _or_else(alias, F.struct(F.lit(name).alias("degree"), F.lit(level).alias("level"), F.lit(alias).alias("alias")), found)
     matches = F.transform(texts, lambda t: F.struct(found(t["text"]).alias("m"), t["location"].alias("location")))
-    first = F.get(F.filter(matches, lambda x: x["m"].isNotNull()), F.lit(0))
+
+    def choose(x: Column) -> Column:
+        every = F.filter(x["all"], lambda y: y["m"].isNotNull())
+        title = F.get(F.filter(every, lambda y: y["location"] == "title"), F.lit(0))
+        head = F.get(F.filter(x["all"], lambda y: y["location"] == "heading"), F.lit(0))  # the page's first heading alone
+        first = F.when(title["m"].isNotNull() & head["m"].isNotNull() & (title["m"]["degree"] != head["m"]["degree"]), head).otherwise(F.get(every, F.lit(0)))
+        return T.let(_said, first=first)
+
+    return T.let(choose, all=matches)
+
+
+def _said(x: Column) -> Column:
+    first = x["first"]
     confidence = F.when(first["location"] == "title", "high").when(first["location"] == "heading", "medium").otherwise("low")
     return F.when(first.isNotNull(), F.struct(first["m"]["degree"].alias("degree"), first["m"]["level"].alias("level"), first["m"]["alias"].alias("alias"), first["location"].alias("location"), confidence.alias("confidence")))
 
 
+def program_text(title, headings, degree, stopwords: list[str], window: int = 2) -> Column:
+    """What a page calls its program: of the headings that name its degree, the first or, up to
+    ``window`` headings after it, the one with most words that are neither the degree's nor
+    ``stopwords`` (the first of equals); else the title's first segment if longer than the degree's
+    name; else that name."""
+    degree = T._c(degree)
+    named = F.array(*[F.lit(n) for _, n, _, _ in DEGREES])
+    own = F.create_map(*[x for _, n, names, _ in DEGREES for x in (F.lit(n), F.array(*[F.lit(t) for t in sorted({t for a in [n, *names] for t in re.findall("[a-z0-9]{3,}", a.lower())})] or [F.lit("")]))])
+
+    def names_it(text: Column) -> Column:
+        hits = F.array(*[T.any_of(text, [rf"(?<![a-z0-9]){literal(a)}(?![a-z0-9])" for a in names]) for _, _, names, _ in DEGREES])
+        return F.coalesce(F.get(hits, F.array_position(named, degree).cast("int") - 1), F.lit(False))
+
+    def special(text: Column) -> Column:
+        words = F.filter(T.tokens(text), lambda w: ~w.isin(stopwords))
+        return F.size(F.filter(words, lambda w: ~F.coalesce(F.array_contains(F.try_element_at(own, degree), w), F.lit(False))))
+
+    heads = F.transform(T._c(headings), lambda h, i: F.struct(i.alias("i"), h["text"].alias("text"), names_it(h["text"]).alias("ok")))
+
+    def best(x: Column) -> Column:
+        near = F.filter(x["fit"], lambda h: h["i"] - F.get(x["fit"], F.lit(0))["i"] <= window)
+        ranked = F.array_sort(F.transform(near, lambda h: F.struct((-special(h["text"])).alias("o"), h["i"].alias("i"), h["text"].alias("text"))))
+        return F.trim(F.get(ranked, F.lit(0))["text"])
+
+    segment = F.trim(F.get(F.split(T._c(title), r"[|\-–—:]"), F.lit(0)))
+    return F.coalesce(T.let(best, fit=F.filter(heads, lambda h: h["ok"])), F.when(F.length(segment) > F.length(degree), segment), degree)
+
+
 def _or_else(alias: str, value: Column, rest):
     def test(text: Column) -> Column:
         hit = F.when(T.word_bounded(text, alias), value)
@@ -158,8 +200,10 @@ def labelled_claims(blocks: DataFrame, headings: DataFrame, key: str, labels: di
         rows = rows.unionByName(more)
     group = [key, "field_key", F.lower(F.trim("excerpt")).alias("e")] if multiple else [key, "field_key"]
     best = rows.groupBy(*group).agg(F.min(F.struct("pass", "idx", "sub", "raw_value", "excerpt")).alias("x"))
+    # the place of a claim among all of its page and field: whatever the page's length, no two share one
+    order = Window.partitionBy(key, "field_key").orderBy("x.pass", "x.idx", "x.sub", "x.excerpt")
     return best.select(
-        key, "field_key", (F.col("x.pass") * 1_000_000_000 + F.col("x.idx") * 10_000 + F.col("x.sub")).cast("long").alias("claim_idx"),
+        key, "field_key", (F.row_number().over(order) - 1).cast("long").alias("claim_idx"),
         F.left("x.raw_value", F.lit(LONGEST_CLAIM)).alias("raw_value"), F.when(F.col("x.pass") == 0, "labeled_pattern").otherwise("heading_scoped").alias("method"),
         F.left("x.excerpt", F.lit(LONGEST_CLAIM)).alias("excerpt"),
     )
@@ -247,14 +291,127 @@ def classify_sections(df: DataFrame, heading: str, paragraphs: str, items: str,
     )
 
 
-def sections(blocks: DataFrame, headings: DataFrame, key: str) -> DataFrame:
+def sections(blocks: DataFrame, headings: DataFrame, key: str, tables: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """Blocks grouped by heading text: the first heading of a text wins, orphans are left out.
-    Texts of at most eight words without a sentence break are items, others paragraphs."""
+    Texts of at most eight words without a sentence break are items, others paragraphs.
+
+    With ``tables(key, idx, heading_context, headers, rows)`` and ``images(key, idx, heading_context,
+    url)`` a section also has table_headers, table_rows and image_urls, and needs no text."""
     h = headings.groupBy(key, F.col("text").alias("heading_context")).agg(F.min("idx").alias("h_idx"), F.min_by("level", "idx").alias("level"))
     item = (F.size(F.split(T.collapse_ws("text"), " ")) <= 8) & ~F.col("text").rlike(r"[.!?]\s+\S")
     texts = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("idx", "text")))), lambda x: x["text"])
     g = blocks.groupBy(key, "heading_context").agg(texts(item).alias("items"), texts(~item).alias("paragraphs"))
-    return g.join(h, [key, "heading_context"]).select(key, "h_idx", "level", F.col("heading_context").alias("heading"), "items", "paragraphs")
+    names = ["items", "paragraphs"]
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct("idx", *c)))
+    if tables is not None:
+        t = tables.groupBy(key, "heading_context").agg(listed("headers", "rows").alias("t"))
+        t = t.select(key, "heading_context", F.flatten(F.transform("t", lambda x: x["headers"])).alias("table_headers"), F.flatten(F.transform("t", lambda x: x["rows"])).alias("table_rows"))
+        g, names = g.join(t, [key, "heading_context"], "full_outer"), [*names, "table_headers", "table_rows"]
+    if images is not None:
+        i = images.groupBy(key, "heading_context").agg(F.transform(listed("url"), lambda x: x["url"]).alias("image_urls"))
+        g, names = g.join(i, [key, "heading_context"], "full_outer"), [*names, "image_urls"]
+    none = {n: F.array().cast("array<array<string>>" if n == "table_rows" else "array<string>") for n in names}
+    return g.join(h, [key, "heading_context"]).select(key, "h_idx", "level", F.col("heading_context").alias("heading"), *[F.coalesce(n, none[n]).alias(n) for n in names])
+
+
+#: Categories that state facts, and which of them may both be read out of one section.
+FACT_CATEGORIES = ["ACCREDITATION", "RANKINGS", "SPECIALIZATION", "CURRICULUM", "PROGRAM_STRUCTURE", "ELIGIBILITY", "FEES"]
+TOGETHER = [("ACCREDITATION", "RANKINGS"), ("CURRICULUM", "PROGRAM_STRUCTURE")]
+
+
+def section_facts(rows: DataFrame, key: str) -> DataFrame:
+    """What classified sections state: (key, field, h_idx, i, value, source_type, image_url, confidence).
+
+    ``rows`` are sections with tables and images, category, confidence and secondary categories.
+    Every category has its own filter: names of offerings for lists of them, requirements for
+    eligibility, anything but page chrome for the rest; tables state fees and subjects by row, and
+    a picture among fees is a fact still to be read.
+    """
+    cats = F.array("category")
+    for both in TOGETHER:
+        more = F.array_intersect("secondary", F.array(*[F.lit(x) for x in both]))
+        cats = F.when(F.col("category").isin(list(both)), F.array_distinct(F.concat(F.array("category"), more))).otherwise(cats)
+    clean = lambda c: F.filter(c, lambda v: ~T.is_chrome(v))
+    names = lambda c: F.filter(c, lambda v: T.named_offering(v) & ~T.is_chrome(v))
+    needs = lambda c: F.filter(c, eligibility_sentence)
+    of = lambda c, kind: F.transform(c, lambda v: F.struct(v.alias("value"), F.lit(kind).alias("source_type"), F.lit(None).cast("string").alias("image_url")))
+    pictures = F.transform("image_urls", lambda u: F.struct(F.lit("").alias("value"), F.lit("image_ocr").alias("source_type"), u.alias("image_url")))
+    subjects = F.transform("table_rows", lambda r: F.trim(F.get(F.filter(r, lambda c: F.trim(c) != ""), F.lit(0))))
+    fees = F.filter(F.transform("table_rows", table_row_fact), lambda v: v.isNotNull())
+    c = F.col("field")
+    stated = (
+        F.when(c == "SPECIALIZATION", of(names("items"), "heading_and_text"))
+        .when(c.isin("ACCREDITATION", "RANKINGS"), F.concat(of(clean("items"), "heading_and_text"), of(clean("paragraphs"), "text")))
+        .when(c == "ELIGIBILITY", F.concat(of(needs("items"), "heading_and_text"), of(needs("paragraphs"), "text")))
+        .when(c.isin("CURRICULUM", "PROGRAM_STRUCTURE"), F.concat(of(names("items"), "heading_and_text"), of(names(F.filter(subjects, lambda v: v.isNotNull())), "table")))
+        .when(c == "FEES", F.concat(of(clean(F.concat("items", "paragraphs")), "text"), of(clean(fees), "table"), pictures))
+    )
+    each = rows.withColumn("field", F.explode(cats)).where(c.isin(FACT_CATEGORIES))
+    found = each.select(key, "field", "h_idx", "confidence", F.posexplode(stated).alias("i", "x"))
+    low = F.when(F.col("x.source_type") == "image_ocr", "LOW").otherwise(F.col("confidence"))
+    return found.select(key, "field", "h_idx", "i", "x.value", "x.source_type", "x.image_url", low.alias("confidence"))
+
+
+def read_images(facts: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Facts with what a reader made of their pictures (``ocr``: url, text, confidence): a sure reading
+    is a fact like any other, an unsure one stays marked, and none leaves the value empty."""
+    seen = ocr.dropDuplicates(["url"]).select(F.col("url").alias("image_url"), F.col("text").alias("_text"), F.col("confidence").alias("_sure"))
+    rows = facts.join(seen, "image_url", "left")
+    return rows.select(
+        *[c for c in facts.columns if c not in ("value", "confidence")], F.coalesce("_text", "value").alias("value"), F.coalesce("_sure", "confidence").alias("confidence")
+    ).select(*facts.columns)
+
+
+def cross_sell(heading: Column) -> Column:
+    """Whether a heading opens a section of other offers."""
+    # fixed value: how such headings read
+    return T.any_of(heading["text"], [r"\b(other|related|similar|popular|more)\b[\s\S]{0,30}\b(programs?|courses?|degrees?|specializations?|electives?)\b"])
+
+
+# fixed values: headings of specialization lists
+SPECIALIZATION_LABELS = ["Specializations", "Specialisations", "Specialization", "Specialisation", "Electives", "Elective"]
+
+
+def specializations(headings, blocks) -> Column:
+    """The items of the first heading that names specializations: the headings below it, down to the
+    next of its level or above; without any, the texts that stand under it."""
+    heads, blocks = T._c(headings), T._c(blocks)
+    label = lambda h: T.any_of(h["text"], [rf"(?<![a-z0-9]){literal(w)}(?![a-z0-9])" for w in SPECIALIZATION_LABELS])
+
+    def items(x: Column) -> Column:
+        first = x["first"]
+        after = F.filter(heads, lambda h: h["idx"] > first["idx"])
+        end = F.array_min(F.transform(F.filter(after, lambda h: h["level"] <= first["level"]), lambda h: h["idx"]))
+        below = F.transform(F.filter(after, lambda h: (end.isNull() | (h["idx"] < end)) & (h["text"] != "")), lambda h: h["text"])
+        under = F.transform(F.filter(blocks, lambda b: (b["heading_context"] == first["text"]) & (b["text"] != "")), lambda b: b["text"])
+        found = F.when(F.size(below) > 0, below).otherwise(under)
+        return F.when(first.isNotNull(), F.transform(found, lambda v: F.left(v, F.lit(LONGEST_CLAIM)))).otherwise(F.array().cast("array<string>"))
+
+    return T.let(items, first=F.get(F.filter(heads, label), F.lit(0)))
+
+
+def merged_specializations(lists: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """(key, idx, value): a page's list (key, idx, value) and then its specialization facts (key, idx,
+    value), each item once whatever its case, in order."""
+    both = lists.select(key, F.lit(0).alias("rank"), "idx", "value").unionByName(facts.select(key, F.lit(1).alias("rank"), "idx", "value"))
+    rows = both.withColumn("item", F.lower(F.trim("value"))).where("item <> ''")
+    first = rows.groupBy(key, "item").agg(F.min(F.struct("rank", "idx", "value")).alias("x"))
+    by = Window.partitionBy(key).orderBy("x.rank", "x.idx", "item")
+    return first.select(key, (F.row_number().over(by) - 1).alias("idx"), F.col("x.value").alias("value"))
+
+
+def guess_claims(pages: DataFrame, key: str) -> DataFrame:
+    """Program, degree and institution of pages as claims (key, field_key, idx, raw_value); what a
+    page doesn't have makes none."""
+    fields = ("program", "degree", "institution")
+    rows = F.array(*[F.struct(F.lit(f).alias("field_key"), F.col(f).alias("raw_value")) for f in fields])
+    return pages.select(key, F.explode(rows).alias("x")).where("x.raw_value is not null").select(key, "x.field_key", F.lit(0).alias("idx"), "x.raw_value")
+
+
+def proper_nouns(*values) -> Column:
+    """Words of at least two letters of a page's names: these are never misspelt."""
+    words = F.split(F.lower(F.concat_ws(" ", *[T._c(v) for v in values])), "[^a-z']+")
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
 
 
 def spell_check(sources: DataFrame, key: str, text: str, known: DataFrame, allowed: list[str] = ()) -> DataFrame:

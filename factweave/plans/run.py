@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import text as T
@@ -10,6 +12,7 @@ from factweave.functions import urls as U
 from factweave.operators import report as P
 from factweave.operators import resolve as R
 from factweave.operators import understand as N
+from factweave.operators import windows as W
 from factweave.sources import html as H
 from factweave.sources.store import cut
 
@@ -24,38 +27,44 @@ def identities(pages: DataFrame) -> DataFrame:
     org = F.get(F.filter(F.transform("json_ld", lambda x: F.try_variant_get(F.try_parse_json(x), "$.name", "string")), lambda x: x.isNotNull()), F.lit(0))
     site = F.try_element_at("open_graph", F.lit("og:site_name"))
     p = p.withColumn("i", N.institution_match(F.col("title"), site, org, N.footer_name("footer_text")))
-    with_alias = F.get(F.filter(F.transform("headings", lambda h: h["text"]), lambda t: F.contains(F.lower(t), F.lower(F.col("d.alias")))), F.lit(0))
-    first = F.get(F.col("headings"), F.lit(0))["text"]
-    segment = F.trim(F.get(F.split("title", r"\s[|\-–—:]\s|[|:]"), F.lit(0)))
-    named = F.when(F.length(segment) > F.length("d.degree"), segment)
+    own = F.coalesce("headings", F.array().cast("array<struct<idx:int,level:int,text:string>>"))
+    program = F.when(F.col("d.degree").isNotNull(), N.program_text("title", own, "d.degree", R.STOPWORDS)).otherwise(N.subject_only_program(F.col("texts"), R.STOPWORDS))
+    # headings of other offers say nothing about this page
+    kept = W.skip_levels(own, N.cross_sell)
     return p.select(
-        "page_id", "url", "title", F.transform("headings", lambda h: h["text"]).alias("headings"), F.col("d.degree").alias("degree"),
-        F.coalesce(with_alias, named, F.col("d.degree"), first).alias("program"), F.concat_ws(" ", "d.alias", "d.degree").alias("exclude"), F.col("i.institution").alias("institution"),
+        "page_id", "url", "title", F.transform(kept, lambda h: h["text"]).alias("headings"), F.col("d.degree").alias("degree"),
+        program.alias("program"), N.other_degrees(F.col("texts"), F.col("d.degree")).alias("other_degrees"), N.detect_logo()["url"].alias("logo"), F.concat_ws(" ", "d.alias", "d.degree").alias("exclude"), F.col("i.institution").alias("institution"),
         F.when(T.comparison_key(site) != T.comparison_key(F.col("i.institution")), site).alias("brand"), N.page_type(F.col("texts"), F.col("d")).alias("page_type"),
     )
 
 
 def claims(pages: DataFrame) -> DataFrame:
-    """(page_id, field_key, idx, raw_value) of every page by all label dictionaries."""
-    blocks = pages.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.idx", "b.heading_context", "b.text")
+    """(page_id, field_key, idx, raw_value) of every page: all label dictionaries, credits, and what
+    the page is taken to be.  Pairs of a label and the values after it count as texts of their own."""
+    blocks = pages.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.idx", "b.heading_context", "b.text", "b.struck")
+    pairs = W.label_value_pairs(blocks, ["page_id"]).select("page_id", (F.col("idx") + F.lit(1 << 30)).cast("long").alias("idx"), "heading_context", "text")  # after all others
+    blocks = blocks.select("page_id", F.col("idx").cast("long").alias("idx"), "heading_context", "text").unionByName(pairs)
     heads = pages.select("page_id", F.explode("headings").alias("h")).select("page_id", "h.idx", "h.text")
     single = N.labelled_claims(blocks, heads, "page_id", {**N.CLAIM_LABELS, **N.OTHER_LABELS})
     many = N.labelled_claims(blocks, heads, "page_id", N.ITEM_LABELS, multiple=True)
     credit = N.credits_claim(blocks, "page_id").withColumn("claim_idx", F.lit(0).cast("long"))
-    cols = ["page_id", "field_key", F.col("claim_idx").alias("idx"), "raw_value"]
-    return single.select(*cols).unionByName(many.select(*cols)).unionByName(credit.select(*cols))
-
-
-def facts(pages: DataFrame) -> DataFrame:
-    """(page_id, field, idx, value): items of classified sections.  Sections about duration,
-    mode, admission and placement state no facts of their own."""
-    blocks = pages.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.idx", "b.heading_context", "b.text")
-    heads = pages.select("page_id", F.explode("headings").alias("h")).select("page_id", "h.idx", "h.level", "h.text")
-    rows = N.sections(blocks, heads, "page_id").withColumn("table_headers", F.array().cast("array<string>"))
-    rows = N.classify_sections(rows, "heading", "paragraphs", "items", "table_headers").where(~F.col("category").isin("OTHER", "COURSE_DURATION", "MODE", "ADMISSION", "PLACEMENT"))
-    keep = F.when(F.col("category").isin("SPECIALIZATION", "CURRICULUM", "PROGRAM_STRUCTURE"), F.col("items")).otherwise(F.concat("items", "paragraphs"))
-    out = rows.select("page_id", F.col("category").alias("field"), "h_idx", F.posexplode(keep).alias("i", "value"))
-    return out.where(~T.is_chrome("value")).select("page_id", "field", (F.col("h_idx") * 10_000 + F.col("i")).cast("long").alias("idx"), "value")
+    guessed = N.guess_claims(identities(pages), "page_id").withColumnRenamed("idx", "claim_idx")
+    cols = ["page_id", "field_key", F.col("claim_idx").cast("long").alias("idx"), "raw_value"]
+    return reduce(DataFrame.unionByName, [x.select(*cols) for x in (single, many, credit, guessed)])
+
+
+def facts(pages: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
+    """(page_id, field, idx, value, source_type, confidence): what classified sections state, with
+    the readings of their pictures (``ocr``: url, text, confidence) where there are any."""
+    part = lambda name, *cols: pages.select("page_id", F.explode(name).alias("x")).select("page_id", *[f"x.{c}" for c in cols])
+    rows = N.sections(
+        part("blocks", "idx", "heading_context", "text"), part("headings", "idx", "level", "text"), "page_id",
+        part("tables", "idx", "heading_context", "headers", "rows"), part("images", "idx", "heading_context", "url"),
+    )
+    found = N.section_facts(N.classify_sections(rows, "heading", "paragraphs", "items", "table_headers"), "page_id")
+    found = found if ocr is None else N.read_images(found, ocr)
+    order = Window.partitionBy("page_id", "field").orderBy("h_idx", "i")
+    return found.select("page_id", "field", (F.row_number().over(order) - 1).cast("long").alias("idx"), "value", "source_type", "confidence")
 
 
 def resolve(ids: DataFrame, targets: DataFrame, domain: str, homepage: str | None = None) -> DataFrame:

@@ -73,11 +73,10 @@ def parse_sitemap(xml, most: int = 500) -> Column:
 
 
 def walk(start: DataFrame, links: DataFrame, domain: str, depth: int = 2, most: int = 40) -> DataFrame:
-    """Breadth-first over recorded ``links(from_url, to_url)``: (url, level, idx) within a domain.
+    """Breadth-first over recorded ``links(from_url, to_url, idx)``: (url, level, idx) within a domain.
 
-    One join per level; pages seen before are left out by an anti-join on the url key, and a
-    level takes only what the budget still allows, in order.
-    """
+    One join per level; pages seen before are left out by an anti-join on the url key.  A level
+    has ``most`` pages at most, which is the crawl's whole budget, taken in order."""
     found = start.select(F.col("url"), F.lit(0).alias("level"), F.col("idx").cast("long")).withColumn("key", U.url_key("url"))
     frontier = found
     for level in range(1, depth + 1):
@@ -86,10 +85,59 @@ def walk(start: DataFrame, links: DataFrame, domain: str, depth: int = 2, most:
         )
         nxt = nxt.where(U.within_domain("url", F.lit(domain))).withColumn("key", U.url_key("url"))
         nxt = nxt.groupBy("key").agg(F.min_by(F.struct("url", "level", "idx"), F.struct("idx", "url")).alias("x")).select("key", "x.*")
-        nxt = nxt.join(found.select("key"), "key", "left_anti")
+        nxt = nxt.join(found.select("key"), "key", "left_anti").orderBy("idx", "url").limit(most)
         found, frontier = found.unionByName(nxt), nxt
-    order = Window.partitionBy(F.lit(domain)).orderBy("level", "idx", "url")  # at most ``most`` rows stay: the crawl's budget
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+    return found.orderBy("level", "idx", "url").limit(most)
+
+
+def walk_sitemaps(roots: DataFrame, files: DataFrame, domain: str, depth: int = 2) -> DataFrame:
+    """Pages that sitemaps name: (url, method, idx), each url once, first named first.
+
+    ``roots(url, idx)`` are read from ``files(url, body)``, and the sitemaps an index names in their
+    turn, to ``depth`` levels, within ``domain``.  A page's place is that of its sitemap, then its own."""
+    level = roots.where(U.within_domain("url", F.lit(domain))).select("url", F.array(F.col("idx").cast("long")).alias("at"))
+    pages = None
+    for _ in range(depth):
+        read = level.join(files.select("url", parse_sitemap("body").alias("map")), "url").select(
+            "at", F.col("map.kind").alias("kind"), F.posexplode("map.locs").alias("n", "url")
+        ).withColumn("at", F.concat("at", F.array(F.col("n").cast("long"))))
+        named = read.where("kind = 'urlset'").select("url", "at")
+        pages = named if pages is None else pages.unionByName(named)
+        level = read.where("kind = 'sitemapindex'").where(U.within_domain("url", F.lit(domain))).groupBy("url").agg(F.min("at").alias("at"))
+    return frontier(pages.select("url", F.lit("sitemap").alias("method"), F.col("at").alias("idx")))
+
+
+#: How a page was found, the surest way first.
+METHODS = ["homepage", "navigation", "sitemap", "harvest"]
+
+
+def frontier(found: DataFrame) -> DataFrame:
+    """Candidates (url, method, idx) once per url key: the first method, then the first place."""
+    rank = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
+    best = found.withColumn("key", U.url_key("url")).groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "idx", "url", "method")).alias("x"))
+    return best.select("key", "x.url", "x.method", "x.idx")
+
+
+def page_index(candidates: DataFrame, domain: str, most: int = 40) -> tuple[DataFrame, DataFrame]:
+    """``(index, unfetched)``: candidates (url, method, idx) within the domain that a crawl's budget
+    of ``most`` pages takes, in order, and those it leaves for a top-up.  Every run reads one
+    index; ``most`` is a feature of the crawl, so the rest is kept and not dropped."""
+    rank = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
+    every = frontier(candidates.where(U.within_domain("url", F.lit(domain))))
+    index = every.orderBy(rank, "idx", "url").limit(most)
+    return index.orderBy("key"), every.join(index.select("key"), "key", "left_anti")
+
+
+def crawl_stats(log: DataFrame) -> DataFrame:
+    """One row of counts out of a fetch log (url, method, failure): what a crawl met and why it failed."""
+    failed = lambda *kinds: F.count_if(F.col("failure").isin(*kinds))
+    return log.agg(
+        F.count("*").alias("requested"), F.count_if(F.col("failure").isNull()).alias("fetched"),
+        *[F.count_if(F.col("method") == m).alias(f"from_{m}") for m in METHODS],
+        failed("resolved_ip_blocked", "redirect_target_blocked").alias("blocked"), failed("http_error").alias("http_errors"),
+        failed("non_html", "empty_body").alias("unusable"), failed("unreachable", "dns_resolution_failed").alias("unreachable"),
+        failed("too_many_redirects").alias("too_many_redirects"), failed("invalid_url", "body_too_large").alias("refused"),
+    )
 
 
 # fixed values: paths that hold no program pages
@@ -97,8 +145,20 @@ UNLIKELY = ["blog", "news", "press", "article", "insight", "resource"]
 
 
 def top_up(targets: DataFrame, unfetched: DataFrame, most: int = 20) -> DataFrame:
-    """Unfetched urls (url, idx) per target (target_idx, keywords) by keyword hits, then order."""
-    likely = unfetched.where(~F.lower(U.path("url")).rlike(r"(^|/)(" + "|".join(UNLIKELY) + r")s?(/|-|$)")).withColumn("token", F.explode(F.array_distinct(T.tokens("url"))))
-    hits = targets.select("target_idx", F.explode(F.array_distinct("keywords")).alias("token")).join(likely, "token").groupBy("target_idx", "url", "idx").agg(F.count("*").alias("hits"))
-    by = Window.partitionBy("target_idx").orderBy(F.desc("hits"), "idx")
-    return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    """Unfetched urls (url, idx) per target (target_idx, keywords), most keyword hits first, then in
+    order; urls without a hit come last.
+
+    A target takes ``most`` urls, so of those without a hit only the first ``most`` can be taken
+    beside the first it has hits on: a list of one length for all targets, checked by its limit.
+    """
+    likely = unfetched.where(~F.lower(U.path("url")).rlike(r"(^|/)(" + "|".join(UNLIKELY) + r")s?(/|-|$)"))
+    worded = likely.withColumn("token", F.explode(T.tokens("url")))  # a word of an address counts as often as it occurs
+    asked = targets.select("target_idx", F.explode(F.array_distinct("keywords")).alias("token"))
+    hits = asked.join(worded, "token").groupBy("target_idx", "url", "idx").agg(F.count("*").alias("hits"))
+    by = Window.partitionBy("target_idx").orderBy(F.desc("hits"), "idx", "url")
+    best = hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).drop("rank")
+    # of any ``2 * most`` first urls a target has at most ``most`` among its best
+    first = likely.select("url", "idx").orderBy("idx", "url").limit(2 * most).agg(F.collect_list(F.struct("url", "idx")).alias("x")).scalar()
+    rest = targets.select("target_idx", F.explode(first).alias("f")).select("target_idx", "f.url", "f.idx").join(hits.select("target_idx", "url"), ["target_idx", "url"], "left_anti")
+    every = best.unionByName(rest.withColumn("hits", F.lit(0).cast("long")))
+    return every.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).select("target_idx", "url", "idx", "hits", "rank")

@@ -10,14 +10,17 @@ from __future__ import annotations
 import ipaddress
 import json
 import socket
+import threading
 from collections.abc import Callable, Iterable
+from http.client import HTTPException
+from queue import Empty, Queue
 from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from factweave.functions.urls import RESERVED_V4, RESERVED_V6
 
-MOST_HOPS, SECONDS = 5, 15
+MOST_HOPS, SECONDS, MOST_BYTES = 5, 15, 20_000_000
 _NETS = [ipaddress.ip_network(n) for n in [*RESERVED_V4, *RESERVED_V6]]
 
 
@@ -31,8 +34,29 @@ def is_reserved(address: str) -> bool:
     return any(i is not None and i.version == n.version and i in n for i in every for n in _NETS)
 
 
-def resolve(host: str) -> list[str]:
-    return list(dict.fromkeys(x[4][0] for x in socket.getaddrinfo(host, None)))
+class TooLarge(Exception):
+    """A body of more than ``MOST_BYTES``."""
+
+
+def resolve(host: str, seconds: float = SECONDS) -> list[str]:
+    """The host's addresses, or an ``OSError`` when a look-up takes longer than ``seconds``; the
+    system's own call has no limit, so it runs in a thread that is left behind."""
+    found: Queue = Queue()
+
+    def look() -> None:
+        try:
+            found.put(list(dict.fromkeys(x[4][0] for x in socket.getaddrinfo(host, None))))
+        except (OSError, UnicodeError) as e:
+            found.put(e)
+
+    threading.Thread(target=look, daemon=True).start()
+    try:
+        answer = found.get(timeout=seconds)
+    except Empty:
+        raise TimeoutError(host) from None
+    if isinstance(answer, Exception):
+        raise answer
+    return answer
 
 
 def http_get(url: str, address: str) -> tuple[int, dict[str, str], bytes]:
@@ -50,27 +74,31 @@ def http_get(url: str, address: str) -> tuple[int, dict[str, str], bytes]:
     try:
         connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"Host": parts.netloc, "User-Agent": "factweave"})
         answer = connection.getresponse()
-        return answer.status, {k.lower(): v for k, v in answer.getheaders()}, answer.read()
+        body = answer.read(MOST_BYTES + 1)
+        if len(body) > MOST_BYTES:
+            raise TooLarge(url)
+        return answer.status, {k.lower(): v for k, v in answer.getheaders()}, body
     finally:
         connection.close()
 
 
 def safe_fetch(url: str, lookup: Callable = resolve, get: Callable = http_get, kind: str = "text/html", refused: Callable = is_reserved) -> dict:
-    """A fetch as a record: requested and final url, status, content type, body, failure (or None)."""
+    """A fetch as a record: requested and final url, status, content type, body, failure (or None).
+    Whatever goes wrong is a class of failure; nothing is raised."""
     record = {"requested_url": url, "final_url": url, "status": None, "content_type": None, "body": None, "hops": 0, "failure": None}
     current = url
     for hop in range(MOST_HOPS + 1):
         record |= {"final_url": current, "hops": hop}
         try:
             parts = urlsplit(current)
-            host = parts.hostname
+            host, _ = parts.hostname, parts.port  # a port out of range is an error as well
         except ValueError:
             return record | {"failure": "invalid_url"}
         if parts.scheme not in ("http", "https") or not host:
             return record | {"failure": "invalid_url"}
         try:
             addresses = lookup(host)
-        except OSError:
+        except (OSError, UnicodeError):
             addresses = []
         if not addresses:
             return record | {"failure": "dns_resolution_failed"}
@@ -78,10 +106,15 @@ def safe_fetch(url: str, lookup: Callable = resolve, get: Callable = http_get, k
             return record | {"failure": "redirect_target_blocked" if hop else "resolved_ip_blocked"}
         try:
             status, headers, body = get(current, addresses[0])
-        except OSError:
+        except TooLarge:
+            return record | {"failure": "body_too_large"}
+        except (OSError, HTTPException, ValueError):  # bad status lines and bodies cut short included
             return record | {"failure": "unreachable"}
         if 300 <= status < 400 and headers.get("location"):
-            current = urljoin(current, headers["location"])
+            try:
+                current = urljoin(current, headers["location"])
+            except ValueError:
+                return record | {"failure": "invalid_url"}
             continue
         content = headers.get("content-type", "")
         record |= {"status": status, "content_type": content, "body": body}

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder the session names in ``spark.checkpoint.dir``, so its plan
-    is planned and run once and survives lost executors.  Only a session without such a
-    folder (tests on one machine) gets a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir`` of the session.  Only a session on one
+    machine (tests) without such a folder gets a temporary one; on a cluster it is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factweave-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder, so its plan is planned and run once and survives
+    lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -30,3 +39,12 @@ def latest_runs(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
     rest = [c for c in rows.columns if c != "run_id"]
     g = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "ts").alias("last"))
     return g.select("run_id", "last.*")
+
+
+#: Sides of a join of at most so many rows are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if it was counted to have few rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

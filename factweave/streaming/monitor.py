@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.sources.store import shared_dir
+
 
 def events_per_hour(events: DataFrame) -> DataFrame:
     """Counts per hour and type of events distinct by id; late ones within two hours count."""
@@ -24,17 +26,27 @@ def events_per_hour(events: DataFrame) -> DataFrame:
     )
 
 
-def monitor(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over the files at ``path`` to the end and return its last counts."""
+def monitor(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """Run the stream over the files at ``path`` to the end and return its last counts.
+
+    Every batch appends the counts it changed to Parquet under ``out`` (a folder in shared
+    storage); of one hour and type the latest batch counts."""
     schema = spark.read.parquet(path).schema
     where, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{where}/{name}*")
-    sink = f"monitor_{uuid.uuid4().hex}"
-    run = events_per_hour(stream).writeStream.outputMode("update").format("memory").queryName(sink).trigger(availableNow=True).start()
+    folder = f"{out or shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again after a failure replaces itself
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    counts = events_per_hour(stream)
+    run = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         run.awaitTermination()
         if run.exception() is not None:
             raise run.exception()
     finally:
         run.stop()
-    return spark.table(sink).groupBy("hour", "event_type").agg(F.max_by("n", "n").alias("n"), F.max_by("total", "n").alias("total"))
+    found = spark.read.schema(counts.schema.add("batch", "long")).parquet(f"{folder}/counts")
+    return found.groupBy("hour", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("hour", "event_type", "x.n", "x.total")

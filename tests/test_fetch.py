@@ -33,3 +33,34 @@ def test_source(spark):
     df = spark.read.format("pages").option("urls", json.dumps([*ROUTES, "https://a.org/"])).option("routes", routes).option("parts", "3").load()
     got = {r.requested_url: r.failure for r in df.collect()}
     assert len(got) == len(ROUTES) == df.count() and got["https://a.org/"] is None and got["https://a.org/loop"] == "too_many_redirects"
+
+
+def test_whatever_goes_wrong_is_a_class():
+    import http.client
+    import time
+
+    def raising(e):
+        def get(url, address):
+            raise e
+
+        return get
+
+    def said(url="https://a.org/", lookup=lambda h: ["93.184.216.34"], get=None):
+        return X.safe_fetch(url, lookup=lookup, get=get or X.recorded(ROUTES))["failure"]
+
+    def refuse(host):
+        raise UnicodeError(host)
+
+    assert said(get=raising(http.client.BadStatusLine("x"))) == said(get=raising(http.client.IncompleteRead(b"x"))) == said(get=raising(TimeoutError())) == "unreachable"
+    assert said(get=raising(X.TooLarge("x"))) == "body_too_large"
+    assert said("https://a.org:99999/") == "invalid_url" and said(lookup=refuse) == "dns_resolution_failed"
+    assert said(get=lambda u, a: (302, {"location": "http://["}, b"")) == "invalid_url"
+    start, slow = time.monotonic(), X.socket.getaddrinfo
+    X.socket.getaddrinfo = lambda *a: time.sleep(1) or []
+    try:
+        X.resolve("a.org", seconds=0.2)
+        raise AssertionError
+    except TimeoutError:
+        assert time.monotonic() - start < 2
+    finally:
+        X.socket.getaddrinfo = slow

@@ -77,7 +77,10 @@ def test_walk_and_top_up(spark):
     assert S.walk(start, links, "u.org", most=2).count() == 2
     targets = spark.createDataFrame([(1, ["mba", "finance"])], "target_idx int, keywords array<string>")
     urls = spark.createDataFrame([("https://u.org/blog/mba-finance", 0), ("https://u.org/mba", 1), ("https://u.org/mba-finance", 2), ("https://u.org/law", 3)], "url string, idx int")
-    assert [r.url for r in S.top_up(targets, urls).orderBy("rank").collect()] == ["https://u.org/mba-finance", "https://u.org/mba"]
+    assert [(r.url, r.hits) for r in S.top_up(targets, urls).orderBy("rank").collect()] == [("https://u.org/mba-finance", 2), ("https://u.org/mba", 1), ("https://u.org/law", 0)]
+    assert [r.url for r in S.top_up(targets, urls, most=1).collect()] == ["https://u.org/mba-finance"]
+    nobody = spark.createDataFrame([(2, [])], "target_idx int, keywords array<string>")
+    assert [r.url for r in S.top_up(nobody, urls, most=2).orderBy("rank").collect()] == ["https://u.org/mba", "https://u.org/mba-finance"]
 
 
 def test_monitor(spark):
