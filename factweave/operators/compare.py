@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.functions import values as V
+from factweave.sources.store import cut
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -96,14 +97,16 @@ def list_status(diff: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("status", status)
 
 
-def set_diff(master: DataFrame, target: DataFrame, keys: list[str], stems: bool = False) -> DataFrame:
+def set_diff(master: DataFrame, target: DataFrame, keys: list[str], stems: bool = False, keep: bool = False) -> DataFrame:
     """For each item of the master its first equivalent item of the target, or none.
 
     Items (keys, idx, value) are equivalent if their keys or concepts agree or half of the
     smaller token set is shared (with ``stems`` also three fifths of five-letter stems).  A
     target item may serve several master items.  Candidates come from equi-joins.  Equal concepts
     are one; for tokens, the smaller set asks with as many of its tokens as can't all be missing,
-    longer tokens first, since these are rarer.  Ids meet first; what is compared follows.
+    longer tokens first, since these are rarer; what is compared comes along, so that only
+    equivalent items leave the join.  ``keep`` writes the items read out of long lists to shared
+    storage, so that each is read once.
     """
     def items(df):
         rows = df.withColumn("item", T.semantic_value("value")).where("item <> ''")
@@ -115,28 +118,29 @@ def set_diff(master: DataFrame, target: DataFrame, keys: list[str], stems: bool
         """Longer ones first."""
         return F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"])
 
-    a, b = items(master), items(target)
-    on = lambda df, s: [F.col(k).alias(f"{s}_{k}") for k in [*keys, "idx"]]
-    equal = lambda x, y, c, *more: x.join(y, [*[F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys], F.col(f"a_{c}") == F.col(f"b_{c}"), *more])
-    ids = [*[f"a_{k}" for k in [*keys, "idx"]], "b_idx"]
-    named = equal(a.select(*on(a, "a"), F.col("concept").alias("a_probe")), b.select(*on(b, "b"), F.col("concept").alias("b_probe")), "probe").select(*ids)
-    met = [named]
-    for c, num, den in [("toks", 1, 2), *([("stem", 3, 5)] if stems else [])]:
-        size = F.size(c)
-        asks = F.slice(ranked(F.col(c)), 1, size - F.ceil(size * num / den).cast("int") + 1)
-        side = lambda df, s, x: df.where(F.size(c) > 0).select(*on(df, s), F.size(c).alias(f"{s}_n"), F.explode(x).alias(f"{s}_probe"))  # noqa: E731, B023
-        met.append(equal(side(a, "a", asks), side(b, "b", F.col(c)), "probe", F.col("a_n") <= F.col("b_n")).select(*ids))
-        met.append(equal(side(a, "a", F.col(c)), side(b, "b", asks), "probe", F.col("b_n") < F.col("a_n")).select(*ids))
-    pairs = reduce(DataFrame.unionByName, met).distinct()
-    whole = lambda df, s: df.select(*on(df, s), *[F.col(c).alias(f"{s}_{c}") for c in ("item", "concept", "toks", "stem", "value")])
-    at = [f"a_{k}" for k in [*keys, "idx"]]
-    of = whole(b, "b").withColumnsRenamed({f"b_{k}": f"a_{k}" for k in keys})
-    pairs = pairs.join(whole(a, "a"), at).join(of, [*[f"a_{k}" for k in keys], "b_idx"])
+    a, b = (cut(items(x)) if keep else items(x) for x in (master, target))
+    cols = ["item", "concept", "toks", "stem", "value"]
     share = lambda c, num, den: T._share(F.col(f"a_{c}"), F.col(f"b_{c}"), num, den)
     same = (F.col("a_item") == F.col("b_item")) | (F.col("a_concept") == F.col("b_concept")) | share("toks", 1, 2)
     if stems:
         same = same | share("stem", 3, 5)
-    hits = pairs.where(same).groupBy(*[F.col(x).alias(x[2:]) for x in at]).agg(F.min(F.struct(F.col("b_idx").alias("t_idx"), F.col("b_value").alias("t_value"))).alias("hit"))
+
+    def side(df, s, probe, size=None):
+        own = [F.col(k).alias(f"{s}_{k}") for k in [*keys, "idx"]] + [F.col(c).alias(f"{s}_{c}") for c in cols]
+        return df.select(*own, (F.lit(0) if size is None else size).alias(f"{s}_n"), probe.alias(f"{s}_probe"))
+
+    def meet(x, y, *more):
+        on = [*[F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys], F.col("a_probe") == F.col("b_probe"), *more, same]
+        return x.join(y, on).select(*[F.col(f"a_{k}").alias(k) for k in [*keys, "idx"]], F.struct(F.col("b_idx").alias("t_idx"), F.col("b_value").alias("t_value")).alias("hit"))
+
+    met = [meet(side(a, "a", F.col("concept")), side(b, "b", F.col("concept")))]
+    for c, num, den in [("toks", 1, 2), *([("stem", 3, 5)] if stems else [])]:
+        size = F.size(c)
+        asks = F.slice(ranked(F.col(c)), 1, size - F.ceil(size * num / den).cast("int") + 1)
+        full_a, full_b = a.where(size > 0), b.where(size > 0)
+        met.append(meet(side(full_a, "a", F.explode(asks), size), side(full_b, "b", F.explode(c), size), F.col("a_n") <= F.col("b_n")))
+        met.append(meet(side(full_a, "a", F.explode(c), size), side(full_b, "b", F.explode(asks), size), F.col("b_n") < F.col("a_n")))
+    hits = reduce(DataFrame.unionByName, met).groupBy(*keys, "idx").agg(F.min("hit").alias("hit"))
     left = first_per_group(
         master.withColumn("item", T.semantic_value("value")).where("item <> ''").select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"]
     )

@@ -192,6 +192,101 @@ def stem_overlap_whole(spark, sf_dir):
     return shared.where(F.col("shared") * 10 >= F.least("nb", "nd") * 6).select("item_id", "doc_id", "shared")
 
 
+@query("""
+with p as (select p_partkey, p_partkey % 6 as k, p_partkey % 90 + 10 as n from part)
+select p_partkey, case k when 0 then '₹' || (n // 10) || ',' || (n % 10) || '0,000 in all' when 1 then 'Rs' || (n // 10) || ',' || (n % 10) || '0,00,000' when 2 then '₹' || n || ',50,000'
+                 when 3 then 'no amount' when 4 then 'Full ₹' || n || ' or $' || n else n || '% discount' end as expanded,
+       case k when 4 then '₹' || n || ' or|$' || n when 0 then '₹' || (n // 10) || ',' || (n % 10) || '0,000 in all' when 1 then 'Rs' || (n // 10) || ',' || (n % 10) || '0,00,000'
+              when 2 then '₹' || n || ',50,000' when 3 then 'no amount' else n || '% discount' end as pieces,
+       case when k = 5 then cast(n as double) end as pct
+from p
+""")
+def amount_texts(spark, sf_dir):
+    """Lakh and crore written out, texts of several amounts cut up, discount percentages."""
+    k, n = F.col("p_partkey") % 6, F.col("p_partkey") % 90 + 10
+    tenth = F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+    num = n.cast("string")
+    raw = (
+        F.when(k == 0, F.concat(tenth, F.lit(" lakh in all"))).when(k == 1, F.concat(F.lit("Rs "), tenth, F.lit(" crores"))).when(k == 2, F.concat(num, F.lit(".5 lacs")))
+        .when(k == 3, "no amount").when(k == 4, F.concat(F.lit("Full ₹"), num, F.lit(" or $"), num)).otherwise(F.concat(num, F.lit("% discount")))
+    )
+    rows = read(spark, sf_dir, "part").select("p_partkey", V.expand_lakh_crore(raw).alias("expanded"))
+    return rows.select("p_partkey", "expanded", F.array_join(V.split_amounts("expanded"), "|").alias("pieces"), V.discount_percentage("expanded").alias("pct"))
+
+
+@query("""
+with c as (select c_custkey, c_custkey % 5 as g, c_custkey % 41 + 40 as pct, c_custkey % 2 = 0 as r, c_custkey % 7 as y from customer)
+select c_custkey, case g when 0 then '' when 1 then 'bachelor' when 2 then 'master' when 3 then 'diploma' else 'higher_secondary,bachelor' end as groups,
+       case when c_custkey % 3 <> 0 then cast(pct as double) end as percentage, r as recognized, case when y > 0 then cast(y as double) end as experience_years from c
+""")
+def eligibility_parts(spark, sf_dir):
+    """Requirements out of a sentence: qualifications, marks, recognition, years of work."""
+    c = F.col("c_custkey")
+    group = F.when(c % 5 == 0, "Anyone").when(c % 5 == 1, "A bachelor's degree").when(c % 5 == 2, "A master's degree").when(c % 5 == 3, "Any diploma").otherwise("12th and graduation")
+    text = F.concat_ws(
+        " ", group, F.when(c % 3 != 0, F.concat(F.lit("with "), (c % 41 + 40).cast("string"), F.lit(" % marks"))), F.when(c % 2 == 0, F.lit("from a recognized university")),
+        F.when(c % 7 > 0, F.concat(F.lit("and "), (c % 7).cast("string"), F.lit("+ years of work experience"))),
+    )
+    e = read(spark, sf_dir, "customer").select("c_custkey", V.eligibility_facts(text).alias("e"))
+    return e.select("c_custkey", F.array_join("e.groups", ",").alias("groups"), "e.percentage", "e.recognized", "e.experience_years")
+
+
+@query("""
+with p as (select s_suppkey, s_suppkey % 8 as k, s_suppkey % 3 = 0 as o from supplier)
+select s_suppkey, case k when 0 then 'application' when 1 then 'examination' when 2 then 'other_charges' else 'tuition' end as fee_type,
+       case k when 3 then 'semester' when 4 then 'annual' when 5 then 'monthly' when 6 then 'total_program' else 'unspecified' end as period, o as discounted from p
+""")
+def fee_kinds(spark, sf_dir):
+    """Kind, period and discount of fee texts."""
+    k = (F.col("s_suppkey") % 8).cast("int")
+    text = F.get(F.array(*[F.lit(x) for x in ("Application fee", "Exam fee", "Caution deposit", "Fee per semester", "Fee per annum", "EMI of a month", "Total program price", "Price")]), k)
+    text = F.concat(text, F.when(F.col("s_suppkey") % 3 == 0, F.lit(" after discount")).otherwise(""), F.lit(" ₹5,000"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", V.classify_fee(text).alias("k")).select("s_suppkey", "k.*")
+
+
+@query("""
+with o as (select o_orderkey, o_orderkey % 12 + 1 as n, o_orderkey % 4 as k from orders)
+select o_orderkey, k = 1 as negated, k = 2 as differ, 'Fee ' || n || ' & <' || n || '> "x"' as decoded, n || '|jpg|' || n as words,
+       case when k = 3 then 'the Full Fee is ' || n else 'Full Fee: ' || n end as shown, 'Data ' || n as rest, case when k = 0 then 'concept:0' else 'item ' || n end as concept,
+       case when n % 2 = 0 then n || ' years' else ['one', '', 'three', '', 'five', '', 'seven', '', 'nine', '', 'eleven'][n] || ' months' end as raw_duration,
+       case when n % 2 = 0 then n || ' years' else n || ' months' end as refined
+from o
+""")
+def text_rules(spark, sf_dir):
+    """Negation, numbers that differ, entities, words of file names, labels, prefixes, concepts, durations."""
+    o = F.col("o_orderkey")
+    n, k = (o % 12 + 1), o % 4
+    num = n.cast("string")
+    said = F.concat(F.when(k == 1, F.lit("there is no fee of ")).otherwise(F.lit("there is a fee of ")), num)
+    word = F.get(F.array(*[F.lit(x) for x in ("one", "", "three", "", "five", "", "seven", "", "nine", "", "eleven")]), (n - 1).cast("int"))
+    raw = F.when(n % 2 == 0, F.concat(num, F.lit(" years"))).otherwise(F.concat(word, F.lit(" months")))
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey", T.has_negation(said).alias("negated"),
+        T.numbers_differ(said, F.concat(F.lit("a fee of "), F.when(k == 2, (n + 1).cast("string")).otherwise(num))).alias("differ"),
+        T.decode_xml(F.concat(F.lit("Fee "), num, F.lit(" &amp; &lt;"), num, F.lit("&gt; &quot;x&quot;"))).alias("decoded"),
+        F.array_join(T.filename_tokens(F.concat(F.lit("https://h.org/a/"), num, F.lit("_jpg-"), num, F.lit(".png?v=1"))), "|").alias("words"),
+        T.labelled(F.lit("Full Fee"), F.when(k == 3, F.concat(F.lit("the Full Fee is "), num)).otherwise(num)).alias("shown"),
+        T.strip_prefix(F.concat(F.lit("mba IN Data "), num), F.lit("MBA in")).alias("rest"),
+        T.concept_key(F.when(k == 0, "HR Management").otherwise(F.concat(F.lit("Item "), num))).alias("concept"),
+        raw.alias("raw_duration"), V.refine_duration(F.concat(F.lit("It takes "), raw, F.lit(" to finish"))).alias("refined"),
+    )
+
+
+@query("""
+with b as (select item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) as t from benchmark),
+x as (select a.item_id as a, c.item_id as c, a.t as t, c.t as u, list_distinct(list_transform(a.t, lambda w: left(w, 5))) as ts, list_distinct(list_transform(c.t, lambda w: left(w, 5))) as us
+      from b a join b c on c.item_id > a.item_id)
+select a as item_id, c as other, len(t) > 0 and len(u) > 0 and 2 * len(list_intersect(t, u)) >= least(len(t), len(u)) as tokens,
+       len(ts) > 0 and len(us) > 0 and 10 * len(list_intersect(ts, us)) >= 6 * least(len(ts), len(us)) as stems
+from x
+""")
+def overlap_rules(spark, sf_dir):
+    """Both overlap rules on every pair of items of ``benchmark``, a table of fixed size."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    pairs = b.alias("a").join(F.broadcast(b.alias("c")), F.expr("c.item_id > a.item_id"))
+    return pairs.select(F.col("a.item_id").alias("item_id"), F.col("c.item_id").alias("other"), T.tokens_overlap("a.text", "c.text").alias("tokens"), T.stems_overlap("a.text", "c.text").alias("stems"))
+
+
 # ---------------------------------------------------------------- urls and addresses
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
@@ -415,27 +510,30 @@ def list_diff(spark, sf_dir):
     return diff.select("o_custkey", "item", "status", "position")
 
 
-def _sentences(spark, sf_dir):
-    """Master items: sentences of ``benchmark``; target items: those of even ids, and the odd
-    ones' first half only; grouped by item."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.\n]+\s*")).alias("idx", "value"))
-    b = b.where(F.size(F.array_distinct(T.tokens("value"))) >= 4)
-    half = F.array_join(F.slice(F.split("value", " "), F.lit(1), F.greatest(F.lit(1), F.floor(F.size(F.split("value", " ")) * 3 / 4).cast("int"))), " ")
-    target = b.withColumn("value", F.when(F.col("idx") % 2 == 0, F.upper("value")).otherwise(half)).where(F.col("idx") % 3 != 2)
-    return b, target
+def _sentences(spark, sf_dir, table: str, key: str):
+    """Sentences of whole texts with at least four different words, in order of ids and places."""
+    rows = read(spark, sf_dir, table).select(key, F.posexplode(F.split("text", r"[.\n]+\s*")).alias("pos", "value"))
+    rows = rows.where(F.size(F.array_distinct(T.tokens("value"))) >= 4)
+    return rows.select(key, F.struct(key, "pos").alias("idx"), "value")
 
 
 @query()
 def set_diff_master_first(spark, sf_dir):
-    master, target = _sentences(spark, sf_dir)
-    return C.set_diff(master, target, ["item_id"]).select("item_id", "idx", "value", "target_value", "status")
+    """Every sentence of ``benchmark`` with the first equivalent sentence of all ``documents``."""
+    found = C.set_diff(_sentences(spark, sf_dir, "benchmark", "item_id").drop("item_id"), _sentences(spark, sf_dir, "documents", "doc_id").drop("doc_id"), [], keep=True)
+    return found.select(F.col("idx.item_id").alias("item_id"), F.col("idx.pos").alias("pos"), "value", "target_value", "status")
 
 
 @query()
 def greedy_near_pairs(spark, sf_dir):
-    master, target = _sentences(spark, sf_dir)
-    return C.greedy_pairs(master, target, ["item_id"])
-
+    """Every document's sentences against those of one item of ``benchmark``, dealt out by the
+    remainder of its id: a document is a group, so groups are as large as texts."""
+    b, d = read(spark, sf_dir, "benchmark"), _sentences(spark, sf_dir, "documents", "doc_id")
+    n = b.agg(F.count("item_id")).scalar()
+    items = b.select("item_id").where("item_id is not null").withColumn("rank", F.row_number().over(Window.orderBy("item_id")) - 1)  # one row an item
+    of = d.select("doc_id").distinct().withColumn("rank", F.pmod("doc_id", n)).join(items, "rank").select("doc_id", "item_id")
+    master = of.join(_sentences(spark, sf_dir, "benchmark", "item_id"), "item_id").select("doc_id", F.col("idx.pos").alias("idx"), "value")
+    return C.greedy_pairs(master, d.select("doc_id", F.col("idx.pos").alias("idx"), "value"), ["doc_id"])
 
 
 # ---------------------------------------------------------------- order-dependent operators
@@ -714,6 +812,104 @@ def page_understanding(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- resolution and further report operators
+
+@query("""
+with s as (select s_suppkey as k, case s_suppkey % 4 when 0 then null else s_suppkey % 3 end as u, case s_suppkey % 5 when 0 then null else s_suppkey % 3 end as p, case s_suppkey % 7 when 0 then s_suppkey % 2 end as l from supplier),
+x as (select *, list_distinct(list_filter([u, p, l], lambda v: v is not null)) as d, len(list_filter([u, p, l], lambda v: v is not null)) as n from s)
+select k as s_suppkey, case when len(d) = 1 then 'i' || d[1] when n = 0 then 'i9' end as institution_id, case when len(d) > 1 then 'conflict' when n > 1 then 'combined_signals' when u is not null then 'url_identifier'
+       when p is not null then 'page_identity' when l is not null then 'logo' else 'portal' end as method, n = 0 as fallback_applied from x
+""")
+def identity_tiers(spark, sf_dir):
+    """Which institution a page is about, by its address, its names and its logo, through the look-ups."""
+    k = F.col("s_suppkey")
+    name = lambda ok, c, tail: F.when(ok, F.concat(F.lit(tail), c.cast("string")))
+    pages = read(spark, sf_dir, "supplier").select(
+        k.alias("page_id"), F.concat(F.lit("https://portal.org/"), F.coalesce(name(k % 4 != 0, k % 3, "short"), F.lit("x")), F.lit("/p")).alias("url"),
+        name(k % 5 != 0, k % 3, "University Number ").alias("institution"), F.lit("Portal").alias("brand"),
+        F.when(k % 7 == 0, F.array(F.struct(F.concat(F.lit("https://cdn.org/logo-short"), (k % 2).cast("string"), F.lit(".png")).alias("url"), F.lit("Logo").alias("alt")))).alias("logos"),
+    )
+    names = spark.createDataFrame([(f"i{i}", n) for i in range(3) for n in (f"University Number {i}", f"short{i}")], "institution_id string, name string")
+    svg = spark.createDataFrame([], "url string, text string")
+    found = R.target_identity(pages, names, svg, default_id=F.lit("i9"), default_method=F.lit("portal"))
+    return found.select(F.col("page_id").alias("s_suppkey"), "identity.institution_id", "identity.method", "identity.fallback_applied")
+
+
+@query("""
+with o as (select o_orderkey as k, o_orderkey % 6 = 0 as fixed, o_orderkey % 4 = 0 as torn, o_orderkey % 3 as reg, o_orderkey % 5 = 0 as found from orders)
+select k as target_idx, case when fixed then 'o' || k when torn then null when reg = 0 then 'r' || k when found then 'd' || k end as master_url,
+       case when fixed then 'success' when torn then 'institution_conflict' when reg = 0 or found then 'success' else 'authoritative_page_not_found' end as outcome,
+       case when fixed then 'override' when torn then 'identity' when reg = 0 then 'registry' else 'discovery' end as method from o
+""")
+def resolution_precedence(spark, sf_dir):
+    """Override before conflict before registry before discovery, for every order as a target."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target_idx"))
+    k = F.col("target_idx")
+    at = lambda tag: F.concat(F.lit(tag), k.cast("string"))
+    targets = o.select(k, at("u").alias("url"))
+    overrides = targets.where(k % 6 == 0).select("url", at("o").alias("master_url"))
+    registry = o.where(k % 3 < 2).select(k, at("r").alias("master_url"), (k % 3 == 0).alias("identity_ok"))
+    discovered = o.select(k, F.when(k % 5 == 0, at("d")).alias("master_url"), F.lit("medium").alias("confidence"), F.when(k % 5 == 0, "success").otherwise("authoritative_page_not_found").alias("outcome"))
+    found = R.precedence(targets, overrides, o.where(k % 4 == 0), registry, discovered)
+    return found.select("target_idx", "master_url", "outcome", "method")
+
+
+@query("""
+with l as (select l_orderkey as t, l_linenumber as n, l_partkey as p from lineitem), o as (select distinct t from l),
+h as (select t, p % 50 as u, count(*) as hits from (select distinct t, n, p from l) group by t, u),
+e as (select t, u, max(hits) as hits from h group by t, u),
+x as (select o.t, f.u, case when e.u is null then 0 else 1 end as hits from o cross join (select unnest(range(50)) as u) f left join e on e.t = o.t and e.u = f.u),
+r as (select t, u, hits, row_number() over (partition by t order by hits desc, u) as rank from x)
+select t as target_idx, 'https://u.org/w' || u as url, hits, rank from r where rank <= 8
+""")
+def top_up_pages(spark, sf_dir):
+    """Of fifty unfetched pages the eight to fetch for every order: those with its words, then the first."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target_idx"), F.concat(F.lit("w"), F.lpad((F.col("l_partkey") % 50).cast("string"), 2, "0")).alias("w"))
+    targets = li.groupBy("target_idx").agg(F.collect_set("w").alias("keywords"))
+    urls = spark.range(50).select(F.concat(F.lit("https://u.org/w"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("url"), F.col("id").alias("idx"))
+    news = spark.createDataFrame([("https://u.org/news/w01-w02-w03", -1)], "url string, idx long")
+    found = S.top_up(targets, urls.unionByName(news), most=8)
+    return found.select("target_idx", F.concat(F.lit("https://u.org/w"), F.col("idx").cast("string")).alias("url"), F.col("hits").cast("int").alias("hits"), "rank")
+
+
+@query("""
+with s as (select s_suppkey as k from supplier),
+f as (select k, unnest(case k % 3 when 0 then ['homepage', 'sitemap'] when 1 then ['sitemap', 'navigation'] else ['harvest', 'harvest'] end) as m from s),
+b as (select k, min(case m when 'homepage' then 0 when 'navigation' then 1 when 'sitemap' then 2 else 3 end) as r from f where k % 10 <> 9 group by k),
+n as (select k, r, row_number() over (order by r, k) as n from b)
+select k as s_suppkey, ['homepage', 'navigation', 'sitemap', 'harvest'][r + 1] as method, n <= 40 as fetched from n
+""")
+def master_index(spark, sf_dir):
+    """Candidates found in several ways, once each; forty are fetched and the rest kept for a top-up."""
+    k = F.col("s_suppkey")
+    ways = F.when(k % 3 == 0, F.array(F.lit("homepage"), F.lit("sitemap"))).when(k % 3 == 1, F.array(F.lit("sitemap"), F.lit("navigation"))).otherwise(F.array(F.lit("harvest"), F.lit("harvest")))
+    host = F.when(k % 10 == 9, "other.org").otherwise("www.u.org")
+    found = read(spark, sf_dir, "supplier").select(F.explode(ways).alias("method"), F.concat(F.lit("https://"), host, F.lit("/p"), k.cast("string")).alias("url"), k.alias("idx"))
+    index, rest = S.page_index(found, "u.org")
+    every = index.withColumn("fetched", F.lit(True)).unionByName(rest.withColumn("fetched", F.lit(False)))
+    return every.select(F.col("idx").alias("s_suppkey"), "method", "fetched")
+
+
+@query("""
+with c as (select c_custkey as k, c_nationkey as n, c_custkey % 4 as s from customer)
+select n as c_nationkey, count(*) filter (s = 1) as n_changed from c group by n
+""")
+def changed_field_counts(spark, sf_dir):
+    """Only what differs counts as changed."""
+    status = F.get(F.array(*[F.lit(x) for x in ("match", "mismatch", "asset_missing", "normalization_issue")]), (F.col("c_custkey") % 4).cast("int"))
+    return P.changed_fields(read(spark, sf_dir, "customer").select("c_nationkey", status.alias("status")), ["c_nationkey"])
+
+
+@query("""
+with d as (select doc_id, unnest(list_transform(range(len(x)), lambda i: {'i': i, 'v': trim(x[i + 1], chr(32))})) as s from (select doc_id, regexp_split_to_array(text, '\r?\n') as x from documents)),
+k as (select doc_id, s.v as url, row_number() over (partition by doc_id order by s.i) - 1 as target_idx from d where s.v <> '')
+select doc_id, target_idx, url from k
+""")
+def target_lines(spark, sf_dir):
+    """The lines of every document as a pasted list."""
+    return P.parse_targets(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
 # ---------------------------------------------------------------- a whole run over a constructed crawl
 
 _CLAIMS = "with " + site.RULES + """
