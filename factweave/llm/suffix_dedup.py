@@ -179,33 +179,37 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    # a row is named by 128 bits of its id and text
+    key = ["rk", "rk2"]
+    names = [F.xxhash64(id_col, text_col).alias("rk"), F.xxhash64(F.lit(1), text_col, id_col).alias("rk2")]
+    source = docs.select(F.col(id_col).alias("id"), *names, F.col(text_col).alias("text"))
 
     def find(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 doc, x, far, near, h = anchors(text_bytes(part, "text"), length)
+                doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(x.astype(np.int32)), pa.array((far * 65536 + near).astype(np.int32))],
-                    names=["f", "rk", "x", "ext"],
+                    [pa.array(h.view(np.int64)), part.column(0).take(doc), part.column(1).take(doc), pa.array(x.astype(np.int32)), pa.array((far * 65536 + near).astype(np.int32))],
+                    names=["f", *key, "x", "ext"],
                 )
 
-    found = source.select("rk", "text").mapInArrow(find, "f long, rk long, x int, ext int")
+    found = source.select(*key, "text").mapInArrow(find, "f long, rk long, rk2 long, x int, ext int")
     shared = materialize(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     hot = shared.where(F.col("n") > max_group).limit(1).count() > 0
     placed = (
         found.join(shared.select("f", (F.col("n") > max_group).alias("hot")), "f")
-        .groupBy("rk", "hot")
+        .groupBy(*key, "hot")
         .agg(F.collect_set(F.struct("x", "ext", "f")).alias("at"))  # repeated rows have the same
     )
     # one row for rows that repeat id and text, combined before the text is shuffled
-    base = source.groupBy("id", "rk").agg(F.any_value("text").alias("text"), F.count("*").alias("rows"))
+    base = source.groupBy(*key).agg(F.any_value("id").alias("id"), F.any_value("text").alias("text"), F.count("*").alias("rows"))
 
     def contexts(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 texts = text_bytes(part, "text")
-                at = part.column(3)
+                at = part.column(4)
                 flat, n = at.flatten(), np.diff(at.offsets.to_numpy())
                 doc = np.repeat(np.arange(len(texts)), n)
                 x, ext, f = (flat.field(i).to_numpy() for i in range(3))
@@ -214,9 +218,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     text = texts[d]
                     rights.append(text[p : p - (e & 65535) + length])
                     lefts.append(text[p - (e >> 16) : p][::-1])
+                doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f), part.column(1).take(pa.array(doc)), pa.array(x), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary())],
-                    names=["f", "rk", "x", "right_ext", "left_ext"],
+                    [pa.array(f), part.column(1).take(doc), part.column(2).take(doc), pa.array(x), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary())],
+                    names=["f", *key, "x", "right_ext", "left_ext"],
                 )
 
     def scan(batches):
@@ -228,18 +233,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = np.flatnonzero(after >= 0)
             x = table.column("x").to_numpy().astype(np.int64)[at]
             yield pa.RecordBatch.from_arrays(
-                [table.column("rk").combine_chunks().take(pa.array(at)) if table.num_rows else pa.array([], pa.int64()), pa.array(x - before[at]), pa.array(x + after[at])],
-                names=["rk", "start", "end"],
+                [*(pa.array(table.column(k).to_numpy()[at]) for k in key), pa.array(x - before[at]), pa.array(x + after[at])], names=[*key, "start", "end"]
             )
 
-    columns = ["id", "rk", "text", "at", "rows"]
+    columns = ["id", *key, "text", "at", "rows"]
     spans = (
-        base.join(placed.where("not hot"), "rk")
+        base.join(placed.where("not hot"), key)
         .select(*columns)
-        .mapInArrow(contexts, "f long, rk long, x int, right_ext binary, left_ext binary")
+        .mapInArrow(contexts, "f long, rk long, rk2 long, x int, right_ext binary, left_ext binary")
         .repartition(parts, "f")
         .sortWithinPartitions("f", "right_ext")
-        .mapInArrow(scan, "rk long, start long, end long")
+        .mapInArrow(scan, "rk long, rk2 long, start long, end long")
     )
     if hot:
 
@@ -247,33 +251,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for batch in batches:
                 for part in chunks(batch, "text"):
                     texts = text_bytes(part, "text")
-                    rk, start, a, b = part.column(1).to_pylist(), [], [], []
-                    own = []
-                    for i, at in enumerate(part.column(3).to_pylist()):
+                    start, a, b, own = [], [], [], []
+                    for i, at in enumerate(part.column(4).to_pylist()):
                         for one in at:
                             far, near = one["ext"] >> 16, one["ext"] & 65535
                             for p in range(one["x"] - far, one["x"] - near + 1):
                                 digest = hashlib.blake2b(texts[i][p : p + length], digest_size=16).digest()
-                                own.append(rk[i])
+                                own.append(i)
                                 start.append(p)
                                 a.append(int.from_bytes(digest[:8], "little", signed=True))
                                 b.append(int.from_bytes(digest[8:], "little", signed=True))
+                    own = pa.array(own, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int64()), pa.array(start, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                        names=["rk", "start", "a", "b"],
+                        [part.column(1).take(own), part.column(2).take(own), pa.array(start, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                        names=[*key, "start", "a", "b"],
                     )
 
-        each = base.join(placed.where("hot"), "rk").select(*columns).mapInArrow(windows, "rk long, start long, a long, b long")
+        each = base.join(placed.where("hot"), key).select(*columns).mapInArrow(windows, "rk long, rk2 long, start long, a long, b long")
         again = each.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
         spans = spans.unionByName(
-            each.join(again, ["a", "b"], "left_semi").select("rk", "start", (F.col("start") + length).alias("end"))
+            each.join(again, ["a", "b"], "left_semi").select(*key, "start", (F.col("start") + length).alias("end"))
         )
-    gathered = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("at"))
+    gathered = spans.groupBy(*key).agg(F.collect_list(F.struct("start", "end")).alias("at"))
 
     def cut(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                texts, at, rows = text_bytes(part, "text"), part.column(3).to_pylist(), part.column(4).to_pylist()
+                texts, at, rows = text_bytes(part, "text"), part.column(4).to_pylist(), part.column(5).to_pylist()
                 out_spans, removed, n_spans, digests, kept = [], [], [], [], []
                 for text, own, n in zip(texts, at, rows, strict=True):
                     found = sorted((o["start"], o["end"]) for o in own or ())
@@ -300,7 +304,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 arrays = [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(out_spans, kind), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
                 if with_kept:
                     arrays.append(pa.array(kept, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*arrays, part.column(1), part.column(4)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*arrays, part.column(1), part.column(5)], names=schema.names)
 
     schema = docs.select(id_col).schema
     for name, kind in (("n_bytes", "long"), ("spans", "array<struct<start:bigint,end:bigint>>"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
@@ -309,7 +313,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         schema = schema.add("kept", "binary")
     columns_out = schema.names
     schema = schema.add("suffix_row_key", "long").add("suffix_rows", "long")
-    found = base.join(gathered, "rk", "left").select(*columns).mapInArrow(cut, schema)
+    found = base.join(gathered, key, "left").select(*columns).mapInArrow(cut, schema)
     # as many rows as came in: a thousand at a time, dealt over tasks
     most = F.lit(1000).cast("long")
     every = found.withColumn("suffix_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("suffix_rows") - 1) / most))))
