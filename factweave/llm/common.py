@@ -65,10 +65,13 @@ ROW_KEY = "factweave_row_key"
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key (a hash of id and text) is in ``kept(row_key)``; of rows
-    that repeat both id and text one stays.  Columns stay as they are."""
-    keyed = docs.withColumn(ROW_KEY, F.xxhash64(id_col, text_col))
-    wanted = kept.select(F.col("row_key").alias(ROW_KEY))
-    return keyed.join(wanted, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY, id_col]).select(*docs.columns)
+    that repeat both id and text one stays.  Columns stay as they are, whatever their names."""
+    key = ROW_KEY
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    wanted = kept.select(F.col("row_key").alias(key))
+    return keyed.join(wanted, key, "left_semi").dropDuplicates([key, id_col]).select(*docs.columns)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -107,6 +110,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         nxt = materialize(small, "small")
+        discard(large)
+        discard(cur)
         # done when each node hangs on one root and no root hangs on another node
         multi = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         if multi == 0:

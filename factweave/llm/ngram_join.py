@@ -274,7 +274,9 @@ def ngram_join(
     empty or wordless text has an empty set and links with nothing: its component is its own
     id.  Null ids are never the smallest; a component of null ids only has a null id.
     ``kept`` marks the row of the smallest id of each component, and every row without words.
-    ``row_key`` tells rows apart whose ids repeat.
+    ``row_key`` tells rows apart whose ids repeat.  Of documents with one and the same set the row
+    of the smallest id, then of the smallest ``row_key``, stands for them; rows that repeat both id
+    and text have one ``row_key`` and are all marked as kept if one is.
     """
     num, den = threshold
     spark = docs.sparkSession

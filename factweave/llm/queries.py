@@ -62,10 +62,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(_documents(spark, sf_dir))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_covered_words", "longest_repeat",
+        "n_covered_words",
     )
 
 
+#: A repeat of 8 words or more is a chain of repeated 8-word windows, so these cover the same words; one
+#: of over 200 words has a repeated window of 201.
+OP5_SQL = r"""
+with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+w as (select r, regexp_extract_all(t, '[^ \t\n\x0B\f\r]+') as ws from d),
+i as (select r, ws, unnest(range(1, len(ws) + 1)) as i from w),
+g as (select r, i, len(ws) as n, case when i + 2 <= len(ws) then hash(ws[i:i + 2]) end as a, case when i + 7 <= len(ws) then hash(ws[i:i + 7]) end as b,
+             case when i + 200 <= len(ws) then hash(ws[i:i + 200]) end as c from i),
+k as (select r, i, a is not null and count(*) over (partition by r, a) > 1 as a, b is not null and count(*) over (partition by r, b) > 1 as b,
+             c is not null and count(*) over (partition by r, c) > 1 as c from g),
+m as (select r, count(*) filter (bool_or_a) as n_repeat_words, count(*) filter (bool_or_b) as n_covered_words, bool_or(c) as too_long
+      from (select r, c, bool_or(a) over (partition by r order by i rows between 2 preceding and current row) as bool_or_a,
+                   bool_or(b) over (partition by r order by i rows between 7 preceding and current row) as bool_or_b from k) group by r),
+l as (select r, count(*) - count(distinct x) as n_dup_lines from (select r, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^ \t\n\x0B\f\r]') group by r),
+j as (select d.doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+             coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_covered_words, 0) as n_covered_words, coalesce(too_long, false) as too_long
+      from d join w using (r) left join m using (r) left join l using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 4 * n_covered_words > n_words or too_long) as kept, n_covered_words
+from j
+"""
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under Jaccard 0.85 on sets of 4-word shingles."""
     found = ngram_join.ngram_join(_documents(spark, sf_dir), k=4, threshold=(85, 100))
@@ -116,6 +139,27 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+l as (select doc_id, unnest(range(len(x))) as n, unnest(x) as line from (select doc_id, string_split(t, chr(10)) as x from d)),
+o as (select line, min({'d': doc_id, 'n': n}) as spot, list_distinct(list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) as ws from l
+      where regexp_matches(line, '[^ \t\n\x0B\f\r]') group by line),
+u as (select row_number() over (order by spot) as k, line, ws, len(ws) as m from o),
+w as (select k, m, unnest(ws) as w from u),
+f as (select w, count(*) as c from w group by w),
+p as (select k, m, w, row_number() over (partition by k order by c, w) as pos from w join f using (w)),
+q as (select * from p where pos <= m - (4 * m + 4) // 5 + 1),
+pairs as (select distinct a.k as a, b.k as b from q a join q b on a.w = b.w and a.k < b.k and 5 * least(a.m, b.m) >= 4 * greatest(a.m, b.m)),
+late as (select distinct b as k from pairs join u x on a = x.k join u y on b = y.k where 9 * len(list_intersect(x.ws, y.ws)) >= 4 * (x.m + y.m)),
+g as (select l.doc_id, l.n, l.line, coalesce(late.k is not null or o.spot <> {'d': l.doc_id, 'n': l.n}, false) as gone
+      from l left join o using (line) left join u using (line) left join late using (k))
+select doc_id, count(*)::int as n_lines, count(*) filter (gone)::int as n_removed, coalesce(sum(length(line)) filter (gone), 0)::bigint as n_chars_removed,
+       coalesce(string_agg(n::varchar, ',' order by n) filter (gone), '') as removed_lines,
+       sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256
+from g group by doc_id
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     found = mixing.taken_of(*mixing.mix_sources(_documents(spark, sf_dir)))
@@ -146,4 +190,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_url_filters": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_line_dedup": OP8_SQL}

@@ -8,7 +8,7 @@ import re
 import pytest
 
 from factweave.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
-from factweave.llm.common import connected_components, keep_rows
+from factweave.llm.common import connected_components, discard, keep_rows, materialize
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,6 +36,20 @@ def test_keep_rows_keeps_columns_and_one_of_repeated_rows(docs, rows):
     assert kept.count() == len({(r[1] or "").translate(LOWER) for r in rows})
 
 
+def test_keep_rows_leaves_a_column_of_the_keys_name(spark):
+    docs = spark.createDataFrame([(1, "a", 7), (2, "b", 8)], "doc_id long, text string, factweave_row_key long")
+    kept = keep_rows(docs, exact_dedup.exact_dedup(docs).where("doc_id = 2"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "b", 8)]
+
+
+def test_discard_deletes_a_table_and_no_other(spark):
+    one, two = materialize(spark.range(5), "one"), materialize(spark.range(7), "two")
+    discard(one)
+    assert two.count() == 7
+    with pytest.raises(Exception, match="(?i)not.?exist|FILE_NOT|cannot"):
+        one.count()
+
+
 @pytest.mark.parametrize("group", [2, 50_000])
 def test_suffix_dedup(docs, rows, group):
     got = suffix_dedup.repeated_spans(docs, length=200, max_group=group, with_kept=True).collect()
