@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
-from factweave.llm.common import keep_rows, materialize
+from factweave.llm.common import discard, keep_rows, materialize
 
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to shared storage and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        made = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            discard(docs)  # the stage before; nothing reads it again
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
