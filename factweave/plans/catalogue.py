@@ -485,6 +485,50 @@ def fee_slot_selection(spark, sf_dir):
     return C.fee_slots(pool, ["l_orderkey"]).select("l_orderkey", "component", F.col("amount").cast("long").alias("amount"))
 
 
+@query("""
+with c as (select c_custkey, c_custkey % 6 as k from customer)
+select c_custkey, 'Semester Fee' as component, case k when 1 then 'changed' when 5 then 'target_missing' else 'match' end as status from c
+union all select c_custkey, 'Monthly EMI', case k when 3 then 'changed' else 'match' end from c
+union all select c_custkey, 'Application Fee', case k when 4 then 'needs_review' else 'match' end from c
+""")
+def fee_components(spark, sf_dir):
+    """Three fees of every customer on both sides: other amounts, rounded instalments, another currency, none."""
+    c = F.col("c_custkey")
+    k = c % 6
+    amount = lambda sign, n: F.concat(F.lit(sign), n.cast("string"))
+    def pool(semester, emi, application):
+        texts = F.array_compact(F.array(*[F.struct(F.lit(i).alias("idx"), t.alias("raw_value")) for i, t in enumerate((semester, emi, application))]))
+        return read(spark, sf_dir, "customer").select("c_custkey", F.explode(texts).alias("x")).select("c_custkey", "x.*").where("raw_value is not null")
+
+    semester = lambda n: F.concat(F.lit("Semester fee: "), amount("₹", n))
+    emi = lambda n: F.concat(F.lit("EMI per month: "), amount("₹", n))
+    base, monthly = c % 1000 + 1000, c % 50 + 500
+    master = pool(semester(base), emi(monthly), F.lit("Application fee: ₹400"))
+    target = pool(
+        F.when(k != 5, semester(base + (k == 1).cast("int"))), emi(monthly + F.when(k == 2, 10).when(k == 3, 11).otherwise(0)),
+        F.when(k == 4, "Application fee: $400").otherwise("Application fee: ₹400"),
+    )
+    return C.compare_fees(target, master, ["c_custkey"]).select("c_custkey", "component", "status")
+
+
+@query("""
+with s as (select s_suppkey, s_suppkey % 4 as k, s_suppkey % 20 + 6 as n from supplier)
+select s_suppkey, case k when 1 then 'changed' when 2 then 'target_missing' when 3 then 'master_missing' else 'match' end as status,
+       case when k <> 3 then n || ' months' end as master_value, case when k = 1 then (n + 1) || ' months' when k <> 2 then n || ' months' end as target_value
+from s
+""")
+def fee_tenures(spark, sf_dir):
+    """How long instalments run, out of the texts that are about monthly payment."""
+    k, n = F.col("s_suppkey") % 4, F.col("s_suppkey") % 20 + 6
+    text = lambda months: F.concat(F.lit("EMI of ₹900 for "), months.cast("string"), F.lit(" months"))
+    def pool(there, months):
+        texts = F.array(F.lit("Fee per semester for 4 months"), F.when(there, text(months)).otherwise("EMI of ₹900"))
+        return read(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(texts).alias("idx", "raw_value"))
+
+    found = C.emi_tenure(pool(k != 2, n + (k == 1).cast("int")), pool(k != 3, n), ["s_suppkey"])
+    return found.select("s_suppkey", "status", "master_value", "target_value")
+
+
 _BRANDS = """
 with b as (select o_custkey, p_brand, o_orderdate < timestamp '1995-06-01' as early, min((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) as idx
            from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by all),
@@ -941,6 +985,17 @@ def run_facts(spark, sf_dir):
     return found.where(F.col("field").isin("SPECIALIZATION", "FEES", "ELIGIBILITY") & ~F.col("value").startswith("Placement Support")).select("page_id", "field", "value")
 
 
+@query("with " + site.RULES + """
+, q as (select 2 * p as page_id, p from r where not unlisted union all select 2 * p + 1, p from r where not gone union all select -p - 1, p from r where doubled and not unlisted)
+select page_id, ['MBA', 'MCA', 'BBA'][p % 3 + 1] as degree, 'Online ' || ['MBA', 'MCA', 'BBA'][p % 3 + 1] || ' in Subject' || p as program, 'Northfield' as institution,
+       case p % 3 when 2 then 'ug' else 'pg' end as page_type from q
+""")
+def run_identities(spark, sf_dir):
+    """What every page of the crawl is taken to be."""
+    found = run.identities(run.parsed(site.crawl(read(spark, sf_dir, "pages"))))
+    return found.select("page_id", "degree", "program", "institution", "page_type")
+
+
 _OUTCOMES = "with " + site.RULES + """
 , o as (select *, case when gone then 'target_unreachable' when unlisted then 'authoritative_page_not_found' when doubled then 'ambiguous_candidates' else 'success' end as outcome from r)
 """
