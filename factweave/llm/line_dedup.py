@@ -13,9 +13,8 @@ whole lines, and a line is removed if it repeats an earlier one or is similar to
 3. The second round joins the prefixes of lines without a match so far with those of all
    earlier lines.  It is complete by itself; the first only makes it smaller.
 
-Rarity comes from word counts in ``1 << freq_bits`` hash buckets, a table of fixed size (one
-byte each) that reaches the rows as a scalar; any order gives the same pairs, a good one keeps
-lists short.  Texts are read for candidate lines only, and shuffled where lines go.
+Rarity comes from word counts in ``1 << freq_bits`` hash buckets, a table of fixed size that
+reaches the rows as a scalar; any order gives the same pairs, a good one keeps lists short.  Texts are read for candidate lines only, and shuffled where lines go.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ def _split(line) -> Column:
 
 
 def rarity_levels(docs: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """One row with an array of bytes: for each hash bucket, how many words of all texts fall in
-    it, as thirds of powers of two."""
+    """One row with an array: for each hash bucket, how many words of all texts fall in it, as
+    thirds of powers of two in the leading bits of a number."""
     spark = docs.sparkSession
     n = 1 << bits
     found = (
@@ -45,10 +44,16 @@ def rarity_levels(docs: DataFrame, text_col: str, bits: int) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     every = spark.range(n).withColumnRenamed("id", "bucket").join(found, "bucket", "left")
-    level = F.least(F.lit(127), F.floor(F.log2(F.coalesce("n", F.lit(0)) + F.lit(1)) * 3)).cast("byte")
+    level = F.least(F.lit(127), F.floor(F.log2(F.coalesce("n", F.lit(0)) + F.lit(1)) * 3)).cast("long") * F.lit(1 << 56)
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda x: x["level"]).alias("levels"))
 
 
+#: Lines of more words have a bitmap of four times as many bits: ``map`` is the exclusive or of its
+#: four parts, of which the last three are kept beside it, as 0 for all other lines.
+LONG = 96
+MAPS = ["map", "map1", "map2", "map3"]
+
+
 def _passing(x: str, y: str, num: int, den: int, positions: bool = True) -> str:
     """The filters on two postings with equal keys: ``at`` holds the size, and the position twice."""
     xn, yn = f"shiftright({x}at, 32)", f"shiftright({y}at, 32)"
@@ -56,7 +61,11 @@ def _passing(x: str, y: str, num: int, den: int, positions: bool = True) -> str:
     lengths = f"least({xn}, {yn}) * {den} >= greatest({xn}, {yn}) * {num}"
     xp, yp = (f"shiftright({a}at & 4294967295, 1)" for a in (x, y))
     places = f"and least({xn} - {xp}, {yn} - {yp}) >= {least}" if positions else ""
-    return f"{lengths} {places} and bit_count({x}map ^ {y}map) <= {xn} + {yn} - 2 * {least}"
+    apart = f"{xn} + {yn} - 2 * {least}"  # most words that only one of the lines may have
+    parts = [" ^ ".join(f"{a}{m}" for a in (x, y) for m in MAPS), *(f"{x}{m} ^ {y}{m}" for m in MAPS[1:])]
+    wide = " + ".join(f"bit_count({c})" for c in parts)
+    return f"""{lengths} {places} and bit_count({x}map ^ {y}map) <= {apart}
+        and (({xn} > {LONG}) <> ({yn} > {LONG}) or {wide} <= {apart})"""
 
 
 def line_dedup(
@@ -90,24 +99,25 @@ def line_dedup(
 
     # 1. distinct lines with their prefixes.  ``levels`` is used once, so it is read in place
     bucket, rest = F.lit((1 << freq_bits) - 1), F.lit((1 << 56) - 1)
-
-    def key(word):
-        h = F.xxhash64(word)
-        level = F.coalesce(F.get(F.col("levels"), h.bitwiseAND(bucket).cast("int")).cast("long"), F.lit(0))
-        return F.when(word == "", F.lit(-1)).otherwise(F.shiftleft(level, 56) + h.bitwiseAND(rest))
-
+    # a word is hashed once; the empty parts between blanks go by their hash
+    hashes = F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    key = lambda h: F.get(F.col("levels"), h.bitwiseAND(bucket).cast("int")) + h.bitwiseAND(rest)
     need = F.floor((F.col("n") * num + den - 1) / den).cast("int")
     distinct = (
         named.withColumn("levels", rarity_levels(source, "text", freq_bits).scalar())
-        .select("id", "row_key", "line_no", "h1", "h2", F.sort_array(F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), key), F.lit(-1)))).alias("toks"))
+        .select("id", "row_key", "line_no", "h1", "h2", F.sort_array(F.transform(hashes, key)).alias("toks"))
         .withColumn("n", F.size("toks"))
         .select(
             own.alias("own"), "h1", "h2", "n", F.slice("toks", F.lit(1), F.col("n") - need + 1).alias("prefix"),
             F.expr("aggregate(toks, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("map"),
+            *(
+                F.expr(f"if(n > {LONG}, aggregate(toks, 0L, (a, x) -> if((shiftright(x, 6) & 3) = {k}, a ^ shiftleft(1L, cast(x & 63 as int)), a)), 0L)").alias(m)
+                for k, m in enumerate(MAPS) if k
+            ),
         )
         .groupBy("h1", "h2").agg(
             F.min("own").alias("first"), F.count("*").alias("copies"),
-            F.any_value("n").alias("n"), F.any_value("map").alias("map"), F.any_value("prefix").alias("prefix"),
+            *(F.any_value(c).alias(c) for c in ("n", *MAPS, "prefix")),
         )
     )
     distinct = materialize(distinct, "lines")
@@ -116,7 +126,7 @@ def line_dedup(
         order = F.coalesce(F.col("first.id").cast("long"), F.lit(-(1 << 63)))
     else:
         order = F.struct(F.col("first.id").isNotNull(), "first.id")
-    ranked = distinct.select("h1", "h2", "map", "n", "prefix", order.alias("ord"))
+    ranked = distinct.select("h1", "h2", *MAPS, "n", "prefix", order.alias("ord"))
     size = F.col("n").cast("long") * (1 << 32)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -159,9 +169,9 @@ def line_dedup(
     keys = F.when(F.size("prefix") == 1, F.col("prefix")).otherwise(F.slice(F.sort_array(F.array_distinct(two)), 1, head_keys))
     in_list = Window.partitionBy("key").orderBy("ord", "h1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = (
-        ranked.select("h1", "map", size.alias("at"), "ord", F.explode(keys).alias("key"))
+        ranked.select("h1", *MAPS, size.alias("at"), "ord", F.explode(keys).alias("key"))
         .repartition(parts, "key")
-        .withColumn("head", F.first(F.struct("h1", "map", "at")).over(in_list))
+        .withColumn("head", F.first(F.struct("h1", *MAPS, "at")).over(in_list))
         .where(F.expr(f"h1 <> head.h1 and {_passing('', 'head.', num, den, positions=False)}"))
         .select("h1", F.col("head.h1").alias("g1")).distinct()
     )
@@ -171,16 +181,16 @@ def line_dedup(
     done = materialize(later(links).select("h1", "h2"), "line-found")
     if done.count() <= broadcast_ids:  # else both sides are shuffled
         done = F.broadcast(done)
-    # both sides of the join have the same columns, so they read one exchange; the last bit of
-    # ``at`` marks lines that have a match
+    # both sides of the join have the same columns and no filter of their own, so they read one
+    # exchange; the last bit of ``at`` marks lines that have a match, and ``at`` is never negative
     posted = (
         ranked.join(done.withColumn("done", F.lit(1)), ["h1", "h2"], "left")
-        .select("h1", "map", "n", "ord", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("pos", "tok"))
-        .select("tok", "h1", "map", (size + F.col("pos") * 2 + F.col("done")).alias("at"), "ord")
+        .select("h1", *MAPS, "n", "ord", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("pos", "tok"))
+        .select("tok", "h1", *MAPS, (size + F.col("pos") * 2 + F.col("done")).alias("at"), "ord")
         .repartition(parts, "tok")
     )
     pairs = posted.alias("x").join(
-        posted.alias("y"), F.expr(f"x.tok = y.tok and (y.at & 1) = 0 and x.ord <= y.ord and x.h1 <> y.h1 and {_passing('x.', 'y.', num, den)}")
+        posted.alias("y"), F.expr(f"x.tok = y.tok and ((y.at & 1) = 0 or x.at < 0) and x.ord <= y.ord and x.h1 <> y.h1 and {_passing('x.', 'y.', num, den)}")
     ).select("y.h1", F.col("x.h1").alias("g1"))
     pairs = materialize(pairs.distinct(), "line-pairs-2").join(heads, ["h1", "g1"], "left_anti")
     links = links.unionByName(verified(pairs, "line-links-2"))
