@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -219,9 +220,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the text cut to the words taken where the last reading stops within it (at most one document
     of a source).  Columns stay as they are, whatever their names.
 
-    A reading goes to the shard of its first block, at the place of its first piece: each
-    partition of the result holds whole shards, in their order.  Of rows that repeat id, text and
-    source any one is read for all of them."""
+    A reading belongs to the shard of its first block, at the place of its first piece: each
+    partition of the result is in the order of shards, then places.  Of rows that repeat id, text
+    and source any one is read for all of them."""
     spark = docs.sparkSession
     _, pieces = mix_sources(docs, id_col, text_col, source_col, seed=seed, **options)
     by = [F.col(id_col).alias("id"), F.col("source"), F.col("key")]
@@ -236,18 +237,19 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["id", "source", "key"]
     repeated = taken.where("row = 1").select(*names).distinct()
     alike = F.expr("d.key = t.key and d.id <=> t.id and d.source <=> t.source")
-    one = keyed.alias("d").join(repeated.alias("t"), alike, "left_semi").groupBy(*names).agg(F.any_value("doc").alias("doc"), F.any_value("text").alias("text"))
-    again = taken.alias("d").join(repeated.alias("t"), alike, "left_semi")
-    single = taken.alias("d").join(repeated.alias("t"), alike, "left_anti")
-    rest = keyed.alias("d").join(repeated.alias("t"), alike, "left_anti") if repeated.limit(1).count() else keyed
-    read = [x.alias("d").join(y.alias("t"), alike).select("d.doc", "d.text", "t.words", "t.size", "t.shard", "t.place") for x, y in ((rest, single), (one, again))]
+    if repeated.limit(1).count():
+        pick = lambda x, how: x.alias("d").join(repeated.alias("t"), alike, how)
+        one = pick(keyed, "left_semi").groupBy(*names).agg(F.any_value("doc").alias("doc"), F.any_value("text").alias("text"))
+        sides = [(pick(keyed, "left_anti"), pick(taken, "left_anti")), (one, pick(taken, "left_semi"))]
+    else:
+        sides = [(keyed, taken)]
+    read = [x.alias("d").join(y.alias("t"), alike).select("d.doc", "d.text", "t.words", "t.size", "t.shard", "t.place") for x, y in sides]
     parted = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)  # words with the blanks before
     cut = F.array_join(F.slice(parted, F.lit(1), F.col("words").cast("int")), "")
     text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
     return (
-        read[0].unionByName(read[1])
+        reduce(DataFrame.unionByName, read)
         .select("doc", text.alias("text"), "shard", "place")
-        .repartition(partitions(spark), "shard")
         .sortWithinPartitions("shard", "place")
         .select(*(F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))
     )

@@ -153,24 +153,20 @@ def test_mixed_documents_keep_columns_of_any_name(spark):
 
 
 def test_mixed_documents_follow_the_shards(docs):
-    """Partitions hold whole shards: the order of rows is the tree's, not that of the stream."""
+    """Within a partition the order of rows is the tree's, not that of the stream."""
     options = {"block_words": 64, "shards": 5}
     _, pieces = mixing.mix_sources(docs, **options)
-    first = {}
+    first = collections.defaultdict(dict)  # of each reading the shard of its first piece
     for r in pieces.collect():
         k = (r.doc_id, r.source)
-        first.setdefault(k, set()).add(r.shard)
-    parts = mixing.mixed_documents(docs, **options).withColumn("part", F.spark_partition_id()).collect()
-    shards = collections.defaultdict(list)
-    for r in parts:
-        shards[r.part].append(first[(r.doc_id, r.source)])
-    assert len(shards) > 1
-    whole = collections.defaultdict(set)  # a shard known for sure is in one partition only
-    for p, own in shards.items():
-        for s in own:
-            if len(s) == 1:
-                whole[next(iter(s))].add(p)
-    assert whole and all(len(p) == 1 for p in whole.values())
+        if r.start <= first[k].get((r.row, r.copy), (r.start,))[0]:
+            first[k][(r.row, r.copy)] = (r.start, r.shard)
+    known = {k: {s for _, s in v.values()} for k, v in first.items()}
+    parts = collections.defaultdict(list)
+    for r in mixing.mixed_documents(docs, **options).withColumn("part", F.spark_partition_id()).collect():
+        if len(known[(r.doc_id, r.source)]) == 1:  # all readings are in one shard
+            parts[r.part] += known[(r.doc_id, r.source)]
+    assert max(len(set(x)) for x in parts.values()) > 1 and all(x == sorted(x) for x in parts.values())
 
 
 def test_hypergeometric_draws_of_any_size():
