@@ -43,7 +43,7 @@ class WordTokenizer(dict):
     Plain words, which are lower-case Latin letters and perhaps a full stop or comma, need no
     normalizer and go to the merges directly; all others go through the whole tokenizer."""
 
-    def __init__(self, path: str, max_words: int = 400_000) -> None:
+    def __init__(self, path: str, max_words: int = 100_000) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
