@@ -60,6 +60,23 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each of their keys (null
+    among them) and in ``count`` the number of its rows.  Keys of more than a quarter of a
+    partition's share, of which there are at most 4 x partitions, are broadcast; rows of the
+    others are shuffled.  ``table`` is read three times: a written one."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    share = max(1000, total // (4 * partitions(rows.sparkSession)))
+    other = f"{key}_of_table"
+    table = table.withColumnRenamed(key, other)
+    same = F.col(key).eqNullSafe(F.col(other))
+    heavy = table.where(F.col(count) > share)
+    names = F.broadcast(heavy.select(other))
+    hot = rows.join(F.broadcast(heavy), same).drop(other, count)
+    rest = rows.join(names, same, "left_anti").join(table.where(F.col(count) <= share), same).drop(other, count)
+    return hot.unionByName(rest)
+
+
 ROW_KEY = "factweave_row_key"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,41 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector after two rounds of 64 entries in 16 parts."""
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+
+
+def _op11_sql() -> str:
+    """Plain Lloyd rounds: every distance of every part and entry."""
+    nearest = "select vec_id, part, x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) as m from p join {book} using (part) group by vec_id, part, x"
+    moved = """
+b{i} as (
+  select part, e, coalesce(y, c) as c from {last} left join (
+    select part, e, list(y order by k) as y from (
+      select part, e, k, floor(sum(x[k]) / count(*))::bigint as y from (select part, m.e as e, x, unnest(range(1, len(x) + 1)) as k from a{i}) group by part, e, k
+    ) group by part, e
+  ) using (part, e)
+)"""
+    return f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), p as (
+  select vec_id, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] as x from v, range(16) t(part)
+), b0 as (
+  select part, row_number() over (partition by part order by vec_id) - 1 as e, x as c from p where vec_id in (select vec_id from v order by vec_id limit 64)
+), a1 as ({nearest.format(book="b0")}), {moved.format(i=1, last="b0")},
+a2 as ({nearest.format(book="b1")}), {moved.format(i=2, last="b1")},
+a3 as ({nearest.format(book="b2")}),
+coded as (
+  select vec_id, string_agg(printf('%02x', m.e), '' order by part) as code, sum(m.d)::bigint as error from a3 group by vec_id
+), told as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) as codebooks_sha256 from b2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join v using (vec_id), told
+"""
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -186,8 +221,9 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_secret_scan": op10_secret_scan,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_vector_codes": _op11_sql()}
