@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters, vector_codes
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, secret_scan, suffix_dedup, url_filters, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +209,43 @@ from coded join v using (vec_id), told
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with the first turns of its hundred's first."""
+    paths = prefix_trie.paths_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(paths))
+
+
+#: CRC-32 bit by bit; nodes by all prefixes of all rebuilt conversations.
+OP13_SQL = """
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as p, {'r': coalesce(role, ''), 't': coalesce(text, '')} as x
+  from conversations where conv_id is not null
+), c as (
+  select distinct conv_id, conv_id - conv_id % 100 as base,
+         xor(list_reduce(flatten(list_transform(string_split(conv_id::varchar, ''), lambda s: [ascii(s)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, 4294967295::bigint), 4294967295) % 6 as h
+  from t
+), s as (
+  select c.conv_id, h, t.p, 0 as part, x from c join t on t.conv_id = c.base and t.p < h
+  union all select c.conv_id, h, t.p, 1, x from c join t on t.conv_id = c.conv_id and t.p >= h
+), q as (
+  select c.conv_id, coalesce(list(x order by part, p) filter (x is not null), []) as xs from c left join s using (conv_id) group by c.conv_id
+), m as (
+  select conv_id, len(xs) as n, unnest(range(len(xs) + 1)) as d, xs from q
+), k as (select conv_id, n, d, xs[1:d] as k, case when d > 0 then length(xs[d].t) else 0 end as own from m
+), node as (
+  select k, d, min(conv_id) as conv_id, count(*) as n, any_value(own) as own, count(*) filter (n > d) = 0 as leaf,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256 from k group by k, d
+), child as (select k[1:d - 1] as k, count(*) as kids from node where d > 0 group by all
+), below as (
+  select a.k, sum(leaf::int) as leaves, sum((n - 1) * own) as saved
+  from (select k[1:a] as k, leaf, n, own from (select *, unnest(range(d + 1)) as a from node)) a group by a.k
+)
+select x.conv_id, x.d as depth, y.conv_id as parent_conv_id, x.n as n_convs, coalesce(kids, 0) as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, x.ends_sha256
+from node x join below using (k) left join child using (k) left join node y on x.d > 0 and y.k = x.k[1:x.d - 1]
+"""
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -222,8 +259,9 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_secret_scan": op10_secret_scan,
         "op11_vector_codes": op11_vector_codes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_vector_codes": _op11_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_vector_codes": _op11_sql(), "op13_prefix_trie": OP13_SQL}
