@@ -177,8 +177,9 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
 
     # what the first and last path of a task share with those of the tasks beside it: two rows a task
     bounds = ordered.where("common is null or leaf is null").orderBy("task", "at").select("task", "at", "path").collect()
-    first = {(r["task"], r["at"]): _common(b["path"], r["path"]) if b else 0 for b, r in zip([None, *bounds[:-1]], bounds, strict=True)}
-    leaf = {(r["task"], r["at"]): not (a and a["path"].startswith(r["path"])) for r, a in zip(bounds, [*bounds[1:], None], strict=True)}
+    beside = [None, *bounds, None]
+    first = {(r["task"], r["at"]): _common(b["path"], r["path"]) if b else 0 for b, r in zip(beside, bounds)}
+    leaf = {(r["task"], r["at"]): not (a and a["path"].startswith(r["path"])) for r, a in zip(bounds, beside[2:])}
 
     # 2. points; rows of a task that are read apart are runs of their own
     def scan(batches):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, secret_scan, suffix_dedup, url_filters, vector_codes
+from . import chosen_path, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, secret_scan, suffix_dedup, url_filters, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +209,11 @@ from coded join v using (vec_id), told
 """
 
 
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under Jaccard 0.8 on sets of 2-word shingles."""
+    return chosen_path.chosen_path_join(_documents(spark, sf_dir), k=2, threshold=(80, 100))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, each rebuilt with the first turns of its hundred's first."""
     paths = prefix_trie.paths_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -259,6 +264,7 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_secret_scan": op10_secret_scan,
         "op11_vector_codes": op11_vector_codes,
+        "op12_chosen_path": op12_chosen_path,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
