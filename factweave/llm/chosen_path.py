@@ -276,7 +276,10 @@ def chosen_path_join(
     placed, level = roots, 0
     while True:
         last = level == levels
-        new = candidates(placed, components, False, last, f"path-pairs-{level}").join(checked, ["a", "b"], "left_anti")
+        # written, so that the plan of what was checked doesn't hold those of all levels before
+        met = candidates(placed, components, False, last, f"path-pairs-{level}")
+        new = materialize(met.join(checked, ["a", "b"], "left_anti"), f"path-new-{level}")
+        discard(met)
         if new.limit(1).count():
             found = confirmed(new, f"path-links-{level}")
             checked = checked.unionByName(new)
