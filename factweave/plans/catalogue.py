@@ -1060,6 +1060,28 @@ def run_summary(spark, sf_dir):
     return P.run_summary(_resolved(spark, sf_dir)[1])
 
 
+@query("with " + site.LARGE_RULES + f"""
+, late as (select count(*) >= {site.MORE} as many from r where listed and late),
+o as (select p, late or not listed as asks, case when gone then 'target_unreachable' when sent_home then 'authoritative_page_not_found' when fixed then 'success' when torn then 'ambiguous_candidates'
+                     when registered or listed or wrong or hub then 'success' when many then 'crawl_budget_exhausted' else 'authoritative_page_not_found' end as outcome,
+             case when fixed then 'override' when registered then 'registry' when listed then case when late then 'top_up' else 'index' end when wrong then 'index' else 'specialization' end as method,
+             case when fixed then 3 when registered then 5 when listed then 1 when wrong then 2 else 4 end as k from r, late)
+select p as target_idx, outcome, case when outcome = 'success' then 8 * p + k end as master_page,
+       case when outcome = 'success' then case when k in (2, 4) then 'medium' else 'high' end end as confidence, case when outcome = 'success' then method end as method,
+       case when outcome = 'success' then 1 end::bigint as times_parsed
+from o
+""")
+def run_two_pass(spark, sf_dir):
+    """Every target of a site larger than its crawl's budget, over an index that grows by what targets
+    need, with overrides, conflicts of identity, a registry and lists of specializations."""
+    pages = read(spark, sf_dir, "pages")
+    made = site.large_crawl(pages)
+    within = made["candidates"].where(F.col("idx") < 1 << 40).count()  # the budget ends before the late pages
+    known = run.Registry(*(made[c] for c in ("names", "sources", "aliases", "programs", "pages", "svg")))
+    found = run.two_pass(made["store"], site.targets(pages), made["candidates"], site.DOMAIN, site.HOME, within, made["overrides"], known, site.MORE)
+    return found.select("target_idx", "outcome", "master_page", "confidence", "method", "times_parsed")
+
+
 @query()
 def monitor_stream(spark, sf_dir):
     """An extension: new events of the log, once per user, type and value, within a watermark."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,8 +14,9 @@ from factweave.operators import report as P
 from factweave.operators import resolve as R
 from factweave.operators import understand as N
 from factweave.operators import windows as W
+from factweave.sources import crawl as S
 from factweave.sources import html as H
-from factweave.sources.store import cut
+from factweave.sources.store import cut, small
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def identities(pages: DataFrame) -> DataFrame:
     kept = W.skip_levels(own, N.cross_sell)
     return p.select(
         "page_id", "url", "title", F.transform(kept, lambda h: h["text"]).alias("headings"), F.col("d.degree").alias("degree"),
-        program.alias("program"), N.other_degrees(F.col("texts"), F.col("d.degree")).alias("other_degrees"), N.detect_logo()["url"].alias("logo"), F.concat_ws(" ", "d.alias", "d.degree").alias("exclude"), F.col("i.institution").alias("institution"),
+        program.alias("program"), F.col("d.confidence").alias("degree_confidence"), N.other_degrees(F.col("texts"), F.col("d.degree")).alias("other_degrees"), N.detect_logo()["url"].alias("logo"), F.concat_ws(" ", "d.alias", "d.degree").alias("exclude"), F.col("i.institution").alias("institution"),
         F.when(T.comparison_key(site) != T.comparison_key(F.col("i.institution")), site).alias("brand"), N.page_type(F.col("texts"), F.col("d")).alias("page_type"),
     )
 
@@ -67,8 +69,17 @@ def facts(pages: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
     return found.select("page_id", "field", (F.row_number().over(order) - 1).cast("long").alias("idx"), "value", "source_type", "confidence")
 
 
-def resolve(ids: DataFrame, targets: DataFrame, domain: str, homepage: str | None = None) -> DataFrame:
+def subject_of(ids: DataFrame) -> DataFrame:
+    """``ids`` with the words of a page's subject, without those of its degree and institution."""
+    return ids.withColumn("subject", R.subject_tokens("program", F.concat_ws(" ", "exclude", "institution", "brand")))
+
+
+def resolve(
+    ids: DataFrame, targets: DataFrame, domain: str, homepage: str | None = None, index: DataFrame | None = None, extra: DataFrame | None = None
+) -> DataFrame:
     """Each target (target_idx, url) with its authoritative page within ``domain``, or why none.
+    With ``index`` (page_id) only its pages are candidates, and for one target those of
+    ``extra`` (t_page_id, c_page_id).
 
     No pair is made that couldn't be chosen.  A target with a subject only passes the program
     gate with pages that share a token of it, so those tokens are the probes.  One without passes
@@ -82,7 +93,7 @@ def resolve(ids: DataFrame, targets: DataFrame, domain: str, homepage: str | Non
     told = lambda tag, c: F.when(T.comparison_key(c) != "", F.concat(F.lit(tag), T.comparison_key(c)))
     keys = F.array_compact(F.array(told("d:", F.coalesce("degree", blank)), told("p:", F.coalesce("program", blank)), told("i:", F.coalesce(name, blank))))
     marked = lambda tag, toks: F.transform(toks, lambda x: F.concat(F.lit(tag), x))
-    keyed = ids.withColumn("key", U.url_key("url")).withColumn("subject", R.subject_tokens("program", exclude)).withColumn("own", R.subject_tokens(words, exclude))
+    keyed = subject_of(ids.withColumn("key", U.url_key("url"))).withColumn("own", R.subject_tokens(words, exclude))
     side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in [*ids.columns, "subject", "own"]])
     probes = lambda df, s, x: df.select(F.col("page_id").alias(f"{s}_page_id"), F.explode(F.array_distinct(x)).alias("probe"))
     known = marked("u:", T.tokens(F.concat_ws(" ", "degree", "program", name)))
@@ -92,6 +103,9 @@ def resolve(ids: DataFrame, targets: DataFrame, domain: str, homepage: str | Non
     c = keyed.where(U.within_domain("url", F.lit(domain)))
     # ids meet first; what is compared is fetched for distinct pairs
     met = probes(t, "t", asked).join(probes(c, "c", offered), "probe").where("t_page_id <> c_page_id").select("t_page_id", "c_page_id").distinct()
+    if index is not None:
+        shared = met.join(index.select(F.col("page_id").alias("c_page_id")), "c_page_id", "left_semi")
+        met = shared if extra is None else shared.unionByName(met.join(extra, ["t_page_id", "c_page_id"], "left_semi")).distinct()
     pairs = met.join(side(t, "t"), "t_page_id").join(side(c, "c"), "c_page_id")
     verdict = R.text_verdict(F.coalesce("t_institution", "t_brand"), F.coalesce("c_institution", "c_brand"))
     gated = pairs.where(R.institution_gate(verdict, F.lit("inconclusive")) & R.program_gate(F.col("t_subject"), F.col("c_own")))
@@ -104,6 +118,127 @@ def resolve(ids: DataFrame, targets: DataFrame, domain: str, homepage: str | Non
     )
 
 
+@dataclass(frozen=True)
+class Registry:
+    """What is known of institutions beforehand: ``names(institution_id, name)``, ``sources(source_id,
+    institution_id, host)``, ``aliases(alias, institution_id)``, ``programs(alias, source_id)`` and
+    ``pages(source_id, url, program)``; ``svg(url, text)`` are texts inside logos."""
+
+    names: DataFrame
+    sources: DataFrame
+    aliases: DataFrame
+    programs: DataFrame
+    pages: DataFrame
+    svg: DataFrame
+
+
+def fetch_new(wanted: DataFrame, parsed_keys: DataFrame | None, store: DataFrame) -> DataFrame:
+    """Of the url keys (key) that are wanted, each one not parsed before, parsed once however often it
+    is asked for.  ``store(page_id, url, final_url, html)`` are the recorded answers; of several
+    with one key the first counts."""
+    keys = wanted.select("key").where("key is not null").distinct()
+    if parsed_keys is not None:
+        keys = keys.join(parsed_keys.select("key"), "key", "left_anti")
+    keyed = store.withColumn("key", U.url_key("url"))
+    first = keyed.join(keys, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("page_id", "url", "final_url", "html"), "page_id").alias("x"))
+    pages = first.select("x.page_id", "x.url", "x.html", "key", "x.final_url")
+    found = parsed(pages.select("page_id", "url", "html"))
+    return found.join(pages.select("page_id", "key", "final_url"), "page_id")
+
+
+def two_pass(
+    store: DataFrame, targets: DataFrame, candidates: DataFrame, domain: str, homepage: str, budget: int, overrides: DataFrame, registry: Registry, most: int = 20
+) -> DataFrame:
+    """Every target (target_idx, url) resolved over an index that grows by what its targets need.
+
+    1. The index takes ``budget`` of the ``candidates`` (url, method, idx); its pages, the targets and
+       the pages of ``overrides`` (url, master_url) are parsed, each url key once.
+    2. Every target is resolved against the index.
+    3. Those left unresolved, or resolved to a page of another degree than they surely have, each
+       ask for ``most`` of the urls that the budget left; of these, keys that aren't in the
+       index are parsed, once for all targets, and appended.  These targets alone are resolved
+       again, against the index and what they asked for.
+    4. A target without any eligible page may be named by one page's list of specializations.
+    5. An override comes before a conflict of the target's own identity, that before the registry,
+       that before what was found.  A target that leads to the home page has no page, and one
+       that had no page and took all it could ask for has run out of budget.
+
+    ``(target_idx, outcome, master_page, master_url, confidence, method, times_parsed)``.
+    """
+    keyed = lambda df, c: df.withColumn("key", U.url_key(c))
+    index, unfetched = S.page_index(candidates, domain, budget)
+    index = cut(index.select("key"))
+    asked_first = reduce(DataFrame.unionByName, [index, keyed(targets, "url").select("key"), keyed(overrides, "master_url").select("key"), keyed(registry.pages, "url").select("key")])
+    pages = cut(fetch_new(asked_first, None, store))
+    ids = cut(identities(pages).join(pages.select("page_id", "key", "final_url"), "page_id"))
+    known = ids.select("key", "page_id")
+    in_index = known.join(index, "key", "left_semi").select("page_id")
+    own = [c for c in ids.columns if c not in ("key", "final_url")]
+
+    # reachable targets that are pages of their own
+    asked = keyed(targets, "url").select("target_idx", "url", "key")
+    there = asked.join(ids.select("key", F.col("page_id").alias("t_page_id"), "final_url", "degree", "degree_confidence", "institution", "program", "exclude", "brand"), "key", "left")
+    there = cut(subject_of(there.withColumn("home", R.to_homepage("url", "final_url", F.lit(homepage)))))
+    real = there.where("t_page_id is not null and not home")
+
+    first = cut(resolve(ids.select(own), real.select("target_idx", "url"), domain, homepage, in_index))
+    degree = ids.select(F.col("page_id").alias("master_page"), F.col("degree").alias("m_degree"))
+    rest = first.join(degree, "master_page", "left").join(real.select("target_idx", "url", "t_page_id", "subject", F.col("degree").alias("t_degree"), "degree_confidence"), "target_idx")
+    rest = cut(rest.where(R.needs_top_up("outcome", "t_degree", "degree_confidence", "m_degree") & (F.size("subject") > 0)).select("target_idx", "url", "t_page_id", "subject"))
+
+    more = cut(S.top_up(rest.select("target_idx", F.col("subject").alias("keywords")), unfetched.select("url", "idx"), most).select("target_idx", "url", U.url_key("url").alias("key")))
+    added = cut(fetch_new(more, known, store))
+    every = ids.select(own).unionByName(identities(added).select(own))
+    pairs = more.join(added.select("key", F.col("page_id").alias("c_page_id")).unionByName(known.withColumnRenamed("page_id", "c_page_id")), "key")
+    pairs = pairs.join(rest.select("target_idx", "t_page_id"), "target_idx").select("t_page_id", "c_page_id").distinct()
+    second = resolve(every, rest.select("target_idx", "url"), domain, homepage, in_index, pairs)
+    took = more.groupBy("target_idx").agg(F.count("*").alias("took"))
+    both = first.join(second.select("target_idx", *[F.col(c).alias(f"second_{c}") for c in ("master_page", "confidence", "outcome", "top_score")]), "target_idx", "left").join(took, "target_idx", "left")
+    again = F.col("second_master_page").isNotNull()
+    pick = lambda c: F.when(again, F.col(f"second_{c}")).otherwise(F.col(c))
+    found = cut(both.select(
+        "target_idx", pick("master_page").alias("master_page"), pick("confidence").alias("confidence"), pick("outcome").alias("outcome"),
+        F.when(again & ~F.col("master_page").eqNullSafe(F.col("second_master_page")), "top_up").otherwise("index").alias("how"),
+        (F.coalesce("took", F.lit(0)) >= most).alias("spent"), (F.col("top_score").isNull() & F.col("second_top_score").isNull()).alias("no_candidate"),
+    ))
+
+    # lists of specializations, for targets that no page is eligible for
+    lists = facts(pages.join(in_index, "page_id", "left_semi").drop("key", "final_url")).where("field = 'SPECIALIZATION'")
+    entries = lists.join(ids.select("page_id", "url"), "page_id").select("page_id", "url", "idx", F.col("value").alias("entry"))
+    lost = found.where("no_candidate").join(real.select("target_idx", "subject"), "target_idx").select("target_idx", "subject")
+    listed = R.specialization_fallback(lost, entries).where("selected is not null").select("target_idx", F.col("selected").alias("listed_url"))
+    urls = ids.select("page_id", "url").unionByName(added.select("page_id", "url"))
+    found = found.join(urls.withColumnRenamed("page_id", "master_page").withColumnRenamed("url", "master_url"), "master_page", "left").join(listed, "target_idx", "left")
+    fell = F.col("listed_url").isNotNull()
+    found = found.select(
+        "target_idx", F.when(fell, F.col("listed_url")).otherwise(F.col("master_url")).alias("master_url"), F.when(fell, "medium").otherwise(F.col("confidence")).alias("confidence"),
+        F.when(fell, "success").otherwise(R.exhausted("outcome", F.col("spent"))).alias("outcome"), F.when(fell, "specialization").otherwise(F.col("how")).alias("how"),
+    )
+
+    # who the target is by its own evidence, and the page its registered source names
+    said = pages.select("page_id", "url", F.transform("logos", lambda x: F.struct(x["url"].alias("url"), x["alt"].alias("alt"))).alias("logos")).join(ids.select("page_id", "institution", "brand"), "page_id")
+    who = R.target_identity(said.join(real.select(F.col("t_page_id").alias("page_id")), "page_id", "left_semi"), registry.names, registry.svg)
+    who = real.join(who.select(F.col("page_id").alias("t_page_id"), "identity"), "t_page_id").select("target_idx", "identity")
+    sourced = R.resolve_source(real.select(F.col("target_idx").alias("idx"), F.lit(homepage).alias("url"), "institution", "program"), registry.sources, registry.aliases, registry.programs)
+    primary = R.discover_pages(sourced, registry.pages).join(real.select(F.col("target_idx").alias("idx"), F.col("program").alias("t_program")), "idx")
+    primary = primary.where(T.comparison_key("program") == T.comparison_key("t_program")).groupBy("idx", "source_id").agg(F.min("url").alias("master_url"))
+    primary = primary.join(small(registry.sources.select("source_id", "institution_id")), "source_id").join(who.withColumnRenamed("target_idx", "idx"), "idx")
+    trusted = primary.select(F.col("idx").alias("target_idx"), "master_url", F.coalesce(F.col("identity.institution_id") == F.col("institution_id"), F.lit(False)).alias("identity_ok"))
+    torn = who.where("identity.method = 'conflict'").select("target_idx")
+
+    decided = R.precedence(real.select("target_idx", "url"), overrides, torn, trusted, found)
+    decided = decided.join(found.select("target_idx", "how"), "target_idx", "left").select(
+        "target_idx", "master_url", "confidence", F.when(F.col("method") == "identity", "ambiguous_candidates").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(F.col("outcome") == "success", F.when(F.col("method") == "discovery", F.col("how")).otherwise(F.col("method"))).alias("method"),
+    )
+    log = known.unionByName(added.select("key", "page_id")).groupBy("key").agg(F.count("*").alias("times_parsed"), F.min("page_id").alias("master_page"))
+    chosen = keyed(decided, "master_url").join(log, "key", "left").drop("key")
+    none = F.when(F.col("t_page_id").isNull(), "target_unreachable").otherwise("authoritative_page_not_found")
+    return there.select("target_idx", "t_page_id").join(chosen, "target_idx", "left").select(
+        "target_idx", F.coalesce("outcome", none).alias("outcome"), "master_page", "master_url", "confidence", "method", "times_parsed"
+    )
+
+
 def report(pages: DataFrame, resolved: DataFrame) -> DataFrame:
     """The report rows of every target that has an authoritative page."""
     pairs = resolved.where("outcome = 'success'").select("target_idx", "target_page", "master_page")

@@ -67,3 +67,62 @@ def crawl(pages: DataFrame) -> DataFrame:
 def targets(pages: DataFrame) -> DataFrame:
     """(target_idx, url) of every id."""
     return pages.select(F.col("page_id").alias("target_idx"), F.concat(F.lit(TARGETS + "p"), F.col("page_id").cast("string")).alias("url"))
+
+
+#: What the oracle of a large crawl needs to know of an id ``p``: see ``large_crawl``.
+LARGE_RULES = """
+r as (select page_id as p, page_id % 11 = 10 as gone, page_id % 17 = 16 as sent_home, page_id % 19 = 18 as fixed, page_id % 31 = 30 as torn, page_id % 29 = 28 as registered,
+             page_id % 23 = 22 as hub, page_id % 13 <> 12 and page_id % 23 <> 22 as listed, page_id % 7 in (3, 4) as late, page_id % 7 = 4 as wrong from pages)
+"""
+MORE = 20
+
+
+def large_crawl(pages: DataFrame) -> dict[str, DataFrame]:
+    """A site of more pages than its crawl's budget takes: ``store(page_id, url, final_url, html)``, ``candidates``,
+    ``overrides`` and the tables of a registry.
+
+    For an id ``p``: a target (8p), which is gone, leads to the home page or has the logo of another
+    institution for some ids; its right page (8p + 1), beyond the budget if late; a page of its
+    subject and another degree (8p + 2), within it; a page it is fixed to (8p + 3); one whose list
+    names its subject (8p + 4); one that the registry names (8p + 5)."""
+    p = F.col("page_id")
+    degree = lambda n: F.element_at(F.array(*[F.lit(x) for x in DEGREES]), (n % 3 + 1).cast("int"))
+    word = F.concat(F.lit("Subject"), F.translate(p.cast("string"), "0123456789", "abcdefghij"))  # names of offerings have no digits
+    subject = lambda d: F.concat(d, F.lit(" in "), word)
+    at = lambda start: F.concat(F.lit(start), p.cast("string"))
+    page = lambda d: _page(F.concat(subject(d), F.lit(" | Northfield University")), F.concat(F.lit("Online "), subject(d)), "<p>Duration: 2 years</p>")
+    own = _page(F.concat(F.lit("Online "), subject(degree(p))), F.concat(F.lit("Online "), subject(degree(p))), "<p>Duration: 2 years</p>")
+    torn = F.replace(own, F.lit("<nav>"), F.lit("<nav><img class='logo' src='https://cdn.org/southfield.png' alt=''>"))
+    hub = _page(F.lit("Northfield Offerings"), F.lit("Northfield Offerings"), "<h2>Specializations</h2><ul><li>", word, " Analytics</li><li>Corporate Finance</li></ul>")
+    listed, late = (p % 13 != 12) & (p % 23 != 22), (p % 7).isin(3, 4)
+    home = F.lit(HOME)
+    parts = [
+        (0, p % 11 != 10, at(TARGETS + "p"), F.when(p % 17 == 16, home).otherwise(at(TARGETS + "p")), F.when(p % 31 == 30, torn).otherwise(own)),
+        (1, listed, F.concat(F.lit(HOME + "courses/"), F.lower(word)), None, page(degree(p))),
+        (2, p % 7 == 4, F.concat(F.lit(HOME + "short/"), F.lower(word)), None, page(degree(p + 1))),
+        (3, p % 19 == 18, at(HOME + "fixed/p"), None, page(degree(p))),
+        (4, p % 23 == 22, at(HOME + "hub/h"), None, hub),
+        (5, p % 29 == 28, at(HOME + "registered/p"), None, page(degree(p))),
+    ]
+    rows = F.array_compact(F.array(*[
+        F.when(ok, F.struct((p * 8 + i).cast("long").alias("page_id"), url.alias("url"), F.coalesce(url if final is None else final, url).alias("final_url"), html.alias("html")))
+        for i, ok, url, final, html in parts
+    ]))
+    spark = pages.sparkSession
+    front = spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), home.alias("url"), home.alias("final_url"), _page(F.lit("Northfield University"), F.lit("Northfield University")).alias("html"))
+    found = [F.when(listed, F.struct(parts[1][2].alias("url"), F.lit("sitemap").alias("method"), (F.when(late, 1 << 40).otherwise(0) + p).cast("long").alias("idx")))]
+    found += [F.when(parts[i][1], F.struct(parts[i][2].alias("url"), F.lit("navigation").alias("method"), p.cast("long").alias("idx"))) for i in (2, 4)]
+    start = spark.range(1).select(home.alias("url"), F.lit("homepage").alias("method"), F.lit(0).cast("long").alias("idx"))
+    registered = pages.where(p % 29 == 28).select(F.when(p % 2 == 0, "s1").otherwise("s2").alias("source_id"), parts[5][2].alias("url"), F.concat(F.lit("Online "), subject(degree(p))).alias("program"))
+    table = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    return {
+        "store": pages.select(F.explode(rows).alias("r")).select("r.*").unionByName(front),
+        "candidates": pages.select(F.explode(F.array_compact(F.array(*found))).alias("r")).select("r.*").unionByName(start),
+        "overrides": pages.where(parts[3][1]).select(parts[0][2].alias("url"), parts[3][2].alias("master_url")),
+        "names": table([("northfield", "Northfield"), ("southfield", "Southfield")], "institution_id string, name string"),
+        "sources": table([("s1", "northfield", "one.example"), ("s2", "northfield", "two.example")], "source_id string, institution_id string, host string"),
+        "aliases": table([("Northfield", "northfield")], "alias string, institution_id string"),
+        "programs": registered.select(F.col("program").alias("alias"), "source_id"),
+        "pages": registered,
+        "svg": table([], "url string, text string"),
+    }
