@@ -6,7 +6,6 @@ the least ordinal.  ``t`` is the target, ``m`` the authoritative (master) side.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.functions import values as V
-from factweave.sources.store import cut
+from factweave.sources.store import cut, small
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -97,102 +96,105 @@ def list_status(diff: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("status", status)
 
 
+def token_pairs(a: DataFrame, b: DataFrame, keys: list[str], num: int, den: int, sure: int = 3) -> DataFrame:
+    """Pairs (keys, a_idx, b_idx) of items (keys, idx, toks: distinct) that share ``num / den`` of the
+    smaller set, within each of ``keys``.
+
+    Tokens are ranked rare first by one count over both sides.  Of a smaller set of n tokens, of which
+    t must be shared, ``sure`` (t at most) lie among its n - t + ``sure`` rarest, so only these ask; a pair
+    that meets less often can't reach t and goes before sets are fetched.  Only ids, sizes and tokens
+    are joined; where all tokens have asked, the count is exact, the others are verified.
+    """
+    def posted(df, s):
+        return df.where(F.size("toks") > 0).select(*keys, F.col("idx").alias(f"{s}_idx"), F.size("toks").alias(f"{s}_n"), F.explode("toks").alias("token"))
+
+    x, y = posted(a, "a"), posted(b, "b")
+    counts = cut(x.select("token").unionByName(y.select("token")).groupBy("token").agg(F.count("*").alias("rows")))
+    needed = lambda n: F.ceil(n * num / den).cast("int")
+
+    def asking(df, s):
+        n = F.col(f"{s}_n")
+        ranked = F.array_sort(F.collect_list(F.struct("rows", "token")))
+        g = df.join(small(counts), "token").groupBy(*keys, f"{s}_idx", f"{s}_n").agg(ranked.alias("ranked"))
+        least = F.least(needed(n), F.lit(sure))
+        return g.select(*keys, f"{s}_idx", f"{s}_n", least.alias("least"), F.explode(F.slice("ranked", F.lit(1), n - needed(n) + least)).alias("r")).withColumn("token", F.col("r.token")).drop("r")
+
+    def meet(asks, all_, size):
+        met = asks.join(all_, [*keys, "token"]).where(size).groupBy(*keys, "a_idx", "b_idx", "a_n", "b_n").agg(F.count("*").alias("met"), F.min("least").alias("least"))
+        return met.where("met >= least").drop("least")
+
+    met = meet(asking(x, "a"), y, F.col("a_n") <= F.col("b_n")).unionByName(meet(asking(y, "b"), x, F.col("b_n") < F.col("a_n")))
+    met = met.withColumn("t", needed(F.least("a_n", "b_n")))
+    own = lambda df, s: df.select(*keys, F.col("idx").alias(f"{s}_idx"), F.col("toks").alias(f"{s}_toks"))
+    open_ = met.where(f"t > {sure} and met < t").join(own(a, "a"), [*keys, "a_idx"]).join(own(b, "b"), [*keys, "b_idx"])
+    open_ = open_.where(F.size(F.array_intersect("a_toks", "b_toks")) >= F.col("t"))
+    out = [*keys, "a_idx", "b_idx"]
+    return met.where("met >= t").select(*out).unionByName(open_.select(*out))
+
+
+def _items(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first of each item (keys, item, idx, value) by its semantic value."""
+    rows = df.withColumn("item", T.semantic_value("value")).where("item <> ''")
+    return first_per_group(rows.select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"])
+
+
 def set_diff(master: DataFrame, target: DataFrame, keys: list[str], stems: bool = False, keep: bool = False) -> DataFrame:
     """For each item of the master its first equivalent item of the target, or none.
 
     Items (keys, idx, value) are equivalent if their keys or concepts agree or half of the
     smaller token set is shared (with ``stems`` also three fifths of five-letter stems).  A
-    target item may serve several master items.  Candidates come from equi-joins.  Equal concepts
-    are one; for tokens, the smaller set asks with as many of its tokens as can't all be missing,
-    longer tokens first, since these are rarer; what is compared comes along, so that only
-    equivalent items leave the join.  ``keep`` writes the items read out of long lists to shared
-    storage, so that each is read once.
+    target item may serve several master items.  Candidates come from equi-joins of ids: equal
+    concepts (equal keys have one) and ``token_pairs``; values are fetched for the one that is chosen.
+    ``keep`` writes the items read out of long lists to shared storage, so that each is read once.
     """
     def items(df):
-        rows = df.withColumn("item", T.semantic_value("value")).where("item <> ''")
-        rows = first_per_group(rows.select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"])
-        rows = rows.withColumn("concept", T.concept_key("value")).withColumn("toks", F.array_distinct(T.tokens("value")))
-        return rows.withColumn("stem", F.array_distinct(F.transform("toks", lambda x: F.left(x, F.lit(5)))))
-
-    def ranked(c):
-        """Longer ones first."""
-        return F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"])
+        return _items(df, keys).withColumn("concept", T.concept_key("value")).withColumn("toks", F.array_distinct(T.tokens("value")))
 
     a, b = (cut(items(x)) if keep else items(x) for x in (master, target))
-    cols = ["item", "concept", "toks", "stem", "value"]
-    share = lambda c, num, den: T._share(F.col(f"a_{c}"), F.col(f"b_{c}"), num, den)
-    same = (F.col("a_item") == F.col("b_item")) | (F.col("a_concept") == F.col("b_concept")) | share("toks", 1, 2)
+    of = lambda df, s: df.select(*keys, F.col("idx").alias(f"{s}_idx"), "concept")
+    met = [of(a, "a").join(of(b, "b").groupBy(*keys, "concept").agg(F.min("b_idx").alias("b_idx")), [*keys, "concept"]).drop("concept")]
+    met.append(token_pairs(a, b, keys, 1, 2))
     if stems:
-        same = same | share("stem", 3, 5)
-
-    def side(df, s, probe, size=None):
-        own = [F.col(k).alias(f"{s}_{k}") for k in [*keys, "idx"]] + [F.col(c).alias(f"{s}_{c}") for c in cols]
-        return df.select(*own, (F.lit(0) if size is None else size).alias(f"{s}_n"), probe.alias(f"{s}_probe"))
-
-    def meet(x, y, *more):
-        on = [*[F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys], F.col("a_probe") == F.col("b_probe"), *more, same]
-        return x.join(y, on).select(*[F.col(f"a_{k}").alias(k) for k in [*keys, "idx"]], F.struct(F.col("b_idx").alias("t_idx"), F.col("b_value").alias("t_value")).alias("hit"))
-
-    met = [meet(side(a, "a", F.col("concept")), side(b, "b", F.col("concept")))]
-    for c, num, den in [("toks", 1, 2), *([("stem", 3, 5)] if stems else [])]:
-        size = F.size(c)
-        asks = F.slice(ranked(F.col(c)), 1, size - F.ceil(size * num / den).cast("int") + 1)
-        full_a, full_b = a.where(size > 0), b.where(size > 0)
-        met.append(meet(side(full_a, "a", F.explode(asks), size), side(full_b, "b", F.explode(c), size), F.col("a_n") <= F.col("b_n")))
-        met.append(meet(side(full_a, "a", F.explode(c), size), side(full_b, "b", F.explode(asks), size), F.col("b_n") < F.col("a_n")))
-    hits = reduce(DataFrame.unionByName, met).groupBy(*keys, "idx").agg(F.min("hit").alias("hit"))
-    left = first_per_group(
-        master.withColumn("item", T.semantic_value("value")).where("item <> ''").select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"]
-    )
-    return left.join(hits, [*keys, "idx"], "left").select(
-        *keys, "idx", "value", F.col("hit.t_value").alias("target_value"),
-        F.when(F.col("hit").isNull(), "target_missing").otherwise("match").alias("status"),
+        stem = lambda df: df.withColumn("toks", F.array_distinct(F.transform("toks", lambda x: F.left(x, F.lit(5)))))
+        met.append(token_pairs(stem(a), stem(b), keys, 3, 5))
+    hits = reduce(DataFrame.unionByName, met).groupBy(*keys, "a_idx").agg(F.min("b_idx").alias("b_idx"))
+    hits = hits.join(b.select(*keys, F.col("idx").alias("b_idx"), F.col("value").alias("target_value")), [*keys, "b_idx"])
+    return a.select(*keys, "idx", "value").join(hits.withColumnRenamed("a_idx", "idx"), [*keys, "idx"], "left").select(
+        *keys, "idx", "value", "target_value", F.when(F.col("b_idx").isNull(), "target_missing").otherwise("match").alias("status")
     )
 
 
-def greedy_pairs(master: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact keys first; of the rest each master item, in order, takes the first free target
-    item that shares half of the smaller token set.  Order-dependent, so it runs per group, which
-    is one pair of pages: its lists of items are held in memory, and no more."""
-    import pandas as pd
+def first_free(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Of edges (keys, a_idx, b_idx) those that are taken if each ``a``, in order, takes the first ``b``
+    that is still free.
 
-    cols = [*keys, "side", "idx", "value", "item"]
-    def side(df, name):
-        rows = df.withColumn("item", T.semantic_value("value")).where("item <> ''")
-        return first_per_group(rows.select(*keys, "item", "idx", "value"), [*keys, "item"], ["idx"]).withColumn("side", F.lit(name)).select(*cols)
-
-    both = side(master, "m").unionByName(side(target, "t")).withColumn("toks", F.array_distinct(T.tokens("value")))
-    schema = master.select(*keys).schema
-    for c, kind in (("m_value", "string"), ("t_value", "string"), ("status", "string")):
-        schema = schema.add(c, kind)
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        mine, theirs = pdf[pdf["side"] == "m"], pdf[pdf["side"] == "t"]
-        exact = set(mine["item"]) & set(theirs["item"])
-        named = dict(zip(theirs["item"], theirs["value"], strict=True))
-        free = [(v, len(k), k) for v, i, k in zip(theirs["value"], theirs["item"], theirs["toks"], strict=True) if i not in exact]
-        lists = defaultdict(list)  # which free items have a token: only those are looked at
-        for n, (_, _, toks) in enumerate(free):
-            for t in toks:
-                lists[t].append(n)
-        out, taken = [], set()
-        for value, item, toks in zip(mine["value"], mine["item"], mine["toks"], strict=True):
-            if item in exact:
-                out.append((value, named[item], "match"))
-                continue
-            shared = Counter(n for t in toks for n in lists[t])
-            near = [n for n, c in shared.items() if n not in taken and 2 * c >= min(len(toks), free[n][1])]
-            if near:
-                taken.add(min(near))
-            out.append((value, free[min(near)][0], "needs_review") if near else (value, None, "target_missing"))
-        out += [(None, v, "master_missing") for n, (v, _, _) in enumerate(free) if n not in taken]
-        found = pd.DataFrame(out, columns=["m_value", "t_value", "status"])
-        for i, k in enumerate(keys):
-            found.insert(i, k, pdf[k].iloc[0])
-        return found
-
-    return both.groupBy(*keys).applyInPandas(pair, schema)
+    That is the stable matching in which either side prefers lower places.  Whoever are each other's
+    first choice are in it whatever the others do, so in rounds these are taken and leave; the lowest
+    open edge of a group is one, so each round ends some of every open group.  A round reads the open
+    edges alone, with partial minima, and writes what is left.
+    """
+    taken, left = None, cut(edges.select(*keys, "a_idx", "b_idx"))
+    while left.limit(1).count():
+        first = left.groupBy(*keys, "a_idx").agg(F.min("b_idx").alias("b_idx"))
+        asked = left.groupBy(*keys, "b_idx").agg(F.min("a_idx").alias("a_idx"))
+        both = cut(first.join(asked, [*keys, "a_idx", "b_idx"]))
+        taken = both if taken is None else taken.unionByName(both)
+        left = cut(left.join(both.drop("b_idx"), [*keys, "a_idx"], "left_anti").join(both.drop("a_idx"), [*keys, "b_idx"], "left_anti").select(*keys, "a_idx", "b_idx"))
+    return left if taken is None else taken
+
+
+def greedy_pairs(master: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m_value, t_value, status): exact keys first; of the rest each master item, in order, takes
+    the first free target item that shares half of the smaller token set, within each of ``keys``."""
+    mine, theirs = (cut(_items(df, keys).withColumn("toks", F.array_distinct(T.tokens("value")))) for df in (master, target))
+    exact = mine.join(theirs.select(*keys, "item", F.col("value").alias("t_value")), [*keys, "item"])
+    rest_m, rest_t = (x.join(y.select(*keys, "item"), [*keys, "item"], "left_anti") for x, y in ((mine, theirs), (theirs, mine)))
+    pairs = first_free(token_pairs(rest_m, rest_t, keys, 1, 2), keys)
+    m = rest_m.select(*keys, F.col("idx").alias("a_idx"), F.col("value").alias("m_value"))
+    t = rest_t.select(*keys, F.col("idx").alias("b_idx"), F.col("value").alias("t_value"))
+    near = m.join(pairs, [*keys, "a_idx"], "left").join(t, [*keys, "b_idx"], "full_outer")
+    status = F.when(F.col("m_value").isNull(), "master_missing").when(F.col("t_value").isNull(), "target_missing").otherwise("needs_review")
+    return exact.select(*keys, F.col("value").alias("m_value"), "t_value", F.lit("match").alias("status")).unionByName(near.select(*keys, "m_value", "t_value", status.alias("status")))
 
 
 def aggregate_sub_facts(facts: DataFrame, keys: list[str]) -> DataFrame:

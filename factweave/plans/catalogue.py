@@ -561,14 +561,63 @@ def _sentences(spark, sf_dir, table: str, key: str):
     return rows.select(key, F.struct(key, "pos").alias("idx"), "value")
 
 
-@query()
+_WS = "[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_BULLET = "[•◦▪➤●○*\\-–— ]"
+
+
+def _item_sql(c: str) -> str:
+    """``text.semantic_value`` of a column, step by step."""
+    flat = lambda x: f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'), ' ')"
+    out = f"regexp_replace(regexp_replace(regexp_replace({flat(c)}, '^{_BULLET}+', ''), '{_BULLET}+$', ''), ' *& *', ' and ', 'g')"
+    for ending in (r" *\\(optional\\) *$", " *specialization *$", " *specialisation *$", " *elective *$", " *track *$"):
+        out = f"list_transform([{out}], lambda v: case when trim(regexp_replace(v, '{ending}', '', 'i')) <> '' then regexp_replace(v, '{ending}', '', 'i') else v end)[1]"
+    return f"lower({flat(f"regexp_replace({out}, '[.,;:]+$', '')")})"
+
+
+def _sentences_sql(table: str, key: str) -> str:
+    """Sentences as ``_sentences`` reads them, with distinct tokens and item."""
+    return f"""
+      select *, {_item_sql('value')} as item from (
+        select *, list_distinct(list_filter(string_split_regex(lower(value), '[^a-z0-9]+'), lambda x: length(x) >= 3)) as toks from (
+          select {key}, unnest(range(len(v))) as pos, unnest(v) as value from (select {key}, string_split_regex(text, '[.\\n]+[ \\t\\n\\x0B\\f\\r]*') as v from {table})))
+      where len(toks) >= 4"""
+
+
+@query(f"""
+with a as (select item_id, pos, value, toks from ({_sentences_sql('benchmark', 'item_id')}) where item <> '' qualify row_number() over (partition by item order by item_id, pos) = 1),
+b as (select doc_id, pos, value, toks, item from ({_sentences_sql('documents', 'doc_id')}) where item <> '' qualify row_number() over (partition by item order by doc_id, pos) = 1),
+x as (select item_id, pos, len(toks) as n, unnest(toks) as t from a), y as (select doc_id, pos, len(toks) as n, unnest(toks) as t from b),
+near as (select x.item_id, x.pos, y.doc_id, y.pos as t_pos from x join y using (t) group by all having 2 * count(*) >= least(any_value(x.n), any_value(y.n))
+         union all select a.item_id, a.pos, b.doc_id, b.pos from (select *, {_item_sql('value')} as item from a) a join b using (item)),
+hit as (select item_id, pos, min({{'d': doc_id, 'p': t_pos}}) as h from near group by all)
+select a.item_id, a.pos::int as pos, a.value, b.value as target_value, case when h is null then 'target_missing' else 'match' end as status
+from a left join hit using (item_id, pos) left join b on b.doc_id = h.d and b.pos = h.p
+""")
 def set_diff_master_first(spark, sf_dir):
     """Every sentence of ``benchmark`` with the first equivalent sentence of all ``documents``."""
     found = C.set_diff(_sentences(spark, sf_dir, "benchmark", "item_id").drop("item_id"), _sentences(spark, sf_dir, "documents", "doc_id").drop("doc_id"), [], keep=True)
     return found.select(F.col("idx.item_id").alias("item_id"), F.col("idx.pos").alias("pos"), "value", "target_value", "status")
 
 
-@query()
+@query(f"""
+with recursive d as ({_sentences_sql('documents', 'doc_id')}), i as ({_sentences_sql('benchmark', 'item_id')}),
+r as (select item_id, row_number() over (order by item_id) - 1 as rank from benchmark where item_id is not null),
+m as (select doc_id, pos, value, toks, item from (select distinct doc_id, doc_id % (select count(item_id) from benchmark) as rank from d) join r using (rank) join i using (item_id)
+      where item <> '' qualify row_number() over (partition by doc_id, item order by pos) = 1),
+t as (select doc_id, pos, value, toks, item from d where item <> '' qualify row_number() over (partition by doc_id, item order by pos) = 1),
+same as (select doc_id, item, m.value as m_value, t.value as t_value from m join t using (doc_id, item)),
+fm as (select *, row_number() over (partition by doc_id order by pos) as n from m anti join same using (doc_id, item)), ft as (select * from t anti join same using (doc_id, item)),
+near as (select a.doc_id, a.pos, b.pos as t_pos from (select doc_id, pos, len(toks) as n, unnest(toks) as k from fm) a join (select doc_id, pos, len(toks) as n, unnest(toks) as k from ft) b using (doc_id, k)
+         group by all having 2 * count(*) >= least(any_value(a.n), any_value(b.n))),
+asks as (select fm.doc_id, fm.n, fm.value, coalesce(list(t_pos order by t_pos) filter (t_pos is not null), []) as ts from fm left join near using (doc_id, pos) group by all),
+take as (select doc_id, 0::bigint as n, null::varchar as value, null::bigint as hit, []::bigint[] as taken from (select distinct doc_id from fm)
+         union all
+         select doc_id, n, value, hit, case when hit is null then taken else list_append(taken, hit) end from (
+           select a.doc_id, a.n, a.value, list_filter(a.ts, lambda x: not list_contains(take.taken, x))[1] as hit, take.taken from take join asks a on a.doc_id = take.doc_id and a.n = take.n + 1))
+select doc_id, m_value, t_value, 'match' as status from same
+union all select take.doc_id, take.value, ft.value, case when hit is null then 'target_missing' else 'needs_review' end from take left join ft on ft.doc_id = take.doc_id and ft.pos = hit where n > 0
+union all select doc_id, null, value, 'master_missing' from ft anti join (select doc_id, hit as pos from take where hit is not null) h using (doc_id, pos)
+""")
 def greedy_near_pairs(spark, sf_dir):
     """Every document's sentences against those of one item of ``benchmark``, dealt out by the
     remainder of its id: a document is a group, so groups are as large as texts."""
