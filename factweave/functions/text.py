@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,6 +39,32 @@ def word_bounded(haystack, needle: str) -> Column:
     return _c(haystack).rlike(f"(?i)(?<![a-z0-9]){literal(needle)}(?![a-z0-9])")
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def phrases_in(text, phrases: list[str]) -> Column:
+    """The distinct ones of ``phrases`` (lower case) that ``word_bounded`` finds in a text, in one pass:
+    at each word the runs of one word, two and so on, to as many as the longest phrase has, with what
+    is between them, are looked up in a set of all phrases."""
+    longest = max(len(re.findall("[a-z0-9]+", x)) for x in phrases)
+    low = F.translate(F.coalesce(_c(text), F.lit("")), _UPPER, _UPPER.lower())
+
+    def look(x: Column) -> Column:
+        words, pieces = x["words"], x["pieces"]  # a piece is a word and what follows it
+        runs, heads = [words], pieces
+        for n in range(2, longest + 1):
+            rest = lambda c: F.slice(c, F.lit(n), F.size(c))  # noqa: E731, B023
+            runs.append(F.zip_with(heads, rest(words), lambda h, w: F.concat(h, w)))
+            heads = F.zip_with(heads, rest(pieces), lambda h, w: F.concat(h, w))
+        return F.array_distinct(F.filter(F.concat(*runs), lambda r: r.isin(phrases)))
+
+    return let(look, words=F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1), pieces=F.regexp_extract_all(low, F.lit("([a-z0-9]+[^a-z0-9]*)"), 1))
+
+
+def word_count(v) -> Column:
+    return F.regexp_count(_c(v), F.lit(f"[^{WS[1:-1]}]+"))
+
+
 # fixed values: bullets and boilerplate endings of list items
 _BULLETS = "•◦▪➤●○*\\-–—"
 _ENDINGS = [r"\s*\(optional\)\s*$", r"\s*specialization\s*$", r"\s*specialisation\s*$", r"\s*elective\s*$", r"\s*track\s*$"]

@@ -248,31 +248,26 @@ UNRELATED_LISTS = [
 ]
 
 
-def _hits(text: Column, words: list[str]) -> Column:
-    """How many of the words occur, each counted once."""
-    out = F.lit(0)
-    for w in words:
-        out = out + F.coalesce(T.word_bounded(text, w), F.lit(False)).cast("int")
-    return out
-
-
 def list_shape(heading, items) -> Column:
     """2 to 20 items of content, at least two and seven in ten of which look like names."""
-    heading, real = T._c(heading), F.filter(T._c(items), lambda x: ~T.is_chrome(x))
-    named = F.filter(real, T.named_offering)
+    heading = T._c(heading)
+    counts = T.let(lambda x: F.struct(F.size(x["real"]).alias("real"), F.size(F.filter(x["real"], T.named_offering)).alias("named")), real=F.filter(T._c(items), lambda x: ~T.is_chrome(x)))
     fits = heading.rlike("[A-Za-z]{3,}") & ~heading.rlike(r"(?i)^\s*(INR|USD|Rs\.?|₹|\$)\s*[\d,.]") & ~T.any_of(heading, UNRELATED_LISTS)
-    return (fits & F.size(real).between(2, 20) & (F.size(named) >= 2) & (F.size(named) * 10 >= F.size(real) * 7)).cast("int")
+    named = T.let(lambda x: x["n"]["real"].between(2, 20) & (x["n"]["named"] >= 2) & (x["n"]["named"] * 10 >= x["n"]["real"] * 7), n=counts)
+    return F.when(fits, named).otherwise(False).cast("int")
 
 
 def classify_sections(df: DataFrame, heading: str, paragraphs: str, items: str, table_headers: str) -> DataFrame:
     """``df`` with category, confidence and secondary categories: twice the keywords in the
     heading, those in short texts and table headers, and one for a list of names; ties by
-    precedence.  Each keyword is looked up once per text; later steps read the scores."""
-    short = F.filter(F.col(paragraphs), lambda t: F.size(F.filter(F.split(T.collapse_ws(t), " "), lambda w: w != "")) <= 12)
+    precedence.  All keywords are looked up in one pass of a text; later steps read what was found."""
+    short = F.filter(F.col(paragraphs), lambda t: T.word_count(t) <= 12)
     body = F.concat_ws(" ", F.array_join(short, " "), F.array_join(F.col(table_headers), " "))
     rows = df.withColumn("_body", body).withColumn("_shape", list_shape(heading, items))
-    rows = rows.withColumn("_h", F.array(*[_hits(F.col(heading), w) for w in CATEGORIES.values()]))
-    rows = rows.withColumn("_b", F.array(*[_hits(F.col("_body"), w) for w in CATEGORIES.values()]))
+    every = [w for words in CATEGORIES.values() for w in words]
+    rows = rows.withColumn("_h", T.phrases_in(heading, every)).withColumn("_b", T.phrases_in("_body", every))
+    of = lambda c: F.array(*[F.size(F.filter(c, lambda x: x.isin(words))) for words in CATEGORIES.values()])  # noqa: E731, B023
+    rows = rows.withColumn("_h", of("_h")).withColumn("_b", of("_b"))
     question = F.col(heading).rlike(r"\?\s*$")
     entries = []
     for i, name in enumerate(CATEGORIES):

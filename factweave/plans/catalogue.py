@@ -864,7 +864,28 @@ def section_classify(spark, sf_dir):
     return U2.classify_sections(rows, "heading", "paragraphs", "items", "headers").select("doc_id", "category", "confidence")
 
 
-@query()
+_QUOTE = "'"
+_ANY = lambda patterns: "(?i)" + "|".join(f"(?:{x})" for x in patterns).replace(_QUOTE, _QUOTE * 2)
+_KEYWORDS = ", ".join(f"({i}, '{name}', '{w}')" for i, (name, words) in enumerate(U2.CATEGORIES.items()) for w in words)
+
+
+@query(rf"""
+with k(i, category, word) as (values {_KEYWORDS}),
+d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+s as (select row_number() over () as r, doc_id, lines[1] as heading, array_to_string(list_filter(lines[2:], lambda x: len(regexp_extract_all(x, '[^ \t\n\x0B\f\r\x{{A0}}]+')) <= 12), ' ') as body,
+             list_filter(lines[2:], lambda x: not regexp_matches(x, '{_ANY(T.CHROME)}')) as items from d),
+h as (select r, i, any_value(category) as category, count(*) filter (regexp_matches(lower(heading), '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')) as h,
+             count(*) filter (regexp_matches(lower(body), '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')) as b from s, k group by r, i),
+l as (select *, regexp_matches(heading, '[A-Za-z]{{3,}}') and not regexp_matches(heading, '(?i)^\s*(INR|USD|Rs\.?|₹|\$)\s*[\d,.]') and not regexp_matches(heading, '{_ANY(U2.UNRELATED_LISTS)}')
+                and len(items) between 2 and 20 and n >= 2 and n * 10 >= len(items) * 7 as shape
+      from (select *, len(list_filter(items, lambda x: regexp_matches(x, '^[A-Z]') and len(string_split(trim(regexp_replace(x, '[ \t\n\x0B\f\r\x{{A0}}]+', ' ', 'g'), ' '), ' ')) <= 6 and not regexp_matches(x, '[0-9:%₹$€£]'))) as n from s)),
+t as (select r, i, category, h, case when category in ('ACCREDITATION', 'RANKINGS') and regexp_matches(heading, '\?\s*$') then 0 else 2 * h + b + case when category = 'SPECIALIZATION' and shape then 1 else 0 end end as total
+      from h join l using (r)),
+g as (select r, list({{'c': category, 'h': h}} order by total desc, i) as ranked from t where total > 0 group by r)
+select doc_id, case when none then 'OTHER' else ranked[1].c end as category, case when none then 'LOW' when ranked[1].h > 0 then 'HIGH' else 'MEDIUM' end as confidence,
+       case when none then '' else array_to_string(list_transform(ranked[2:], lambda x: x.c), ',') end as secondary
+from (select *, ranked is null or regexp_matches(heading, '{_ANY(U2.OTHER_HEADINGS)}') as none from l left join g using (r))
+""")
 def section_classify_texts(spark, sf_dir):
     """Every document as a section: its first line is the heading, all others are paragraphs
     and list items as they stand."""
@@ -874,7 +895,8 @@ def section_classify_texts(spark, sf_dir):
     rows = rows.select(
         "doc_id", F.get("lines", F.lit(0)).alias("heading"), rest.alias("paragraphs"), rest.alias("items"), F.array().cast("array<string>").alias("headers")
     )
-    return U2.classify_sections(rows, "heading", "paragraphs", "items", "headers").select("doc_id", "category", "confidence", "secondary")
+    found = U2.classify_sections(rows, "heading", "paragraphs", "items", "headers")
+    return found.select("doc_id", "category", "confidence", F.array_join("secondary", ",").alias("secondary"))
 
 
 @query(r"""
