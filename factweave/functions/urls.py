@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .text import _c
+from .text import _c, let
 
 _URL = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^?#]*)(\?[^#]*)?"
 
@@ -74,24 +72,55 @@ def blocked_v4(ip) -> Column:
     return F.coalesce(hit, F.lit(True))
 
 
-def blocked_any() -> object:
-    """A vectorised function for addresses of either family; what can't be read is blocked."""
-    nets = [ipaddress.ip_network(n) for n in [*RESERVED_V4, *RESERVED_V6]]
-
-    def one(text) -> bool:
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return True
-        mapped = getattr(ip, "ipv4_mapped", None)
-        return any(x.version == n.version and x in n for n in nets for x in ([ip, mapped] if mapped else [ip]))
-
-    @F.pandas_udf(BooleanType())
-    def blocked(ips: pd.Series) -> pd.Series:
-        known = {x: one(x) for x in ips.unique()}
-        return ips.map(known).fillna(True)
-
-    return blocked
+def ipv6_halves(ip) -> Column:
+    """``struct(hi, lo)``, the 128 bits of an IPv6 address as two longs; NULL unless it is one.  A run of
+    zero groups may be left out once, the last two groups may be an IPv4 address, a zone is ignored."""
+    bare = F.regexp_replace(_c(ip), r"%[^%]+$", "")
+    tail = F.nullif(F.regexp_extract(bare, r":([^:]*\.[^:]*)$", 1), F.lit(""))
+    groups = lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535)))
+
+    def parts(x: Column) -> Column:
+        text = F.when(x["tail"].isNull(), x["bare"]).otherwise(F.concat(F.regexp_replace(x["bare"], r"[^:]*$", ""), groups(ipv4_number(x["tail"]))))
+        return let(halves, text=text)
+
+    def halves(x: Column) -> Column:
+        cut = F.split(x["text"], "::", -1)
+        side = lambda i: F.filter(F.split(F.coalesce(F.get(cut, F.lit(i)), F.lit("")), ":", -1), lambda g: g != "")
+        return let(whole, text=x["text"], cuts=F.size(cut), left=side(0), right=side(1))
+
+    def whole(x: Column) -> Column:
+        n = F.size(x["left"]) + F.size(x["right"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0)))
+        every = F.transform(F.concat(x["left"], zeros, x["right"]), lambda g: F.conv(g, 16, 10).cast("long"))
+        said = x["text"].rlike(r"^(?i)([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$")
+        ok = said & F.when(x["cuts"] == 1, n == 8).otherwise((x["cuts"] == 2) & (n <= 7))
+        half = lambda e, lo: F.aggregate(F.slice(e, lo, 4), F.lit(0).cast("long"), lambda a, g: F.shiftleft(a, 16).bitwiseOR(g))
+        return F.when(ok, let(lambda y: F.struct(half(y["e"], 1).alias("hi"), half(y["e"], 5).alias("lo")), e=every))
+
+    return let(parts, bare=bare, tail=tail)
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
+def blocked_any(ip) -> Column:
+    """Reserved addresses of either family, IPv4 ones also in their IPv6 form; what can't be read is
+    blocked.  A range of 128-bit addresses is a prefix, that is, two masked longs."""
+    def six(x: Column) -> Column:
+        hit = F.lit(False)
+        for n in map(ipaddress.ip_network, RESERVED_V6):
+            base, mask = int(n.network_address), int(n.netmask)
+            for_half = lambda c, shift: x["v"][c].bitwiseAND(_signed(mask >> shift & (1 << 64) - 1)) == _signed(base >> shift & (1 << 64) - 1)  # noqa: E731, B023
+            hit = hit | (for_half("hi", 64) & for_half("lo", 0))
+        four = x["v"]["lo"].bitwiseAND(0xFFFFFFFF)
+        inside = F.lit(False)
+        for lo, hi in reserved_ranges():
+            inside = inside | four.between(lo, hi)
+        mapped = (x["v"]["hi"] == 0) & (F.shiftrightunsigned(x["v"]["lo"], 32) == 0xFFFF)
+        return F.when(x["v"].isNull(), True).otherwise(hit | (mapped & inside))
+
+    return F.when(F.contains(_c(ip), F.lit(":")), let(six, v=ipv6_halves(ip))).otherwise(blocked_v4(ip))
 
 
 def hash_similarity(a, b) -> Column:

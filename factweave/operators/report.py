@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.operators import compare as C
+from factweave.operators import windows as W
 from factweave.sources.store import cut
 
 # fixed values: the rows of a report in order
@@ -236,12 +237,23 @@ def natural_key(value) -> Column:
 def sorted_report(rows: DataFrame, by: str, idx: str, descending: bool = False, equals: dict[str, str] | None = None) -> DataFrame:
     """Filtered by exact statuses (``all`` filters nothing) and sorted by one column, index last;
     missing values come last ascending and first descending."""
+    rows, key = _filtered(rows, by, equals)
+    return rows.orderBy(key.desc_nulls_first() if descending else key.asc_nulls_last(), idx)
+
+
+def report_positions(rows: DataFrame, by: str, idx: str, descending: bool = False, equals: dict[str, str] | None = None) -> DataFrame:
+    """The rows of ``sorted_report`` with their ``position``, from 1, to be paged through as a table."""
+    rows, key = _filtered(rows, by, equals)
+    return W.with_positions(rows.withColumn("_key", key), [F.col("_key").desc_nulls_first() if descending else F.col("_key").asc_nulls_last(), idx]).drop("_key")
+
+
+def _filtered(rows: DataFrame, by: str, equals: dict[str, str] | None) -> tuple[DataFrame, Column]:
     for c, v in (equals or {}).items():
         if v != "all":
             rows = rows.where(F.col(c) == v)
     is_status = F.try_element_at(F.create_map(*[F.lit(x) for k, v in STATUS_RANK.items() for x in (k, str(v))]), F.col(by).cast("string"))
     key = F.coalesce(is_status, natural_key(F.col(by).cast("string")))
-    return rows.orderBy(key.desc_nulls_first() if descending else key.asc_nulls_last(), idx)
+    return rows, key
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.sources.store import cut
+
 from factweave.functions import text as T
 
 
@@ -87,3 +89,17 @@ def latest(rows: DataFrame, keys: list[str], value: list[str], order: list[str])
 
 def top_k(rows: DataFrame, keys: list[str], order: list, k: int = 5) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def with_positions(rows: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """``rows`` with each one's place, from 1, in the order of all: rows are dealt over tasks by ranges
+    of the order and sorted within; a task's rows come after as many as the tasks before it have, a
+    sum over one number per task.  No task holds more than its range."""
+    uid, part = "_place", "_task"
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(uid, F.monotonically_increasing_id()))
+    task = F.shiftright(uid, 33)  # the identifiers count a task's rows in their lower 33 bits
+    sizes = placed.groupBy(task.alias(part)).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # as many rows as tasks
+    starts = sizes.select(part, F.coalesce(before, F.lit(0)).alias("_before"))
+    found = placed.join(F.broadcast(starts), task == F.col(part))
+    return found.select(*rows.columns, (F.col("_before") + F.col(uid).bitwiseAND((1 << 33) - 1) + 1).alias(name))

@@ -6,6 +6,7 @@ the rule that built a value, not from the expression that reads it back.
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -332,6 +333,31 @@ def cidr_block(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", U.blocked_v4(ip).alias("blocked"))
 
 
+_NETS6 = ", ".join(f"({int(n.network_address)}::uhugeint, {int(n.broadcast_address)}::uhugeint)" for n in map(ipaddress.ip_network, U.RESERVED_V6))
+
+
+@query(f"""
+with c as (select c_custkey as k, c_custkey % 5 as f, [0, 65152, 64512, 8193, 65280, 9734, 8194][c_custkey % 7 + 1] as g, [3512, 0, 18176][c_custkey % 3 + 1] as h,
+                  ((c_custkey * 7919) % 256) * 16777216 + ((c_custkey * 31) % 256) * 65536 + ((c_custkey * 17) % 256) * 256 + c_custkey % 256 as v4 from customer),
+n as (select k, case when f in (0, 1) then g::uhugeint * 5192296858534827628530496329220096::uhugeint + h::uhugeint * 79228162514264337593543950336::uhugeint + (k % 65536)::uhugeint
+                     when f = 2 then 281470681743360::uhugeint + v4::uhugeint when f = 3 then v4::uhugeint end as ip, f, v4 from c)
+select k as c_custkey, case f when 4 then true when 3 then exists(select 1 from (values {_NETS}) t(lo, hi) where v4 between lo and hi)
+       when 2 then exists(select 1 from (values {_NETS}) t(lo, hi) where v4 between lo and hi) else exists(select 1 from (values {_NETS6}) t(lo, hi) where ip between lo and hi) end as blocked
+from n
+""")
+def cidr_block_any(spark, sf_dir):
+    """Addresses of both families: IPv6 written out and shortened, IPv4 as such and mapped, and no addresses."""
+    k = F.col("c_custkey")
+    of = lambda n, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % n + 1).cast("int"))
+    g, h, low = of(7, ["0", "fe80", "fc00", "2001", "ff00", "2606", "2002"]), of(3, ["db8", "0", "4700"]), F.lower(F.hex(k % 65536))
+    v4 = F.concat_ws(".", *[((k * m) % 256).cast("string") for m in (7919, 31, 17, 1)])
+    ip = (
+        F.when(k % 5 == 0, F.concat_ws(":", g, h, *[F.lit("0")] * 5, low)).when(k % 5 == 1, F.concat(F.upper(F.concat_ws(":", g, h)), F.lit("::"), low))
+        .when(k % 5 == 2, F.concat(F.lit("::ffff:"), v4)).when(k % 5 == 3, v4).otherwise(F.concat(low, F.lit("::"), low, F.lit("::")))
+    )
+    return read(spark, sf_dir, "customer").select("c_custkey", U.blocked_any(ip).alias("blocked"))
+
+
 @query("""
 with e as (select vec_id, label, list_reduce(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), lambda a, b: a || b) as bits from embeddings),
 p as (select a.vec_id, b.vec_id as other_id, a.bits as x, b.bits as y from e a join e b on b.vec_id = a.vec_id + 1)
@@ -412,11 +438,22 @@ def ranked_report(spark, sf_dir):
     """The report sorted by status rank, then index, with the place of each row."""
     rank = F.when(F.col("status") == "match", 0).when(F.col("status") == "normalization_issue", 2).otherwise(3)
     rows = compare_fields(spark, sf_dir).where("field_key = 'fees'").select("p_partkey", rank.alias("rank"))
-    # the place is the rows of worse ranks plus the place within the rank: no global sort
-    worse = rows.groupBy("rank").agg(F.count("*").alias("n"))
-    base = worse.alias("a").join(F.broadcast(worse.alias("b")), F.expr("b.rank > a.rank"), "left").groupBy("a.rank").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    own = Window.partitionBy("rank").orderBy("p_partkey")
-    return rows.withColumn("n", F.row_number().over(own)).join(F.broadcast(base), "rank").select("p_partkey", (F.col("base") + F.col("n")).alias("position"))
+    return W.with_positions(rows, [F.desc("rank"), "p_partkey"]).select("p_partkey", "position")
+
+
+@query("""
+with v as (select c_custkey, case when c_custkey % 9 > 0 then c_custkey * 37 % 1000 end as n, ['MATCH', 'PARTIAL', 'NEEDS_REVIEW', 'UNMATCH'][c_custkey % 4 + 1] as status from customer)
+select c_custkey, row_number() over (order by n nulls last, c_custkey) as ascending, row_number() over (order by n desc nulls first, c_custkey) as descending,
+       row_number() over (order by c_custkey % 4, c_custkey) as by_status from v
+""")
+def report_positions(spark, sf_dir):
+    """Places of a long table sorted by a column of texts with numbers, either way, and by status rank."""
+    k = F.col("c_custkey")
+    name = F.when(k % 9 > 0, F.concat(F.when(k % 2 == 0, "Row ").otherwise("row "), (k * 37 % 1000).cast("string")))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("MATCH", "PARTIAL", "NEEDS_REVIEW", "UNMATCH")]), (k % 4 + 1).cast("int"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), status.alias("status"))
+    place = lambda by, down, as_: P.report_positions(rows, by, "c_custkey", down).select("c_custkey", F.col("position").alias(as_))
+    return place("name", False, "ascending").join(place("name", True, "descending"), "c_custkey").join(place("status", False, "by_status"), "c_custkey")
 
 
 _SUB_FACTS = """

@@ -1,5 +1,7 @@
 """Column functions, one row per case in a single batch per function."""
 
+import ipaddress
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,7 +129,27 @@ def test_addresses(spark):
     want = [True, False, True, False, True, True, True, True, True, True, True, False, True, True]
     v4 = column(spark, ips, U.blocked_v4("v"))
     assert v4[:10] == want[:10]
-    assert column(spark, ips, U.blocked_any()("v")) == want
+    assert column(spark, ips, U.blocked_any("v")) == want
+
+
+def test_addresses_of_either_family(spark):
+    """Against the standard library, whole ranges' ends and texts that are no addresses included."""
+    nets = [ipaddress.ip_network(n) for n in [*U.RESERVED_V4, *U.RESERVED_V6]]
+    ends = [(n, x) for n in nets for x in (int(n.network_address), int(n.broadcast_address), int(n.network_address) - 1, int(n.broadcast_address) + 1)]
+    ips = [str(type(n.network_address)(x)) for n, x in ends if 0 <= x < 1 << n.max_prefixlen]
+    ips += [ipaddress.ip_address(x).exploded for x in ips if ":" in x] + [f"::ffff:{x}" for x in ips if ":" not in x]
+    ips += ["::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8", "FE80::A", "fe80::1%eth0", "64:ff9b::8.8.8.8", "::ffff:a00:1", "::ffff:808:808", "2001:DB8::5", "2606:4700::1111"]
+    ips += ["1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", ":::", ":1", "1:", "g::1", "12345::", "::1.2.3", "::1.2.3.256", "1:2:3:4:5:6:7:8::", "::1.2.3.4:5", "x", "", " ::1", "1.2.3.4:80"]
+
+    def blocked(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return True
+        both = [ip, getattr(ip, "ipv4_mapped", None)]
+        return any(x is not None and x.version == n.version and x in n for n in nets for x in both)
+
+    assert dict(zip(ips, column(spark, ips, U.blocked_any("v")), strict=True)) == {x: blocked(x) for x in ips}
 
 
 @settings(max_examples=25, deadline=None)
