@@ -57,23 +57,35 @@ def reconcile_discounts(facts: DataFrame, target: DataFrame, master: DataFrame,
     )
 
 
-def field_rows(tc: DataFrame, mc: DataFrame, tf: DataFrame, mf: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+def image_fees(fees: DataFrame, tf: DataFrame, mf: DataFrame, keys: list[str]) -> DataFrame:
+    """The fee row of pairs that have no fee to compare, where a side's fees are a picture."""
+    one = lambda f, s: C.image_fee_note(f, keys).select(*keys, F.col("note").alias(f"{s}_note"), F.col("value").alias(f"{s}_value"))
+    both = one(tf, "t").join(one(mf, "m"), keys, "full_outer").join(fees.select(*keys).distinct(), keys, "left_anti")
+    return both.select(
+        *keys, F.lit("Fee Structure").alias("field"), F.lit("needs_review").alias("status"), F.col("m_value").alias("master_value"), F.col("t_value").alias("target_value"),
+        F.concat_ws(" ", "t_note", "m_note").alias("notes"),
+    )
+
+
+def field_rows(tc: DataFrame, mc: DataFrame, tf: DataFrame, mf: DataFrame, pairs: DataFrame, keys: list[str], overrides: DataFrame | None = None) -> DataFrame:
     """All ten rows of every pair: (keys, field, position, status, values, notes).
 
     ``tc``/``mc`` are claims (keys, field_key, idx, raw_value), ``tf``/``mf`` facts (keys, field,
-    idx, value) of the target and its authoritative page; ``pairs`` has every key once.
+    idx, value, source_type) of the target and its authoritative page; ``pairs`` has every key once.
+    What was read off a picture without certainty (source type ``image_ocr``) is no fee.
+    ``overrides`` (keys, component, amount, currency, raw_value) replace fees of authoritative pages.
     """
     on_fee = lambda c, f: _claims(c, keys, "feeCandidate").unionByName(
-        _facts(f, keys, "FEES").select(*keys, (F.col("idx") + F.lit(AFTER)).alias("idx"), F.col("value").alias("raw_value")))
+        _facts(f.where("source_type is null or source_type <> 'image_ocr'"), keys, "FEES").select(*keys, (F.col("idx") + F.lit(AFTER)).alias("idx"), F.col("value").alias("raw_value")))
     t_pool, m_pool = on_fee(tc, tf), on_fee(mc, mf)
-    fees = _ordered(C.compare_fees(t_pool, m_pool, keys), keys).withColumn("idx", F.col("idx").cast("int"))
+    fees = _ordered(C.compare_fees(t_pool, m_pool, keys, overrides), keys).withColumn("idx", F.col("idx").cast("int"))
     fees = cut(fees.unionByName(C.emi_tenure(t_pool, m_pool, keys)))
     # all fields that are made of sub-facts form one relation, which is aggregated once
     parts = [
         _sub_facts(fees, keys, "Fee Structure"),
         _sub_facts(reconcile_discounts(fees.where(F.col("name").contains("After Discount")), t_pool, m_pool, keys), keys, "Discount"),
     ]
-    rows = []
+    rows = [image_fees(fees, tf, mf, keys)]
     text = lambda c, f: (
         _facts(f, keys, "ELIGIBILITY").select(*keys, "idx", "value", F.lit(0).alias("rank"))
         .unionByName(_claims(c, keys, "eligibility").select(*keys, "idx", F.col("raw_value").alias("value"), F.lit(1).alias("rank")))

@@ -575,11 +575,8 @@ j as (select coalesce(m.o_custkey, t.o_custkey) as o_custkey, lower(coalesce(m.p
 """
 
 
-@query(_BRANDS + """
-select o_custkey, item, case when mi is null then 'added' when ti is null then 'removed' else 'match' end as status,
-       row_number() over (partition by o_custkey order by mi is null, mi, ti) as position from j
-""")
-def list_diff(spark, sf_dir):
+def _brand_lists(spark, sf_dir):
+    """Brands that every customer bought before and after a day, as lists (o_custkey, idx, value)."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
@@ -587,7 +584,16 @@ def list_diff(spark, sf_dir):
         "o_custkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("idx"), F.concat(F.lit(" "), "p_brand", F.lit("  ")).alias("value"),
         (F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp")).alias("early"),
     )
-    diff = C.list_diff(rows.where("not early").drop("early"), rows.where("early").drop("early"), ["o_custkey"])
+    return rows.where("early").drop("early"), rows.where("not early").drop("early")
+
+
+@query(_BRANDS + """
+select o_custkey, item, case when mi is null then 'added' when ti is null then 'removed' else 'match' end as status,
+       row_number() over (partition by o_custkey order by mi is null, mi, ti) as position from j
+""")
+def list_diff(spark, sf_dir):
+    early, late = _brand_lists(spark, sf_dir)
+    diff = C.list_diff(late, early, ["o_custkey"])
     return diff.select("o_custkey", "item", "status", "position")
 
 
@@ -951,6 +957,114 @@ def spell_check(spark, sf_dir):
     return U2.spell_check(d, "doc_id", "text", known).select("doc_id", "word", "n")
 
 
+@query(r"""
+with w as (select doc_id, source, unnest(regexp_extract_all(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[A-Za-z]+(?:''[A-Za-z]+)?')) as s from documents where lang = 'en'),
+x as (select doc_id, source, lower(s) as word from w where length(s) >= 3 and not regexp_matches(s, '^[A-Z]{2,}$')),
+k as (select word from x group by word having count(distinct doc_id) >= 3),
+u as (select doc_id, word, count(*) as n from x where word not in (select word from k) and not list_contains(string_split_regex(lower(source), '[^a-z'']+'), word) group by doc_id, word),
+r as (select *, row_number() over (partition by doc_id order by n desc, word) as rank from u)
+select doc_id, string_agg(word, ', ' order by rank) filter (rank <= 15) as words, greatest(count(*) - 15, 0) as more from r group by doc_id
+""")
+def misspelling_tips(spark, sf_dir):
+    """The most frequent unknown words of every English document without those of its source's name,
+    and how many more there are; words that fewer than three documents have are unknown."""
+    d = read(spark, sf_dir, "documents").where("lang = 'en'")
+    words = U2.spell_check(d, "doc_id", "text", spark.createDataFrame([], "word string"))
+    known = words.groupBy("word").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3").select("word")
+    own = d.select("doc_id", F.explode(U2.proper_nouns("source")).alias("word")).distinct()
+    unknown = U2.spell_check(d, "doc_id", "text", known).join(own, ["doc_id", "word"], "left_anti")
+    return P.misspelling_tip(unknown, "doc_id").select("doc_id", F.array_join("words", ", ").alias("words"), F.col("more").cast("long").alias("more"))
+
+
+@query("""
+select doc_id, md5(regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi')) as marked, len(regexp_extract_all(text, '(?i)the')) as n_marks from documents where text is not null
+""")
+def highlighted_texts(spark, sf_dir):
+    """Every text with each occurrence of a word between marks, and how many there are."""
+    d = read(spark, sf_dir, "documents").where("text is not null").withColumn("marked", P.highlighted("text", "the"))
+    return d.select("doc_id", F.md5("marked").alias("marked"), F.regexp_count("marked", F.lit("<mark>")).cast("long").alias("n_marks"))
+
+
+@query("""
+select o_orderkey, case o_orderkey % 5 when 0 then '₹' when 1 then '$' when 2 then '€' when 3 then '£' else 'CHF ' end || cast(floor(o_totalprice) as bigint) as price from orders
+""")
+def price_texts(spark, sf_dir):
+    """Amounts with the sign of their currency, or its code where it has none."""
+    code = F.element_at(F.array(*[F.lit(x) for x in ("INR", "USD", "EUR", "GBP", "CHF")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.concat(V.currency_sign(code), F.floor("o_totalprice").cast("string")).alias("price"))
+
+
+_FAILURES = [None, "resolved_ip_blocked", None, "http_error", "non_html", None, "unreachable", "too_many_redirects", "invalid_url", "empty_body", None, "dns_resolution_failed", "body_too_large"]
+
+
+@query(f"""
+with e as (select ['homepage', 'navigation', 'sitemap', 'harvest'][event_id % 4 + 1] as m, [{', '.join('null' if f is None else f"'{f}'" for f in _FAILURES)}][event_id % 13 + 1] as f from events)
+select count(*) as requested, count(*) filter (f is null) as fetched, count(*) filter (m = 'homepage') as from_homepage, count(*) filter (m = 'navigation') as from_navigation,
+       count(*) filter (m = 'sitemap') as from_sitemap, count(*) filter (m = 'harvest') as from_harvest, count(*) filter (f = 'resolved_ip_blocked') as blocked,
+       count(*) filter (f = 'http_error') as http_errors, count(*) filter (f in ('non_html', 'empty_body')) as unusable, count(*) filter (f in ('unreachable', 'dns_resolution_failed')) as unreachable,
+       count(*) filter (f = 'too_many_redirects') as too_many_redirects, count(*) filter (f in ('invalid_url', 'body_too_large')) as refused from e
+""")
+def crawl_statistics(spark, sf_dir):
+    """What a crawl met, out of its log: requests by how pages were found and why they failed."""
+    i = F.col("event_id")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x).cast("string") for x in xs]), (i % len(xs) + 1).cast("int"))
+    return S.crawl_stats(read(spark, sf_dir, "events").select(i.cast("string").alias("url"), pick(S.METHODS).alias("method"), pick(_FAILURES).alias("failure")))
+
+
+@query(_BRANDS + """
+, l as (select o_custkey, 0 as rank, idx, p_brand as value from m union all select o_custkey, 1, idx, upper(p_brand) from t),
+f as (select o_custkey, lower(value) as item, min({'r': rank, 'i': idx, 'v': value}) as x from l group by all)
+select o_custkey, row_number() over (partition by o_custkey order by x.r, x.i, item) - 1 as position, ' ' || x.v || '  ' as value from f
+""")
+def merged_lists(spark, sf_dir):
+    """Every customer's brands: first the earlier orders', then those that later ones add, each once."""
+    early, late = _brand_lists(spark, sf_dir)
+    found = U2.merged_specializations(early, late.withColumn("value", F.upper("value")), "o_custkey")
+    return found.select("o_custkey", F.col("idx").cast("long").alias("position"), "value")
+
+
+@query("""
+with s as (select s_suppkey as k, s_suppkey % 4 as o, s_suppkey % 3 as f, s_name from supplier), st as (select * from (values ('MATCH'), ('PARTIAL'), ('UNMATCH')) v(x))
+select k as target_idx, case o when 0 then 'Not found' when 1 then 'Target unreachable' when 2 then 'odd reason' end as unavailable,
+       case when o = 3 then 'Fee Structure=' || ['MATCH', 'PARTIAL', 'UNMATCH'][f + 1] || ':' || s_name || '; Credits=MATCH:' end as rows from s
+""")
+def report_page_rows(spark, sf_dir):
+    """A page of all targets: the rows of each in order, or in words why it has none."""
+    k = F.col("s_suppkey")
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("authoritative_page_not_found", "target_unreachable", "odd_reason", "success")]), (k % 4 + 1).cast("int"))
+    t = read(spark, sf_dir, "supplier").select(k.alias("target_idx"), outcome.alias("outcome"), "s_name")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("MATCH", "PARTIAL", "UNMATCH")]), (F.col("target_idx") % 3 + 1).cast("int"))
+    row = lambda n, f, s, notes: F.struct(F.lit(n).alias("position"), F.lit(f).alias("field"), s.alias("status"), notes.alias("notes"))
+    rows = t.where("outcome = 'success'").select("target_idx", F.explode(F.array(row(7, "Credits", F.lit("MATCH"), F.lit("")), row(1, "Fee Structure", status, F.col("s_name")))).alias("x")).select("target_idx", "x.*")
+    said = F.array_join(F.transform("rows", lambda x: F.concat(x["field"], F.lit("="), x["status"], F.lit(":"), x["notes"])), "; ")
+    return P.report_pages(t, rows).select("target_idx", "unavailable", said.alias("rows"))
+
+
+@query("""
+with s as (select s_suppkey as k, s_name, s_suppkey % 5 as m, s_suppkey % 3 as n, s_suppkey % 20 as w from supplier)
+select k as target_idx, 'https://partner.org/p' || k as "Target URL", case when m > 0 then 'Program ' || k else '—' end as "Program", s_name as "Institution", case when m > 1 then 'https://master.org/p' || k else '—' end as "Master URL",
+       case when m > 1 then 'success' else 'authoritative_page_not_found' end as "Outcome", case when m > 1 then ['MATCH', 'UNMATCH', 'NEEDS_REVIEW'][n + 1] else '—' end as "Full Fee", '—' as "Semester Fee", '—' as "Annual/Yearly Fee",
+       case when m > 2 then 'MATCH' else '—' end as "Monthly EMI", case when m > 1 then ['MATCH', 'UNMATCH', 'NEEDS_REVIEW'][n + 1] else '—' end as "Fee Structure", '—' as "Discount", '—' as "Eligibility", '—' as "Specializations",
+       case when m > 1 then 'PARTIAL' else '—' end as "Course Duration", '—' as "Course Curriculum", '—' as "Credits", '—' as "Others", '—' as "Accreditation", case when m > 3 then 'MATCH' else '—' end as "Rankings & Accreditations",
+       w as "Misspellings", case when w = 0 then '—' else array_to_string(list_transform(range(1, least(w, 15) + 1), lambda i: 'w' || printf('%02d', i)), ', ') end as "Misspelt Words", '2024-01-01' as "Checked At" from s
+""")
+def report_overview(spark, sf_dir):
+    """The overview of a run, every column of it: a row per target, a dash for what is missing."""
+    k = F.col("target_idx")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target_idx"), "s_name")
+    m, url = k % 5, lambda start: F.concat(F.lit(start), k.cast("string"))
+    t = s.select(
+        "target_idx", url("https://partner.org/p").alias("url"), F.when(m > 0, url("Program ")).alias("program"), F.col("s_name").alias("institution"),
+        F.when(m > 1, url("https://master.org/p")).alias("master_url"), F.when(m > 1, "success").otherwise("authoritative_page_not_found").alias("outcome"),
+    )
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % 3 + 1).cast("int"))
+    long = lambda key, *rows: s.select("target_idx", F.explode(F.array_compact(F.array(*[F.when(m > at, F.struct(F.lit(n).alias(key), v.alias("status"))) for n, at, v in rows]))).alias("x")).select("target_idx", "x.*")
+    fees = long("name", ("Full Fee", 1, pick(("match", "changed", "needs_review"))), ("Monthly EMI", 2, F.lit("match")), ("Application Fee", 0, F.lit("changed")))
+    rows = long("field", ("Fee Structure", 1, pick(("MATCH", "UNMATCH", "NEEDS_REVIEW"))), ("Course Duration", 1, F.lit("PARTIAL")), ("Rankings & Accreditations", 3, F.lit("MATCH")))
+    words = s.where(k % 20 > 0).select("target_idx", F.explode(F.sequence(F.lit(1), (k % 20).cast("int"))).alias("i")).select("target_idx", F.concat(F.lit("w"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("word"), (100 - F.col("i")).alias("n"))
+    return P.overview(rows, t, fees, words, F.lit("2024-01-01"))
+
+
 @query()
 def page_understanding(spark, sf_dir):
     """Degree, page type, institution and claims of every page through the whole parse."""
@@ -1042,6 +1156,40 @@ def master_index(spark, sf_dir):
     return every.select(F.col("idx").alias("s_suppkey"), "method", "fetched")
 
 
+@query("""
+with p as (select page_id as p, page_id % 5 as s, (page_id // 5) % 4 as k, page_id % 7 = 0 as private from pages),
+c as (select *, case k when 0 then 1 when 2 then 2 else 3 end as r, [3, 6, 1000000, 12, 40][s + 1] as budget from p where not (private and s % 2 = 0)),
+f as (select *, row_number() over (partition by s order by r, p) + 1 as n from c where k < 3),
+g as (select *, n <= budget as fetched from f),
+u as (select s, count(*) filter (fetched) + 1 as used from g group by s),
+l as (select c.*, row_number() over (partition by c.s order by c.p) as n, used from c join g on g.p = c.p - 5 and g.fetched join u on u.s = c.s where c.k = 3),
+x as (select s, p, r, 1 as level, fetched from g union all select s, p, 3, 2, n <= budget - used from l)
+select 's' || s || '.org' as site, p as page_id, ['navigation', 'sitemap', 'harvest'][r] as method, level, fetched from x
+union all select 's' || s || '.org', -1, 'homepage', 1, true from (select distinct s from p)
+""")
+def crawl_index(spark, sf_dir):
+    """The pages of five sites in one crawl: navigation, sitemaps below an index, links of the home page
+    and of the pages fetched, each site with its own rules and budget."""
+    p = F.col("page_id")
+    pages = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("s"), (p % 5).cast("string"), F.lit(".org")).alias("site"), (F.floor(p / 5) % 4).cast("int").alias("k"))
+    start = lambda c: F.concat(F.lit("https://www."), F.col(c), F.lit("/"))
+    url = lambda n: F.concat(start("site"), F.when(n % 7 == 0, "private/").otherwise(""), F.lit("p"), n.cast("string"))
+    pages = pages.withColumn("url", url(p)).withColumn("block", F.floor(p / 500))
+    sites = pages.select("site").distinct().withColumn("homepage", start("site")).withColumn("budget", F.element_at(F.array(*[F.lit(x) for x in (3, 6, 1000000, 12, 40)]), F.substring("site", 2, 1).cast("int") + 1))
+    robots = sites.select("site", F.when(F.substring("site", 2, 1).cast("int") % 2 == 0, "User-agent: *\nDisallow: /private/").otherwise("User-agent: *\nDisallow: /elsewhere/").alias("body"))
+    loc = lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))
+    files = pages.where("k = 2").groupBy("site", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: loc(x["url"])), "").alias("body"))  # at most 500 ids a block
+    file = F.concat(start("site"), F.lit("map"), F.col("block").cast("string"), F.lit(".xml"))
+    files = files.select("site", "block", file.alias("url"), F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("body"))
+    tops = files.select("site", F.col("block").alias("idx"), F.replace("url", F.lit("/map"), F.lit("/index")).alias("url"), F.concat(F.lit("<sitemapindex>"), loc(F.col("url")), F.lit("</sitemapindex>")).alias("body"))
+    home = pages.where("k < 2").select(start("site").alias("from_url"), F.col("url").alias("to_url"), p.alias("idx"), (F.col("k") == 0).alias("navigation"))
+    deep = pages.where("k = 3 and page_id >= 5").select(url(p - 5).alias("from_url"), F.col("url").alias("to_url"), p.alias("idx"), F.lit(False).alias("navigation"))
+    away = sites.select(F.col("homepage").alias("from_url"), F.lit("https://elsewhere.net/").alias("to_url"), F.lit(0).cast("long").alias("idx"), F.lit(True).alias("navigation"))
+    found = S.crawl_sites(sites, robots, tops.select("site", "url", "idx"), files.select("url", "body").unionByName(tops.select("url", "body")), home.unionByName(deep).unionByName(away))
+    id_ = F.coalesce(F.nullif(F.regexp_extract("url", r"p(\d+)$", 1), F.lit("")).cast("long"), F.lit(-1).cast("long"))
+    return found.select("site", id_.alias("page_id"), "method", "level", "fetched")
+
+
 @query("""
 with c as (select c_custkey as k, c_nationkey as n, c_custkey % 4 as s from customer)
 select n as c_nationkey, count(*) filter (s = 1) as n_changed from c group by n
@@ -1083,7 +1231,10 @@ def run_claims(spark, sf_dir):
 @query("with " + site.RULES + """
 , q as (select 2 * p as page_id, true as m, r.* from r where not unlisted union all select 2 * p + 1, false, r.* from r where not gone union all select -p - 1, true, r.* from r where doubled and not unlisted)
 select page_id, 'SPECIALIZATION' as field, v as value from q, (values ('Corporate Finance'), ('Risk Analytics'), ('Market Law')) t(v) where m or s = 0 or v <> 'Market Law'
-union all select page_id, 'FEES', case when m then 'Total program fee ₹1,20,000' when f = 0 then 'Total program fee ₹1,30,000' else 'Total program fee ₹1.2 lakh' end from q where m or f <> 1
+union all select page_id, 'FEES', case when m then 'Total program fee ₹1,20,000' when f = 0 then 'Total program fee ₹1,30,000' else 'Total program fee ₹1.2 lakh' end from q where g <> 13 and (m or f <> 1)
+union all select page_id, 'FEES', '' from q where g = 13 and not m
+union all select page_id, 'FEES', case when x = 4 then case when m then 'Total program fee after 20% discount ₹1,00,000' else 'Flat 20% discount for early birds' end
+  when x = 3 and not m then 'Total program fee after discount ₹90,000' else 'Total program fee after discount ₹1,00,000' end from q where g <> 13 and x > 0 and (m or f <> 1 and x > 1)
 union all select page_id, 'ELIGIBILITY', case when not m and e = 0 then 'Graduation with 60% marks' else 'Graduation with 50% marks' end from q
 """)
 def run_facts(spark, sf_dir):
@@ -1112,7 +1263,13 @@ _OUTCOMES = "with " + site.RULES + """
 def _resolved(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     parsed = cut(run.parsed(site.crawl(pages)))
-    return parsed, run.resolve(run.identities(parsed), site.targets(pages), site.DOMAIN, site.HOME)
+    ids = cut(run.identities(parsed))
+    return parsed, run.resolve(ids, site.targets(pages), site.DOMAIN, site.HOME), ids
+
+
+def _reported(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return run.report(*_resolved(spark, sf_dir), site.known_fees(pages), site.readings(pages))
 
 
 @query(_OUTCOMES + """
@@ -1124,17 +1281,18 @@ def run_outcomes(spark, sf_dir):
 
 
 _REPORT = _OUTCOMES + """
-, w as (select p as target_idx, unnest([
-    {'field': 'Fee Structure', 'status': case when f <= 1 then 'UNMATCH' else 'MATCH' end},
-    {'field': 'Discount', 'status': 'MATCH'},
+, z as (select *, g = 13 as shown, f <> 1 and (f = 0) = (g = 15) as full_same, f <> 1 and (f = 0) <> (g = 15) as full_off, x > 0 as cut, f <> 1 and x in (2, 5, 6, 7) as cut_same, f <> 1 and x = 3 as cut_off from o where outcome = 'success'),
+w as (select p as target_idx, unnest([
+    {'field': 'Fee Structure', 'status': case when shown then 'NEEDS_REVIEW' when full_off or cut_off then 'UNMATCH' when f = 1 then 'UNMATCH' when cut and not cut_same then 'PARTIAL' else 'MATCH' end},
+    {'field': 'Discount', 'status': case when shown or not cut or cut_same or f <> 1 and x = 4 then 'MATCH' when x = 4 then 'NEEDS_REVIEW' else 'UNMATCH' end},
     {'field': 'Eligibility', 'status': case when e = 0 then 'UNMATCH' else 'MATCH' end},
     {'field': 'Specializations', 'status': case when s = 0 then 'MATCH' else 'PARTIAL' end},
     {'field': 'Course Duration', 'status': case when d >= 2 then 'UNMATCH' else 'MATCH' end},
-    {'field': 'Course Curriculum', 'status': 'NEEDS_REVIEW'},
+    {'field': 'Course Curriculum', 'status': ['UNMATCH', 'PARTIAL', 'MATCH', 'MATCH', 'NEEDS_REVIEW', 'NEEDS_REVIEW'][u + 1]},
     {'field': 'Credits', 'status': case when c <= 1 then 'UNMATCH' else 'MATCH' end},
     {'field': 'Others', 'status': case when a = 0 then 'UNMATCH' else 'MATCH' end},
-    {'field': 'Accreditation', 'status': 'NEEDS_REVIEW'},
-    {'field': 'Rankings & Accreditations', 'status': 'NEEDS_REVIEW'}]) as x from o where outcome = 'success'),
+    {'field': 'Accreditation', 'status': case n when 1 then 'PARTIAL' when 4 then 'NEEDS_REVIEW' else case when n < 4 then 'UNMATCH' else 'MATCH' end end},
+    {'field': 'Rankings & Accreditations', 'status': case k when 1 then 'PARTIAL' when 4 then 'NEEDS_REVIEW' else case when k < 4 then 'UNMATCH' else 'MATCH' end end}]) as x from z),
 report as (select target_idx, x.field as field, x.status as status from w)
 """
 
@@ -1142,7 +1300,7 @@ report as (select target_idx, x.field as field, x.status as status from w)
 @query(_REPORT + "select * from report")
 def run_report(spark, sf_dir):
     """The ten rows of every target that has an authoritative page: a run from html to report."""
-    return run.report(*_resolved(spark, sf_dir)).select("target_idx", "field", "status")
+    return _reported(spark, sf_dir).select("target_idx", "field", "status")
 
 
 @query(_REPORT + """
@@ -1153,7 +1311,7 @@ from report group by target_idx
 """)
 def run_overview(spark, sf_dir):
     """One row a target: the pivoted statuses and the summary of its ten rows."""
-    rows = cut(run.report(*_resolved(spark, sf_dir)))
+    rows = cut(_reported(spark, sf_dir))
     summary = C.report_summary(rows, ["target_idx"]).select("target_idx", "n_match", "n_unmatch", "overall_status")
     wide = P.wide(rows, ["target_idx"]).select("target_idx", F.col("Fee Structure").alias("fees"), F.col("Specializations").alias("specializations"), F.col("Course Duration").alias("duration"))
     return wide.join(summary, "target_idx")

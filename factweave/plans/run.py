@@ -40,7 +40,7 @@ def identities(pages: DataFrame) -> DataFrame:
     )
 
 
-def claims(pages: DataFrame) -> DataFrame:
+def claims(pages: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(page_id, field_key, idx, raw_value) of every page: all label dictionaries, credits, and what
     the page is taken to be.  Pairs of a label and the values after it count as texts of their own."""
     blocks = pages.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.idx", "b.heading_context", "b.text", "b.struck")
@@ -50,7 +50,7 @@ def claims(pages: DataFrame) -> DataFrame:
     single = N.labelled_claims(blocks, heads, "page_id", {**N.CLAIM_LABELS, **N.OTHER_LABELS})
     many = N.labelled_claims(blocks, heads, "page_id", N.ITEM_LABELS, multiple=True)
     credit = N.credits_claim(blocks, "page_id").withColumn("claim_idx", F.lit(0).cast("long"))
-    guessed = N.guess_claims(identities(pages), "page_id").withColumnRenamed("idx", "claim_idx")
+    guessed = N.guess_claims(identities(pages) if ids is None else ids, "page_id").withColumnRenamed("idx", "claim_idx")
     cols = ["page_id", "field_key", F.col("claim_idx").cast("long").alias("idx"), "raw_value"]
     return reduce(DataFrame.unionByName, [x.select(*cols) for x in (single, many, credit, guessed)])
 
@@ -239,17 +239,25 @@ def two_pass(
     )
 
 
-def report(pages: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The report rows of every target that has an authoritative page."""
-    pairs = resolved.where("outcome = 'success'").select("target_idx", "target_page", "master_page")
-    every_claim, every_fact = claims(pages), facts(pages)
-
-    def of(df: DataFrame, page: str) -> DataFrame:
-        return pairs.select("target_idx", F.col(page).alias("page_id")).join(df, "page_id").drop("page_id")
-
-    # every field reads these: they are cut off once, on shared storage
-    sides = [of(df, page) for df in (cut(every_claim), cut(every_fact)) for page in ("target_page", "master_page")]
-    return P.field_rows(*[cut(s) for s in sides], cut(pairs.select("target_idx")), ["target_idx"])
+def report(pages: DataFrame, resolved: DataFrame, ids: DataFrame | None = None, overrides: DataFrame | None = None, ocr: DataFrame | None = None) -> DataFrame:
+    """The report rows of every target that has an authoritative page.
+
+    ``overrides`` (page_id, component, amount, currency, raw_value) are fees of authoritative pages
+    known for sure, ``ocr`` readings of pictures.  What pages say is one relation, which is dealt by
+    target once; every field groups and joins it where it lies."""
+    pairs = resolved.where("outcome = 'success'").select("target_idx", F.explode(F.array(
+        F.struct(F.lit("t").alias("side"), F.col("target_page").alias("page_id")), F.struct(F.lit("m").alias("side"), F.col("master_page").alias("page_id")),
+    )).alias("p")).select("target_idx", "p.*")
+    none = F.lit(None).cast("string")
+    said = claims(pages, ids).select("page_id", F.lit("claim").alias("kind"), F.col("field_key").alias("field"), "idx", F.col("raw_value").alias("value"), none.alias("source_type"))
+    found = facts(pages, ocr).select("page_id", F.lit("fact").alias("kind"), "field", "idx", "value", F.when((F.col("source_type") == "image_ocr") & (F.col("confidence") == "HIGH"), "image_read").otherwise(F.col("source_type")).alias("source_type"))
+    dealt = lambda df: cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target_idx"))
+    told = dealt(pairs.join(said.unionByName(found), "page_id").drop("page_id"))
+    side = lambda s, kind: told.where((F.col("side") == s) & (F.col("kind") == kind))
+    claimed = lambda s: side(s, "claim").select("target_idx", F.col("field").alias("field_key"), "idx", F.col("value").alias("raw_value"))
+    stated = lambda s: side(s, "fact").select("target_idx", "field", "idx", "value", "source_type")
+    known = None if overrides is None else pairs.where("side = 'm'").join(small(overrides), "page_id").drop("page_id", "side")
+    return P.field_rows(claimed("t"), claimed("m"), stated("t"), stated("m"), dealt(pairs.where("side = 't'").select("target_idx")), ["target_idx"], known)
 
 
 def write_report(rows: DataFrame, path: str) -> None:

@@ -14,7 +14,8 @@ DEGREES = ["MBA", "MCA", "BBA"]
 #: What the oracles need to know of an id ``p``, as SQL: the same rules as below, in words.
 RULES = """
 r as (select page_id as p, page_id % 11 = 10 as gone, page_id % 13 = 12 as unlisted, page_id % 17 = 16 as doubled,
-             page_id % 4 as d, page_id % 5 as c, page_id % 3 as e, page_id % 7 as f, page_id % 2 as s, page_id % 9 as a from pages)
+             page_id % 4 as d, page_id % 5 as c, page_id % 3 as e, page_id % 7 as f, page_id % 2 as s, page_id % 9 as a,
+             page_id % 8 as x, page_id % 6 as u, page_id % 10 as n, page_id % 12 as k, page_id % 16 as g from pages)
 """
 
 
@@ -40,19 +41,36 @@ def crawl(pages: DataFrame) -> DataFrame:
     p = F.col("page_id")
     subject = F.concat(F.element_at(F.array(*[F.lit(x) for x in DEGREES]), (p % 3 + 1).cast("int")), F.lit(" in Subject"), p.cast("string"))
     plan = "<h2>Specializations</h2><ul><li>Corporate Finance</li><li>Risk Analytics</li>"
+    # a fee that is a picture, or one with a discount of its own; what follows the Fees heading
+    m_fees = [F.when(p % 16 == 13, F.lit("")).otherwise(F.lit("<p>Total program fee ₹1,20,000</p>")), F.when((p % 16 != 13) & (p % 8 != 0), _by(p, 8, [None, *["<p>Total program fee after discount ₹1,00,000</p>"] * 3, "<p>Total program fee after 20% discount ₹1,00,000</p>", "<p>Total program fee after discount ₹1,00,000</p>"]))]
+    t_cut = F.when((p % 7 != 1) & (p % 16 != 13), _by(p, 8, [None, None, "<p>Total program fee after discount ₹1,00,000</p>", "<p>Total program fee after discount ₹90,000</p>", "<p>Flat 20% discount for early birds</p>", "<p>Total program fee after discount ₹1,00,000</p>"]))
+    lines = lambda head, *xs: f"<h2>{head}</h2><ul>{''.join(f'<li>{x}</li>' for x in xs)}</ul>"
+    taught = ("Semester 1", "Financial Accounting", "Business Law", "Marketing Basics")
+    menu = ("Corporate Finance", "Risk Analytics")  # two specializations in a row open a menu, which is left out
+    m_lists = [
+        _by(p, 6, [*[lines("Curriculum and Syllabus", *taught, *menu, "Quantum Studies", "Core Subjects")] * 4, None]),
+        _by(p, 10, [*[lines("Accreditations", "NAAC A+", "UGC entitled")] * 3, None, None, lines("Accreditations", "NAAC A+", "UGC entitled")]),
+        _by(p, 12, [*[lines("Rankings", "NIRF Rank 25", "QS World Ranking 500")] * 3, None, None, lines("Rankings", "NIRF Rank 25", "QS World Ranking 500")]),
+    ]
+    t_lists = [
+        _by(p, 6, [None, lines("Curriculum and Syllabus", "Semester 1", "Financial Accounting", "Business Law"), lines("Curriculum and Syllabus", *taught, *menu, "Harmless Menus"), lines("Curriculum and Syllabus", "Law of Business", "Accounts and Financing", "Basics of Marketing"), lines("Curriculum and Syllabus", *taught), None]),
+        _by(p, 10, [None, lines("Accreditations", "UGC entitled"), lines("Accreditations", "AICTE approved"), lines("Accreditations", "NAAC A+"), None, lines("Accreditations", "UGC entitled", "NAAC A+")]),
+        _by(p, 12, [None, lines("Rankings", "NIRF Rank 25"), lines("Rankings", "Top 10 Universities"), lines("Rankings", "NIRF Rank 25"), None, lines("Rankings", "QS World Ranking 500", "NIRF Rank 25")]),
+    ]
     target = _page(
         F.concat(F.lit("Online "), subject), F.concat(F.lit("Online "), subject),
         _by(p, 4, ["<p>Duration: 24 months</p>", "<p>Duration: 2 years</p>", "<p>Duration: 3 years</p>", None]),
         _by(p, 5, ["<p>Earn 80 credits</p>", None, "<p>Earn 90 credits</p>"]),
         "<h2>Eligibility</h2>", _by(p, 3, ["<p>Graduation with 60% marks</p>", "<p>Graduation with 50% marks</p>"]),
-        _by(p, 7, ["<h2>Fees</h2><p>Total program fee ₹1,30,000</p>", None, "<h2>Fees</h2><p>Total program fee ₹1.2 lakh</p>"]),
-        plan, _by(p, 2, ["<li>Market Law</li>", None]), "</ul>",
+        F.when(p % 16 == 13, F.concat(F.lit("<h2>Fees</h2><img src='/img/fees"), p.cast("string"), F.lit(".png' alt=''>")))
+        .otherwise(_by(p, 7, ["<h2>Fees</h2><p>Total program fee ₹1,30,000</p>", None, "<h2>Fees</h2><p>Total program fee ₹1.2 lakh</p>"])), t_cut,
+        *t_lists, plan, _by(p, 2, ["<li>Market Law</li>", None]), "</ul>",
         _by(p, 9, ["<p>Placement Support: no placement support</p>", "<p>Placement Support: career services for all</p>"]),
     )
     master = _page(
         F.concat(subject, F.lit(" | Northfield University")), F.concat(F.lit("Online "), subject),
         "<p>Duration: 2 years</p><p>Earn 90 credits</p><h2>Eligibility</h2><p>Graduation with 50% marks</p>",
-        "<h2>Fees</h2><p>Total program fee ₹1,20,000</p>", plan, "<li>Market Law</li></ul>", "<p>Placement Support: career services for all</p>",
+        "<h2>Fees</h2>", *m_fees, *m_lists, plan, "<li>Market Law</li></ul>", "<p>Placement Support: career services for all</p>",
     )
     one = lambda i, url, html: F.struct(i.cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
     at = lambda start, tail: F.concat(F.lit(start), F.lit("p"), p.cast("string"), F.lit(tail))
@@ -64,6 +82,20 @@ def crawl(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def known_fees(pages: DataFrame) -> DataFrame:
+    """(page_id, component, amount, currency, raw_value) of some authoritative pages, for sure."""
+    return pages.where("page_id % 16 = 15").select(
+        (F.col("page_id") * 2).alias("page_id"), F.lit("Full Fee").alias("component"), F.lit(130000.0).alias("amount"), F.lit("INR").alias("currency"), F.lit("₹1,30,000").alias("raw_value")
+    )
+
+
+def readings(pages: DataFrame) -> DataFrame:
+    """(url, text, confidence): what pictures of fees say, where anything was read at all."""
+    return pages.where("page_id % 16 = 13 and page_id % 32 = 13").select(
+        F.concat(F.lit("https://partner.org/img/fees"), F.col("page_id").cast("string"), F.lit(".png")).alias("url"), F.lit("Fee on request").alias("text"), F.lit("LOW").alias("confidence")
+    )
+
+
 def targets(pages: DataFrame) -> DataFrame:
     """(target_idx, url) of every id."""
     return pages.select(F.col("page_id").alias("target_idx"), F.concat(F.lit(TARGETS + "p"), F.col("page_id").cast("string")).alias("url"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.functions import urls as U
+from factweave.sources.store import cut, small
 
 
 def fetch_outcome(status, content_type, body, url=None, hops=None) -> Column:
@@ -45,16 +46,20 @@ def parse_robots(files: DataFrame, key: str, text: str, agent: str = "*") -> Dat
     return lines.where(~is_agent & F.when(F.col("_has"), F.col("_named")).otherwise(F.col("_any"))).select(F.col("_key").alias(key), "kind", "path")
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, keys: list[str], path: str) -> DataFrame:
+def robots_allowed(urls: DataFrame, rules: DataFrame, keys: list[str], path: str, site: str | None = None) -> DataFrame:
     """The longest matching prefix decides; allow wins only if strictly longer; none: allowed.
 
     A path asks for its own prefixes by an equi-join, so rules are never compared one by one;
-    only lengths that rules have are asked for.
+    only lengths that rules have are asked for.  With ``site``, a column of both sides, a site's rules
+    judge its own urls alone.
     """
-    lengths = rules.select(F.length("path").alias("len")).distinct()
-    asked = urls.join(F.broadcast(lengths), F.length(path) >= F.col("len")).withColumn("prefix", F.substring(F.col(path), F.lit(1), F.col("len")))
-    hit = asked.join(rules.select("kind", F.col("path").alias("prefix")).distinct(), "prefix")
-    best = hit.groupBy(*keys).agg(
+    at = [] if site is None else [site]
+    rules = rules.select(*at, "kind", F.col("path").alias("prefix"), F.length("path").alias("len")).distinct()
+    lengths = rules.select(*at, "len").distinct()
+    longer = F.length(path) >= F.col("len")
+    asked = urls.join(small(lengths), longer) if site is None else urls.join(small(lengths), site).where(longer)
+    asked = asked.withColumn("prefix", F.substring(F.col(path), F.lit(1), F.col("len"))).drop("len")
+    best = asked.join(small(rules), [*at, "prefix"]).groupBy(*keys).agg(
         F.max(F.when(F.col("kind") == "allow", F.col("len"))).alias("allow"), F.max(F.when(F.col("kind") == "disallow", F.col("len"))).alias("disallow")
     )
     ok = F.col("disallow").isNull() | (F.coalesce("allow", F.lit(-1)) > F.col("disallow"))
@@ -128,6 +133,69 @@ def page_index(candidates: DataFrame, domain: str, most: int = 40) -> tuple[Data
     return index.orderBy("key"), every.join(index.select("key"), "key", "left_anti")
 
 
+def crawl_sites(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, files: DataFrame, links: DataFrame, depth: int = 2, map_depth: int = 2) -> DataFrame:
+    """The page index of many sites in one crawl: (site, key, url, method, level, fetched).
+
+    ``sites(site, homepage, budget)`` are domains; ``robots(site, body)`` their rules; ``sitemaps(site,
+    url, idx)`` the sitemaps to start from, whose bodies are in ``files(url, body)``; ``links(from_url,
+    to_url, idx, navigation)`` what recorded pages link to.  A site's home page, the navigation links
+    on it, its sitemaps' pages and its other links are one frontier, once per url key, the surest way
+    first.  Each level takes, site by site, what is left of the budget, in order, and the pages
+    taken add their links to the next; keys seen before are left out by an anti-join.  What a site's
+    own rules forbid is never a candidate; the rest comes back as not fetched, for a top-up.
+    """
+    rank = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
+    rules = parse_robots(robots, "site", "body")
+    none = F.array().cast("array<bigint>")
+
+    def fresh(found: DataFrame, seen: DataFrame | None, level: int) -> DataFrame:
+        """Of found (site, url, method, at) those that may be crawled and are new, once per key."""
+        rows = found.where(U.within_domain("url", F.col("site"))).withColumn("key", U.url_key("url"))
+        best = rows.groupBy("site", "key").agg(F.min(F.struct(rank.alias("rank"), "at", "url", "method")).alias("x")).select("site", "key", "x.*")
+        if seen is not None:
+            best = best.join(seen.select("site", "key"), ["site", "key"], "left_anti")
+        judged = robots_allowed(best.withColumn("path", F.concat(U.path("url"), F.lit(""))), rules, ["site", "key"], "path", "site").where("allowed")
+        return best.join(judged.select("site", "key"), ["site", "key"]).withColumn("level", F.lit(level))
+
+    def mapped() -> DataFrame:
+        level, pages = sitemaps.select("site", "url", F.array(F.col("idx").cast("bigint")).alias("at")), None
+        for _ in range(map_depth):
+            read = level.where(U.within_domain("url", F.col("site"))).join(files.select("url", parse_sitemap("body").alias("map")), "url").select(
+                "site", "at", F.col("map.kind").alias("kind"), F.posexplode("map.locs").alias("n", "url")
+            ).withColumn("at", F.concat("at", F.array(F.col("n").cast("bigint"))))
+            named = read.where("kind = 'urlset'").select("site", "url", F.lit("sitemap").alias("method"), "at")
+            pages = named if pages is None else pages.unionByName(named)
+            level = read.where("kind = 'sitemapindex'").groupBy("site", "url").agg(F.min("at").alias("at"))
+        return pages
+
+    def linked(pages: DataFrame, first: bool) -> DataFrame:
+        """Links of pages (site, url, at): their place is the page's, then their own."""
+        met = pages.withColumn("key", U.url_key("url")).select("site", "key", "at").join(links.withColumn("key", U.url_key("from_url")), "key")
+        method = F.when(F.col("navigation"), "navigation").otherwise("harvest") if first else F.lit("harvest")
+        return met.select("site", F.col("to_url").alias("url"), method.alias("method"), F.concat("at", F.array(F.col("idx").cast("bigint"))).alias("at"))
+
+    def within_budget(rows: DataFrame, used: DataFrame | None) -> DataFrame:
+        """``rows`` with ``fetched``: the first of each site that its budget has room for."""
+        left = sites.select("site", "budget")
+        if used is not None:
+            left = left.join(used.where("fetched").groupBy("site").agg(F.count("*").alias("n")), "site", "left").select("site", (F.col("budget") - F.coalesce("n", F.lit(0))).alias("budget"))
+        most = left.agg(F.max("budget")).first()[0] or 0
+        by = Window.partitionBy("site").orderBy("rank", "at", "url")
+        # a rank bounded by the largest budget: Spark keeps that many of a site in each task before it sorts them together
+        taken = rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most).join(small(left), "site").where("n <= budget")
+        return rows.join(taken.select("site", "key", F.lit(True).alias("fetched")), ["site", "key"], "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+
+    front = sites.select("site", F.col("homepage").alias("url"), F.lit("homepage").alias("method"), none.alias("at"))
+    first = front.unionByName(mapped()).unionByName(linked(front, True))
+    index = cut(within_budget(fresh(first, None, 1), None))
+    newest = index
+    for level in range(2, depth + 1):
+        found = fresh(linked(newest.where("fetched and method <> 'homepage'"), False), index, level)
+        newest = cut(within_budget(found, index))
+        index = index.unionByName(newest)
+    return index.select("site", "key", "url", "method", "level", "fetched")
+
+
 def crawl_stats(log: DataFrame) -> DataFrame:
     """One row of counts out of a fetch log (url, method, failure): what a crawl met and why it failed."""
     failed = lambda *kinds: F.count_if(F.col("failure").isin(*kinds))
