@@ -1,11 +1,15 @@
 """Comparison, order-dependent, resolution and understanding operators on small relations."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from factweave.functions import text as T
 from factweave.operators import compare as C
 from factweave.operators import resolve as R
 from factweave.operators import understand as U
 from factweave.operators import windows as W
+from factweave.sources import crawl as S
 
 
 def claims(spark, rows):
@@ -288,3 +292,51 @@ def test_overrides_and_fallback(spark):
     ev = spark.createDataFrame([(0, True, True, 80), (0, True, False, None), (0, False, True, None)], "t int, identity_ok boolean, program_ok boolean, score int")
     s = R.match_stats(ev, "t").first()
     assert (s.candidates, s.identity_ok, s.eligible, s.best) == (3, 2, 1, 80)
+
+
+def test_token_pairs_and_first_free_against_brute_force(spark):
+    """Sets of common and rare tokens in two groups; then each item, in order, takes the first free one."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    pick = lambda: sorted({words[min(int(rng.expovariate(0.12)), 39)] for _ in range(rng.randint(0, 9))})
+    a, b = ([(g, i, pick()) for g in (1, 2) for i in range(40)] for _ in range(2))
+    frame = lambda rows: spark.createDataFrame(rows, "k int, idx int, toks array<string>")
+    for num, den in ((1, 2), (3, 5)):
+        pairs = C.token_pairs(frame(a), frame(b), ["k"], num, den)
+        want = {(g, i, j) for g, i, x in a for h, j, y in b if g == h and x and y and den * len(set(x) & set(y)) >= num * min(len(x), len(y))}
+        assert sorted(tuple(r) for r in pairs.select("k", "a_idx", "b_idx").collect()) == sorted(want)
+    taken = set()
+    for g in (1, 2):
+        free = set(range(40))
+        for i in range(40):
+            j = min((j for h, x, j in want if (h, x) == (g, i) and j in free), default=None)
+            if j is not None:
+                free.remove(j)
+                taken.add((g, i, j))
+    edges = spark.createDataFrame(sorted(want), "k int, a_idx int, b_idx int")
+    assert {tuple(r) for r in C.first_free(edges, ["k"]).select("k", "a_idx", "b_idx").collect()} == taken
+    assert C.first_free(edges.where("k > 5"), ["k"]).count() == 0
+
+
+def test_phrases_are_those_of_one_look_each(spark):
+    phrases = ["fee", "course fee", "on-campus", "area of specialization", "qs world", "b2b"]
+    texts = ["Course FEE, fees", "feed on-campus", "area  of specialization", "Area of Specialization/fee", "on campus QS world2", "xb2b b2b", "", None, "course-fee", "the fee\ncourse fee"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: sorted(r.p) for r in rows.select("i", T.phrases_in("t", phrases).alias("p")).collect()}
+    one = rows.select("i", *[F.coalesce(T.word_bounded("t", w), F.lit(False)).alias(f"p{n}") for n, w in enumerate(phrases)])
+    assert got == {r.i: sorted(w for n, w in enumerate(phrases) if r[f"p{n}"]) for r in one.collect()}
+
+
+def test_positions_are_those_of_a_global_order(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("i"), F.when(F.col("id") % 3 > 0, F.col("id") % 17).alias("v")).repartition(7)
+    got = W.with_positions(rows, [F.col("v").desc_nulls_first(), "i"]).collect()
+    order = sorted(got, key=lambda r: (r.v is not None, -(r.v or 0), r.i))
+    assert [r.position for r in order] == list(range(1, 5001))
+    assert W.with_positions(rows.where("i < 0"), ["i"]).count() == 0
+
+
+def test_robots_of_one_site_leave_others_alone(spark):
+    files = spark.createDataFrame([("a", "User-agent: *\nDisallow: /x"), ("b", "User-agent: *\nDisallow: /\nAllow: /x/y")], "site string, body string")
+    urls = spark.createDataFrame([(1, "a", "/x/y"), (2, "a", "/z"), (3, "b", "/x/y"), (4, "b", "/z"), (5, "c", "/x")], "i int, site string, p string")
+    got = S.robots_allowed(urls, S.parse_robots(files, "site", "body"), ["i"], "p", "site").collect()
+    assert {r.i: r.allowed for r in got} == {1: False, 2: True, 3: True, 4: False, 5: True}
