@@ -81,14 +81,18 @@ ROW_KEY = "factweave_row_key"
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key (a hash of id and text) is in ``kept(row_key)``; of rows
-    that repeat both id and text one stays.  Columns stay as they are, whatever their names."""
-    key = ROW_KEY
-    while key in docs.columns:
-        key += "_"
+    """The rows of ``docs`` whose id and key (a hash of id and text) are in ``kept(id, row_key)``; of rows
+    that repeat both id and text the one of least hash over all columns stays, so that reruns agree.
+    Columns stay as they are, whatever their names; null ids count as one id."""
+    key, own = ROW_KEY, "_kept"
+    while {key, own} & set(docs.columns):
+        key, own = f"{key}_", f"{own}_"
     keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    wanted = kept.select(F.col("row_key").alias(key))
-    return keyed.join(wanted, key, "left_semi").dropDuplicates([key, id_col]).select(*docs.columns)
+    wanted = kept.select(F.col("row_key").alias(f"{key}k"), F.col(id_col).alias(f"{key}i"))
+    rows = keyed.join(wanted, (F.col(key) == F.col(f"{key}k")) & F.col(id_col).eqNullSafe(F.col(f"{key}i")), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    picked = rows.groupBy(key, id_col).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(own))
+    return picked.select(*[F.col(f"{own}.`{c}`").alias(c) for c in docs.columns])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

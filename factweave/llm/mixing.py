@@ -222,7 +222,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A reading belongs to the shard of its first block, at the place of its first piece: each
     partition of the result is in the order of shards, then places.  Of rows that repeat id, text
-    and source any one is read for all of them."""
+    and source the one of least hash over all columns is read for all of them.  Null and empty texts
+    have no words and are never read; very long ones are cut at the word like others.  An empty table
+    gives an empty result."""
     spark = docs.sparkSession
     _, pieces = mix_sources(docs, id_col, text_col, source_col, seed=seed, **options)
     by = [F.col(id_col).alias("id"), F.col("source"), F.col("key")]
@@ -239,7 +241,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = F.expr("d.key = t.key and d.id <=> t.id and d.source <=> t.source")
     if repeated.limit(1).count():
         pick = lambda x, how: x.alias("d").join(repeated.alias("t"), alike, how)
-        one = pick(keyed, "left_semi").groupBy(*names).agg(F.any_value("doc").alias("doc"), F.any_value("text").alias("text"))
+        one = pick(keyed, "left_semi").groupBy(*names).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"), F.min("text").alias("text"))
         sides = [(pick(keyed, "left_anti"), pick(taken, "left_anti")), (one, pick(taken, "left_semi"))]
     else:
         sides = [(keyed, taken)]

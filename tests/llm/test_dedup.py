@@ -42,6 +42,15 @@ def test_keep_rows_leaves_a_column_of_the_keys_name(spark):
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "b", 8)]
 
 
+def test_keep_rows_takes_one_row_however_rows_are_dealt(spark):
+    """Rows that repeat id and text and differ in source: the same one stays for any partitioning."""
+    rows = [(i % 40 or None, f"text {i % 40}", f"s{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = exact_dedup.exact_dedup(docs).where("kept")
+    found = [sorted(map(str, keep_rows(d, kept).collect())) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy("source").repartition(3))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 40
+
+
 def test_discard_deletes_a_table_and_no_other(spark):
     one, two = materialize(spark.range(5), "one"), materialize(spark.range(7), "two")
     discard(one)
