@@ -13,8 +13,10 @@
 A group of near copies never parts, so no pair of one component is compared again.  In a first
 turn a class keeps two partners over all nodes (in a large node, those near it in an order that
 differs from node to node); these form components.  From then on only nodes that hold several components
-are compared and branch.  At the last level, nodes still too large are compared in pairs of blocks, so
-nothing is given up.
+are compared and branch, and a node is small if at most ``node_rows`` of its classes are outside its
+largest component: these few are compared with all, and what one component has in common costs no
+more than that.  At the last level, nodes still too large are compared in pairs of blocks, so nothing
+is given up.
 
 A pair at a threshold of 0.8 misses all of 12 roots with probability 4e-9, the bytes with 1e-6.
 
@@ -118,12 +120,13 @@ def _meet(batches, coords: int, num: int, den: int, least: int, node_rows: int,
 
     In the ``first`` turn, and in groups of more than ``node_rows`` that aren't dealt in pairs of
     blocks, a class has its first and its nearest partner; elsewhere every pair counts, and of
-    two blocks (sides 0 and 1; 2 where it is one) those across them."""
+    two blocks (sides 0 and 1; 2 where it is one) those across them.  Where ``few`` are outside the
+    largest component (side 2), those are compared with all and the others (side 1) only with them."""
     for table in _whole(batches, 3):
         cls = table.column("cls").combine_chunks()
         comp = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         n, side = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy()
-        every = table.column("every").to_numpy(zero_copy_only=False)
+        every, few = (table.column(c).to_numpy(zero_copy_only=False) for c in ("every", "few"))
         own = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8).reshape(-1, coords)
         differs = np.zeros(len(n), dtype=bool)
         for c in range(3):
@@ -149,12 +152,19 @@ def _meet(batches, coords: int, num: int, den: int, least: int, node_rows: int,
             one = np.unique(np.append(one, near))
             return x[one], y[one], same[one]
 
-        exhaustive = every[begin] & (not first) | (size <= node_rows)
+        exhaustive = every[begin] & ~few[begin] & (not first) | (size <= node_rows)
         for x, y in _pairs(begin[exhaustive], size[exhaustive]):
             found = survivors(x, y)
             yield rows(*(partners(*found) if first else found))
         for g in np.flatnonzero(~exhaustive):
             some = np.arange(begin[g], begin[g] + size[g])
+            if few[begin[g]]:
+                out = some[side[some] == 2]
+                for at in range(0, len(out), 32):
+                    x, y = np.repeat(out[at : at + 32], len(some)), np.tile(some, len(out[at : at + 32]))
+                    once = (side[y] != 2) | (x < y)
+                    yield rows(*survivors(x[once], y[once]))
+                continue
             salt = mix(np.array([hash(table.column(0)[begin[g]].as_py()) & 0xFFFFFFFF], dtype=U64))
             some = some[np.argsort(mix(own[some, :8].copy().view(U64).ravel() ^ n[some].astype(U64) ^ salt))]
             got = [survivors(some[d:], some[:-d]) for d in range(1, min(SHIFTS, len(some) - 1) + 1)]
@@ -238,20 +248,32 @@ def chosen_path_join(
 
     sketches = materialize(classes.select("cls", "n", "sig").mapInArrow(low_bytes, "cls binary, n long, bytes binary"), "path-sketches")
 
-    def candidates(placed: DataFrame, components: DataFrame | None, first: bool, last: bool, name: str) -> DataFrame:
-        """Pairs of ``placed(node, cls)`` that survive, of nodes that hold two components or more."""
+    def spanning(placed: DataFrame, components: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """``placed`` with components, and the nodes (node, m, top, rest) that hold two or more: their
+        largest one and how many classes are outside it."""
         where = placed.withColumn("component", F.col("cls"))
         if components is not None:
             where = placed.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        spans = where.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        dealt = where.join(spans.select("node", "m"), "node")
-        blocks = F.ceil(F.col("m") / (4 * node_rows if last else block_rows)).cast("int")
-        dealt = dealt.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if last else F.col("own")
-        dealt = dealt.withColumn("other", other).withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
+        held = where.groupBy("node", "component").agg(F.count("*").alias("c"))
+        spans = held.groupBy("node").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("t")).where("m > t.c")
+        return where, spans.select("node", "m", F.col("t.component").alias("top"), (F.col("m") - F.col("t.c")).alias("rest"))
+
+    def candidates(placed: DataFrame, components: DataFrame | None, first: bool, last: bool, name: str) -> DataFrame:
+        """Pairs of ``placed(node, cls)`` that survive, of nodes that hold two components or more."""
+        where, spans = spanning(placed, components)
+        dealt = where.join(spans, "node")
+        few = (F.col("rest") <= node_rows) & ~F.lit(first)
+        blocks = F.ceil(F.col("m") / (F.when(few, block_rows).otherwise(4 * node_rows) if last else F.lit(block_rows))).cast("int")
+        dealt = dealt.withColumn("few", few).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int"))
+        # the few outside the largest component meet each block, and each block each other one at the last level
+        apart = F.col("component") != F.col("top")
+        each = F.sequence(F.lit(0), F.col("blocks") - 1)
+        others = F.when(F.col("few"), F.when(apart, each).otherwise(F.array("own"))).otherwise(each if last else F.array("own"))
+        dealt = dealt.withColumn("other", F.explode(others)).withColumn("own", F.when(F.col("few"), F.col("other")).otherwise(F.col("own")))
+        side = F.when(F.col("few"), F.when(apart, 2).otherwise(1)).when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         rows = (
-            dealt.join(sketches, "cls")
-            .select("node", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), "cls", "component", "n", "bytes", "side", F.lit(last).alias("every"))
+            dealt.withColumn("side", side).join(sketches, "cls")
+            .select("node", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), "cls", "component", "n", "bytes", "side", "few", F.lit(last).alias("every"))
             .repartition(parts, "node", "block", "block2")
             .sortWithinPartitions("node", "block", "block2", "n", "cls")
         )
@@ -269,8 +291,7 @@ def chosen_path_join(
     # 2. the roots of all trees, two partners a class
     roots = classes.select("cls", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "cls")
     checked = candidates(roots, None, True, False, "path-first")
-    links = confirmed(checked, "path-links-first")
-    components = connected_components(links)
+    components = connected_components(confirmed(checked, "path-links-first"))
 
     # 3. nodes that still hold several components, level by level
     placed, level = roots, 0
@@ -284,12 +305,10 @@ def chosen_path_join(
             found = confirmed(new, f"path-links-{level}")
             checked = checked.unionByName(new)
             if found.limit(1).count():
-                links = links.unionByName(found)
-                components = connected_components(links)
+                components = _joined(components, found, f"path-components-{level}")
         if last:
             break
-        where = placed.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        large = where.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where(f"lo < hi and m > {node_rows}")
+        large = spanning(placed, components)[1].where(F.col("rest") > node_rows)
         ways = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(coords)), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(coords)))
         if level >= 3:  # 1/threshold on average
             extra = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(num)) < den - num
@@ -315,6 +334,16 @@ def chosen_path_join(
     )
 
 
+def _joined(components: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``components(node, component)`` after more links (a, b): components of components."""
+    of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    edges = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).distinct()
+    roots = connected_components(edges)
+    moved = components.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    moved = moved.select("node", F.coalesce("root", "component").alias("component"))
+    return materialize(moved.unionByName(roots.join(components.select("node"), "node", "left_anti")), name)
+
+
 def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, star_rows: int, broadcast_ids: int, parts: int, name: str) -> DataFrame:
     """The pairs whose full sets reach the threshold, each checked once, in a star around its first
     class; a star of high degree is dealt over tasks."""
