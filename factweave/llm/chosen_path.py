@@ -1,22 +1,25 @@
 """Near-duplicate detection by a chosen-path set similarity join over minwise signatures.
 
 1. Each document becomes the set of its distinct word n-grams.  Documents with one set form a
-   class, named by 128 bits; a class has ``coords`` minwise values (its signature).
+   class, named by 64 bits; a class has ``coords`` minwise values (its signature) and a sketch: 768
+   bits, of which each n-gram turns one over, and a byte of each minwise value.
 2. ``trees`` independent trees branch the classes by one value at the root: a class goes to the
    node of that value.  Two sets of similarity s share a child for a value with probability s.
 3. Nodes of at most ``node_rows`` classes are compared exhaustively.  Larger ones branch further by
    values that the node's own path chooses, two at first, 1/threshold on average from the fourth
    level on, so a pair at the threshold is expected to keep meeting while less similar ones part.
-4. A pair survives where sizes and one byte of each value don't rule the threshold out; survivors
-   are confirmed on their full sets, each once.
-
-A group of near copies never parts, so no pair of one component is compared again.  In a first
-turn a class keeps two partners over all nodes (in a large node, those near it in an order that
-differs from node to node); these form components.  From then on only nodes that hold several components
-are compared and branch, and a node is small if at most ``node_rows`` of its classes are outside its
-largest component: these few are compared with all, and what one component has in common costs no
-more than that.  At the last level, nodes still too large are compared in pairs of blocks, so nothing
-is given up.
+4. A pair survives where sizes and sketches don't rule the threshold out: bits that differ are at
+   most the n-grams that do, so they never rule out a link.  Survivors are confirmed on their full sets, each once.
+
+A group of near copies never parts, so no pair of one component is compared again.  In a turn
+a class keeps two partners over all nodes, the one of least name and the nearest by sketch (in a
+large node, of those beside it in the order of two values that the node chooses); these form
+components.  The next turn does the same across components, where only nodes that hold several
+count, of small ones only classes that met a survivor.  A node is small if at most ``node_rows``
+of its classes are outside its largest component: these few are compared with all.  Large ones
+branch, and their children take part in the turn after.  When none is left to branch, every
+survivor across components is confirmed; nodes still too large at the last level are then
+compared in pairs of blocks, so nothing is given up.
 
 A pair at a threshold of 0.8 misses all of 12 roots with probability 4e-9, the bytes with 1e-6.
 
@@ -30,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
@@ -40,19 +43,18 @@ from .words import U64, chunks, mix, text_bytes
 
 #: Partners that a class of a large node is compared with.
 SHIFTS = 16
+#: 64-bit words of a sketch that hold the bits of the set.
+WORDS = 12
 
 
-def set_names(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """128 bits for each set: two sums over its n-grams, and its size."""
+def set_names(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 bits for each set: a sum over its n-grams, and its size."""
     n = np.diff(bounds)
-    out = np.zeros((len(n), 2), dtype=U64)
+    out = n.astype(U64)
     full = np.flatnonzero(n)
-    for i, salt in enumerate((U64(0xA5A5A5A55A5A5A5A), U64(0x3C3C5A5A96A51E87))):
-        out[:, i] = n.astype(U64)
-        if len(full):
-            out[full, i] += np.add.reduceat(mix(grams ^ salt), bounds[:-1][full])
-        out[:, i] = mix(out[:, i] + U64(i + 1))
-    return [r.tobytes() for r in out]
+    if len(full):
+        out[full] += np.add.reduceat(mix(grams ^ U64(0xA5A5A5A55A5A5A5A)), bounds[:-1][full])
+    return mix(out + U64(1)).view(np.int64)
 
 
 def signatures(grams: np.ndarray, bounds: np.ndarray, coords: int) -> np.ndarray:
@@ -67,6 +69,18 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, coords: int) -> np.ndarray
     return out
 
 
+def sketches(grams: np.ndarray, bounds: np.ndarray, sig: np.ndarray) -> list[bytes]:
+    """``WORDS`` times 64 bits, of which each n-gram turns one over, and a byte of each minwise value."""
+    n, width, out = np.diff(bounds), 64 * WORDS, []
+    for at in range(0, len(n), 1000):
+        own = n[at : at + 1000]
+        bit = (mix(grams[bounds[at] : bounds[at + len(own)]] ^ U64(0x3C3C5A5A96A51E87)) % U64(width)).astype(np.int64)
+        turned = np.bincount(np.repeat(np.arange(len(own)), own) * width + bit, minlength=len(own) * width) & 1
+        packed = np.packbits(turned.astype(np.uint8).reshape(-1, width), axis=1)
+        out += [r.tobytes() for r in np.hstack([packed, (sig[at : at + len(own)] & np.uint32(255)).astype(np.uint8)])]
+    return out
+
+
 def least_matches(coords: int, num: int, den: int, missed: float = 1e-6) -> int:
     """So many of ``coords`` values agree at the threshold but for a share ``missed`` of pairs."""
     t, below = num / den, 0.0
@@ -77,22 +91,6 @@ def least_matches(coords: int, num: int, den: int, missed: float = 1e-6) -> int:
     return coords
 
 
-def _pairs(begin: np.ndarray, size: np.ndarray, most: int = 100_000):
-    """All index pairs x < y of each group, in arrays of about ``most``; ordered by group, y, x."""
-    combos = size * (size - 1) // 2
-    ends = np.cumsum(combos)
-    at = 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        c = combos[at:to]
-        group = np.repeat(np.arange(at, to), c)
-        within = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-        y = ((1 + np.sqrt(1 + 8 * within.astype(np.float64))) / 2).astype(np.int64)
-        y -= (y * (y - 1) // 2 > within).astype(np.int64)
-        yield begin[group] + within - y * (y - 1) // 2, begin[group] + y
-        at = to
-
-
 def _whole(batches, keys: int):
     """Tables that hold all rows of the groups (equal first ``keys`` columns, in order) they hold."""
     rest: list = []
@@ -115,62 +113,66 @@ def _whole(batches, keys: int):
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _meet(batches, coords: int, num: int, den: int, least: int, node_rows: int, first: bool):
-    """Surviving pairs ``(a, b, same)`` of two components, by groups (node, block, block2).
+def _meet(batches, coords: int, num: int, den: int, least: int, every: bool, most: int = 200_000):
+    """Surviving pairs of two components, by groups (node, block, block2): with ``every`` all of them, else of
+    each class (node, cls, large) the least partner, the nearest one and how far that is.
 
-    In the ``first`` turn, and in groups of more than ``node_rows`` that aren't dealt in pairs of
-    blocks, a class has its first and its nearest partner; elsewhere every pair counts, and of
-    two blocks (sides 0 and 1; 2 where it is one) those across them.  Where ``few`` are outside the
-    largest component (side 2), those are compared with all and the others (side 1) only with them."""
+    Rows of ``large`` groups meet the ``SHIFTS`` before them in the group's order, others all those of near
+    sizes (they come by size).  Sides: 0 and 1 meet the other side; 2 meets all; 3, the few outside the
+    largest component, come with each block of side 1 and meet one another in block 0."""
     for table in _whole(batches, 3):
-        cls = table.column("cls").combine_chunks()
-        comp = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        n, side = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy()
-        every, few = (table.column(c).to_numpy(zero_copy_only=False) for c in ("every", "few"))
-        own = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8).reshape(-1, coords)
+        col = {c: table.column(c).to_numpy() for c in ("node", "block", "block2", "cls", "component", "n", "side")}
+        cls, comp, n, side, block = (col[c] for c in ("cls", "component", "n", "side", "block"))
+        large = table.column("large").to_numpy(zero_copy_only=False).astype(bool)
+        own = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS + coords)
+        bits = [np.ascontiguousarray(own[:, 8 * w : 8 * w + 8]).view(U64).ravel() for w in range(WORDS)]
+        low = np.ascontiguousarray(own[:, 8 * WORDS :])
         differs = np.zeros(len(n), dtype=bool)
-        for c in range(3):
-            key = table.column(c).to_numpy()
-            differs[1:] |= key[1:] != key[:-1]
-        begin = np.append(0, np.flatnonzero(differs))
-        size = np.diff(np.append(begin, len(n)))
-
-        def survivors(x, y):
-            ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+        for c in ("node", "block", "block2"):
+            differs[1:] |= col[c][1:] != col[c][:-1]
+        group, row = np.cumsum(differs), np.arange(len(n))
+        order = (group << 40) + np.where(large, 0, n)  # rows of a group that isn't large come by size
+        begin = np.append(0, np.flatnonzero(differs))[group]
+        from_row = np.where(large, np.maximum(begin, row - SHIFTS), np.searchsorted(order, (group << 40) + (n * num + den - 1) // den))
+        from_row = np.minimum(from_row, row)
+        ends = np.cumsum(row - from_row)
+        least_partner = np.full(len(n), np.iinfo(np.int64).max)
+        nearest, far = np.zeros(len(n), dtype=np.int64), np.full(len(n), np.inf)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            c = (row - from_row)[at:to]
+            y = np.repeat(row[at:to], c)
+            x = from_row[y] + np.arange(len(y)) - np.repeat(np.cumsum(c) - c, c)
+            at = to
+            met = (side[x] != side[y]) | (side[x] == 2) | (side[x] == 3) & (block[x] == 0)
+            ok = met & (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
             x, y = x[ok], y[ok]
-            same = (own[x] == own[y]).sum(axis=1)
-            return x[same >= least], y[same >= least], same[same >= least]
-
-        def rows(x, y, same):
-            return pa.RecordBatch.from_arrays([cls.take(pa.array(x)), cls.take(pa.array(y)), pa.array(same.astype(np.int32))], names=["a", "b", "same"])
-
-        def partners(x, y, same):
-            """Of each y its first and its nearest x; pairs come by y, then x."""
-            _, one = np.unique(y, return_index=True)
-            by = np.lexsort((-same, y))
-            near = by[np.append(True, y[by][1:] != y[by][:-1])] if len(by) else by
-            one = np.unique(np.append(one, near))
-            return x[one], y[one], same[one]
-
-        exhaustive = every[begin] & ~few[begin] & (not first) | (size <= node_rows)
-        for x, y in _pairs(begin[exhaustive], size[exhaustive]):
-            found = survivors(x, y)
-            yield rows(*(partners(*found) if first else found))
-        for g in np.flatnonzero(~exhaustive):
-            some = np.arange(begin[g], begin[g] + size[g])
-            if few[begin[g]]:
-                out = some[side[some] == 2]
-                for at in range(0, len(out), 32):
-                    x, y = np.repeat(out[at : at + 32], len(some)), np.tile(some, len(out[at : at + 32]))
-                    once = (side[y] != 2) | (x < y)
-                    yield rows(*survivors(x[once], y[once]))
+            apart = (n[x] + n[y]) * (den - num) // (den + num)  # most n-grams that only one may have
+            d = np.zeros(len(x), dtype=np.int64)
+            for w in range(WORDS):
+                d += np.bitwise_count(bits[w][x] ^ bits[w][y])
+                if w % 3 == 2:
+                    ok = d <= apart
+                    x, y, d, apart = x[ok], y[ok], d[ok], apart[ok]
+            ok = (low[x] == low[y]).sum(axis=1) >= least
+            x, y, d = x[ok], y[ok], d[ok]
+            if not len(x):
                 continue
-            salt = mix(np.array([hash(table.column(0)[begin[g]].as_py()) & 0xFFFFFFFF], dtype=U64))
-            some = some[np.argsort(mix(own[some, :8].copy().view(U64).ravel() ^ n[some].astype(U64) ^ salt))]
-            got = [survivors(some[d:], some[:-d]) for d in range(1, min(SHIFTS, len(some) - 1) + 1)]
-            y, x, same = (np.concatenate([o[i] for o in got]) for i in range(3))
-            by = np.lexsort((x, y))
-            yield rows(*partners(x[by], y[by], same[by]))
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y]))], names=["a", "b"])
+                continue
+            mine, other = np.append(x, y), np.append(y, x)
+            np.minimum.at(least_partner, mine, cls[other])
+            share = np.tile(d / (n[x] + n[y]), 2)
+            by = np.lexsort((cls[other], share, mine))
+            by = by[np.append(True, mine[by][1:] != mine[by][:-1])]
+            by = by[share[by] < far[mine[by]]]
+            far[mine[by]], nearest[mine[by]] = share[by], cls[other[by]]
+        if not every:
+            some = np.flatnonzero(far < np.inf)
+            columns = (col["node"], cls, large, least_partner, nearest, far)
+            yield pa.RecordBatch.from_arrays([pa.array(v[some]) for v in columns], names=["node", "cls", "large", "lo", "near", "far"])
 
 
 def _confirm(batches, num: int, den: int):
@@ -187,7 +189,7 @@ def _confirm(batches, num: int, den: int):
                 shared = len(np.intersect1d(centre, values, assume_unique=True))
                 if den * shared >= num * (len(centre) + len(values) - shared):
                     found.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in found], pa.binary()) for c in (a, b)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in found], pa.int64()) for c in (a, b)], names=["a", "b"])
 
 
 def chosen_path_join(
@@ -198,7 +200,7 @@ def chosen_path_join(
     threshold: tuple[int, int] = (80, 100),
     trees: int = 12,
     coords: int = 32,
-    node_rows: int = 64,
+    node_rows: int = 2000,
     block_rows: int = 2000,
     levels: int = 12,
     star_rows: int = 2000,
@@ -221,106 +223,109 @@ def chosen_path_join(
     names = [F.xxhash64(id_col, text_col).alias("rk"), F.xxhash64(F.lit(1), text_col, id_col).alias("rk2")]
     source = docs.select(F.col(id_col).alias("id"), *names, F.col(text_col).alias("text"))
 
-    # 1. sets, their names and signatures
+    # 1. sets, their names, signatures and sketches
     def describe(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 grams, bounds = ngram_sets(text_bytes(part, "text", lower=True), k)
                 sig = signatures(grams, bounds, coords)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(np.diff(bounds)), pa.array(set_names(grams, bounds), pa.binary()),
-                     pa.ListArray.from_arrays(np.arange(0, sig.size + 1, coords, dtype=np.int32), pa.array(sig.ravel().view(np.int32)))],
+                    [part.column(0), part.column(1), part.column(2), pa.array(np.diff(bounds)), pa.array(set_names(grams, bounds)),
+                     pa.ListArray.from_arrays(np.arange(0, sig.size + 1, coords, dtype=np.int32), pa.array(sig.ravel().view(np.int32))),
+                     pa.array(sketches(grams, bounds, sig), pa.binary())],
                     names=set_schema.names,
                 )
 
-    set_schema = StructType(list(source.select("id", *key).schema.fields)).add("n", "long").add("cls", "binary").add("sig", ArrayType(IntegerType()))
+    set_schema = StructType(list(source.select("id", *key).schema.fields)).add("n", "long").add("cls", "long").add("sig", ArrayType(IntegerType())).add("sketch", "binary")
     sets = materialize(source.mapInArrow(describe, set_schema), "path-sets")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *key)).alias("least")
-    classes = materialize(sets.where("n > 0").groupBy("cls").agg(least, F.min("n").alias("n"), F.min("sig").alias("sig")), "path-classes")
+    classes = materialize(sets.where("n > 0").groupBy("cls").agg(least, F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "path-classes")
     cut = least_matches(coords, num, den)
 
-    def low_bytes(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                own = (part.column(2).flatten().to_numpy() & 255).astype(np.uint8).reshape(-1, coords)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in own], pa.binary())], names=["cls", "n", "bytes"])
-
-    sketches = materialize(classes.select("cls", "n", "sig").mapInArrow(low_bytes, "cls binary, n long, bytes binary"), "path-sketches")
-
-    def spanning(placed: DataFrame, components: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """``placed`` with components, and the nodes (node, m, top, rest) that hold two or more: their
-        largest one and how many classes are outside it."""
-        where = placed.withColumn("component", F.col("cls"))
-        if components is not None:
-            where = placed.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    def chosen(i: int) -> Column:
+        """The value of the signature that the node chooses, of several the ``i``-th."""
+        return F.get("sig", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(coords)).cast("int"))
+
+    def dealt(placed: DataFrame, components: DataFrame) -> DataFrame:
+        """``placed(node, cls)`` with components, of nodes that hold two or more: their size, the largest
+        one (``top``) and whether more than ``node_rows`` classes are outside it (``large``)."""
+        where = placed.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         held = where.groupBy("node", "component").agg(F.count("*").alias("c"))
         spans = held.groupBy("node").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("t")).where("m > t.c")
-        return where, spans.select("node", "m", F.col("t.component").alias("top"), (F.col("m") - F.col("t.c")).alias("rest"))
-
-    def candidates(placed: DataFrame, components: DataFrame | None, first: bool, last: bool, name: str) -> DataFrame:
-        """Pairs of ``placed(node, cls)`` that survive, of nodes that hold two components or more."""
-        where, spans = spanning(placed, components)
-        dealt = where.join(spans, "node")
-        few = (F.col("rest") <= node_rows) & ~F.lit(first)
-        blocks = F.ceil(F.col("m") / (F.when(few, block_rows).otherwise(4 * node_rows) if last else F.lit(block_rows))).cast("int")
-        dealt = dealt.withColumn("few", few).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int"))
-        # the few outside the largest component meet each block, and each block each other one at the last level
-        apart = F.col("component") != F.col("top")
+        return where.join(spans.select("node", "m", F.col("t.component").alias("top"), (F.col("m") - F.col("t.c") > node_rows).alias("large")), "node")
+
+    def met(rows: DataFrame, every: bool, name: str) -> DataFrame:
+        """What the rows (node, cls, component, n, sig, sketch, m, top, large) of each node meet."""
+        blocks = F.when(F.col("m") > block_rows, F.ceil(F.col("m") / block_rows)).otherwise(1).cast("int")
+        rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int"))
+        # the few outside the largest component meet each block; in the end each block of a large node each other one
+        outside = ~F.col("large") & F.coalesce(F.col("component") != F.col("top"), F.lit(False))
         each = F.sequence(F.lit(0), F.col("blocks") - 1)
-        others = F.when(F.col("few"), F.when(apart, each).otherwise(F.array("own"))).otherwise(each if last else F.array("own"))
-        dealt = dealt.withColumn("other", F.explode(others)).withColumn("own", F.when(F.col("few"), F.col("other")).otherwise(F.col("own")))
-        side = F.when(F.col("few"), F.when(apart, 2).otherwise(1)).when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        rows = rows.withColumn("other", F.explode(F.when(outside | F.col("large") & F.lit(every), each).otherwise(F.array("own"))))
+        rows = rows.withColumn("own", F.when(outside, F.col("other")).otherwise(F.col("own")))
+        side = (
+            F.when(outside, 3).when(~F.col("large") & F.col("top").isNotNull(), 1)
+            .when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        )
+        # a large node's own order, in which near copies are likely neighbours
+        beside = F.col("large") & F.lit(not every)
+        order = F.when(beside, chosen(4).cast("long") * (1 << 32) + chosen(5).cast("long")).otherwise(0)
         rows = (
-            dealt.withColumn("side", side).join(sketches, "cls")
-            .select("node", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), "cls", "component", "n", "bytes", "side", "few", F.lit(last).alias("every"))
+            rows.select(
+                "node", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), order.alias("order"),
+                "n", "cls", "component", side.alias("side"), beside.alias("large"), "sketch",
+            )
             .repartition(parts, "node", "block", "block2")
-            .sortWithinPartitions("node", "block", "block2", "n", "cls")
+            .sortWithinPartitions("node", "block", "block2", "order", "n", "cls")
         )
-        met = rows.mapInArrow(lambda b: _meet(b, coords, num, den, cut, node_rows, first), "a binary, b binary, same int")
-        if not first:
-            return materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-        few = met.select("same", F.explode(ways).alias("p")).select("p.a", "p.b", "same").groupBy("b").agg(F.min("a").alias("lo"), F.max_by("a", F.struct("same", "a")).alias("near"))
-        few = few.select(F.explode(F.array_distinct(F.array("lo", "near"))).alias("a"), "b")
-        return materialize(few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        schema = "a long, b long" if every else "node long, cls long, large boolean, lo long, near long, far double"
+        found = rows.mapInArrow(lambda b: _meet(b, coords, num, den, cut, every), schema)
+        return materialize(found.distinct() if every else found, name)
+
+    def partners(found: DataFrame) -> DataFrame:
+        """Two pairs at most for each class."""
+        two = found.groupBy("cls").agg(F.min("lo").alias("lo"), F.min_by("near", F.struct("far", "near")).alias("near"))
+        two = two.select("cls", F.explode(F.array_distinct(F.array("lo", "near"))).alias("other"))
+        return two.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         return _links(source, classes, pairs, k, num, den, star_rows, broadcast_ids, parts, name)
 
     # 2. the roots of all trees, two partners a class
-    roots = classes.select("cls", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "cls")
-    checked = candidates(roots, None, True, False, "path-first")
-    components = connected_components(confirmed(checked, "path-links-first"))
-
-    # 3. nodes that still hold several components, level by level
-    placed, level = roots, 0
+    values = classes.select("cls", "n", "sig", "sketch", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "value"))
+    roots = values.withColumn("node", F.xxhash64("tree", "value")).drop("tree", "value")
+    heavy = materialize(roots.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > node_rows), "path-heavy")
+    own = F.broadcast(heavy) if heavy.count() <= broadcast_ids else heavy
+    sized = roots.join(own, "node", "left").withColumn("large", F.col("m").isNotNull()).withColumn("m", F.coalesce("m", F.lit(1)))
+    found = met(sized.withColumn("component", F.col("cls")).withColumn("top", F.lit(None).cast("long")), False, "path-met")
+    checked = materialize(partners(found), "path-pairs")
+    components = connected_components(confirmed(checked, "path-links"))
+    placed = found.where("not large").select("node", "cls").unionByName(roots.join(own, "node").select("node", "cls"))
+
+    # 3. partners in other components, level by level as large nodes branch; in the end all that survive
+    level, every = 0, False
     while True:
-        last = level == levels
+        held = materialize(dealt(placed, components), f"path-held-{level}")
+        found = met(held.join(classes.select("cls", "n", "sig", "sketch"), "cls"), every, f"path-met-{level}")
         # written, so that the plan of what was checked doesn't hold those of all levels before
-        met = candidates(placed, components, False, last, f"path-pairs-{level}")
-        new = materialize(met.join(checked, ["a", "b"], "left_anti"), f"path-new-{level}")
-        discard(met)
+        new = materialize((found if every else partners(found)).join(checked, ["a", "b"], "left_anti"), f"path-new-{level}")
         if new.limit(1).count():
-            found = confirmed(new, f"path-links-{level}")
+            linked = confirmed(new, f"path-links-{level}")
             checked = checked.unionByName(new)
-            if found.limit(1).count():
-                components = _joined(components, found, f"path-components-{level}")
-        if last:
-            break
-        large = spanning(placed, components)[1].where(F.col("rest") > node_rows)
-        ways = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(coords)), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(coords)))
-        if level >= 3:  # 1/threshold on average
-            extra = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(num)) < den - num
-            ways = F.when(extra, ways).otherwise(F.slice(ways, 1, 1))
-        chosen = F.explode(F.array_distinct(ways)).alias("i")
-        children = placed.join(large.select("node"), "node", "left_semi").join(classes.select("cls", "sig"), "cls").select("node", "cls", "sig", chosen)
-        deeper = materialize(children.select(F.xxhash64("node", "i", F.expr("sig[int(i)]")).alias("node"), "cls"), f"path-level-{level}")
-        if level:
-            discard(placed)
-        placed, level = deeper, level + 1
-        if not placed.limit(1).count():
+            if linked.limit(1).count():
+                components = _joined(components, linked, f"path-components-{level}")
+        if every:
             break
+        large = held.where("large").select("node", "cls")
+        every = level == levels or not large.limit(1).count()
+        if not every:
+            ways = F.array(*(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(coords)).cast("int") for i in (1, 2)))
+            if level >= 3:  # 1/threshold on average
+                extra = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(num)) < den - num
+                ways = F.when(extra, ways).otherwise(F.slice(ways, 1, 1))
+            ways = large.join(classes.select("cls", "sig"), "cls").select("node", "cls", "sig", F.explode(F.array_distinct(ways)).alias("i"))
+            large = ways.select(F.xxhash64("node", "i", F.get("sig", F.col("i"))).alias("node"), "cls")
+        placed, level = found.where("not large").select("node", "cls").unionByName(large), level + 1
 
     # 4. ids
     named = classes.select("cls", "least").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -361,13 +366,13 @@ def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num:
                 grams, bounds = ngram_sets(text_bytes(part, "text", lower=True), k)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([grams[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["b", "grams"])
 
-    grams = texts.mapInArrow(grams_of, "b binary, grams binary").dropDuplicates(["b"])
+    grams = texts.mapInArrow(grams_of, "b long, grams binary").dropDuplicates(["b"])
     found = materialize(
         centres.unionByName(leaves).join(grams, "b")
         .select("a", "salt", "own", "b", "grams")
         .repartition(parts, "a", "salt")
         .sortWithinPartitions("a", "salt", "own", "b")
-        .mapInArrow(lambda b: _confirm(b, num, den), "a binary, b binary"),
+        .mapInArrow(lambda b: _confirm(b, num, den), "a long, b long"),
         name,
     )
     discard(ids)

@@ -255,6 +255,23 @@ def test_chosen_path_join_of_large_families(spark, levels):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows, 2, 80, 100)
 
 
+def test_chosen_path_join_confirms_few_pairs_of_a_family_below_the_threshold(spark, monkeypatch):
+    """Of 90 texts that share two thirds of their n-grams nearly no pair reaches the confirmation."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        w = [f"w{j}" for j in range(120)]
+        for j in rng.sample(range(120), 6):
+            w[j] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    tables, write = [], chosen_path.materialize
+    monkeypatch.setattr(chosen_path, "materialize", lambda df, name: tables.append((name, write(df, name))) or tables[-1][1])
+    got = chosen_path.chosen_path_join(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows, 2, 80, 100)
+    pairs = sum(df.count() for name, df in tables if name.startswith(("path-first", "path-pairs-", "path-new-")) or name == "path-pairs")
+    assert pairs <= 90
+
+
 def test_chosen_path_join_of_an_empty_table(empty):
     assert chosen_path.chosen_path_join(empty).count() == 0
 
