@@ -101,7 +101,8 @@ def line_dedup(
     bucket, rest = F.lit((1 << freq_bits) - 1), F.lit((1 << 56) - 1)
     # a word is hashed once; the empty parts between blanks go by their hash
     hashes = F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    key = lambda h: F.get(F.col("levels"), h.bitwiseAND(bucket).cast("int")) + h.bitwiseAND(rest)
+    # never null, so that arrays of it are sorted as plain longs
+    key = lambda h: F.coalesce(F.get(F.col("levels"), h.bitwiseAND(bucket).cast("int")), F.lit(0).cast("long")) + h.bitwiseAND(rest)
     need = F.floor((F.col("n") * num + den - 1) / den).cast("int")
     distinct = (
         named.withColumn("levels", rarity_levels(source, "text", freq_bits).scalar())

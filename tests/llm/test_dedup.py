@@ -191,6 +191,14 @@ def test_line_dedup_pairs_lines_of_null_ids(spark):
     assert sorted((r.line_no, r.match_line) for r in removed.collect()) == [(i, i - 1) for i in range(2, 36, 3)]
 
 
+def test_line_dedup_sorts_plain_longs(docs, monkeypatch):
+    """The words of a line are an array without nulls, which Spark sorts without boxing them."""
+    schemas, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: schemas.setdefault(name, df.schema) and write(df, name))
+    assert line_dedup.line_dedup(docs)[0].count() == docs.count()
+    assert not schemas["lines"]["prefix"].dataType.containsNull
+
+
 def test_line_dedup_of_text_ids_and_long_lists(spark):
     """Ids that are no numbers, lines of many common words, and a shuffle in place of broadcasts."""
     rng = random.Random(5)
