@@ -26,8 +26,12 @@ def let(body, **values: Column) -> Column:
     return F.get(F.transform(bound, body), F.lit(0))
 
 
+# white space; letters, digits and other plain characters are ruled out by the first range
+_SPACE = f"[\\x00-\\x20\\x80-\\uFFFF&&{WS}]"
+
+
 def collapse_ws(v) -> Column:
-    return F.regexp_replace(F.regexp_replace(_c(v), f"{WS}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(_c(v), f"{_SPACE}+", " "))
 
 
 def comparison_key(v) -> Column:
@@ -67,6 +71,7 @@ def word_count(v) -> Column:
 
 # fixed values: bullets and boilerplate endings of list items
 _BULLETS = "•◦▪➤●○*\\-–—"
+_BULLET = "[\\x00-\\x20*\\-\\x80-\\uFFFF&&" + p(f"[\\s{_BULLETS}]") + "]"
 _ENDINGS = [r"\s*\(optional\)\s*$", r"\s*specialization\s*$", r"\s*specialisation\s*$", r"\s*elective\s*$", r"\s*track\s*$"]
 
 
@@ -79,16 +84,41 @@ def _without(value: Column, ending: str) -> Column:
     return let(choose, v=value)
 
 
+# the words that each of the endings above has at its end
+_LAST_WORDS = ["optional", "specialization", "specialisation", "elective", "track"]
+# words of characters without meaning here, single blanks between them, a letter or digit at either end
+_PLAIN = "^(?=[0-9A-Za-z\\xC0-\\u0233])[ -%'-~\\xA1-\\u167F]++(?<=[0-9A-Za-z\\xC0-\\u0233])$"
+#: What is in every text with a line that ``plain_item`` rules out.
+ODD_ITEMS = f"(?iu)&|{'|'.join(_LAST_WORDS)}"
+
+
 def semantic_value(v) -> Column:
     """A list item without bullets, boilerplate ending and trailing punctuation, lower-cased.
-    An ending stays where nothing else would."""
-    out = collapse_ws(v)
-    out = F.regexp_replace(out, p(f"^[\\s{_BULLETS}]+"), "")
-    out = F.regexp_replace(out, p(f"[\\s{_BULLETS}]+$"), "")
-    out = F.regexp_replace(out, p(r"\s*&\s*"), " and ")
-    for ending in _ENDINGS:
-        out = _without(out, p(ending, True))
-    return F.lower(collapse_ws(F.regexp_replace(out, "[.,;:]+$", "")))
+    An ending stays where nothing else would.  Words of plain characters with a blank between,
+    without an ending, stay as they are."""
+    def named(x: Column) -> Column:
+        return F.when(F.contains(x["v"], F.lit("&")), F.regexp_replace(x["v"], p(r"\s*&\s*"), " and ")).otherwise(x["v"])
+
+    ends = lambda c: reduce(lambda a, b: a | b, [F.endswith(c, F.lit(w)) for w in [*_LAST_WORDS[1:], "optional)"]])
+
+    def ended(x: Column) -> Column:
+        out = x["v"]
+        for ending in _ENDINGS:
+            out = _without(out, p(ending, True))
+        return F.when(ends(F.lower(F.right(x["v"], F.lit(20)))), out).otherwise(x["v"])
+
+    def full(c: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(collapse_ws(c), f"^{_BULLET}+", ""), f"{_BULLET}++$", "")
+        return F.lower(collapse_ws(F.regexp_replace(let(ended, v=let(named, v=out)), "[.,;:]+$", "")))
+
+    return let(lambda x: F.when(x["v"].rlike(_PLAIN) & ~F.contains(x["v"], F.lit("  ")) & ~ends(x["low"]), x["low"]).otherwise(full(x["v"])), v=_c(v), low=F.lower(_c(v)))
+
+
+def plain_item(v, words) -> Column:
+    """Whether a text of these ``tokens`` has them in its ``semantic_value`` as well: it has no ampersand,
+    which would be written out, and no ending that might go."""
+    last = F.coalesce(F.try_element_at(_c(words), F.lit(-1)), F.lit(""))
+    return ~F.contains(_c(v), F.lit("&")) & ~reduce(lambda a, b: a | b, [F.endswith(last, F.lit(w)) for w in _LAST_WORDS])
 
 
 def strip_prefix(v, hint) -> Column:
@@ -117,7 +147,7 @@ def concept_key(v) -> Column:
 
 def tokens(v, least: int = 3) -> Column:
     """Lower-case runs of a-z and 0-9 of at least ``least`` characters, repeats kept."""
-    return F.filter(F.split(F.regexp_replace(F.lower(_c(v)), "[^a-z0-9]+", " "), " "), lambda x: F.length(x) >= least)
+    return F.regexp_extract_all(F.lower(_c(v)), F.lit(f"([a-z0-9]{{{least},}})"), 1)
 
 
 def _share(a: Column, b: Column, num: int, den: int) -> Column:
