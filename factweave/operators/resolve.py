@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.functions import urls as U
-from factweave.sources.store import small
+from factweave.operators.windows import top_k
+from factweave.sources.store import BROADCAST_NUMBERS, cut, small
 
 
 @dataclass(frozen=True)
@@ -215,6 +216,56 @@ def score(pairs: DataFrame, homepage: str | None = None, s: Scoring = Scoring())
     return pairs.withColumn("breakdown", breakdown).withColumn("score", F.aggregate("breakdown", F.lit(0), lambda a, x: a + x["points"]))
 
 
+def class_scores(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores of all pairs of pages of one institution, by classes: pages (page_id, t_class, c_class) and
+    (t_class, c_class, score).  ``pages`` has page_id, url, title, headings, degree, program,
+    institution, brand and page_type.
+
+    A target is read for its identity alone.  Of a candidate's title, headings and address only tokens
+    count that some target of the institution knows; candidates that agree in these and in identity
+    score alike.  So pairs of classes are scored, which pages' numbers don't square.
+    """
+    own = ["institution", "degree", "program", "brand", "page_type"]
+    blank = F.array().cast("array<string>")
+    known = F.array_distinct(T.tokens(F.concat_ws(" ", "degree", "program", F.coalesce("institution", "brand"))))
+    every = pages.where("institution is not null")
+    said = every.select("institution", F.explode(known).alias("token")).groupBy("institution").agg(F.collect_set("token").alias("vocabulary"))
+    shown = lambda text: F.array_join(F.sort_array(F.array_intersect(T.tokens(text), F.coalesce("vocabulary", blank))), " ")
+    rows = every.join(said, "institution", "left").select(
+        "page_id", *own, shown(F.concat_ws(" ", "title", F.array_join(F.coalesce("headings", blank), " "))).alias("title"), shown(F.coalesce("url", F.lit(""))).alias("url"),
+    )
+    classes = lambda keys, name: cut(rows.select(*keys).distinct().withColumn(name, F.monotonically_increasing_id()))
+    t, c = classes(own, "t_class"), classes([*own, "title", "url"], "c_class")
+
+    def classed(df: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+        there = of.select(*[F.col(k).alias(f"_{k}") for k in keys], of.columns[-1])
+        return df.join(small(there), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+    found = cut(classed(classed(rows, t, own), c, [*own, "title", "url"]).select("page_id", "t_class", "c_class"))
+    side = lambda df, s, rest: df.select(*[F.col(x).alias(f"{s}_{x}") for x in [*own, *rest]], f"{s}_class")
+    pairs = side(t, "t", []).join(side(c, "c", ["title", "url"]), F.col("t_institution") == F.col("c_institution"))
+    return found, cut(score(pairs.withColumn("c_headings", blank)).select("t_class", "c_class", "score"))
+
+
+def best_of_classes(pages: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """(t_page_id, c_page_id, score): for each page of ``class_scores`` at least the best ``k`` others, by score
+    and then id.  Of a class and of the classes a target meets, as many first pages do as are asked for
+    and as may be the target itself."""
+    most = k + (pages.groupBy("page_id").count().agg(F.max("count")).first()[0] or 0)
+    firsts = top_k(pages.select("c_class", F.col("page_id").alias("c_page_id")), ["c_class"], ["c_page_id"], most).drop("rank")
+    listed = top_k(scores.join(small(cut(firsts)), "c_class"), ["t_class"], [F.desc("score"), "c_page_id"], most).drop("rank", "c_class")
+    return pages.select(F.col("page_id").alias("t_page_id"), "t_class").join(small(cut(listed)), "t_class").where("t_page_id <> c_page_id").drop("t_class")
+
+
+def all_of_classes(t: DataFrame, c: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All pairs of rows of ``t`` (a number, t_class) and ``c`` (a number, c_class) whose classes are in
+    ``pairs`` (t_class, c_class, ...).  Each row of ``t`` is dealt out by its number, meets its classes and
+    then their rows, so tasks are even; memory holds no pair."""
+    tasks = 4 * t.sparkSession.sparkContext.defaultParallelism
+    met = t.repartition(tasks, t.columns[0]).join(small(pairs), "t_class")
+    return met.join(small(c, BROADCAST_NUMBERS), "c_class").drop("t_class", "c_class")
+
+
 def select_page(scored: DataFrame, target: str, candidate: str, idx: str, s: Scoring = Scoring()) -> DataFrame:
     """One row per target: the candidate chosen, or why none is.
 

@@ -340,3 +340,30 @@ def test_robots_of_one_site_leave_others_alone(spark):
     urls = spark.createDataFrame([(1, "a", "/x/y"), (2, "a", "/z"), (3, "b", "/x/y"), (4, "b", "/z"), (5, "c", "/x")], "i int, site string, p string")
     got = S.robots_allowed(urls, S.parse_robots(files, "site", "body"), ["i"], "p", "site").collect()
     assert {r.i: r.allowed for r in got} == {1: False, 2: True, 3: True, 4: False, 5: True}
+
+
+def _some_pages(spark):
+    """Pages of two institutions, some with equal ids, with addresses that name programs or nothing."""
+    rng = random.Random(11)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [
+        (rng.randint(0, 45), f"https://{pick('alpha', 'beta')}.org/{pick('mba', 'finance', 'x', '')}/{rng.randint(0, 9)}", pick("Finance at Alpha", "Law", None), pick(["MBA"], [], None, ["Law", "finance"]),
+         pick("MBA", "mba ", "", None), pick("Finance", "Law", None), pick("Alpha", "Beta", None), pick("Beta", None), pick("pg", "ug", None))
+        for _ in range(60)
+    ]
+    return spark.createDataFrame(rows, "page_id long, url string, title string, headings array<string>, degree string, program string, institution string, brand string, page_type string")
+
+
+def test_scores_of_classes_are_those_of_all_pairs(spark):
+    p = _some_pages(spark)
+    side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in p.columns])
+    pairs = R.score(side("t").join(side("c"), F.col("t_institution") == F.col("c_institution")).where("t_page_id <> c_page_id")).select("t_page_id", "c_page_id", "score").cache()
+    pages, scores = R.class_scores(p)
+    of = lambda s: pages.select(F.col("page_id").alias(f"{s}_page_id"), f"{s}_class")
+    got = R.all_of_classes(of("t"), of("c"), scores).where("t_page_id <> c_page_id").select("t_page_id", "c_page_id", "score")
+    want = sorted(map(tuple, pairs.collect()))
+    assert sorted(map(tuple, got.collect())) == want and len({w[2] for w in want}) > 5
+    chosen = lambda df: sorted(map(str, R.select_page(df, "t_page_id", "c_page_id", "c_page_id").collect()))
+    assert chosen(R.best_of_classes(pages, scores, 2)) == chosen(pairs)
+    first = lambda df: sorted((r.t_page_id, r.score, r.c_page_id, r["rank"]) for r in W.top_k(df, ["t_page_id"], [F.desc("score"), "c_page_id"]).collect())
+    assert first(R.best_of_classes(pages, scores, 5)) == first(pairs)
