@@ -260,10 +260,13 @@ def best_of_classes(pages: DataFrame, scores: DataFrame, k: int) -> DataFrame:
 def all_of_classes(t: DataFrame, c: DataFrame, pairs: DataFrame) -> DataFrame:
     """All pairs of rows of ``t`` (a number, t_class) and ``c`` (a number, c_class) whose classes are in
     ``pairs`` (t_class, c_class, ...).  Each row of ``t`` is dealt out by its number, meets its classes and
-    then their rows, so tasks are even; memory holds no pair."""
-    tasks = 4 * t.sparkSession.sparkContext.defaultParallelism
-    met = t.repartition(tasks, t.columns[0]).join(small(pairs), "t_class")
-    return met.join(small(c, BROADCAST_NUMBERS), "c_class").drop("t_class", "c_class")
+    then the numbers in these, so tasks are even; memory holds no pair, and of a class the 64th part at a
+    time.  A number that is NULL is in no pair."""
+    tasks, number = 4 * t.sparkSession.sparkContext.defaultParallelism, c.columns[0]
+    lists = cut(c.groupBy("c_class", F.pmod(number, F.lit(64)).alias("part")).agg(F.collect_list(number).alias("list")).drop("part"))
+    few = c.limit(BROADCAST_NUMBERS + 1).count() <= BROADCAST_NUMBERS
+    met = t.repartition(tasks, t.columns[0]).join(small(pairs), "t_class").join(F.broadcast(lists) if few else lists, "c_class")
+    return met.drop("t_class", "c_class").withColumn(number, F.explode("list")).drop("list")
 
 
 def select_page(scored: DataFrame, target: str, candidate: str, idx: str, s: Scoring = Scoring()) -> DataFrame:

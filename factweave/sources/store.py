@@ -45,10 +45,10 @@ def latest_runs(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-#: As many rows of two numbers take the memory of as many rows with texts as above.
-BROADCAST_NUMBERS = 1_000_000
+#: As many numbers in lists take the memory of as many rows with texts as above.
+BROADCAST_NUMBERS = 2_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` marked for a broadcast if it was counted to have few rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
